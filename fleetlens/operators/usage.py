@@ -158,8 +158,9 @@ def apps_selected(apps: DataFrame, selected: Sequence[str], empty_means_all: boo
 
 
 def app_totals(apps: DataFrame) -> DataFrame:
-    """Per app: distinct users and summed cpu (input: usage_apps rows)."""
-    return apps.groupBy("comm").agg(F.countDistinct("username").alias("n_users"),
+    """Per app: distinct users and summed cpu (input: usage_apps rows; unnamed apps skipped)."""
+    named = apps.filter(F.col("comm").isNotNull() & (F.col("comm") != ""))
+    return named.groupBy("comm").agg(F.countDistinct("username").alias("n_users"),
                                     F.sum("cpu_seconds").alias("cpu_seconds"))
 
 
@@ -173,15 +174,15 @@ def common_apps(apps: DataFrame) -> DataFrame:
 
 
 def top_apps(apps: DataFrame, n: int = 5) -> DataFrame:
-    """TOP-2: top-n apps by summed cpu (TakeOrderedAndProject)."""
-    return app_totals(apps).orderBy(F.col("cpu_seconds").desc(), F.col("comm")).limit(n)
+    """TOP-2: the first n of the common-apps list by cpu (TakeOrderedAndProject)."""
+    return common_apps(apps).orderBy(F.col("cpu_seconds").desc(), F.col("comm")).limit(n)
 
 
 def app_bar_share(apps: DataFrame) -> DataFrame:
-    """AGG-19: bar length = max(2, 100 * cpu / top cpu); the top is a scalar subquery
-    (no global window, no join)."""
-    totals = app_totals(apps)
-    top = totals.select(F.max("cpu_seconds")).scalar()
+    """AGG-19: bar length = max(2, 100 * cpu / top cpu) over the common-apps list; the top
+    is a scalar subquery (no global window, no join); an empty list divides by 1."""
+    totals = common_apps(apps)
+    top = F.coalesce(totals.select(F.max("cpu_seconds")).scalar(), F.lit(1.0))
     return totals.select("comm", "cpu_seconds",
                          F.greatest(F.lit(2.0), F.lit(100.0) * F.col("cpu_seconds") / top).alias("bar_pct"))
 

@@ -208,3 +208,55 @@ def sql(body: str, *needs: str) -> str:
         return body.strip()
     parts = [f"{n} AS (\n{CTES[n][0]}\n)" for n in _order(needs)]
     return "WITH " + ",\n".join(parts) + "\n" + body.strip()
+
+
+# ---- query parameters shared by the Spark builders and the oracle texts -------------
+# Feature parameters of the API routes (a closed usage range, the uids the
+# analytics page selects); they select what the feature selects, not a sample.
+RANGE_START, RANGE_END = "2024-01-01 02:00:00", "2024-01-01 20:00:00"
+TS_UID = 1001
+APP_UIDS = (1001, 1002, 1003, 1005, 1008)
+_UIDS_SQL = ", ".join(str(u) for u in APP_UIDS)
+_RANGE_SQL = f"h.bucket_time >= TIMESTAMP '{RANGE_START}' AND h.bucket_time <= TIMESTAMP '{RANGE_END}'"
+
+RESOURCE_SQL = {
+    "cpu": "SUM(h.total_cpu_time_seconds)",
+    "mem": "CAST(MAX(h.max_rss_memory_bytes) AS DOUBLE) / 1048576.0",
+    "gpu": "CAST(MAX(h.max_gpu_memory_mib) AS DOUBLE)",
+    "disk": "CAST(SUM(h.total_read_bytes + h.total_write_bytes) AS DOUBLE) / 1048576.0",
+    "net": "CAST(SUM(h.total_net_rx_bytes + h.total_net_tx_bytes) AS DOUBLE) / 1048576.0",
+}
+
+cte("usage_apps", f"""
+SELECT u.username, h.comm, SUM(h.total_cpu_time_seconds) AS cpu_seconds,
+  CAST(MAX(h.max_rss_memory_bytes) AS DOUBLE) / 1048576.0 AS peak_mem_mb, MAX(h.max_gpu_memory_mib) AS peak_gpu_mib,
+  CAST(SUM(h.total_read_bytes + h.total_write_bytes) AS DOUBLE) / 1048576.0 AS disk_io_mb,
+  CAST(SUM(h.total_net_rx_bytes + h.total_net_tx_bytes) AS DOUBLE) / 1048576.0 AS net_io_mb,
+  CAST(SUM(h.process_count) AS BIGINT) AS total_processes
+FROM user_app_hourly h JOIN fx_users u ON h.uid = u.uid
+WHERE h.uid IN ({_UIDS_SQL}) AND {_RANGE_SQL}
+GROUP BY u.username, h.comm""", "user_app_hourly", "fx_users")
+
+cte("usage_app_ts", f"""
+SELECT date_trunc('hour', h.bucket_time) AS t, u.username, h.comm, {RESOURCE_SQL['cpu']} AS value
+FROM user_app_hourly h JOIN fx_users u ON h.uid = u.uid
+WHERE h.uid IN ({_UIDS_SQL}) AND {_RANGE_SQL}
+GROUP BY t, h.uid, u.username, h.comm""", "user_app_hourly", "fx_users")
+
+cte("app_totals", """
+SELECT comm, COUNT(DISTINCT username) AS n_users, SUM(cpu_seconds) AS cpu_seconds
+FROM usage_apps WHERE comm IS NOT NULL AND comm <> '' GROUP BY comm""", "usage_apps")
+
+cte("common_apps", """
+SELECT comm, n_users, cpu_seconds FROM app_totals
+WHERE (SELECT COUNT(DISTINCT username) FROM usage_apps) <= 1 OR n_users = (SELECT COUNT(DISTINCT username) FROM usage_apps)""",
+    "app_totals", "usage_apps")
+
+
+def usage_timeseries_sql(resource: str) -> str:
+    expr = RESOURCE_SQL.get(resource)
+    if expr is None:
+        return sql("SELECT CAST(NULL AS TIMESTAMP) AS t, CAST(NULL AS DOUBLE) AS value WHERE FALSE")
+    return sql(f"""
+SELECT date_trunc('hour', h.bucket_time) AS t, {expr} AS value FROM user_app_hourly h
+WHERE h.uid = {TS_UID} AND {_RANGE_SQL} GROUP BY t ORDER BY t""", "user_app_hourly")
