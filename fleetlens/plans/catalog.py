@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..operators import rollup, usage
+from ..operators import fleet, rollup, usage
 from .oracle import APP_UIDS, RANGE_END, RANGE_START, RESOURCE_SQL, TS_UID, sql, usage_timeseries_sql
 from .tables import Telemetry
 
@@ -255,3 +255,154 @@ def q_chart_matrix(t: Telemetry) -> DataFrame:
     """SHP-1 / SET-3: by-user chart matrix, one column per selected user, zero-filled."""
     ts = usage.usage_app_timeseries(t.user_app_hourly(), t.fx.users, APP_UIDS, "cpu", RANGE_START, RANGE_END)
     return usage.chart_matrix(usage.chart_series(ts, "user"), _CHART_USERS)
+
+
+# ------------------------------------------------------------------------- fleet -------
+
+def _live_config(t: Telemetry) -> DataFrame:
+    return fleet.config_kv_pivot(t.fx.config_kv)
+
+
+def _heartbeats(t: Telemetry) -> DataFrame:
+    return fleet.heartbeat_parse(fleet.heartbeat_kv(t.fx.heartbeats))
+
+
+def _live(t: Telemetry) -> DataFrame:
+    as_of = t.fx.heartbeats.select(F.max("event_time")).scalar()
+    return fleet.liveness(_live_config(t), _heartbeats(t), as_of)
+
+
+def _latest_samples(t: Telemetry) -> DataFrame:
+    return fleet.latest_samples(t.node_points).select("node_id", "ts", "cpu_usage_percent", "memory_usage_percent")
+
+
+@query("config_kv_pivot", sql("SELECT * FROM live_config", "live_config"))
+def q_config_kv_pivot(t: Telemetry) -> DataFrame:
+    """SRC-5: live key-value config pivoted to one row per node."""
+    return _live_config(t)
+
+
+@query("heartbeat_parse", sql("SELECT * FROM hb_latest", "hb_latest"))
+def q_heartbeat_parse(t: Telemetry) -> DataFrame:
+    """SRC-6: heartbeat keys parsed from their JSON values."""
+    return _heartbeats(t)
+
+
+@query("node_liveness", sql("SELECT * FROM live_nodes", "live_nodes"))
+def q_node_liveness(t: Telemetry) -> DataFrame:
+    """STA-3 / JON-7: running or stopped from the newest heartbeat and the interval."""
+    return _live(t)
+
+
+@query("collection_settings_list", sql("SELECT * FROM settings_list ORDER BY name", "settings_list"))
+def q_collection_settings_list(t: Telemetry) -> DataFrame:
+    """JON-3: nodes with their collection settings, defaults 10 / 60."""
+    return fleet.collection_settings_list(t.fx.nodes, t.fx.collection_settings)
+
+
+@query("effective_settings", sql("""
+SELECT n.id AS node_id, n.name, n.group_name, n.collect_agent AS default_agent, COALESCE(cs.interval_seconds, 10) AS interval_seconds,
+  COALESCE(cs.window_seconds, 60) AS window_seconds, COALESCE(cs.collect_agent, n.collect_agent) AS collect_agent
+FROM fx_nodes n LEFT JOIN fx_collection_settings cs ON n.id = cs.node_id""", "fx_nodes", "fx_collection_settings"))
+def q_effective_settings(t: Telemetry) -> DataFrame:
+    """JON-4: effective settings with the agent falling back to the node default."""
+    return fleet.effective_settings(t.fx.nodes, t.fx.collection_settings)
+
+
+@query("config_drift", sql("SELECT * FROM config_drift", "config_drift"))
+def q_config_drift(t: Telemetry) -> DataFrame:
+    """JON-8: database settings against the live config."""
+    db = fleet.collection_settings_list(t.fx.nodes, t.fx.collection_settings)
+    return fleet.config_drift(db, _live(t))
+
+
+@query("latest_node_metrics", sql("SELECT * FROM latest_node_metrics", "latest_node_metrics"))
+def q_latest_node_metrics(t: Telemetry) -> DataFrame:
+    """WIN-1: newest hourly row per node."""
+    return fleet.latest_node_metrics(t.node_status_hourly())
+
+
+@query("node_overview", sql("SELECT * FROM node_overview", "node_overview"))
+def q_node_overview(t: Telemetry) -> DataFrame:
+    """JON-6 / SCL-13: registry + live config + newest metrics."""
+    return fleet.node_overview(t.fx.nodes, _live(t), fleet.latest_node_metrics(t.node_status_hourly()))
+
+
+@query("status_counts", sql("""
+SELECT COUNT(*) AS total, count_if(status = 'active') AS active, count_if(status = 'down') AS down, count_if(status = 'idle') AS idle,
+  CASE WHEN COUNT(*) = 0 THEN 'Critical' WHEN count_if(status = 'active') / COUNT(*) >= 0.9 THEN 'Healthy'
+       WHEN count_if(status = 'active') / COUNT(*) >= 0.6 THEN 'Degraded' ELSE 'Critical' END AS health
+FROM node_overview""", "node_overview"))
+def q_status_counts(t: Telemetry) -> DataFrame:
+    """AGG-23 / SCL-12: node status counts and the cluster health label."""
+    return fleet.status_counts(q_node_overview(t))
+
+
+@query("config_counters", sql("""
+SELECT count_if(etcd_status = 'running') AS running, count_if(etcd_status = 'stopped') AS stopped,
+  count_if(etcd_loaded AND NOT etcd_synced) AS out_of_sync FROM config_drift""", "config_drift"))
+def q_config_counters(t: Telemetry) -> DataFrame:
+    """AGG-24: running / stopped / out-of-sync settings counters."""
+    return fleet.config_counters(q_config_drift(t))
+
+
+@query("node_search", sql("""
+SELECT * FROM node_overview WHERE status = 'down' AND (contains(lower(name), 'supplier#0000000') OR contains(ip, 'Supplier#0000000'))""",
+    "node_overview"))
+def q_node_search(t: Telemetry) -> DataFrame:
+    """FLT-2: status equals and name (case-insensitive) or ip contains."""
+    return usage.node_search(q_node_overview(t), "down", "Supplier#0000000")
+
+
+@query("node_hourly", sql("""
+SELECT bucket_time, avg_cpu_usage_percent, max_cpu_usage_percent, avg_mem_usage_percent, max_mem_used_bytes,
+  avg_gpu_utilization, max_gpu_temperature, total_gpu_power_watts, total_disk_read_bytes, total_disk_write_bytes,
+  total_net_rx_bytes, total_net_tx_bytes, is_active
+FROM node_status_hourly WHERE node_id = 'node_3' AND bucket_time >= (SELECT MAX(bucket_time) FROM node_status_hourly) - INTERVAL 1 DAY
+ORDER BY bucket_time""", "node_status_hourly"))
+def q_node_hourly(t: Telemetry) -> DataFrame:
+    """SRC-4 / FLT-5: one node's hourly rows for the last day, explicit columns, ordered."""
+    return fleet.node_hourly(t.node_status_hourly(), "node_3", "1d")
+
+
+@query("cluster_now", sql("""
+SELECT (SELECT COUNT(*) FROM latest_samples) AS active_nodes,
+  (SELECT COUNT(DISTINCT p.uid) FROM proc_points p JOIN latest_samples l ON l.node_id = p.node_id AND l.ts = p.ts WHERE p.uid >= 1000) AS active_users,
+  (SELECT AVG(cpu_usage_percent) FROM latest_samples) AS avg_cpu_pct, (SELECT AVG(memory_usage_percent) FROM latest_samples) AS avg_mem_pct,
+  (SELECT AVG(utilization_percent) FROM latest_gpu) AS avg_gpu_util_pct, (SELECT AVG(memory_used_mib) FROM latest_gpu) AS avg_gpu_mem_mib,
+  (SELECT AVG(temperature_celsius) FROM latest_gpu) AS avg_gpu_temp_c, (SELECT AVG(power_watts) FROM latest_gpu) AS avg_gpu_power_w""",
+    "latest_samples", "latest_gpu", "proc_points"))
+def q_cluster_now(t: Telemetry) -> DataFrame:
+    """AGG-29: aggregates over each node's newest sample."""
+    return fleet.cluster_now(t.node_points, t.gpu_points, t.process_points)
+
+
+@query("max_metric_node", sql("""
+SELECT metric, arg_min(node_id, (-value, node_id)) AS node_id, MAX(value) AS value FROM (
+  SELECT node_id, 'cpu' AS metric, cpu_usage_percent AS value FROM latest_samples
+  UNION ALL SELECT node_id, 'cpu_mem', memory_usage_percent FROM latest_samples
+  UNION ALL SELECT node_id, 'gpu', utilization_percent FROM latest_gpu
+  UNION ALL SELECT node_id, 'gpu_mem', CAST(memory_used_mib AS DOUBLE) FROM latest_gpu
+  UNION ALL SELECT node_id, 'gpu_temp', temperature_celsius FROM latest_gpu
+  UNION ALL SELECT node_id, 'gpu_power', power_watts FROM latest_gpu) x
+WHERE value IS NOT NULL GROUP BY metric""", "latest_samples", "latest_gpu"))
+def q_max_metric_node(t: Telemetry) -> DataFrame:
+    """TOP-6: node with the max newest value of each panel metric."""
+    ls = fleet.latest_samples(t.node_points)
+    return fleet.max_metric_node(ls, fleet.samples_at_latest(t.gpu_points, ls))
+
+
+@query("free_nodes", sql("""
+SELECT node_id, ts, cpu_usage_percent, memory_usage_percent FROM latest_samples
+WHERE cpu_usage_percent < 50.0 AND memory_usage_percent < 80.0 ORDER BY cpu_usage_percent, node_id""", "latest_samples"))
+def q_free_nodes(t: Telemetry) -> DataFrame:
+    """TOP-7: nodes whose newest sample is under the usage bounds (cpu < 50 %, mem < 80 %)."""
+    return fleet.free_nodes(fleet.latest_samples(t.node_points), 50.0, 80.0)
+
+
+@query("gate_running", sql("""
+SELECT report_id, node_id, "timestamp" FROM v_headers WHERE node_id IN (SELECT node_id FROM live_config WHERE status = 'running')""",
+    "v_headers", "live_config"))
+def q_gate_running(t: Telemetry) -> DataFrame:
+    """STA-4: only reports of nodes configured as running pass (missing -> stopped)."""
+    return fleet.gate_running(t.headers.select("report_id", "node_id", "timestamp"), _live_config(t))

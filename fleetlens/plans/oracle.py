@@ -109,7 +109,7 @@ LEFT JOIN (SELECT report_id, bool_and(coalesce(utilization_percent BETWEEN 0 AND
 WHERE r.report_id IN (SELECT report_id FROM v_procs)""", "v_headers", "fx_gpus", "v_procs")
 
 cte("node_points", """
-SELECT date_trunc('second', event_time) AS ts, node_id, 'collect_agent_1' AS collect_agent_id, '1.0.0' AS collect_agent_version,
+SELECT date_trunc('second', event_time) AS ts, node_id, report_id, 'collect_agent_1' AS collect_agent_id, '1.0.0' AS collect_agent_version,
   collection_window_seconds, "timestamp" AS received_timestamp,
   CASE WHEN sm_ok THEN cpu_usage_percent ELSE 0.0 END AS cpu_usage_percent,
   CASE WHEN sm_ok THEN memory_usage_percent ELSE 0.0 END AS memory_usage_percent,
@@ -118,7 +118,7 @@ SELECT date_trunc('second', event_time) AS ts, node_id, 'collect_agent_1' AS col
 FROM v_reports""", "v_reports")
 
 cte("gpu_points", """
-SELECT date_trunc('second', event_time) AS ts, node_id, CAST(gpu_index AS VARCHAR) AS gpu_index, 'unknown' AS gpu_name,
+SELECT date_trunc('second', event_time) AS ts, node_id, report_id, CAST(gpu_index AS VARCHAR) AS gpu_index, 'unknown' AS gpu_name,
   utilization_percent, temperature_celsius, power_watts, 0.0 AS power_limit_watts, CAST(memory_used_mib AS BIGINT) AS memory_used_mib,
   CAST(0 AS BIGINT) AS memory_total_mib
 FROM fx_gpus WHERE report_id IN (SELECT report_id FROM v_reports WHERE sm_ok)""", "fx_gpus", "v_reports")
@@ -260,3 +260,72 @@ def usage_timeseries_sql(resource: str) -> str:
     return sql(f"""
 SELECT date_trunc('hour', h.bucket_time) AS t, {expr} AS value FROM user_app_hourly h
 WHERE h.uid = {TS_UID} AND {_RANGE_SQL} GROUP BY t ORDER BY t""", "user_app_hourly")
+
+# ---- fleet state --------------------------------------------------------------------
+LEADING_NUMBER = "'^[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?'"
+
+
+def parse_float_sql(x: str) -> str:
+    return f"TRY_CAST(regexp_extract(trim({x}), {LEADING_NUMBER}, 0) AS DOUBLE)"
+
+
+cte("kv_split", """
+SELECT substr(rel, 1, s - 1) AS node_id, substr(rel, s + 1) AS field, value
+FROM (SELECT substr(key, 22) AS rel, instr(substr(key, 22), '/') AS s, value FROM fx_config_kv
+      WHERE starts_with(key, '/config/compute_node/')) x
+WHERE s > 0""", "fx_config_kv")
+
+cte("live_config", """
+SELECT node_id, MAX(CASE WHEN field = 'heartbeat_interval' THEN value END) AS heartbeat_interval,
+  MAX(CASE WHEN field = 'status' THEN value END) AS status,
+  MAX(CASE WHEN field = 'target_collect_agent' THEN value END) AS target_collect_agent,
+  MAX(CASE WHEN field = 'window' THEN value END) AS "window"
+FROM kv_split GROUP BY node_id""", "kv_split")
+
+cte("hb_latest", """
+SELECT node_id, epoch_us(MAX(event_time)) / 1e6 AS "timestamp", arg_max(status, event_time) AS status,
+  arg_max(status, event_time) = 'alive' AS collection_active
+FROM fx_heartbeats GROUP BY node_id""", "fx_heartbeats")
+
+cte("live_nodes", f"""
+SELECT c.node_id, c.heartbeat_interval, c.target_collect_agent, c."window",
+  CASE WHEN coalesce(h.status = 'alive' AND (floor((SELECT epoch_us(MAX(event_time)) FROM fx_heartbeats) / 1e6) - h."timestamp")
+       <= coalesce({parse_float_sql("coalesce(c.heartbeat_interval, '20')")} * 3, 60.0), FALSE) THEN 'running' ELSE 'stopped' END AS status
+FROM live_config c LEFT JOIN hb_latest h ON h.node_id = c.node_id""", "live_config", "hb_latest", "fx_heartbeats")
+
+cte("settings_list", """
+SELECT n.id, n.name, n.ip, n.group_name, n.collect_agent, COALESCE(cs.interval_seconds, 10) AS interval_seconds,
+  COALESCE(cs.window_seconds, 60) AS window_seconds
+FROM fx_nodes n LEFT JOIN fx_collection_settings cs ON n.id = cs.node_id""", "fx_nodes", "fx_collection_settings")
+
+cte("latest_node_metrics", """
+SELECT node_id, MAX(bucket_time) AS bucket_time, arg_max(avg_cpu_usage_percent, bucket_time) AS cpu,
+  arg_max(avg_gpu_utilization, bucket_time) AS gpu, arg_max(avg_mem_usage_percent, bucket_time) AS mem
+FROM node_status_hourly GROUP BY node_id""", "node_status_hourly")
+
+cte("config_drift", f"""
+SELECT d.id AS node_id, d.name AS node_name, d.group_name AS "group", d.interval_seconds, d.window_seconds, d.collect_agent,
+  coalesce(l.status, 'unknown') AS etcd_status, l.node_id IS NOT NULL AS etcd_loaded,
+  CASE WHEN l.node_id IS NULL THEN FALSE ELSE
+    (CASE WHEN l."window" IS NULL THEN TRUE ELSE coalesce({parse_float_sql('l."window"')} = d.window_seconds, FALSE) END)
+    AND (CASE WHEN l.heartbeat_interval IS NULL THEN TRUE ELSE coalesce({parse_float_sql('l.heartbeat_interval')} = d.interval_seconds, FALSE) END)
+    AND (CASE WHEN l.target_collect_agent IS NULL THEN TRUE ELSE coalesce(l.target_collect_agent = d.collect_agent, FALSE) END) END AS etcd_synced
+FROM settings_list d LEFT JOIN live_nodes l ON l.node_id = d.id""", "settings_list", "live_nodes")
+
+cte("node_overview", """
+SELECT n.id, n.name, n.ip, n.group_name AS "group",
+  CASE coalesce(l.status, 'unknown') WHEN 'running' THEN 'active' WHEN 'stopped' THEN 'down' ELSE 'idle' END AS status,
+  coalesce(l.status, 'unknown') AS etcd_status, l.node_id IS NOT NULL AS etcd_loaded,
+  coalesce(l.target_collect_agent, 'UNKNOWN') AS collect_agent, l."window" AS "window", l.heartbeat_interval AS heartbeat,
+  m.cpu, m.gpu, m.mem
+FROM fx_nodes n LEFT JOIN live_nodes l ON l.node_id = n.id LEFT JOIN latest_node_metrics m ON m.node_id = n.id""",
+    "fx_nodes", "live_nodes", "latest_node_metrics")
+
+cte("latest_samples", """
+SELECT node_id, MAX(ts) AS ts, arg_max(report_id, (ts, report_id)) AS report_id,
+  arg_max(cpu_usage_percent, (ts, report_id)) AS cpu_usage_percent,
+  arg_max(memory_usage_percent, (ts, report_id)) AS memory_usage_percent
+FROM node_points GROUP BY node_id""", "node_points")
+
+cte("latest_gpu", """
+SELECT g.* FROM gpu_points g JOIN latest_samples l ON l.report_id = g.report_id""", "gpu_points", "latest_samples")

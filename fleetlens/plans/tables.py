@@ -66,7 +66,7 @@ class Telemetry:
         ok = F.col("sm_ok")
         z = lambda c, t: F.when(ok, F.col(c)).otherwise(F.lit(0).cast(t))
         return r.select(
-            F.date_trunc("second", "event_time").alias("ts"), "node_id",
+            F.date_trunc("second", "event_time").alias("ts"), "node_id", "report_id",
             F.lit(AGENT_ID).alias("collect_agent_id"), F.lit(AGENT_VERSION).alias("collect_agent_version"),
             "collection_window_seconds", F.col("timestamp").alias("received_timestamp"),
             z("cpu_usage_percent", "double").alias("cpu_usage_percent"),
@@ -79,7 +79,7 @@ class Telemetry:
         ok = self.valid_reports.filter("sm_ok").select("report_id")
         g = self.fx.gpus_flat.join(ok, "report_id", "left_semi")
         return g.select(
-            F.date_trunc("second", "event_time").alias("ts"), "node_id",
+            F.date_trunc("second", "event_time").alias("ts"), "node_id", "report_id",
             F.col("gpu_index").cast("string").alias("gpu_index"), F.lit("unknown").alias("gpu_name"),
             "utilization_percent", "temperature_celsius", "power_watts",
             F.lit(0.0).alias("power_limit_watts"), "memory_used_mib",
