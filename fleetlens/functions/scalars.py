@@ -109,7 +109,7 @@ def cluster_health(active, total) -> Column:
 
 def age_text(ts, as_of) -> Column:
     """'Ns ago' / 'Nm ago' / 'Nh ago' / 'Nd ago' with floor, relative to ``as_of``."""
-    secs = F.floor(_c(as_of).cast("double") - _c(ts).cast("double")).cast("bigint")
+    secs = F.floor((F.unix_micros(_c(as_of)) - F.unix_micros(_c(ts))) / F.lit(1000000)).cast("bigint")
     return (F.when(secs < 60, F.concat(secs.cast("string"), F.lit("s ago")))
              .when(secs < 3600, F.concat(F.floor(secs / 60).cast("string"), F.lit("m ago")))
              .when(secs < 86400, F.concat(F.floor(secs / 3600).cast("string"), F.lit("h ago")))

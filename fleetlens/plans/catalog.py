@@ -13,8 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..operators import fleet, rollup, usage
-from .oracle import APP_UIDS, RANGE_END, RANGE_START, RESOURCE_SQL, TS_UID, sql, usage_timeseries_sql
+from ..operators import alerts, fleet, rollup, stages, usage
+from .oracle import ALERT_RULES, APP_UIDS, THRESHOLD_RULES, RANGE_END, RANGE_START, RESOURCE_SQL, TS_UID, sql, usage_timeseries_sql
 from .tables import Telemetry
 
 Builder = Callable[[SparkSession, str], DataFrame]
@@ -406,3 +406,74 @@ SELECT report_id, node_id, "timestamp" FROM v_headers WHERE node_id IN (SELECT n
 def q_gate_running(t: Telemetry) -> DataFrame:
     """STA-4: only reports of nodes configured as running pass (missing -> stopped)."""
     return fleet.gate_running(t.headers.select("report_id", "node_id", "timestamp"), _live_config(t))
+
+
+# ------------------------------------------------------------------------ alerts -------
+
+def threshold_rules_df(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(THRESHOLD_RULES, "metric_name string, max_value double, min_value double")
+
+
+def alert_rules_df(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(
+        ALERT_RULES, "id string, name string, node_group string, resource string, operator string, "
+                     "threshold double, severity string, enabled boolean")
+
+
+def _validated_reports(t: Telemetry) -> DataFrame:
+    return stages.validate(t.fx.reports)
+
+
+@query("node_metrics", sql("SELECT * FROM node_metrics", "node_metrics"))
+def q_node_metrics(t: Telemetry) -> DataFrame:
+    """AGG-3: per-report metric map (long form) on validated nested reports."""
+    m = stages.node_metrics(_validated_reports(t))
+    return m.select("report_id", "node_id", "timestamp", "metric_name", "metric_value", "is_int")
+
+
+def _threshold_alerts(t: Telemetry) -> DataFrame:
+    return alerts.threshold_alerts(_validated_reports(t), threshold_rules_df(t.spark))
+
+
+@query("threshold_alerts", sql("SELECT * FROM threshold_alerts", "threshold_alerts"))
+def q_threshold_alerts(t: Telemetry) -> DataFrame:
+    """STR-3 / JON-10: threshold violations per report (below_min wins)."""
+    return _threshold_alerts(t).select("report_id", "node_id", "timestamp", "metric_name", "metric_value", "is_int",
+                                       "threshold_max", "threshold_min", "violation_type")
+
+
+@query("alert_records", sql("SELECT * FROM alert_records", "alert_records"))
+def q_alert_records(t: Telemetry) -> DataFrame:
+    """SNK-6 / SCL-15: violations shaped as alert messages."""
+    return alerts.alert_records(_threshold_alerts(t), "collect_agent_1")
+
+
+@query("group_alerts", sql("SELECT * FROM group_alerts", "group_alerts"))
+def q_group_alerts(t: Telemetry) -> DataFrame:
+    """STR-4 / JON-13: operator-exact alert rules per node group on hourly node values."""
+    return alerts.group_alerts(t.node_status_hourly(), t.fx.nodes, alert_rules_df(t.spark))
+
+
+@query("notifications_feed", sql("""
+SELECT n.* EXCLUDE (s), nd.name AS node_name,
+  CASE WHEN s < 60 THEN CAST(s AS VARCHAR) || 's ago' WHEN s < 3600 THEN CAST(s // 60 AS VARCHAR) || 'm ago'
+       WHEN s < 86400 THEN CAST(s // 3600 AS VARCHAR) || 'h ago' ELSE CAST(s // 86400 AS VARCHAR) || 'd ago' END AS age
+FROM (SELECT *, CAST(floor(((SELECT epoch_us(MAX(created_at)) FROM fx_notifications) - epoch_us(created_at)) / 1000000) AS BIGINT) AS s
+      FROM fx_notifications) n
+LEFT JOIN fx_nodes nd ON n.node_id = nd.id ORDER BY n.created_at DESC, n.id DESC""", "fx_notifications", "fx_nodes"))
+def q_notifications_feed(t: Telemetry) -> DataFrame:
+    """JON-5 / SCL-11: notifications with node name and age label."""
+    n = t.fx.notifications
+    return alerts.notifications_feed(n, t.fx.nodes, n.select(F.max("created_at")).scalar())
+
+
+@query("unread_notifications", sql("SELECT * FROM fx_notifications WHERE NOT acknowledged", "fx_notifications"))
+def q_unread_notifications(t: Telemetry) -> DataFrame:
+    """FLT-8: unacknowledged notifications."""
+    return alerts.unread(t.fx.notifications)
+
+
+@query("audit_recent", sql("SELECT * FROM fx_audit_logs ORDER BY created_at DESC, id DESC LIMIT 100", "fx_audit_logs"))
+def q_audit_recent(t: Telemetry) -> DataFrame:
+    """TOP-5: newest 100 audit rows."""
+    return alerts.audit_recent(t.fx.audit_logs, 100)

@@ -329,3 +329,107 @@ FROM node_points GROUP BY node_id""", "node_points")
 
 cte("latest_gpu", """
 SELECT g.* FROM gpu_points g JOIN latest_samples l ON l.report_id = g.report_id""", "gpu_points", "latest_samples")
+
+# ---- alerts -------------------------------------------------------------------------
+# The agent's threshold rules (metric, max, min) and the admin alert rules
+# (id, name, node_group, resource, operator, threshold, severity, enabled).
+THRESHOLD_RULES = [
+    ("cpu_usage_percent", 75.0, None),
+    ("memory_usage_percent", 95.0, 5.0),
+    ("process_count", None, 2.0),
+    ("gpu_max_temperature_celsius", 85.0, None),
+    ("gpu_utilization_percent", 99.0, None),
+    ("disk_usage_percent", 90.0, None),
+]
+ALERT_RULES = [
+    ("r1", "cpu high", "all", "cpu", ">", 90.0, "critical", True),
+    ("r2", "cpu warn", "all", "cpu", ">=", 75.0, "warning", True),
+    ("r3", "cpu idle", "all", "cpu", "<", 10.0, "info", True),
+    ("r4", "net burst", "all", "net", ">", 5.0, "warning", True),
+    ("r5", "mem any", "all", "mem", ">", 1.0, "info", False),
+    ("r6", "gpu hot", "NATION_14", "gpu", ">=", 60.0, "warning", True),
+    ("r7", "mem low", "NATION_6", "mem", "<=", 20.0, "info", True),
+]
+
+
+def _lit(v) -> str:
+    if v is None:
+        return "NULL"
+    if isinstance(v, bool):
+        return "TRUE" if v else "FALSE"
+    if isinstance(v, (int, float)):
+        return f"CAST({v!r} AS DOUBLE)"
+    return "'" + str(v).replace("'", "''") + "'"
+
+
+def values_sql(rows, cols) -> str:
+    body = ", ".join("(" + ", ".join(_lit(v) for v in r) + ")" for r in rows)
+    return f"SELECT * FROM (VALUES {body}) t({', '.join(cols)})"
+
+
+cte("threshold_rules", values_sql(THRESHOLD_RULES, ["metric_name", "max_value", "min_value"]))
+cte("alert_rules", values_sql(ALERT_RULES, ["id", "name", "node_group", "resource", "operator", "threshold", "severity", "enabled"]))
+
+PROC_METRICS = [("cpu_total_ns", "cpu_ontime_ns"), ("memory_total_bytes", "avg_rss_bytes"),
+                ("disk_read_bytes", "read_bytes"), ("disk_write_bytes", "write_bytes"),
+                ("network_rx_bytes", "net_rx_bytes"), ("network_tx_bytes", "net_tx_bytes")]
+_nm = [f"SELECT report_id, '{n}' AS metric_name, CAST(SUM({c}) AS DOUBLE) AS metric_value, TRUE AS is_int FROM v_procs GROUP BY report_id"
+       for n, c in PROC_METRICS]
+_nm.append("SELECT report_id, 'process_count', CAST(COUNT(*) AS DOUBLE), TRUE FROM v_procs GROUP BY report_id")
+_nm += [f"SELECT report_id, '{n}', CAST({c} AS DOUBLE), {b} FROM v_reports WHERE sm_ok" for n, c, b in [
+    ("cpu_usage_percent", "cpu_usage_percent", "FALSE"), ("memory_usage_percent", "memory_usage_percent", "FALSE"),
+    ("system_memory_used_bytes", "memory_used_bytes", "TRUE"), ("system_memory_total_bytes", "memory_total_bytes", "TRUE")]]
+_nm += [f"SELECT report_id, 'gpu_' || CAST(gpu_index AS VARCHAR) || '_{n}', CAST({c} AS DOUBLE), {b} FROM sm_gpus" for n, c, b in [
+    ("utilization_percent", "utilization_percent", "FALSE"), ("temperature_celsius", "temperature_celsius", "FALSE"),
+    ("power_watts", "power_watts", "FALSE"), ("memory_used_mib", "memory_used_mib", "TRUE"), ("memory_total_mib", "NULL", "TRUE")]]
+_nm += [f"SELECT report_id, '{n}', CAST({a} AS DOUBLE), {b} FROM sm_gpus GROUP BY report_id" for n, a, b in [
+    ("gpu_max_utilization_percent", "MAX(utilization_percent)", "FALSE"),
+    ("gpu_max_temperature_celsius", "MAX(temperature_celsius)", "FALSE"), ("gpu_max_power_watts", "MAX(power_watts)", "FALSE"),
+    ("gpu_total_memory_used_mib", "SUM(memory_used_mib)", "TRUE"), ("gpu_count", "COUNT(*)", "TRUE"),
+    ("gpu_utilization_percent", "MAX(utilization_percent)", "FALSE")]]
+
+cte("sm_gpus", "SELECT * FROM fx_gpus WHERE report_id IN (SELECT report_id FROM v_reports WHERE sm_ok)", "fx_gpus", "v_reports")
+cte("node_metrics", "SELECT r.report_id, r.node_id, r.\"timestamp\", m.metric_name, m.metric_value, m.is_int FROM ("
+    + "\nUNION ALL ".join(_nm) + ") m JOIN v_reports r ON r.report_id = m.report_id", "v_procs", "v_reports", "sm_gpus")
+
+cte("threshold_alerts", """
+SELECT * FROM (
+  SELECT m.report_id, m.node_id, m."timestamp", m.metric_name, m.metric_value, m.is_int, t.max_value AS threshold_max,
+    t.min_value AS threshold_min,
+    CASE WHEN t.min_value IS NOT NULL AND m.metric_value < t.min_value THEN 'below_min'
+         WHEN t.max_value IS NOT NULL AND m.metric_value > t.max_value THEN 'exceeded_max' END AS violation_type
+  FROM node_metrics m JOIN threshold_rules t ON t.metric_name = m.metric_name) x
+WHERE violation_type IS NOT NULL""", "node_metrics", "threshold_rules")
+
+
+def _num_text_sql(x: str, is_int: str | None = None) -> str:
+    if is_int is not None:
+        return f"CASE WHEN {x} IS NULL THEN 'None' WHEN {is_int} THEN CAST(CAST({x} AS BIGINT) AS VARCHAR) ELSE CAST({x} AS VARCHAR) END"
+    return f"CASE WHEN {x} IS NULL THEN 'None' WHEN {x} = floor({x}) THEN CAST(CAST({x} AS BIGINT) AS VARCHAR) ELSE CAST({x} AS VARCHAR) END"
+
+
+cte("alert_records", f"""
+SELECT node_id, 'collect_agent_1' AS collect_agent_id, metric_name AS alert_type,
+  CASE WHEN violation_type = 'exceeded_max' THEN 'critical' ELSE 'warning' END AS severity,
+  'Threshold violation: ' || metric_name || ' value ' || {_num_text_sql('metric_value', 'is_int')} || ' ' || violation_type
+    || ' (max: ' || {_num_text_sql('threshold_max')} || ', min: ' || {_num_text_sql('threshold_min')} || ')' AS message,
+  CAST("timestamp" AS BIGINT) AS "timestamp",
+  MAP {{'metric_value': {_num_text_sql('metric_value', 'is_int')}, 'threshold_max': {_num_text_sql('threshold_max')},
+       'threshold_min': {_num_text_sql('threshold_min')}, 'violation_type': violation_type}} AS metadata
+FROM threshold_alerts""", "threshold_alerts")
+
+cte("group_alerts", """
+SELECT r.id || ':' || v.node_id || ':' || strftime(v.bucket_time, '%Y%m%d%H') AS id, r.id AS rule_id, r.severity,
+  r.name || ': ' || v.resource || ' ' || r.operator || ' ' || CAST(r.threshold AS VARCHAR) AS message, v.node_id, v.value,
+  FALSE AS acknowledged, v.bucket_time AS created_at
+FROM (SELECT bucket_time, node_id, 'cpu' AS resource, avg_cpu_usage_percent AS value FROM node_status_hourly
+      UNION ALL SELECT bucket_time, node_id, 'mem', avg_mem_usage_percent FROM node_status_hourly
+      UNION ALL SELECT bucket_time, node_id, 'gpu', avg_gpu_utilization FROM node_status_hourly
+      UNION ALL SELECT bucket_time, node_id, 'disk', CAST(total_disk_read_bytes + total_disk_write_bytes AS DOUBLE) / 1048576.0 FROM node_status_hourly
+      UNION ALL SELECT bucket_time, node_id, 'net', CAST(total_net_rx_bytes + total_net_tx_bytes AS DOUBLE) / 1048576.0 FROM node_status_hourly) v
+LEFT JOIN fx_nodes n ON n.id = v.node_id
+JOIN alert_rules r ON r.resource = v.resource AND r.enabled
+WHERE (r.node_group = 'all' OR r.node_group = n.group_name)
+  AND coalesce(CASE r.operator WHEN '>' THEN v.value > r.threshold WHEN '>=' THEN v.value >= r.threshold
+                WHEN '<' THEN v.value < r.threshold WHEN '<=' THEN v.value <= r.threshold ELSE FALSE END, FALSE)""",
+    "node_status_hourly", "fx_nodes", "alert_rules")

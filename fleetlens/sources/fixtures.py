@@ -118,11 +118,11 @@ class Fixtures:
         proc = F.struct(
             "pos", "pid", "cpu_ontime_ns", "uid", "comm", "read_bytes", "write_bytes",
             "net_rx_bytes", "net_tx_bytes", "avg_rss_bytes",
-            F.lit("").alias("process_name"), "gpu_used_memory_mib",
-            F.create_map().cast("map<string,string>").alias("metadata"),
-            F.lit("valid").alias("status"))
+            F.lit("").alias("process_name"), "gpu_used_memory_mib")
         procs = p.groupBy("report_id").agg(F.array_sort(F.collect_list(proc)).alias("_p"))
-        procs = procs.select("report_id", F.transform("_p", lambda x: x.dropFields("pos")).alias("processes"))
+        with_md = F.transform("_p", lambda x: x.dropFields("pos").withField(
+            "metadata", F.create_map().cast("map<string,string>")).withField("status", F.lit("valid")))
+        procs = procs.select("report_id", with_md.alias("processes"))
         gpu = F.struct(
             "gpu_index", F.lit(None).cast("string").alias("gpu_name"), "utilization_percent",
             "temperature_celsius", "power_watts", F.lit(None).cast("double").alias("power_limit_watts"),
