@@ -149,3 +149,14 @@ def field_pivot(long: DataFrame, row_keys: list[str], fields: list[str],
     """AGG-12: (row key, field, value) -> one column per listed field (last value wins).
     The field list is explicit, so no distinct-values job runs first."""
     return long.groupBy(*row_keys).pivot(field_col, fields).agg(F.last(value_col))
+
+
+def window_aggregate(proc_points: DataFrame, width: str = "5 minutes") -> DataFrame:
+    """UDF-2 aggregator: tumbling-window totals per (node, uid, comm). The same expression
+    runs on a stream with a watermark (``streaming.windowed_app_usage``)."""
+    g = proc_points.groupBy(F.window("ts", width).start.alias("window_start"), "node_id", "uid", "comm")
+    return g.agg(F.sum("cpu_ontime_ns").cast("bigint").alias("cpu_ontime_ns"),
+                 F.sum(F.col("read_bytes") + F.col("write_bytes")).cast("bigint").alias("disk_bytes"),
+                 F.sum(F.col("net_rx_bytes") + F.col("net_tx_bytes")).cast("bigint").alias("net_bytes"),
+                 F.max("avg_rss_bytes").cast("bigint").alias("max_rss_bytes"),
+                 F.sum("process_count").cast("bigint").alias("process_count"))

@@ -155,10 +155,10 @@ def prefix_merge(reports: DataFrame, prefixes: Sequence[str] | None) -> DataFram
 
     def merge(k):
         grp = F.filter(matched, lambda t: t["p"]["uid"].eqNullSafe(k["uid"]) & (t["pfx"] == k["pfx"]))
-        first = F.element_at(grp, 1)["p"]
-        cols = {}
-        for n in SUMMED_FIELDS:
-            cols[n] = F.aggregate(grp, F.lit(0).cast("bigint"), lambda acc, t, n=n: acc + F.coalesce(t["p"][n], F.lit(0)))
+        first = F.try_element_at(grp, F.lit(1))["p"]
+        def total(name):
+            return F.aggregate(grp, F.lit(0).cast("bigint"), lambda acc, t: acc + F.coalesce(t["p"][name], F.lit(0)))
+        cols = {n: total(n) for n in SUMMED_FIELDS}
         out = []
         for n, _ in PROCESS_FIELDS:
             if n == "pid":
@@ -323,3 +323,78 @@ def warn_if_validation_after_merge(stages: Sequence[str]) -> bool:
     return ("schema_validator" in s and "prefix_aggregation" in s
             and s.index("schema_validator") > s.index("prefix_aggregation"))
 
+
+
+# -------------------------------------------------------- in-row threshold check -----
+def rules_literal(rules: Sequence[tuple[str, float | None, float | None]]) -> Column:
+    """The agent's threshold rules (metric, max, min) as a literal array column."""
+    if not rules:
+        return F.array().cast("array<struct<metric_name:string,max_value:double,min_value:double>>")
+    return F.array(*[F.struct(F.lit(n).alias("metric_name"), F.lit(mx).cast("double").alias("max_value"),
+                              F.lit(mn).cast("double").alias("min_value")) for n, mx, mn in rules])
+
+
+def count_violations(reports: DataFrame, rules: Sequence[tuple[str, float | None, float | None]]) -> Column:
+    """STR-3 evaluated inside the report row: number of rules violated by the report's
+    metric map (strict comparisons; a missing or null metric violates nothing)."""
+    entries = metric_entries(reports)
+    rl = rules_literal(rules)
+
+    def violated(r):
+        hits = F.filter(entries, lambda e: (e["metric_name"] == r["metric_name"]) & e["metric_value"].isNotNull())
+        v = F.try_element_at(hits, F.lit(-1))["metric_value"]  # last entry wins, like a dict update
+        return F.coalesce((r["min_value"].isNotNull() & (v < r["min_value"]))
+                          | (r["max_value"].isNotNull() & (v > r["max_value"])), F.lit(False))
+
+    return F.size(F.filter(rl, violated))
+
+
+def run_collect(reports: DataFrame, stages: Sequence[str] | None = None, process_fields: Sequence[str] | None = None,
+                comm_prefixes: Sequence[str] | None = None, collect_agent_id: str = "collect_agent",
+                threshold_rules: Sequence[tuple[str, float | None, float | None]] = (),
+                received_timestamp: Column | None = None, sample_rate: float | None = None) -> DataFrame:
+    """STR-1 / STR-2: the configured stage order over nested reports (unknown names
+    skipped, empty -> default order). Every report is kept with its counters;
+    ``_reject_reason`` marks the dropped ones (filter it for the survivors)."""
+    r = _ensure_counters(reports).withColumn("_sm_invalid", F.lit(False))
+    alive = F.col("_reject_reason").isNull()
+    for st in resolve_stages(stages):
+        if st == "schema_validator":
+            r = annotate_validation(r)
+        elif st == "field_projection":
+            r = project_fields(r, process_fields)
+        elif st == "prefix_aggregation":
+            r = prefix_merge(r, comm_prefixes)
+        elif st == "metrics_enricher":
+            r = enrich(r, collect_agent_id, received_timestamp)
+        elif st == "threshold_checker":
+            r = r.withColumn("_alerts", F.col("_alerts") + F.when(alive, count_violations(r, threshold_rules)).otherwise(F.lit(0)))
+        elif st == "user_processor" and sample_rate is not None:
+            keep = hash_fraction(F.concat_ws("|", F.col("node_id"), F.col("timestamp").cast("string"))) < int(round(sample_rate * 10000))
+            r = r.withColumns({
+                "_filtered": F.col("_filtered") + F.when(alive & ~keep, F.size("processes")).otherwise(F.lit(0)),
+                "_reject_reason": F.when(alive & ~keep, F.lit("sampled_out")).otherwise(F.col("_reject_reason"))})
+    return r
+
+
+def accounting(annotated: DataFrame) -> DataFrame:
+    """AGG-26: pipeline result totals over all reports (one row)."""
+    return annotated.agg(
+        F.count(F.lit(1)).alias("reports_in"),
+        F.count_if(F.col("_reject_reason").isNull()).alias("reports_out"),
+        F.sum("_invalid").cast("bigint").alias("invalid_count"),
+        F.sum("_filtered").cast("bigint").alias("filtered_count"),
+        F.sum("_alerts").cast("bigint").alias("alerts_triggered"),
+        F.count_if(F.col("_sm_invalid")).alias("system_metrics_nulled"))
+
+
+def top_processes(reports: DataFrame, n: int = 5) -> DataFrame:
+    """TOP-1: the n processes with the most cpu time in each report (ties: earlier
+    position first), ranked inside the row: no shuffle."""
+    ranked = F.transform("processes", lambda p, i: F.struct(
+        F.negative(F.coalesce(p["cpu_ontime_ns"], F.lit(0))).alias("k"), i.alias("i"),
+        p["pid"].alias("pid"), p["comm"].alias("comm"), p["cpu_ontime_ns"].alias("cpu_ontime_ns")))
+    top = F.slice(F.array_sort(ranked), 1, n)
+    keys = [c for c in ("report_id", "node_id") if c in reports.columns]
+    x = reports.select(*keys, F.posexplode(top).alias("rank0", "t"))
+    return x.select(*keys, (F.col("rank0") + 1).alias("rank"), "t.pid", "t.comm", "t.cpu_ontime_ns")

@@ -14,7 +14,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators import alerts, fleet, rollup, stages, usage
-from .oracle import ALERT_RULES, APP_UIDS, THRESHOLD_RULES, RANGE_END, RANGE_START, RESOURCE_SQL, TS_UID, sql, usage_timeseries_sql
+from ..sources import ingest
+from .oracle import (ALERT_RULES, APP_UIDS, COLLECT_PREFIXES, PROJECTED_FIELDS, SAMPLE_RATE, SYSTEM_PREFIXES,
+                     THRESHOLD_RULES)
+from .oracle import RANGE_END, RANGE_START, RESOURCE_SQL, TS_UID, sql, usage_timeseries_sql
 from .tables import Telemetry
 
 Builder = Callable[[SparkSession, str], DataFrame]
@@ -477,3 +480,179 @@ def q_unread_notifications(t: Telemetry) -> DataFrame:
 def q_audit_recent(t: Telemetry) -> DataFrame:
     """TOP-5: newest 100 audit rows."""
     return alerts.audit_recent(t.fx.audit_logs, 100)
+
+
+# ---------------------------------------------------------------- collect stages -------
+
+def _collect(t: Telemetry) -> DataFrame:
+    return stages.run_collect(t.fx.reports, None, None, COLLECT_PREFIXES, "collect_agent_1", THRESHOLD_RULES,
+                              F.col("timestamp"))
+
+
+@query("valid_reports", sql("""
+SELECT r.report_id, r.node_id, r."timestamp", CAST(c.n AS INTEGER) AS n_processes, r.sm_ok AS has_system_metrics
+FROM v_reports r JOIN (SELECT report_id, COUNT(*) AS n FROM v_procs GROUP BY report_id) c ON c.report_id = r.report_id""",
+    "v_reports", "v_procs"))
+def q_valid_reports(t: Telemetry) -> DataFrame:
+    """VAL-1 / VAL-4: reports that survive validation (nested path)."""
+    v = stages.validate(t.fx.reports)
+    return v.select("report_id", "node_id", "timestamp", F.size("processes").alias("n_processes"),
+                    F.col("system_metrics").isNotNull().alias("has_system_metrics"))
+
+
+@query("valid_system_metrics", sql("SELECT report_id, sm_valid AS system_metrics_valid FROM sm_all WHERE has_system_metrics", "sm_all"))
+def q_valid_system_metrics(t: Telemetry) -> DataFrame:
+    """VAL-2: whether each report's system metrics pass the range checks."""
+    a = stages.annotate_validation(t.fx.reports.filter(F.col("system_metrics").isNotNull()))
+    return a.select("report_id", F.col("system_metrics").isNotNull().alias("system_metrics_valid"))
+
+
+@query("valid_processes", sql("SELECT report_id, pos, pid, cpu_ontime_ns, uid, comm FROM v_procs", "v_procs"))
+def q_valid_processes(t: Telemetry) -> DataFrame:
+    """VAL-3: processes passing pid / cpu / comm checks (flat path)."""
+    return t.valid_processes.select("report_id", "pos", "pid", "cpu_ontime_ns", "uid", "comm")
+
+
+@query("rejects", sql("""
+SELECT h.report_id, h.node_id, 'no_valid_processes' AS _reject_reason, CAST(coalesce(c.n, 0) AS BIGINT) AS invalid_processes
+FROM v_headers h LEFT JOIN proc_counts c ON c.report_id = h.report_id
+WHERE h.report_id NOT IN (SELECT report_id FROM v_procs)
+UNION ALL
+SELECT r.report_id, r.node_id, 'invalid_header', CAST(c.n AS BIGINT) FROM fx_reports r JOIN proc_counts c ON c.report_id = r.report_id
+WHERE NOT coalesce(r.node_id <> '' AND r."timestamp" IS NOT NULL, FALSE)""", "v_headers", "proc_counts", "v_procs", "fx_reports"))
+def q_rejects(t: Telemetry) -> DataFrame:
+    """STR-2: reports dropped by validation, with the reason and rejected process count."""
+    r = stages.rejects(stages.annotate_validation(t.fx.reports))
+    return r.select("report_id", "node_id", "_reject_reason", F.col("_invalid").alias("invalid_processes"))
+
+
+@query("field_projection", sql(f"""
+SELECT report_id, vpos AS pos, pid, cpu_ontime_ns, CAST(0 AS BIGINT) AS uid, comm, CAST(0 AS BIGINT) AS read_bytes,
+  CAST(0 AS BIGINT) AS write_bytes, CAST(0 AS BIGINT) AS net_rx_bytes, CAST(0 AS BIGINT) AS net_tx_bytes,
+  CAST(0 AS BIGINT) AS avg_rss_bytes, '' AS process_name, CAST(0 AS BIGINT) AS gpu_used_memory_mib,
+  '[''pid'', ''comm'', ''cpu_ontime_ns'']' AS exported_process_fields
+FROM v_procs_pos""", "v_procs_pos"))
+def q_field_projection(t: Telemetry) -> DataFrame:
+    """PRJ-1: allow-listed process fields kept, others zeroed; unknown names ignored."""
+    p = stages.project_fields(stages.validate(t.fx.reports), PROJECTED_FIELDS)
+    x = p.select("report_id", F.col("metadata")["exported_process_fields"].alias("exported_process_fields"),
+                 F.posexplode("processes").alias("pos0", "p"))
+    return x.select("report_id", (F.col("pos0") + 1).cast("bigint").alias("pos"), *[F.col(f"p.{n}") for n in stages.PROCESS_FIELD_NAMES],
+                    "exported_process_fields")
+
+
+@query("prefix_aggregation", sql("SELECT * FROM prefix_merged", "prefix_merged"))
+def q_prefix_aggregation(t: Telemetry) -> DataFrame:
+    """AGG-2 / WIN-5 / SET-1: longest-prefix merge inside each report."""
+    m = stages.prefix_merge(stages.validate(t.fx.reports), COLLECT_PREFIXES)
+    x = m.select("report_id", F.posexplode("processes").alias("pos0", "p"))
+    return x.select("report_id", (F.col("pos0") + 1).alias("pos"), "p.pid", "p.uid", "p.comm", "p.process_name",
+                    *[F.col(f"p.{c}") for c in stages.SUMMED_FIELDS])
+
+
+@query("enrich_reports", sql("""
+SELECT report_id, node_id, 'collect_agent_1' AS collect_agent_id, "timestamp" AS received_timestamp,
+  'enriched' AS processing_stage, '1.0.0' AS collect_agent_version FROM v_reports""", "v_reports"))
+def q_enrich_reports(t: Telemetry) -> DataFrame:
+    """PRJ-3: agent id, receive time, stage and version stamped on each report."""
+    e = stages.enrich(stages.validate(t.fx.reports), "collect_agent_1", F.col("timestamp"))
+    return e.select("report_id", "node_id", "collect_agent_id", "received_timestamp",
+                    F.col("metadata")["processing_stage"].alias("processing_stage"),
+                    F.col("metadata")["collect_agent_version"].alias("collect_agent_version"))
+
+
+@query("top_processes", sql("""
+SELECT report_id, node_id, rank, pid, comm, cpu_ontime_ns FROM (
+  SELECT report_id, node_id, CAST(row_number() OVER (PARTITION BY report_id ORDER BY cpu_ontime_ns DESC, vpos) AS INTEGER) AS rank,
+    pid, comm, cpu_ontime_ns FROM v_procs_pos) x WHERE rank <= 5""", "v_procs_pos"))
+def q_top_processes(t: Telemetry) -> DataFrame:
+    """TOP-1: top 5 processes by cpu time per report."""
+    return stages.top_processes(stages.validate(t.fx.reports), 5)
+
+
+@query("collect_end_to_end", sql("SELECT * FROM collect_out", "collect_out"))
+def q_collect_end_to_end(t: Telemetry) -> DataFrame:
+    """STR-1: default stage order (validate, project, prefix-merge, enrich, threshold) on
+    nested reports; one summary row per surviving report."""
+    r = _collect(t).filter(F.col("_reject_reason").isNull())
+    cpu = F.aggregate("processes", F.lit(0).cast("bigint"), lambda a, p: a + F.coalesce(p["cpu_ontime_ns"], F.lit(0)))
+    return r.select("report_id", "node_id", "timestamp", F.size("processes").alias("n_processes"), cpu.alias("cpu_total_ns"),
+                    "collect_agent_id", F.col("metadata")["processing_stage"].alias("processing_stage"),
+                    F.col("_alerts").alias("n_alerts"))
+
+
+@query("collect_accounting", sql("""
+SELECT (SELECT COUNT(*) FROM fx_reports) AS reports_in, (SELECT COUNT(*) FROM v_reports) AS reports_out,
+  CAST((SELECT COUNT(*) FROM fx_processes) - (SELECT COUNT(*) FROM v_procs) AS BIGINT) AS invalid_count,
+  CAST(0 AS BIGINT) AS filtered_count, CAST((SELECT SUM(n_alerts) FROM collect_out) AS BIGINT) AS alerts_triggered,
+  (SELECT COUNT(*) FROM sm_all WHERE has_system_metrics AND NOT sm_valid) AS system_metrics_nulled""",
+    "fx_reports", "v_reports", "fx_processes", "v_procs", "collect_out", "sm_all"))
+def q_collect_accounting(t: Telemetry) -> DataFrame:
+    """AGG-26: filtered / invalid / alert totals over the whole run."""
+    return stages.accounting(_collect(t))
+
+
+@query("ingest_counters", sql("""
+SELECT node_id, COUNT(*) AS reports_received, CAST(SUM(n) AS BIGINT) AS processes_received FROM proc_counts GROUP BY node_id""",
+    "proc_counts"))
+def q_ingest_counters(t: Telemetry) -> DataFrame:
+    """AGG-27: reports and processes received per node stream."""
+    r = t.fx.reports
+    return r.groupBy("node_id").agg(F.count(F.lit(1)).alias("reports_received"),
+                                    F.sum(F.size("processes")).cast("bigint").alias("processes_received"))
+
+
+@query("decode_reports", sql("""
+SELECT report_id, node_id, "timestamp", CAST(n AS INTEGER) AS n_processes, cpu AS cpu_total_ns, has_system_metrics
+FROM proc_counts JOIN (SELECT report_id, "timestamp", has_system_metrics FROM fx_reports) r USING (report_id)""",
+    "proc_counts", "fx_reports"))
+def q_decode_reports(t: Telemetry) -> DataFrame:
+    """SRC-2: reports round-tripped through their JSON wire form and decoded with the
+    loose wire schema (numbers may arrive as text)."""
+    wire = ingest.encode_reports(t.fx.reports, extra=["report_id"])
+    d = ingest.decode_reports(wire, extra={"report_id": "bigint"})
+    cpu = F.aggregate("processes", F.lit(0).cast("bigint"), lambda a, p: a + F.coalesce(p["cpu_ontime_ns"], F.lit(0)))
+    return d.select("report_id", "node_id", "timestamp", F.size("processes").alias("n_processes"), cpu.alias("cpu_total_ns"),
+                    F.col("system_metrics").isNotNull().alias("has_system_metrics"))
+
+
+@query("publish_json", None)
+def q_publish_json(t: Telemetry) -> DataFrame:
+    """SNK-1: Kafka-shaped (key, value) rows; null system metrics omitted from the JSON."""
+    return ingest.encode_reports(stages.validate(t.fx.reports))
+
+
+@query("publish_projected", None)
+def q_publish_projected(t: Telemetry) -> DataFrame:
+    """PRJ-2: exported JSON holds only the projected process keys."""
+    p = stages.project_fields(stages.validate(t.fx.reports), PROJECTED_FIELDS)
+    return ingest.encode_reports(p, process_fields=PROJECTED_FIELDS)
+
+
+@query("sampler", sql(f"""
+SELECT report_id, node_id, "timestamp" FROM v_reports
+WHERE CAST(('0x' || substr(md5(node_id || '|' || CAST("timestamp" AS VARCHAR)), 1, 8)) AS BIGINT) % 10000 < {int(SAMPLE_RATE * 10000)}""",
+    "v_reports"))
+def q_sampler(t: Telemetry) -> DataFrame:
+    """UDF-1: deterministic md5-bucket sample of reports (rate 0.25)."""
+    return stages.sample(stages.validate(t.fx.reports), SAMPLE_RATE).select("report_id", "node_id", "timestamp")
+
+
+@query("system_process_filter", sql("""
+SELECT report_id, CAST(row_number() OVER (PARTITION BY report_id ORDER BY pos) AS BIGINT) AS pos, pid, comm FROM v_procs
+WHERE NOT (starts_with(comm, 'ECONOMY') OR starts_with(comm, 'PROMO'))""", "v_procs"))
+def q_system_process_filter(t: Telemetry) -> DataFrame:
+    """FLT-9: processes whose name starts with a listed prefix are dropped."""
+    f = stages.system_process_filter(stages.validate(t.fx.reports), SYSTEM_PREFIXES)
+    x = f.select("report_id", F.posexplode("processes").alias("pos0", "p"))
+    return x.select("report_id", (F.col("pos0") + 1).cast("bigint").alias("pos"), "p.pid", "p.comm")
+
+
+@query("window_aggregator", sql("""
+SELECT time_bucket(INTERVAL 5 MINUTE, ts) AS window_start, node_id, uid, comm, CAST(SUM(cpu_ontime_ns) AS BIGINT) AS cpu_ontime_ns,
+  CAST(SUM(read_bytes + write_bytes) AS BIGINT) AS disk_bytes, CAST(SUM(net_rx_bytes + net_tx_bytes) AS BIGINT) AS net_bytes,
+  CAST(MAX(avg_rss_bytes) AS BIGINT) AS max_rss_bytes, CAST(SUM(process_count) AS BIGINT) AS process_count
+FROM proc_points GROUP BY 1, 2, 3, 4""", "proc_points"))
+def q_window_aggregator(t: Telemetry) -> DataFrame:
+    """UDF-2: tumbling 5-minute aggregate per (node, uid, comm)."""
+    return rollup.window_aggregate(t.process_points, "5 minutes")

@@ -433,3 +433,51 @@ WHERE (r.node_group = 'all' OR r.node_group = n.group_name)
   AND coalesce(CASE r.operator WHEN '>' THEN v.value > r.threshold WHEN '>=' THEN v.value >= r.threshold
                 WHEN '<' THEN v.value < r.threshold WHEN '<=' THEN v.value <= r.threshold ELSE FALSE END, FALSE)""",
     "node_status_hourly", "fx_nodes", "alert_rules")
+
+# ---- collect-agent stages -----------------------------------------------------------
+COLLECT_PREFIXES = ["SMALL", "SMALL-1"]
+PROJECTED_FIELDS = ["pid", "comm", "cpu_ontime_ns", "bogus"]
+SYSTEM_PREFIXES = ["ECONOMY", "PROMO"]
+SAMPLE_RATE = 0.25
+
+cte("sm_all", """
+SELECT r.*, coalesce(r.has_system_metrics AND r.cpu_usage_percent BETWEEN 0 AND 100 AND r.memory_usage_percent BETWEEN 0 AND 100
+    AND r.memory_used_bytes >= 0 AND r.memory_total_bytes >= 0 AND coalesce(g.gpus_ok, TRUE), FALSE) AS sm_valid
+FROM fx_reports r
+LEFT JOIN (SELECT report_id, bool_and(coalesce(utilization_percent BETWEEN 0 AND 100 AND temperature_celsius BETWEEN -50 AND 200 AND power_watts >= 0, FALSE)) AS gpus_ok
+           FROM fx_gpus GROUP BY report_id) g ON g.report_id = r.report_id""", "fx_reports", "fx_gpus")
+
+cte("v_procs_pos", "SELECT *, row_number() OVER (PARTITION BY report_id ORDER BY pos) AS vpos FROM v_procs", "v_procs")
+
+cte("pfx_tagged", """
+SELECT *, CASE WHEN starts_with(comm, 'SMALL-1') THEN 'SMALL-1' WHEN starts_with(comm, 'SMALL') THEN 'SMALL' END AS pfx
+FROM v_procs_pos""", "v_procs_pos")
+
+_SUMS = ["cpu_ontime_ns", "read_bytes", "write_bytes", "net_rx_bytes", "net_tx_bytes", "avg_rss_bytes", "gpu_used_memory_mib"]
+cte("prefix_merged", f"""
+SELECT report_id, CAST(row_number() OVER (PARTITION BY report_id ORDER BY grp, ord) AS INTEGER) AS pos, pid, uid, comm, process_name,
+  {", ".join(_SUMS)}
+FROM (SELECT report_id, 0 AS grp, MIN(vpos) AS ord, CAST(0 AS BIGINT) AS pid, uid, pfx AS comm, '' AS process_name,
+        {", ".join(f"CAST(SUM({c}) AS BIGINT) AS {c}" for c in _SUMS)}
+      FROM pfx_tagged WHERE pfx IS NOT NULL GROUP BY report_id, uid, pfx
+      UNION ALL
+      SELECT report_id, 1, vpos, pid, uid, comm, '', {", ".join(_SUMS)} FROM pfx_tagged WHERE pfx IS NULL) u""", "pfx_tagged")
+
+# Violations per surviving report under THRESHOLD_RULES, with the merged process count.
+cte("collect_out", """
+SELECT r.report_id, r.node_id, r."timestamp", CAST(c.n AS INTEGER) AS n_processes, c.cpu AS cpu_total_ns,
+  'collect_agent_1' AS collect_agent_id, 'enriched' AS processing_stage,
+  CAST((CASE WHEN r.sm_ok AND r.cpu_usage_percent > 75 THEN 1 ELSE 0 END)
+     + (CASE WHEN r.sm_ok AND (r.memory_usage_percent < 5 OR r.memory_usage_percent > 95) THEN 1 ELSE 0 END)
+     + (CASE WHEN c.n < 2 THEN 1 ELSE 0 END)
+     + (CASE WHEN g.mt > 85 THEN 1 ELSE 0 END)
+     + (CASE WHEN g.mu > 99 THEN 1 ELSE 0 END) AS BIGINT) AS n_alerts
+FROM v_reports r
+JOIN (SELECT report_id, COUNT(*) AS n, CAST(SUM(cpu_ontime_ns) AS BIGINT) AS cpu FROM prefix_merged GROUP BY report_id) c ON c.report_id = r.report_id
+LEFT JOIN (SELECT report_id, MAX(temperature_celsius) AS mt, MAX(utilization_percent) AS mu FROM sm_gpus GROUP BY report_id) g
+  ON g.report_id = r.report_id""", "v_reports", "prefix_merged", "sm_gpus")
+
+cte("proc_counts", """
+SELECT r.report_id, r.node_id, COUNT(p.report_id) AS n, CAST(coalesce(SUM(p.cpu_ontime_ns), 0) AS BIGINT) AS cpu
+FROM fx_reports r LEFT JOIN fx_processes p ON p.report_id = r.report_id GROUP BY r.report_id, r.node_id""",
+    "fx_reports", "fx_processes")
