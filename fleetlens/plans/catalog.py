@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..operators import alerts, fleet, rollup, stages, usage
+from ..operators import alerts, fleet, host, rollup, stages, usage
 from ..sources import ingest
 from .oracle import (ALERT_RULES, APP_UIDS, COLLECT_PREFIXES, PROJECTED_FIELDS, SAMPLE_RATE, SYSTEM_PREFIXES,
                      THRESHOLD_RULES)
@@ -656,3 +656,128 @@ FROM proc_points GROUP BY 1, 2, 3, 4""", "proc_points"))
 def q_window_aggregator(t: Telemetry) -> DataFrame:
     """UDF-2: tumbling 5-minute aggregate per (node, uid, comm)."""
     return rollup.window_aggregate(t.process_points, "5 minutes")
+
+
+# ------------------------------------------------------------------- host samples ------
+
+@query("oncpu_from_switches", sql("SELECT * FROM oncpu", "oncpu"))
+def q_oncpu_from_switches(t: Telemetry) -> DataFrame:
+    """WIN-4 / HST-1: on-CPU time per pid from the context-switch trace (lag attribution)."""
+    return host.oncpu_from_switches(t.fx.switches, "lag")
+
+
+@query("process_lifecycle", sql("""
+SELECT node_id, pid, arg_min(CASE WHEN type = 'fork' THEN ppid END, CASE WHEN type = 'fork' THEN (ts, seq) END) AS ppid,
+  arg_max(CASE WHEN type = 'exec' THEN comm END, CASE WHEN type = 'exec' THEN (ts, seq) END) AS comm, bool_or(type = 'exit') AS exited
+FROM (SELECT node_id, ts, event_id AS seq, CASE event_type WHEN 'signup' THEN 'fork' WHEN 'purchase' THEN 'exec' WHEN 'error' THEN 'exit'
+        ELSE 'switch' END AS type, pid, user_id % 50 AS ppid, 'proc_' || CAST(user_id % 7 AS VARCHAR) AS comm FROM host_events) x
+GROUP BY 1, 2""", "host_events"))
+def q_process_lifecycle(t: Telemetry) -> DataFrame:
+    """HST-2: parent from the first fork, comm from the last exec, exited flag."""
+    return host.process_lifecycle(t.fx.sched_events)
+
+
+@query("disk_bytes", sql("SELECT * FROM disk_bytes", "disk_bytes"))
+def q_disk_bytes(t: Telemetry) -> DataFrame:
+    """HST-3: disk bytes per pid from syscall returns."""
+    return host.disk_bytes(t.fx.syscalls)
+
+
+@query("net_bytes", sql("SELECT * FROM net_bytes", "net_bytes"))
+def q_net_bytes(t: Telemetry) -> DataFrame:
+    """HST-4: network bytes per pid from syscall returns."""
+    return host.net_bytes(t.fx.syscalls)
+
+
+@query("avg_rss", sql("SELECT * FROM avg_rss", "avg_rss"))
+def q_avg_rss(t: Telemetry) -> DataFrame:
+    """HST-5: mean RSS per pid, all-zero pids dropped."""
+    return host.avg_rss(t.fx.rss_samples)
+
+
+@query("cpu_percent_from_counters", sql("""
+SELECT node_id, ts, seq, CASE WHEN pt IS NULL THEN 0.0 WHEN total - pt = 0 THEN 0.0
+  ELSE CAST(ROUND(CAST(100.0 * (1.0 - (idle2 - pi) / (total - pt)) AS DECIMAL(38,12)), 2) AS DOUBLE) END AS cpu_usage_percent
+FROM (SELECT node_id, ts, event_id AS seq, idle2, total, LAG(idle2) OVER w AS pi, LAG(total) OVER w AS pt
+      FROM (SELECT *, event_id * 37 + CAST(floor(value) AS BIGINT) + event_id * 3 AS idle2, event_id * 100 + 1000 AS total FROM host_events) c
+      WINDOW w AS (PARTITION BY node_id ORDER BY ts, event_id)) x""", "host_events"))
+def q_cpu_percent_from_counters(t: Telemetry) -> DataFrame:
+    """WIN-3 / HST-6: CPU% from cumulative idle / total counters."""
+    return host.cpu_percent_from_counters(t.fx.cpu_counters)
+
+
+@query("memory_percent", sql("""
+SELECT node_id, ts, event_id AS seq, total - available AS memory_used_bytes,
+  CASE WHEN total = 0 THEN 0.0 ELSE CAST(ROUND(CAST(100.0 * (total - available) / total AS DECIMAL(38,10)), 2) AS DOUBLE) END AS memory_usage_percent
+FROM (SELECT node_id, ts, event_id, (user_id % 7) * 1048576 AS total, CAST(floor(value) AS BIGINT) * 4096 AS available FROM host_events) x""",
+    "host_events"))
+def q_memory_percent(t: Telemetry) -> DataFrame:
+    """SCL-8 / HST-6: used memory and percent, total 0 -> 0."""
+    return host.memory_usage(t.fx.mem_counters)
+
+
+@query("gpu_csv_parse", sql("""
+SELECT report_id, CAST(trim(p[1]) AS INTEGER) AS gpu_index, trim(p[2]) AS gpu_name,
+  coalesce(TRY_CAST(trim(p[3]) AS DOUBLE), 0.0) AS utilization_percent, coalesce(TRY_CAST(trim(p[4]) AS DOUBLE), 0.0) AS temperature_celsius,
+  coalesce(TRY_CAST(trim(p[5]) AS DOUBLE), 0.0) AS power_watts, coalesce(TRY_CAST(trim(p[6]) AS DOUBLE), 0.0) AS power_limit_watts,
+  coalesce(TRY_CAST(TRY_CAST(trim(p[7]) AS DOUBLE) AS BIGINT), 0) AS memory_used_mib,
+  coalesce(TRY_CAST(TRY_CAST(trim(p[8]) AS DOUBLE) AS BIGINT), 0) AS memory_total_mib
+FROM (SELECT report_id, string_split(line, ',') AS p FROM (
+        SELECT report_id, concat_ws(', ', CAST(gpu_index AS VARCHAR), 'GPU-' || CAST(report_id % 4 AS VARCHAR),
+          CAST(CAST(utilization_percent AS BIGINT) AS VARCHAR), CAST(CAST(temperature_celsius AS BIGINT) AS VARCHAR),
+          CAST(CAST(power_watts AS BIGINT) AS VARCHAR), 'N/A', CAST(memory_used_mib AS VARCHAR), '24576') AS line FROM fx_gpus
+        UNION ALL SELECT event_id, props FROM events) l) x
+WHERE len(p) >= 8 AND TRY_CAST(trim(p[1]) AS INTEGER) IS NOT NULL""", "fx_gpus"))
+def q_gpu_csv_parse(t: Telemetry) -> DataFrame:
+    """SCL-19 / HST-7: GPU CSV text -> typed rows; short or bad lines dropped, N/A -> 0."""
+    return host.gpu_csv_parse(t.fx.gpu_csv_lines)
+
+
+@query("gpu_proc_csv_parse", sql("""
+SELECT l.node_id, l.line_no, TRY_CAST(p[h.pi + 1] AS BIGINT) AS pid, p[h.ni + 1] AS process_name,
+  TRY_CAST(TRY_CAST(trim(replace(replace(p[h.mi + 1], 'MiB', ''), 'Mib', '')) AS DOUBLE) AS BIGINT) AS used_memory_mib
+FROM (SELECT node_id, line_no, list_transform(string_split(line, ','), lambda x: trim(x)) AS p FROM gpu_proc_lines WHERE line_no > 0) l
+JOIN (SELECT node_id, CASE WHEN pi < 0 OR ni < 0 OR mi < 0 THEN 0 ELSE pi END AS pi, CASE WHEN pi < 0 OR ni < 0 OR mi < 0 THEN 1 ELSE ni END AS ni,
+        CASE WHEN pi < 0 OR ni < 0 OR mi < 0 THEN 2 ELSE mi END AS mi
+      FROM (SELECT node_id, coalesce(list_position(h, 'pid') - 1, -1) AS pi, coalesce(list_position(h, 'process_name') - 1, -1) AS ni,
+              coalesce(list_position(h, 'used_memory') - 1, list_position(h, 'used_gpu_memory [MiB]') - 1,
+                       list_position(h, 'used_gpu_memory') - 1, list_position(h, 'used_memory [MiB]') - 1, -1) AS mi
+            FROM (SELECT node_id, list_transform(string_split(line, ','), lambda x: trim(x)) AS h FROM gpu_proc_lines WHERE line_no = 0) a) b) h
+  ON h.node_id = l.node_id
+WHERE len(p) > greatest(h.pi, h.ni, h.mi) AND TRY_CAST(p[h.pi + 1] AS BIGINT) IS NOT NULL
+  AND TRY_CAST(TRY_CAST(trim(replace(replace(p[h.mi + 1], 'MiB', ''), 'Mib', '')) AS DOUBLE) AS BIGINT) IS NOT NULL""",
+    "gpu_proc_lines"))
+def q_gpu_proc_csv_parse(t: Telemetry) -> DataFrame:
+    """SCL-20 / HST-7: GPU compute-app CSV with header aliases and 'MiB' stripped."""
+    return host.gpu_proc_csv_parse(t.fx.gpu_proc_lines)
+
+
+@query("merge_process_samples", sql("""
+SELECT c.node_id, c.pid, CAST(coalesce(c.cpu_ontime_ns, 0) AS BIGINT) AS cpu_ontime_ns, CAST(coalesce(c.uid, -1) AS BIGINT) AS uid,
+  coalesce(c.comm, '') AS comm, CAST(coalesce(d.read_bytes, 0) AS BIGINT) AS read_bytes, CAST(coalesce(d.write_bytes, 0) AS BIGINT) AS write_bytes,
+  CAST(coalesce(n.net_rx_bytes, 0) AS BIGINT) AS net_rx_bytes, CAST(coalesce(n.net_tx_bytes, 0) AS BIGINT) AS net_tx_bytes,
+  CAST(coalesce(r.avg_rss_bytes, 0) AS BIGINT) AS avg_rss_bytes, CAST(coalesce(g.used_memory_mib, 0) AS BIGINT) AS gpu_used_memory_mib
+FROM oncpu c LEFT JOIN disk_bytes d ON d.node_id = c.node_id AND d.pid = c.pid LEFT JOIN net_bytes n ON n.node_id = c.node_id AND n.pid = c.pid
+LEFT JOIN avg_rss r ON r.node_id = c.node_id AND r.pid = c.pid
+LEFT JOIN (SELECT node_id, pid, arg_max(used_memory_mib, line_no) AS used_memory_mib FROM gpu_proc GROUP BY 1, 2) g
+  ON g.node_id = c.node_id AND g.pid = c.pid""", "oncpu", "disk_bytes", "net_bytes", "avg_rss", "gpu_proc"))
+def q_merge_process_samples(t: Telemetry) -> DataFrame:
+    """JON-9 / HST-8: per-pid merge of cpu, disk, net, RSS and GPU samples (cpu drives)."""
+    fx = t.fx
+    gpu = host.gpu_proc_csv_parse(fx.gpu_proc_lines)
+    gpu = gpu.groupBy("node_id", "pid").agg(F.max_by("used_memory_mib", "line_no").alias("used_memory_mib"))
+    return host.merge_process_samples(host.oncpu_from_switches(fx.switches), host.disk_bytes(fx.syscalls),
+                                      host.net_bytes(fx.syscalls), host.avg_rss(fx.rss_samples), gpu)
+
+
+@query("active_exited_union", sql("""
+SELECT node_id, pid, CAST(SUM(cpu_ontime_ns) AS BIGINT) AS cpu_ontime_ns, arg_min(uid, exited) AS uid, arg_min(comm, exited) AS comm,
+  bool_and(exited) AS exited
+FROM (SELECT node_id, pid, cpu_ontime_ns, uid, comm, FALSE AS exited FROM oncpu
+      UNION ALL
+      SELECT node_id, pid, SUM(CAST(floor(value * 1000) AS BIGINT)) * 1000, arg_max(user_id, (ts, event_id)), arg_max(event_type, (ts, event_id)), TRUE
+      FROM host_events WHERE event_type = 'error' GROUP BY node_id, pid) u
+GROUP BY 1, 2""", "oncpu", "host_events"))
+def q_active_exited_union(t: Telemetry) -> DataFrame:
+    """SET-2: active and exited per-pid rows merged; exited only if not active."""
+    return host.active_exited_union(host.oncpu_from_switches(t.fx.switches), t.fx.exited_processes)

@@ -481,3 +481,40 @@ cte("proc_counts", """
 SELECT r.report_id, r.node_id, COUNT(p.report_id) AS n, CAST(coalesce(SUM(p.cpu_ontime_ns), 0) AS BIGINT) AS cpu
 FROM fx_reports r LEFT JOIN fx_processes p ON p.report_id = r.report_id GROUP BY r.report_id, r.node_id""",
     "fx_reports", "fx_processes")
+
+# ---- host samples -------------------------------------------------------------------
+cte("switches", "SELECT node_id, cpu, ts, event_id AS seq, pid, user_id AS uid, event_type AS comm FROM host_events", "host_events")
+cte("oncpu", """
+SELECT s.node_id, s.pid, s.cpu_ontime_ns, i.uid, i.comm FROM (
+  SELECT node_id, prev_pid AS pid, CAST(SUM(d) AS BIGINT) AS cpu_ontime_ns FROM (
+    SELECT node_id, LAG(pid) OVER w AS prev_pid, (epoch_us(ts) - LAG(epoch_us(ts)) OVER w) * 1000 AS d
+    FROM switches WINDOW w AS (PARTITION BY node_id, cpu ORDER BY ts, seq)) x
+  WHERE d IS NOT NULL AND prev_pid <> 0 GROUP BY 1, 2) s
+LEFT JOIN (SELECT node_id, pid, arg_max(uid, (ts, seq)) AS uid, arg_max(comm, (ts, seq)) AS comm FROM switches GROUP BY 1, 2) i
+  ON i.node_id = s.node_id AND i.pid = s.pid""", "switches")
+cte("syscalls", """
+SELECT node_id, ts, pid, CASE event_type WHEN 'view' THEN 'read' WHEN 'click' THEN 'write' WHEN 'purchase' THEN 'recvfrom'
+  WHEN 'signup' THEN 'sendto' ELSE 'pwrite64' END AS name, ret FROM host_events""", "host_events")
+cte("disk_bytes", """
+SELECT * FROM (SELECT node_id, pid, CAST(SUM(CASE WHEN name IN ('read', 'pread64') THEN ret ELSE 0 END) AS BIGINT) AS read_bytes,
+  CAST(SUM(CASE WHEN name IN ('write', 'pwrite64') THEN ret ELSE 0 END) AS BIGINT) AS write_bytes
+FROM syscalls WHERE ret > 0 AND pid <> 0 GROUP BY 1, 2) x WHERE read_bytes > 0 OR write_bytes > 0""", "syscalls")
+cte("net_bytes", """
+SELECT * FROM (SELECT node_id, pid, CAST(SUM(CASE WHEN name IN ('recvfrom', 'recvmsg') THEN ret ELSE 0 END) AS BIGINT) AS net_rx_bytes,
+  CAST(SUM(CASE WHEN name IN ('sendto', 'sendmsg') THEN ret ELSE 0 END) AS BIGINT) AS net_tx_bytes
+FROM syscalls WHERE ret > 0 AND pid <> 0 GROUP BY 1, 2) x WHERE net_rx_bytes > 0 OR net_tx_bytes > 0""", "syscalls")
+cte("avg_rss", """
+SELECT node_id, pid, CAST(SUM(rss) // COUNT(rss) AS BIGINT) AS avg_rss_bytes FROM (
+  SELECT node_id, pid, CAST(floor(value) AS BIGINT) * 1024 AS rss FROM host_events) x
+GROUP BY 1, 2 HAVING SUM(rss) > 0""", "host_events")
+cte("gpu_proc_lines", """
+SELECT node_id, CAST(0 AS BIGINT) AS line_no, CASE WHEN CAST(substr(node_id, 6) AS INTEGER) = 5 THEN 'pid, name, memory'
+  WHEN CAST(substr(node_id, 6) AS INTEGER) % 2 = 0 THEN 'pid, process_name, used_gpu_memory [MiB]' ELSE 'pid, process_name, used_memory' END AS line
+FROM (SELECT DISTINCT node_id FROM host_events) n
+UNION ALL
+SELECT node_id, event_id + 1, CAST(pid AS VARCHAR) || ', ' || event_type || ', ' || CAST(CAST(floor(value) AS BIGINT) AS VARCHAR) || ' MiB' FROM host_events""",
+    "host_events")
+cte("gpu_proc", """
+SELECT node_id, line_no, TRY_CAST(trim(split_part(line, ',', 1)) AS BIGINT) AS pid, trim(split_part(line, ',', 2)) AS process_name,
+  TRY_CAST(TRY_CAST(trim(replace(replace(trim(split_part(line, ',', 3)), 'MiB', ''), 'Mib', '')) AS DOUBLE) AS BIGINT) AS used_memory_mib
+FROM gpu_proc_lines WHERE line_no > 0 AND len(string_split(line, ',')) > 2""", "gpu_proc_lines")

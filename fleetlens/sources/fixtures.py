@@ -235,3 +235,93 @@ class Fixtures:
             (F.col("event_id") % 50).alias("pid"),
             "ts", "event_type", "value", "user_id",
             (F.floor("value").cast("bigint") - 5).alias("ret"))
+
+    # The host tables below give each events row one meaning per collector; the mapping
+    # of event types to trace kinds is part of the fixture.
+    @cached_property
+    def switches(self) -> DataFrame:
+        """sched_switch trace: (node_id, cpu, ts, seq, pid, uid, comm)."""
+        h = self.host_events
+        return h.select("node_id", "cpu", "ts", F.col("event_id").alias("seq"), "pid",
+                        F.col("user_id").alias("uid"), F.col("event_type").alias("comm"))
+
+    @cached_property
+    def sched_events(self) -> DataFrame:
+        """fork / exec / exit trace: (node_id, ts, seq, type, pid, ppid, comm)."""
+        h = self.host_events
+        t = F.col("event_type")
+        typ = (F.when(t == "signup", F.lit("fork")).when(t == "purchase", F.lit("exec"))
+                .when(t == "error", F.lit("exit")).otherwise(F.lit("switch")))
+        return h.select("node_id", "ts", F.col("event_id").alias("seq"), typ.alias("type"), "pid",
+                        (F.col("user_id") % 50).alias("ppid"),
+                        F.concat(F.lit("proc_"), (F.col("user_id") % 7).cast("string")).alias("comm"))
+
+    @cached_property
+    def syscalls(self) -> DataFrame:
+        """syscall exits: (node_id, ts, pid, name, ret)."""
+        h = self.host_events
+        t = F.col("event_type")
+        name = (F.when(t == "view", F.lit("read")).when(t == "click", F.lit("write"))
+                 .when(t == "purchase", F.lit("recvfrom")).when(t == "signup", F.lit("sendto"))
+                 .otherwise(F.lit("pwrite64")))
+        return h.select("node_id", "ts", "pid", name.alias("name"), "ret")
+
+    @cached_property
+    def rss_samples(self) -> DataFrame:
+        h = self.host_events
+        return h.select("node_id", "ts", "pid", (F.floor("value").cast("bigint") * 1024).alias("rss"))
+
+    @cached_property
+    def cpu_counters(self) -> DataFrame:
+        h = self.host_events
+        e = F.col("event_id")
+        return h.select("node_id", "ts", e.alias("seq"), (e * 37 + F.floor("value").cast("bigint")).alias("idle"),
+                        (e * 3).alias("iowait"), (e * 100 + 1000).alias("total"))
+
+    @cached_property
+    def mem_counters(self) -> DataFrame:
+        h = self.host_events
+        return h.select("node_id", "ts", F.col("event_id").alias("seq"),
+                        ((F.col("user_id") % 7) * 1048576).alias("total"),
+                        (F.floor("value").cast("bigint") * 4096).alias("available"))
+
+    @cached_property
+    def gpu_csv_lines(self) -> DataFrame:
+        """GPU query CSV text: one line per fixture GPU, plus the events' JSON props as
+        lines that are not CSV (they must be dropped by the parser)."""
+        g = self.gpus_flat
+        line = F.concat_ws(", ", F.col("gpu_index").cast("string"),
+                           F.concat(F.lit("GPU-"), (F.col("report_id") % 4).cast("string")),
+                           F.col("utilization_percent").cast("bigint").cast("string"),
+                           F.col("temperature_celsius").cast("bigint").cast("string"),
+                           F.col("power_watts").cast("bigint").cast("string"), F.lit("N/A"),
+                           F.col("memory_used_mib").cast("string"), F.lit("24576"))
+        good = g.select("report_id", line.alias("line"))
+        junk = self._events.select(F.col("event_id").alias("report_id"), F.col("props").alias("line"))
+        return good.unionByName(junk)
+
+    @cached_property
+    def gpu_proc_lines(self) -> DataFrame:
+        """Per-node GPU compute-app CSV files: (node_id, line_no, line); line 0 is the header
+        (three header variants across nodes)."""
+        h = self.host_events
+        nodes = h.select("node_id").distinct()
+        n = F.substring("node_id", 6, 10).cast("int")
+        header = (F.when(n == 5, F.lit("pid, name, memory"))
+                   .when(n % 2 == 0, F.lit("pid, process_name, used_gpu_memory [MiB]"))
+                   .otherwise(F.lit("pid, process_name, used_memory")))
+        hdr = nodes.select("node_id", F.lit(0).cast("bigint").alias("line_no"), header.alias("line"))
+        body = h.select("node_id", (F.col("event_id") + 1).alias("line_no"),
+                        F.concat_ws(", ", F.col("pid").cast("string"), F.col("event_type"),
+                                    F.concat(F.floor("value").cast("bigint").cast("string"), F.lit(" MiB"))).alias("line"))
+        return hdr.unionByName(body)
+
+    @cached_property
+    def exited_processes(self) -> DataFrame:
+        """Per-pid totals of processes that exited inside the window (exit events)."""
+        e = self.host_events.filter(F.col("event_type") == "error")
+        return e.groupBy("node_id", "pid").agg(
+            (F.sum(F.floor(F.col("value") * 1000).cast("bigint")) * 1000).alias("cpu_ontime_ns"),
+            F.max_by(F.struct(F.col("user_id").alias("uid"), F.col("event_type").alias("comm")),
+                     F.struct("ts", "event_id")).alias("_i")
+        ).select("node_id", "pid", "cpu_ontime_ns", "_i.uid", "_i.comm")
