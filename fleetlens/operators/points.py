@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import map_uid, normalize_comm, tag_or
+from ..functions.scalars import map_uid, normalize_comm, round_half_up, tag_or
 
 POINT_SUMS = ["cpu_ontime_ns", "read_bytes", "write_bytes", "net_rx_bytes", "net_tx_bytes",
               "gpu_used_memory_mib", "avg_rss_bytes"]
@@ -121,6 +121,5 @@ CHART_FIELDS = [
 def chart_fields(hourly: DataFrame, fields: Sequence[str] | None = None) -> DataFrame:
     """PRJ-6 / SHP-3: chosen node-hourly fields converted for charts; nulls stay null."""
     chosen = [f for f in CHART_FIELDS if fields is None or f[0] in fields]
-    cols = [F.round(F.col(n).cast("decimal(38,6)") / F.lit(div), dec).cast("double").alias(n)
-            for n, div, dec in chosen]
+    cols = [round_half_up(F.col(n) / F.lit(float(div)), dec).alias(n) for n, div, dec in chosen]
     return hourly.select("bucket_time", "node_id", *cols)

@@ -13,10 +13,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..operators import alerts, fleet, host, rollup, stages, usage
+from ..functions import scalars
+from ..operators import alerts, charts, fleet, host, points, rollup, rules, stages, usage
 from ..sources import ingest
-from .oracle import (ALERT_RULES, APP_UIDS, COLLECT_PREFIXES, PROJECTED_FIELDS, SAMPLE_RATE, SYSTEM_PREFIXES,
-                     THRESHOLD_RULES)
+from .oracle import (ALERT_RULES, APP_UIDS, COLLECT_PREFIXES, COMM_CASE, PIPELINE_RULES, PROJECTED_FIELDS, SAMPLE_RATE,
+                     SYSTEM_PREFIXES, THRESHOLD_RULES, parse_float_sql)
 from .oracle import RANGE_END, RANGE_START, RESOURCE_SQL, TS_UID, sql, usage_timeseries_sql
 from .tables import Telemetry
 
@@ -781,3 +782,178 @@ GROUP BY 1, 2""", "oncpu", "host_events"))
 def q_active_exited_union(t: Telemetry) -> DataFrame:
     """SET-2: active and exited per-pid rows merged; exited only if not active."""
     return host.active_exited_union(host.oncpu_from_switches(t.fx.switches), t.fx.exited_processes)
+
+
+# ------------------------------------------------------------------ pipeline rules -----
+
+@query("rule_filter", sql("""
+SELECT * FROM proc_points WHERE NOT (coalesce(cpu_ontime_ns = 0, FALSE) OR coalesce(avg_rss_bytes < 2000000 OR avg_rss_bytes > 400000000, FALSE))""",
+    "proc_points"))
+def q_rule_filter(t: Telemetry) -> DataFrame:
+    """FLT-6: enabled filter rules drop matching process points."""
+    return rules.rule_filter(t.process_points, PIPELINE_RULES)
+
+
+@query("rule_derive", sql("""
+SELECT *, cpu_ontime_ns / 1000000000 AS cpu_seconds, ((read_bytes + write_bytes) + net_rx_bytes) / 1048576 AS io_mb FROM proc_points""",
+    "proc_points"))
+def q_rule_derive(t: Telemetry) -> DataFrame:
+    """FLT-7: enabled derive rules add computed columns."""
+    return rules.rule_derive(t.process_points, PIPELINE_RULES)
+
+
+@query("rule_aggregate", sql("""
+SELECT 'p5' AS rule_id, node_id, time_bucket(INTERVAL 1 HOUR, ts) AS window_start, CAST(MAX(avg_rss_bytes) AS DOUBLE) AS value
+FROM proc_points GROUP BY 2, 3
+UNION ALL
+SELECT 'p6', node_id, time_bucket(INTERVAL 1 HOUR, ts), AVG(cpu_ontime_ns) FROM proc_points GROUP BY 2, 3""", "proc_points"))
+def q_rule_aggregate(t: Telemetry) -> DataFrame:
+    """AGG-28: enabled aggregate rules per (node, hour)."""
+    return rules.rule_aggregate(t.process_points, PIPELINE_RULES, "1 hour")
+
+
+# ----------------------------------------------------------------- scalar helpers ------
+
+@query("safe_casts", sql("""
+SELECT report_id, kind, text,
+  coalesce(CASE WHEN regexp_full_match(trim(text), '[+-]?[0-9]+') THEN TRY_CAST(trim(text) AS BIGINT) END,
+           TRY_CAST(trunc(TRY_CAST(text AS DOUBLE)) AS BIGINT), 0) AS as_int,
+  coalesce(TRY_CAST(text AS DOUBLE), 0.0) AS as_float
+FROM (SELECT l_orderkey AS report_id, 'quantity' AS kind, CAST(l_quantity AS VARCHAR) AS text FROM lineitem
+      UNION ALL SELECT l_orderkey, 'linenumber', CAST(l_linenumber AS VARCHAR) FROM lineitem
+      UNION ALL SELECT l_orderkey, 'flag', l_returnflag FROM lineitem
+      UNION ALL SELECT l_orderkey, 'price', CAST(l_extendedprice AS VARCHAR) FROM lineitem) x"""))
+def q_safe_casts(t: Telemetry) -> DataFrame:
+    """SCL-1 / SCL-2: loose text -> int / float with defaults (D-19)."""
+    li = t.fx.table("lineitem")
+    k = F.col("l_orderkey").alias("report_id")
+    x = (li.select(k, F.lit("quantity").alias("kind"), F.col("l_quantity").cast("string").alias("text"))
+         .unionByName(li.select(k, F.lit("linenumber").alias("kind"), F.col("l_linenumber").cast("string").alias("text")))
+         .unionByName(li.select(k, F.lit("flag").alias("kind"), F.col("l_returnflag").alias("text")))
+         .unionByName(li.select(k, F.lit("price").alias("kind"), F.col("l_extendedprice").cast("string").alias("text"))))
+    return x.select("report_id", "kind", "text", scalars.safe_int("text", 0).alias("as_int"),
+                    scalars.safe_float("text", 0.0).alias("as_float"))
+
+
+@query("map_uid", sql("""
+SELECT report_id, pos, uid, CAST(CASE WHEN uid = 0 THEN 0 WHEN uid > 0 AND uid < 1000 THEN 1 ELSE uid END AS BIGINT) AS mapped_uid
+FROM fx_processes""", "fx_processes"))
+def q_map_uid(t: Telemetry) -> DataFrame:
+    """SCL-3: uid mapping (root 0, system users 1, others kept)."""
+    p = t.fx.processes_flat
+    return p.select("report_id", "pos", "uid", scalars.map_uid("uid").alias("mapped_uid"))
+
+
+@query("normalize_comm", sql(f"SELECT report_id, pos, comm, {COMM_CASE} AS normalized_comm FROM fx_processes", "fx_processes"))
+def q_normalize_comm(t: Telemetry) -> DataFrame:
+    """SCL-4: empty -> 'unknown', first listed prefix wins, else unchanged."""
+    p = t.fx.processes_flat
+    return p.select("report_id", "pos", "comm", scalars.normalize_comm("comm").alias("normalized_comm"))
+
+
+@query("longest_prefix", sql("""
+SELECT report_id, pos, comm,
+  CASE WHEN starts_with(comm, 'STANDARD') THEN 'STANDARD' WHEN starts_with(comm, 'SMALL-1') THEN 'SMALL-1'
+       WHEN starts_with(comm, 'SMALL') THEN 'SMALL' END AS longest_prefix,
+  CASE WHEN starts_with(comm, 'SMALL') THEN 'SMALL' WHEN starts_with(comm, 'SMALL-1') THEN 'SMALL-1'
+       WHEN starts_with(comm, 'STANDARD') THEN 'STANDARD' END AS first_prefix
+FROM fx_processes""", "fx_processes"))
+def q_longest_prefix(t: Telemetry) -> DataFrame:
+    """SCL-5: longest matching prefix (ties -> earlier) next to first-match."""
+    p = t.fx.processes_flat
+    pre = ["SMALL", "SMALL-1", "STANDARD"]
+    return p.select("report_id", "pos", "comm", scalars.longest_prefix("comm", pre).alias("longest_prefix"),
+                    scalars.first_prefix("comm", pre).alias("first_prefix"))
+
+
+@query("local_bucket", sql("""
+SELECT bucket_time, node_id, bucket_time + INTERVAL 7 HOUR AS local_bucket FROM node_status_hourly""", "node_status_hourly"))
+def q_local_bucket(t: Telemetry) -> DataFrame:
+    """SCL-9: bucket label in the site's zone (Asia/Ho_Chi_Minh)."""
+    h = t.node_status_hourly()
+    return h.select("bucket_time", "node_id", scalars.local_bucket("bucket_time").alias("local_bucket"))
+
+
+@query("chart_labels", sql(f"""
+SELECT t, strftime(t, '%H:%M') AS label, strftime(t, '%d/%m %H:00') AS label_week, strftime(t, '%d/%m') AS label_long,
+  strftime(t, '%m-%d %H:00') AS node_label
+FROM (SELECT date_trunc('hour', h.bucket_time) AS t FROM user_app_hourly h WHERE h.uid = {TS_UID}
+        AND h.bucket_time >= TIMESTAMP '{RANGE_START}' AND h.bucket_time <= TIMESTAMP '{RANGE_END}' GROUP BY 1) x""",
+    "user_app_hourly"))
+def q_chart_labels(t: Telemetry) -> DataFrame:
+    """SCL-10: axis labels chosen by the span (18 h here: HH:MM), with the other forms."""
+    ts = usage.usage_timeseries(t.user_app_hourly(), TS_UID, "cpu", RANGE_START, RANGE_END)
+    return charts.chart_labels(ts, RANGE_START, RANGE_END)
+
+
+@query("node_chart_fields", sql("""
+SELECT bucket_time, node_id, """ + ", ".join(
+    f"CAST(ROUND(CAST({n} / {float(d)} AS DECIMAL(38,12)), {k}) AS DOUBLE) AS {n}" for n, d, k in points.CHART_FIELDS)
+    + " FROM node_status_hourly", "node_status_hourly"))
+def q_node_chart_fields(t: Telemetry) -> DataFrame:
+    """PRJ-6 / SHP-3: node chart values (bytes -> MB, 2 decimals; others 1 decimal)."""
+    return points.chart_fields(t.node_status_hourly())
+
+
+@query("cluster_health", sql("""
+SELECT COUNT(*) AS total, count_if(status = 'active') AS active,
+  CASE WHEN COUNT(*) = 0 THEN 'Critical' WHEN count_if(status = 'active') / COUNT(*) >= 0.9 THEN 'Healthy'
+       WHEN count_if(status = 'active') / COUNT(*) >= 0.6 THEN 'Degraded' ELSE 'Critical' END AS health
+FROM node_overview""", "node_overview"))
+def q_cluster_health(t: Telemetry) -> DataFrame:
+    """SCL-12: health label from the share of active nodes."""
+    return fleet.status_counts(q_node_overview(t)).select("total", "active", "health")
+
+
+@query("field_pivot", sql("SELECT report_id, ts, node_id, cpu_usage_percent, memory_usage_percent FROM node_points", "node_points"))
+def q_field_pivot(t: Telemetry) -> DataFrame:
+    """AGG-12: long (row key, field, value) points pivoted back to one column per field."""
+    n = t.node_points
+    long = n.select("report_id", "ts", "node_id", "cpu_usage_percent", "memory_usage_percent").unpivot(
+        ["report_id", "ts", "node_id"], ["cpu_usage_percent", "memory_usage_percent"], "_field", "_value")
+    return rollup.field_pivot(long, ["report_id", "ts", "node_id"], ["cpu_usage_percent", "memory_usage_percent"])
+
+
+@query("series_dedup", sql("""
+SELECT ts, node_id, collect_agent_id, collect_agent_version, collection_window_seconds, received_timestamp, cpu_usage_percent,
+  memory_usage_percent, memory_used_bytes, memory_total_bytes
+FROM (SELECT *, row_number() OVER (PARTITION BY node_id, collect_agent_id, collect_agent_version, ts ORDER BY report_id DESC) AS rn
+      FROM node_points) x WHERE rn = 1""", "node_points"))
+def q_series_dedup(t: Telemetry) -> DataFrame:
+    """SNK-3: same series and second -> the later write (higher ingest order) wins."""
+    d = points.series_dedup(t.node_points, ["node_id", "collect_agent_id", "collect_agent_version"], "ts", "report_id")
+    return d.drop("report_id")
+
+
+@query("insert_if_absent", sql("""
+SELECT * FROM user_app_hourly_sum WHERE bucket_time < TIMESTAMP '2024-01-01 12:00:00'
+UNION ALL
+SELECT n.* FROM user_app_hourly n WHERE NOT EXISTS (
+  SELECT 1 FROM user_app_hourly_sum e WHERE e.bucket_time < TIMESTAMP '2024-01-01 12:00:00' AND e.bucket_time = n.bucket_time
+    AND e.node_id = n.node_id AND e.uid = n.uid AND e.comm = n.comm)""", "user_app_hourly_sum", "user_app_hourly"))
+def q_insert_if_absent(t: Telemetry) -> DataFrame:
+    """SNK-4: a rerun over a table that already holds the morning (written earlier in sum
+    mode) only adds the missing keys: first write wins."""
+    existing = t.user_app_hourly("sum").filter(F.col("bucket_time") < F.lit("2024-01-01 12:00:00").cast("timestamp"))
+    keys = ["bucket_time", "node_id", "uid", "comm"]
+    return existing.unionByName(rollup.insert_if_absent(t.user_app_hourly("spread"), existing, keys))
+
+
+@query("upsert_settings", sql(f"""
+SELECT node_id, CAST({parse_float_sql('heartbeat_interval')} AS INTEGER) AS interval_seconds,
+  CAST({parse_float_sql('"window"')} AS INTEGER) AS window_seconds, target_collect_agent AS collect_agent
+FROM live_config WHERE {parse_float_sql('"window"')} IS NOT NULL
+UNION ALL
+SELECT s.node_id, CAST(s.interval_seconds AS INTEGER), CAST(s.window_seconds AS INTEGER), s.collect_agent FROM fx_collection_settings s
+WHERE s.node_id NOT IN (SELECT node_id FROM live_config WHERE {parse_float_sql('"window"')} IS NOT NULL)""",
+    "live_config", "fx_collection_settings"))
+def q_upsert_settings(t: Telemetry) -> DataFrame:
+    """SNK-5: settings synced from the live config (key match -> all columns replaced)."""
+    live = _live_config(t)
+    upd = live.filter(fleet.parse_float(F.col("window")).isNotNull()).select(
+        "node_id", fleet.parse_float(F.col("heartbeat_interval")).cast("int").alias("interval_seconds"),
+        fleet.parse_float(F.col("window")).cast("int").alias("window_seconds"),
+        F.col("target_collect_agent").alias("collect_agent"))
+    cur = t.fx.collection_settings.select("node_id", F.col("interval_seconds").cast("int"),
+                                          F.col("window_seconds").cast("int"), "collect_agent")
+    return rollup.upsert(upd, cur, ["node_id"])
