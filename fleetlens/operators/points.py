@@ -23,6 +23,11 @@ def point_time(reports: DataFrame) -> Column:
     return F.timestamp_seconds(F.col("timestamp"))
 
 
+def _report_key(reports: DataFrame) -> list[str]:
+    """Ingest-order key carried on points (series overwrite and latest-sample ties)."""
+    return ["report_id"] if "report_id" in reports.columns else []
+
+
 def _z(c: Column, t: str) -> Column:
     return F.coalesce(c.cast(t), F.lit(0).cast(t))
 
@@ -34,6 +39,7 @@ def node_points(reports: DataFrame) -> DataFrame:
     return reports.select(
         point_time(reports).alias("ts"),
         F.coalesce("node_id", F.lit("unknown_node")).alias("node_id"),
+        *_report_key(reports),
         tag_or(F.col("collect_agent_id"), "unknown").alias("collect_agent_id"),
         tag_or(md["collect_agent_version"], "unknown").alias("collect_agent_version"),
         _z(F.col("collection_window_seconds"), "double").alias("collection_window_seconds"),
@@ -49,9 +55,10 @@ def gpu_points(reports: DataFrame) -> DataFrame:
     """PRJ-5: one point per GPU (inner explode: no GPUs -> no rows)."""
     g = reports.select(point_time(reports).alias("ts"),
                        F.coalesce("node_id", F.lit("unknown_node")).alias("node_id"),
+                       *_report_key(reports),
                        F.explode(F.col("system_metrics")["gpus"]).alias("g"))
     return g.select(
-        "ts", "node_id",
+        "ts", "node_id", *_report_key(reports),
         F.coalesce(F.col("g.gpu_index").cast("string"), F.lit("0")).alias("gpu_index"),
         tag_or(F.col("g.gpu_name"), "unknown").alias("gpu_name"),
         *[_z(F.col(f"g.{n}"), "double").alias(n) for n in

@@ -26,16 +26,28 @@ def hour(ts: str | Column = "ts") -> Column:
     return F.date_trunc("hour", F.col(ts) if isinstance(ts, str) else ts)
 
 
-def app_aggregates(proc_points: DataFrame) -> DataFrame:
-    """Per (hour, node, uid, comm): spreads, sums and maxima of the process counters."""
-    g = proc_points.groupBy(hour().alias("bucket_time"), "node_id", "uid", "comm")
+def _bucketed(df: DataFrame) -> DataFrame:
+    """A streaming ``window`` struct key becomes its start time after the aggregate."""
+    from pyspark.sql import types as T
+    if isinstance(df.schema["bucket_time"].dataType, T.StructType):
+        return df.withColumn("bucket_time", F.col("bucket_time.start"))
+    return df
+
+
+def app_aggregates(proc_points: DataFrame, bucket: Column | None = None) -> DataFrame:
+    """Per (hour, node, uid, comm): spreads, sums and maxima of the process counters.
+
+    ``bucket`` defaults to ``date_trunc('hour', ts)``; streams pass
+    ``window('ts', '1 hour')`` so the watermark can close buckets (append mode)."""
+    b = (hour() if bucket is None else bucket).alias("bucket_time")
+    g = proc_points.groupBy(b, "node_id", "uid", "comm")
     aggs = [spread("cpu_ontime_ns").alias("cpu_spread"), F.sum("cpu_ontime_ns").alias("cpu_sum")]
     for f in IO_FIELDS:
         aggs += [spread(f).alias(f + "_spread"), F.sum(f).alias(f + "_sum")]
     aggs += [F.max("avg_rss_bytes").alias("max_rss"), F.sum("avg_rss_bytes").alias("rss_sum"),
              F.count("avg_rss_bytes").alias("rss_n"), F.max("process_count").alias("max_procs"),
              F.max("gpu_used_memory_mib").alias("max_gpu_mib")]
-    return g.agg(*aggs)
+    return _bucketed(g.agg(*aggs))
 
 
 def process_spread(proc_points: DataFrame) -> DataFrame:
@@ -45,14 +57,14 @@ def process_spread(proc_points: DataFrame) -> DataFrame:
                     *[F.col(f + "_spread").alias(f) for f in IO_FIELDS])
 
 
-def user_app_hourly(proc_points: DataFrame, mode: str = "spread") -> DataFrame:
+def user_app_hourly(proc_points: DataFrame, mode: str = "spread", bucket: Column | None = None) -> DataFrame:
     """AGG-9/10/11 + JON-12 in one aggregate.
 
     spread mode: cpu seconds = spread / 1e9; apps whose cpu spread is <= 0 keep zero cpu
     and zero IO (D-5: they come back through the RSS side); avg_rss = max_rss (D-6).
     sum mode: true totals and a true mean RSS (floor of sum / count).
     """
-    a = app_aggregates(proc_points)
+    a = app_aggregates(proc_points, bucket)
     if mode == "spread":
         pos = F.col("cpu_spread") > 0
         cpu = F.when(pos, F.col("cpu_spread") / F.lit(1e9)).otherwise(F.lit(0.0))
@@ -99,13 +111,14 @@ def gpu_hourly(gpu_points: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("gpu_count"))
 
 
-def node_hourly_core(node_points: DataFrame) -> DataFrame:
+def node_hourly_core(node_points: DataFrame, bucket: Column | None = None) -> DataFrame:
     """AGG-4/5: hourly mean and max of the node point fields."""
-    return node_points.groupBy(hour().alias("bucket_time"), "node_id").agg(
+    b = (hour() if bucket is None else bucket).alias("bucket_time")
+    return _bucketed(node_points.groupBy(b, "node_id").agg(
         F.avg("cpu_usage_percent").alias("avg_cpu_usage_percent"),
         F.max("cpu_usage_percent").alias("max_cpu_usage_percent"),
         F.avg("memory_usage_percent").alias("avg_mem_usage_percent"),
-        F.max("memory_used_bytes").alias("max_mem_used_bytes"))
+        F.max("memory_used_bytes").alias("max_mem_used_bytes")))
 
 
 def node_status_hourly(node_points: DataFrame, gpu_points: DataFrame, proc_points: DataFrame,
