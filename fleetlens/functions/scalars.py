@@ -34,9 +34,12 @@ def safe_float(x, default: float | None = 0.0) -> Column:
     return v if default is None else F.coalesce(v, F.lit(float(default)))
 
 
-def map_uid(uid) -> Column:
-    """0 -> 0 (root), 1..999 -> 1 (system users), others unchanged, unparsable -> -1."""
-    u = safe_int(uid, -1)
+def map_uid(uid, loose: bool = False) -> Column:
+    """0 -> 0 (root), 1..999 -> 1 (system users), others unchanged, missing -> -1.
+
+    ``loose=True`` also parses text uids (unparsable -> -1); typed integer columns skip
+    the text round trip."""
+    u = safe_int(uid, -1) if loose else F.coalesce(_c(uid).cast("bigint"), F.lit(-1).cast("bigint"))
     return F.when(u == 0, F.lit(0).cast("bigint")).when((u > 0) & (u < 1000), F.lit(1).cast("bigint")).otherwise(u)
 
 

@@ -1,18 +1,27 @@
-"""Join helpers: size-checked broadcast and skew-aware equi joins."""
+"""Join helpers: size-checked broadcast."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Dimension sides at or below this many rows are broadcast. The check runs a bounded
-# ``limit(n + 1).count()`` on the side, so it never scans more than n + 1 rows of output.
-DEFAULT_BROADCAST_ROWS = 200_000
+# A side is broadcast only when Catalyst's size estimate for it is at most this many bytes.
+DEFAULT_BROADCAST_BYTES = 64 * 1024 * 1024
 
 
-def checked_broadcast(side: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
-    """Broadcast ``side`` only when it provably has at most ``max_rows`` rows; otherwise
-    return it unchanged so the planner uses a shuffle join (AQE may still convert it at
-    runtime from measured sizes)."""
-    n = side.limit(max_rows + 1).count()
-    return F.broadcast(side) if n <= max_rows else side
+def estimated_bytes(df: DataFrame) -> int | None:
+    """Catalyst's plan-time size estimate (no job runs). For scans it is derived from the
+    file sizes and only shrinks through projections, so below a filter or aggregate it
+    is an upper bound of the real size."""
+    try:
+        return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    except Exception:  # noqa: BLE001 - estimates are best effort (e.g. Spark Connect)
+        return None
+
+
+def checked_broadcast(side: DataFrame, max_bytes: int = DEFAULT_BROADCAST_BYTES) -> DataFrame:
+    """Broadcast ``side`` only when its estimated size is proven to be at most
+    ``max_bytes``; otherwise return it unchanged, so the planner uses a shuffle join and
+    AQE can still switch to a broadcast from sizes measured at runtime."""
+    n = estimated_bytes(side)
+    return F.broadcast(side) if n is not None and n <= max_bytes else side

@@ -86,7 +86,8 @@ def process_points(procs: DataFrame, report_key: Sequence[str] = ("report_id",))
     g = procs.groupBy(*keys, map_uid(F.col("uid")).alias("uid"), normalize_comm(F.col("comm")).alias("comm"))
     pts = g.agg(*[F.sum(F.coalesce(F.col(n), F.lit(0))).cast("bigint").alias(n) for n in POINT_SUMS],
                 F.count(F.lit(1)).alias("process_count"))
-    return pts.select("ts", "node_id", "uid", "comm", *POINT_SUMS, "process_count")
+    keep = [k for k in report_key if k not in ("node_id", "ts")]
+    return pts.select("ts", "node_id", *keep, "uid", "comm", *POINT_SUMS, "process_count")
 
 
 def series_dedup(points: DataFrame, tags: Sequence[str], ts: str = "ts", order_by: str | None = None) -> DataFrame:

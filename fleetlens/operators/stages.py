@@ -308,10 +308,23 @@ STAGE_ALIASES = {
 }
 
 
+# UDF-3: user stages, ``name -> (DataFrame -> DataFrame)``, addressable in the stage list.
+CUSTOM_STAGES: dict[str, Callable[[DataFrame], DataFrame]] = {}
+
+
+def register_stage(name: str, fn: Callable[[DataFrame], DataFrame]) -> None:
+    """Register a custom stage (a DataFrame function over report rows). It must keep the
+    report columns and may update the counters (``_filtered``, ``_invalid``) and
+    ``_reject_reason``."""
+    CUSTOM_STAGES[name.strip().lower().replace("-", "_")] = fn
+
+
 def normalize_stage_name(raw) -> str | None:
     if raw is None or not str(raw).strip():
         return None
     key = str(raw).strip().lower().replace("-", "_")
+    if key in CUSTOM_STAGES:
+        return key
     return STAGE_ALIASES.get(key) or STAGE_ALIASES.get(key.replace("_", ""))
 
 
@@ -374,6 +387,8 @@ def run_collect(reports: DataFrame, stages: Sequence[str] | None = None, process
             r = enrich(r, collect_agent_id, received_timestamp)
         elif st == "threshold_checker":
             r = r.withColumn("_alerts", F.col("_alerts") + F.when(alive, count_violations(r, threshold_rules)).otherwise(F.lit(0)))
+        elif st in CUSTOM_STAGES:
+            r = _ensure_counters(CUSTOM_STAGES[st](r))
         elif st == "user_processor" and sample_rate is not None:
             keep = hash_fraction(F.concat_ws("|", F.col("node_id"), F.col("timestamp").cast("string"))) < int(round(sample_rate * 10000))
             r = r.withColumns({
@@ -399,7 +414,7 @@ def top_processes(reports: DataFrame, n: int = 5) -> DataFrame:
     ranked = F.transform("processes", lambda p, i: F.struct(
         F.negative(F.coalesce(p["cpu_ontime_ns"], F.lit(0))).alias("k"), i.alias("i"),
         p["pid"].alias("pid"), p["comm"].alias("comm"), p["cpu_ontime_ns"].alias("cpu_ontime_ns")))
-    top = F.slice(F.array_sort(ranked), 1, n)
+    top = F.slice(F.sort_array(ranked), 1, n)
     keys = [c for c in ("report_id", "node_id") if c in reports.columns]
     x = reports.select(*keys, F.posexplode(top).alias("rank0", "t"))
     return x.select(*keys, (F.col("rank0") + 1).alias("rank"), "t.pid", "t.comm", "t.cpu_ontime_ns")

@@ -91,7 +91,7 @@ SELECT p.*, h.node_id, date_trunc('second', h.event_time) AS ts FROM fx_processe
 WHERE p.pid > 0 AND p.cpu_ontime_ns >= 0 AND length(p.comm) > 0""", "fx_processes", "v_headers")
 
 cte("proc_points", f"""
-SELECT ts, node_id, uid, comm, CAST(SUM(cpu_ontime_ns) AS BIGINT) AS cpu_ontime_ns, CAST(SUM(read_bytes) AS BIGINT) AS read_bytes,
+SELECT ts, node_id, report_id, uid, comm, CAST(SUM(cpu_ontime_ns) AS BIGINT) AS cpu_ontime_ns, CAST(SUM(read_bytes) AS BIGINT) AS read_bytes,
   CAST(SUM(write_bytes) AS BIGINT) AS write_bytes, CAST(SUM(net_rx_bytes) AS BIGINT) AS net_rx_bytes,
   CAST(SUM(net_tx_bytes) AS BIGINT) AS net_tx_bytes, CAST(SUM(gpu_used_memory_mib) AS BIGINT) AS gpu_used_memory_mib,
   CAST(SUM(avg_rss_bytes) AS BIGINT) AS avg_rss_bytes, COUNT(*) AS process_count

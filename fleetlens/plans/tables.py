@@ -51,7 +51,9 @@ class Telemetry:
                   & (F.col("temperature_celsius").between(-50, 200))
                   & (F.col("power_watts") >= 0))
         gflag = g.groupBy("report_id").agg(F.bool_and(F.coalesce(gpu_ok, F.lit(False))).alias("gpus_ok"))
-        r = self.headers.join(self.valid_processes.select("report_id"), "report_id", "left_semi")
+        # VAL-4: a report survives when it produced at least one process point; reading
+        # the ids from the process points lets this branch share their plan subtree.
+        r = self.headers.join(self.process_points.select("report_id"), "report_id", "left_semi")
         r = r.join(gflag, "report_id", "left")
         sm_ok = (F.col("has_system_metrics")
                  & F.col("cpu_usage_percent").between(0, 100)

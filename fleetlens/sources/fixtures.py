@@ -28,6 +28,15 @@ def node_name(x: Column) -> Column:
     return F.concat(F.lit("node_"), x.cast("string"))
 
 
+_READS: dict[tuple[int, str], DataFrame] = {}
+
+PROCESS_ARRAY = ("array<struct<pid:bigint,cpu_ontime_ns:bigint,uid:bigint,comm:string,read_bytes:bigint,"
+                 "write_bytes:bigint,net_rx_bytes:bigint,net_tx_bytes:bigint,avg_rss_bytes:bigint,"
+                 "process_name:string,gpu_used_memory_mib:bigint,metadata:map<string,string>,status:string>>")
+GPU_ARRAY = ("array<struct<gpu_index:int,gpu_name:string,utilization_percent:double,temperature_celsius:double,"
+             "power_watts:double,power_limit_watts:double,memory_used_mib:bigint,memory_total_mib:bigint>>")
+
+
 class Fixtures:
     """Lazily built telemetry views over one scale-factor directory."""
 
@@ -36,7 +45,14 @@ class Fixtures:
         self.sf_dir = sf_dir.rstrip("/")
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        """Parquet table; the DataFrame (file listing and footer schema) is reused per
+        session, so building many queries does not re-list the same files."""
+        path = f"{self.sf_dir}/{name}.parquet"
+        key = (id(self.spark._jsparkSession), path)
+        df = _READS.get(key)
+        if df is None:
+            df = _READS[key] = self.spark.read.parquet(path)
+        return df
 
     # ---------------------------------------------------------------- reports ----------
     @cached_property
@@ -119,7 +135,7 @@ class Fixtures:
             "pos", "pid", "cpu_ontime_ns", "uid", "comm", "read_bytes", "write_bytes",
             "net_rx_bytes", "net_tx_bytes", "avg_rss_bytes",
             F.lit("").alias("process_name"), "gpu_used_memory_mib")
-        procs = p.groupBy("report_id").agg(F.array_sort(F.collect_list(proc)).alias("_p"))
+        procs = p.groupBy("report_id").agg(F.sort_array(F.collect_list(proc)).alias("_p"))
         with_md = F.transform("_p", lambda x: x.dropFields("pos").withField(
             "metadata", F.create_map().cast("map<string,string>")).withField("status", F.lit("valid")))
         procs = procs.select("report_id", with_md.alias("processes"))
@@ -127,14 +143,14 @@ class Fixtures:
             "gpu_index", F.lit(None).cast("string").alias("gpu_name"), "utilization_percent",
             "temperature_celsius", "power_watts", F.lit(None).cast("double").alias("power_limit_watts"),
             "memory_used_mib", F.lit(None).cast("bigint").alias("memory_total_mib"))
-        gpus = self.gpus_flat.groupBy("report_id").agg(F.array_sort(F.collect_list(gpu)).alias("gpus"))
+        gpus = self.gpus_flat.groupBy("report_id").agg(F.sort_array(F.collect_list(gpu)).alias("gpus"))
         r = self.reports_flat.join(procs, "report_id", "left").join(gpus, "report_id", "left")
         sm = F.when(F.col("has_system_metrics"), F.struct(
             "cpu_usage_percent", "memory_usage_percent", "memory_used_bytes", "memory_total_bytes",
-            F.coalesce("gpus", F.array().cast(gpus.schema["gpus"].dataType)).alias("gpus")))
+            F.coalesce("gpus", F.array().cast(GPU_ARRAY)).alias("gpus")))
         return r.select(
             "report_id", "node_id", "timestamp", "event_time", "collection_window_seconds",
-            F.coalesce("processes", F.array().cast(procs.schema["processes"].dataType)).alias("processes"),
+            F.coalesce("processes", F.array().cast(PROCESS_ARRAY)).alias("processes"),
             sm.alias("system_metrics"),
             F.lit(None).cast("string").alias("collect_agent_id"),
             F.lit(None).cast("bigint").alias("received_timestamp"),

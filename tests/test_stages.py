@@ -148,3 +148,19 @@ def test_rule_conditions_rejected(spark):
     kept = rules.rule_filter(df, [{"id": "r", "name": "n", "type": "filter", "resource": "cpu",
                                    "condition": "value == 0 OR value > 4", "enabled": True}])
     assert [r[0] for r in kept.collect()] == [None]
+
+
+def test_custom_stage_registry(reports):
+    stages.register_stage("drop-n6", lambda df: df.withColumn(
+        "_reject_reason", F.when(F.col("node_id") == "n6", F.lit("custom")).otherwise(F.col("_reject_reason"))))
+    assert stages.resolve_stages(["schema_validator", "Drop-N6"]) == ["schema_validator", "drop_n6"]
+    out = stages.run_collect(reports, ["schema_validator", "drop_n6"])
+    survivors = [r["node_id"] for r in out.filter("_reject_reason IS NULL").collect()]
+    assert sorted(survivors) == ["n2", "n3", "n4"]
+
+
+def test_rule_counters(spark):
+    from fleetlens.plans.catalog import alert_rules_df
+    ar = alert_rules_df(spark)
+    c = fleet.rule_counters(ar, F.col("operator").isin(">", ">=") & F.col("resource").isin("cpu", "mem", "gpu", "disk")).first()
+    assert (c["total"], c["enabled"], c["syncable"]) == (7, 6, 3)
