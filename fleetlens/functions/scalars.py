@@ -85,6 +85,13 @@ def memory_percent(total, available) -> Column:
         F.round((F.lit(100.0) * (t - a) / t).cast("decimal(38,10)"), 2).cast("double"))
 
 
+def stable(x, scale: int = 9) -> Column:
+    """A floating average or ratio fixed at ``scale`` decimals (through decimal, like the
+    SQL side): sums of doubles depend on the order of addition, so the stored value is
+    made independent of partitioning and engine."""
+    return _c(x).cast(f"decimal(38,{scale})").cast("double")
+
+
 def round_half_up(x, scale: int) -> Column:
     """Rounding that agrees across engines at exact ties: go through decimal first."""
     return F.round(_c(x).cast("decimal(38,12)"), scale).cast("double")

@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalars import cluster_health, status_map
+from ..functions.scalars import cluster_health, stable, status_map
 from .joins import checked_broadcast
 
 # Key prefixes and the known per-node config fields.
@@ -195,10 +195,12 @@ def cluster_now(node_points: DataFrame, gpu_points: DataFrame, proc_points: Data
     # GPU rows of each node's newest report; process rows at each node's newest second.
     g = samples_at_latest(gpu_points, ln)
     p = proc_points.join(ln.select("node_id", "ts"), ["node_id", "ts"], "left_semi")
-    n = ln.agg(F.count(F.lit(1)).alias("active_nodes"), F.avg("cpu_usage_percent").alias("avg_cpu_pct"),
-               F.avg("memory_usage_percent").alias("avg_mem_pct"))
-    gg = g.agg(F.avg("utilization_percent").alias("avg_gpu_util_pct"), F.avg("memory_used_mib").alias("avg_gpu_mem_mib"),
-               F.avg("temperature_celsius").alias("avg_gpu_temp_c"), F.avg("power_watts").alias("avg_gpu_power_w"))
+    n = ln.agg(F.count(F.lit(1)).alias("active_nodes"), stable(F.avg("cpu_usage_percent")).alias("avg_cpu_pct"),
+               stable(F.avg("memory_usage_percent")).alias("avg_mem_pct"))
+    gg = g.agg(stable(F.avg("utilization_percent")).alias("avg_gpu_util_pct"),
+               stable(F.avg("memory_used_mib")).alias("avg_gpu_mem_mib"),
+               stable(F.avg("temperature_celsius")).alias("avg_gpu_temp_c"),
+               stable(F.avg("power_watts")).alias("avg_gpu_power_w"))
     pp = p.filter(F.col("uid") >= 1000).agg(F.countDistinct("uid").alias("active_users"))
     return n.select("active_nodes", pp.select("active_users").scalar().alias("active_users"),
                     "avg_cpu_pct", "avg_mem_pct",

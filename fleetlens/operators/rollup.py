@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalars import spread
+from ..functions.scalars import spread, stable
 
 IO_FIELDS = ["read_bytes", "write_bytes", "net_rx_bytes", "net_tx_bytes"]
 APP_KEYS = ["bucket_time", "node_id", "uid", "comm"]
@@ -105,9 +105,9 @@ def gpu_hourly(gpu_points: DataFrame) -> DataFrame:
         F.avg("utilization_percent").alias("u"), F.avg("power_watts").alias("p"),
         F.avg("temperature_celsius").alias("t"))
     return per_gpu.groupBy(*NODE_KEYS).agg(
-        F.avg(F.coalesce("u", F.lit(0.0))).alias("avg_gpu_utilization"),
-        F.greatest(F.max(F.coalesce("t", F.lit(0.0))), F.lit(0.0)).alias("max_gpu_temperature"),
-        F.avg(F.coalesce("p", F.lit(0.0))).alias("total_gpu_power_watts"),
+        stable(F.avg(F.coalesce("u", F.lit(0.0)))).alias("avg_gpu_utilization"),
+        stable(F.greatest(F.max(F.coalesce("t", F.lit(0.0))), F.lit(0.0))).alias("max_gpu_temperature"),
+        stable(F.avg(F.coalesce("p", F.lit(0.0)))).alias("total_gpu_power_watts"),
         F.count(F.lit(1)).alias("gpu_count"))
 
 
@@ -115,9 +115,9 @@ def node_hourly_core(node_points: DataFrame, bucket: Column | None = None) -> Da
     """AGG-4/5: hourly mean and max of the node point fields."""
     b = (hour() if bucket is None else bucket).alias("bucket_time")
     return _bucketed(node_points.groupBy(b, "node_id").agg(
-        F.avg("cpu_usage_percent").alias("avg_cpu_usage_percent"),
+        stable(F.avg("cpu_usage_percent")).alias("avg_cpu_usage_percent"),
         F.max("cpu_usage_percent").alias("max_cpu_usage_percent"),
-        F.avg("memory_usage_percent").alias("avg_mem_usage_percent"),
+        stable(F.avg("memory_usage_percent")).alias("avg_mem_usage_percent"),
         F.max("memory_used_bytes").alias("max_mem_used_bytes")))
 
 

@@ -104,8 +104,11 @@ def rule_aggregate(points: DataFrame, rules: Sequence[Mapping], window: str = "1
         fn = AGGREGATES.get(str(r["condition"]).strip().lower().replace("(value)", ""))
         if fn is None or r["resource"] not in RESOURCE_SQL:
             raise RuleError(f"unsupported aggregate rule {r!r}")
-        g = points.groupBy("node_id", F.window("ts", window).start.alias("window_start")).agg(
-            fn(F.expr(RESOURCE_SQL[r["resource"]])).cast("double").alias("value"))
+        e = F.expr(RESOURCE_SQL[r["resource"]])
+        # Resources are integer counters: a mean is double(sum) / count, which every engine
+        # evaluates with the same two IEEE operations (no order-dependent double sum).
+        v = F.try_divide(F.sum(e).cast("double"), F.count(e)) if fn is F.avg else fn(e).cast("double")
+        g = points.groupBy("node_id", F.window("ts", window).start.alias("window_start")).agg(v.alias("value"))
         g = g.select(F.lit(r["id"]).alias("rule_id"), "node_id", "window_start", "value")
         out = g if out is None else out.unionByName(g)
     if out is None:

@@ -372,9 +372,12 @@ def q_node_hourly(t: Telemetry) -> DataFrame:
 @query("cluster_now", sql("""
 SELECT (SELECT COUNT(*) FROM latest_samples) AS active_nodes,
   (SELECT COUNT(DISTINCT p.uid) FROM proc_points p JOIN latest_samples l ON l.node_id = p.node_id AND l.ts = p.ts WHERE p.uid >= 1000) AS active_users,
-  (SELECT AVG(cpu_usage_percent) FROM latest_samples) AS avg_cpu_pct, (SELECT AVG(memory_usage_percent) FROM latest_samples) AS avg_mem_pct,
-  (SELECT AVG(utilization_percent) FROM latest_gpu) AS avg_gpu_util_pct, (SELECT AVG(memory_used_mib) FROM latest_gpu) AS avg_gpu_mem_mib,
-  (SELECT AVG(temperature_celsius) FROM latest_gpu) AS avg_gpu_temp_c, (SELECT AVG(power_watts) FROM latest_gpu) AS avg_gpu_power_w""",
+  (SELECT CAST(CAST(AVG(cpu_usage_percent) AS DECIMAL(38,9)) AS DOUBLE) FROM latest_samples) AS avg_cpu_pct,
+  (SELECT CAST(CAST(AVG(memory_usage_percent) AS DECIMAL(38,9)) AS DOUBLE) FROM latest_samples) AS avg_mem_pct,
+  (SELECT CAST(CAST(AVG(utilization_percent) AS DECIMAL(38,9)) AS DOUBLE) FROM latest_gpu) AS avg_gpu_util_pct,
+  (SELECT CAST(CAST(AVG(memory_used_mib) AS DECIMAL(38,9)) AS DOUBLE) FROM latest_gpu) AS avg_gpu_mem_mib,
+  (SELECT CAST(CAST(AVG(temperature_celsius) AS DECIMAL(38,9)) AS DOUBLE) FROM latest_gpu) AS avg_gpu_temp_c,
+  (SELECT CAST(CAST(AVG(power_watts) AS DECIMAL(38,9)) AS DOUBLE) FROM latest_gpu) AS avg_gpu_power_w""",
     "latest_samples", "latest_gpu", "proc_points"))
 def q_cluster_now(t: Telemetry) -> DataFrame:
     """AGG-29: aggregates over each node's newest sample."""
@@ -806,7 +809,7 @@ def q_rule_derive(t: Telemetry) -> DataFrame:
 SELECT 'p5' AS rule_id, node_id, time_bucket(INTERVAL 1 HOUR, ts) AS window_start, CAST(MAX(avg_rss_bytes) AS DOUBLE) AS value
 FROM proc_points GROUP BY 2, 3
 UNION ALL
-SELECT 'p6', node_id, time_bucket(INTERVAL 1 HOUR, ts), AVG(cpu_ontime_ns) FROM proc_points GROUP BY 2, 3""", "proc_points"))
+SELECT 'p6', node_id, time_bucket(INTERVAL 1 HOUR, ts), CAST(SUM(cpu_ontime_ns) AS DOUBLE) / COUNT(cpu_ontime_ns) FROM proc_points GROUP BY 2, 3""", "proc_points"))
 def q_rule_aggregate(t: Telemetry) -> DataFrame:
     """AGG-28: enabled aggregate rules per (node, hour)."""
     return rules.rule_aggregate(t.process_points, PIPELINE_RULES, "1 hour")

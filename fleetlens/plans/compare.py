@@ -7,15 +7,20 @@ import decimal
 import math
 
 
+EXACT = False
+
+
 def norm(v):
-    """Comparable form of one value: floats at 10 significant digits, maps as sorted
-    pairs, timestamps as ISO text."""
+    """Comparable form of one value: floats at 10 significant digits (bit-exact when
+    ``EXACT``), maps as sorted pairs, timestamps as ISO text."""
     if v is None:
         return None
     if isinstance(v, bool):
         return v
     if isinstance(v, float):
-        return None if math.isnan(v) else float(f"{v:.10g}")
+        if math.isnan(v):
+            return None
+        return v if EXACT else float(f"{v:.10g}")
     if isinstance(v, decimal.Decimal):
         return float(f"{float(v):.10g}")
     if isinstance(v, dt.datetime):

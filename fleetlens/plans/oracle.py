@@ -156,14 +156,15 @@ SELECT bucket_time, node_id, uid, comm, cpu_sum / 1e9 AS total_cpu_time_seconds,
 FROM app_agg""", "app_agg")
 
 cte("node_core", """
-SELECT date_trunc('hour', ts) AS bucket_time, node_id, AVG(cpu_usage_percent) AS avg_cpu_usage_percent,
-  MAX(cpu_usage_percent) AS max_cpu_usage_percent, AVG(memory_usage_percent) AS avg_mem_usage_percent,
+SELECT date_trunc('hour', ts) AS bucket_time, node_id, CAST(CAST(AVG(cpu_usage_percent) AS DECIMAL(38,9)) AS DOUBLE) AS avg_cpu_usage_percent,
+  MAX(cpu_usage_percent) AS max_cpu_usage_percent, CAST(CAST(AVG(memory_usage_percent) AS DECIMAL(38,9)) AS DOUBLE) AS avg_mem_usage_percent,
   MAX(memory_used_bytes) AS max_mem_used_bytes
 FROM node_points GROUP BY 1, 2""", "node_points")
 
 cte("gpu_hourly", """
-SELECT bucket_time, node_id, AVG(coalesce(u, 0.0)) AS avg_gpu_utilization, greatest(MAX(coalesce(t, 0.0)), 0.0) AS max_gpu_temperature,
-  AVG(coalesce(p, 0.0)) AS total_gpu_power_watts, COUNT(*) AS gpu_count
+SELECT bucket_time, node_id, CAST(CAST(AVG(coalesce(u, 0.0)) AS DECIMAL(38,9)) AS DOUBLE) AS avg_gpu_utilization,
+  CAST(CAST(greatest(MAX(coalesce(t, 0.0)), 0.0) AS DECIMAL(38,9)) AS DOUBLE) AS max_gpu_temperature,
+  CAST(CAST(AVG(coalesce(p, 0.0)) AS DECIMAL(38,9)) AS DOUBLE) AS total_gpu_power_watts, COUNT(*) AS gpu_count
 FROM (SELECT date_trunc('hour', ts) AS bucket_time, node_id, gpu_index, AVG(utilization_percent) AS u, AVG(power_watts) AS p,
         AVG(temperature_celsius) AS t FROM gpu_points GROUP BY 1, 2, 3) x
 GROUP BY 1, 2""", "gpu_points")
