@@ -14,7 +14,8 @@ def estimated_bytes(df: DataFrame) -> int | None:
     file sizes and only shrinks through projections, so below a filter or aggregate it
     is an upper bound of the real size."""
     try:
-        return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+        size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+        return int(size if isinstance(size, int) else str(size))
     except Exception:  # noqa: BLE001 - estimates are best effort (e.g. Spark Connect)
         return None
 
@@ -25,3 +26,16 @@ def checked_broadcast(side: DataFrame, max_bytes: int = DEFAULT_BROADCAST_BYTES)
     AQE can still switch to a broadcast from sizes measured at runtime."""
     n = estimated_bytes(side)
     return F.broadcast(side) if n is not None and n <= max_bytes else side
+
+
+def literal_table(spark, rows, schema: str) -> DataFrame:
+    """A small configuration table (rule lists) as an inline literal over a one-row range,
+    so Catalyst knows its exact size (a parallelized local list has no size estimate and
+    would never be broadcast by ``checked_broadcast``)."""
+    from pyspark.sql import types as T
+    st = T._parse_datatype_string(schema)
+    fields = st.fields
+    if not rows:
+        return spark.range(0).select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in fields])
+    structs = [F.struct(*[F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(r, fields)]) for r in rows]
+    return spark.range(1).select(F.inline(F.array(*structs)))

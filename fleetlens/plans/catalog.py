@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 
 from ..functions import scalars
 from ..operators import alerts, charts, fleet, host, points, rollup, rules, stages, usage
+from ..operators.joins import literal_table
 from ..sources import ingest
 from .oracle import (ALERT_RULES, APP_UIDS, COLLECT_PREFIXES, COMM_CASE, PIPELINE_RULES, PROJECTED_FIELDS, SAMPLE_RATE,
                      SYSTEM_PREFIXES, THRESHOLD_RULES, parse_float_sql)
@@ -418,13 +419,13 @@ def q_gate_running(t: Telemetry) -> DataFrame:
 # ------------------------------------------------------------------------ alerts -------
 
 def threshold_rules_df(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(THRESHOLD_RULES, "metric_name string, max_value double, min_value double")
+    return literal_table(spark, THRESHOLD_RULES, "metric_name string, max_value double, min_value double")
 
 
 def alert_rules_df(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(
-        ALERT_RULES, "id string, name string, node_group string, resource string, operator string, "
-                     "threshold double, severity string, enabled boolean")
+    return literal_table(
+        spark, ALERT_RULES, "id string, name string, node_group string, resource string, operator string, "
+                            "threshold double, severity string, enabled boolean")
 
 
 def _validated_reports(t: Telemetry) -> DataFrame:

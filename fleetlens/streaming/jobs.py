@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators import alerts, points, rollup, stages
+from ..operators.joins import literal_table
 from ..session import checkpoint_dir
 from ..sources import ingest
 
@@ -33,9 +34,9 @@ def collect_batch(reports: DataFrame, config: dict) -> dict[str, DataFrame]:
         config.get("received_timestamp"), config.get("sample_rate"))
     ok = annotated.filter(F.col("_reject_reason").isNull())
     procs = points.explode_processes(ok)
-    viol = alerts.threshold_check(stages.node_metrics(ok), ok.sparkSession.createDataFrame(
-        list(config.get("threshold_rules", ())) or [("", None, None)],
-        "metric_name string, max_value double, min_value double").filter("metric_name <> ''"))
+    rules = literal_table(ok.sparkSession, list(config.get("threshold_rules", ())),
+                          "metric_name string, max_value double, min_value double")
+    viol = alerts.threshold_check(stages.node_metrics(ok), rules)
     return {
         "node_status": points.node_points(ok),
         "gpu_status": points.gpu_points(ok),
@@ -47,10 +48,16 @@ def collect_batch(reports: DataFrame, config: dict) -> dict[str, DataFrame]:
 
 
 def _write_batch(tables: dict[str, DataFrame], root: str, batch_id: int) -> None:
+    """Point tables are partitioned by (date, batch_id): time-range reads prune by date,
+    and dynamic overwrite replaces exactly this batch's partitions on a replay."""
     for name, df in tables.items():
         out = df.withColumn("batch_id", F.lit(batch_id).cast("bigint"))
+        parts = ["batch_id"]
+        if "ts" in df.columns:
+            out = out.withColumn("date", F.to_date("ts"))
+            parts = ["date", "batch_id"]
         (out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-            .partitionBy("batch_id").parquet(f"{root}/{name}"))
+            .partitionBy(*parts).parquet(f"{root}/{name}"))
 
 
 def points_stream(spark: SparkSession, source: DataFrame, sink_root: str, config: dict,
@@ -101,7 +108,9 @@ def rollup_hours(spark: SparkSession, root: str, hours: Sequence[str], mode: str
     hi = F.lit(max(hours)).cast("timestamp") + F.expr("INTERVAL 1 HOUR")
 
     def rng(df: DataFrame) -> DataFrame:
-        return df.filter((F.col("ts") >= lo) & (F.col("ts") < hi))
+        # The date predicate is derived from the time range so the scan prunes partitions.
+        return df.filter(F.col("date").between(F.to_date(lo), F.to_date(hi))
+                         & (F.col("ts") >= lo) & (F.col("ts") < hi)).drop("date", "batch_id")
 
     n, g, p = (rng(read_points(spark, root, t)) for t in ("node_status", "gpu_status", "process_status"))
     return {"node_status_hourly": rollup.node_status_hourly(n, g, p, mode),

@@ -31,7 +31,7 @@ def test_stream_equals_batch_and_restart(spark, tmp_dir):
     t = write_report_files(spark, src)
     q = jobs.points_stream(spark, ingest.read_report_stream(spark, src, 1), sink, CONFIG, ckpt)
     q.awaitTermination()
-    got = spark.read.parquet(f"{sink}/process_status").drop("batch_id")
+    got = spark.read.parquet(f"{sink}/process_status").drop("batch_id", "date")
     assert rows_key(got.collect()) == rows_key(t.process_points.select(*got.columns).collect())
     nodes = spark.read.parquet(f"{sink}/node_status")
     assert nodes.count() == t.node_points.count()
