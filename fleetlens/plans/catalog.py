@@ -40,7 +40,7 @@ def finish(df: DataFrame) -> DataFrame:
 def query(name: str, oracle: str | None):
     def deco(fn: Callable[[Telemetry], DataFrame]):
         def build(spark: SparkSession, sf_dir: str) -> DataFrame:
-            return finish(fn(Telemetry(spark, sf_dir)))
+            return finish(fn(Telemetry.get(spark, sf_dir)))
         build.__name__ = name
         build.__doc__ = fn.__doc__
         REGISTRY[name] = (build, oracle)
@@ -429,7 +429,7 @@ def alert_rules_df(spark: SparkSession) -> DataFrame:
 
 
 def _validated_reports(t: Telemetry) -> DataFrame:
-    return stages.validate(t.fx.reports)
+    return t.validated_reports
 
 
 @query("node_metrics", sql("SELECT * FROM node_metrics", "node_metrics"))
@@ -489,9 +489,15 @@ def q_audit_recent(t: Telemetry) -> DataFrame:
 
 # ---------------------------------------------------------------- collect stages -------
 
+_COLLECT_RUNS: dict[int, DataFrame] = {}
+
+
 def _collect(t: Telemetry) -> DataFrame:
-    return stages.run_collect(t.fx.reports, None, None, COLLECT_PREFIXES, "collect_agent_1", THRESHOLD_RULES,
-                              F.col("timestamp"))
+    key = id(t)
+    if key not in _COLLECT_RUNS:
+        _COLLECT_RUNS[key] = stages.run_collect(t.fx.reports, None, None, COLLECT_PREFIXES, "collect_agent_1",
+                                                THRESHOLD_RULES, F.col("timestamp"))
+    return _COLLECT_RUNS[key]
 
 
 @query("valid_reports", sql("""
@@ -500,7 +506,7 @@ FROM v_reports r JOIN (SELECT report_id, COUNT(*) AS n FROM v_procs GROUP BY rep
     "v_reports", "v_procs"))
 def q_valid_reports(t: Telemetry) -> DataFrame:
     """VAL-1 / VAL-4: reports that survive validation (nested path)."""
-    v = stages.validate(t.fx.reports)
+    v = t.validated_reports
     return v.select("report_id", "node_id", "timestamp", F.size("processes").alias("n_processes"),
                     F.col("system_metrics").isNotNull().alias("has_system_metrics"))
 
@@ -539,7 +545,7 @@ SELECT report_id, vpos AS pos, pid, cpu_ontime_ns, CAST(0 AS BIGINT) AS uid, com
 FROM v_procs_pos""", "v_procs_pos"))
 def q_field_projection(t: Telemetry) -> DataFrame:
     """PRJ-1: allow-listed process fields kept, others zeroed; unknown names ignored."""
-    p = stages.project_fields(stages.validate(t.fx.reports), PROJECTED_FIELDS)
+    p = stages.project_fields(t.validated_reports, PROJECTED_FIELDS)
     x = p.select("report_id", F.col("metadata")["exported_process_fields"].alias("exported_process_fields"),
                  F.posexplode("processes").alias("pos0", "p"))
     return x.select("report_id", (F.col("pos0") + 1).cast("bigint").alias("pos"), *[F.col(f"p.{n}") for n in stages.PROCESS_FIELD_NAMES],
@@ -549,7 +555,7 @@ def q_field_projection(t: Telemetry) -> DataFrame:
 @query("prefix_aggregation", sql("SELECT * FROM prefix_merged", "prefix_merged"))
 def q_prefix_aggregation(t: Telemetry) -> DataFrame:
     """AGG-2 / WIN-5 / SET-1: longest-prefix merge inside each report."""
-    m = stages.prefix_merge(stages.validate(t.fx.reports), COLLECT_PREFIXES)
+    m = stages.prefix_merge(t.validated_reports, COLLECT_PREFIXES)
     x = m.select("report_id", F.posexplode("processes").alias("pos0", "p"))
     return x.select("report_id", (F.col("pos0") + 1).alias("pos"), "p.pid", "p.uid", "p.comm", "p.process_name",
                     *[F.col(f"p.{c}") for c in stages.SUMMED_FIELDS])
@@ -560,7 +566,7 @@ SELECT report_id, node_id, 'collect_agent_1' AS collect_agent_id, "timestamp" AS
   'enriched' AS processing_stage, '1.0.0' AS collect_agent_version FROM v_reports""", "v_reports"))
 def q_enrich_reports(t: Telemetry) -> DataFrame:
     """PRJ-3: agent id, receive time, stage and version stamped on each report."""
-    e = stages.enrich(stages.validate(t.fx.reports), "collect_agent_1", F.col("timestamp"))
+    e = stages.enrich(t.validated_reports, "collect_agent_1", F.col("timestamp"))
     return e.select("report_id", "node_id", "collect_agent_id", "received_timestamp",
                     F.col("metadata")["processing_stage"].alias("processing_stage"),
                     F.col("metadata")["collect_agent_version"].alias("collect_agent_version"))
@@ -572,7 +578,7 @@ SELECT report_id, node_id, rank, pid, comm, cpu_ontime_ns FROM (
     pid, comm, cpu_ontime_ns FROM v_procs_pos) x WHERE rank <= 5""", "v_procs_pos"))
 def q_top_processes(t: Telemetry) -> DataFrame:
     """TOP-1: top 5 processes by cpu time per report."""
-    return stages.top_processes(stages.validate(t.fx.reports), 5)
+    return stages.top_processes(t.validated_reports, 5)
 
 
 @query("collect_end_to_end", sql("SELECT * FROM collect_out", "collect_out"))
@@ -624,13 +630,13 @@ def q_decode_reports(t: Telemetry) -> DataFrame:
 @query("publish_json", None)
 def q_publish_json(t: Telemetry) -> DataFrame:
     """SNK-1: Kafka-shaped (key, value) rows; null system metrics omitted from the JSON."""
-    return ingest.encode_reports(stages.validate(t.fx.reports))
+    return ingest.encode_reports(t.validated_reports)
 
 
 @query("publish_projected", None)
 def q_publish_projected(t: Telemetry) -> DataFrame:
     """PRJ-2: exported JSON holds only the projected process keys."""
-    p = stages.project_fields(stages.validate(t.fx.reports), PROJECTED_FIELDS)
+    p = stages.project_fields(t.validated_reports, PROJECTED_FIELDS)
     return ingest.encode_reports(p, process_fields=PROJECTED_FIELDS)
 
 
@@ -640,7 +646,7 @@ WHERE CAST(('0x' || substr(md5(node_id || '|' || CAST("timestamp" AS VARCHAR)),
     "v_reports"))
 def q_sampler(t: Telemetry) -> DataFrame:
     """UDF-1: deterministic md5-bucket sample of reports (rate 0.25)."""
-    return stages.sample(stages.validate(t.fx.reports), SAMPLE_RATE).select("report_id", "node_id", "timestamp")
+    return stages.sample(t.validated_reports, SAMPLE_RATE).select("report_id", "node_id", "timestamp")
 
 
 @query("system_process_filter", sql("""
@@ -648,7 +654,7 @@ SELECT report_id, CAST(row_number() OVER (PARTITION BY report_id ORDER BY pos) A
 WHERE NOT (starts_with(comm, 'ECONOMY') OR starts_with(comm, 'PROMO'))""", "v_procs"))
 def q_system_process_filter(t: Telemetry) -> DataFrame:
     """FLT-9: processes whose name starts with a listed prefix are dropped."""
-    f = stages.system_process_filter(stages.validate(t.fx.reports), SYSTEM_PREFIXES)
+    f = stages.system_process_filter(t.validated_reports, SYSTEM_PREFIXES)
     x = f.select("report_id", F.posexplode("processes").alias("pos0", "p"))
     return x.select("report_id", (F.col("pos0") + 1).cast("bigint").alias("pos"), "p.pid", "p.comm")
 

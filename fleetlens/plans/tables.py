@@ -13,8 +13,9 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import points, rollup
+from ..operators import points, rollup, stages
 from ..operators.stages import header_ok, process_ok
+from ..session import configure
 from ..sources.fixtures import Fixtures
 
 # Fixed values for the fixture's collect agent (the enrich stage stamps these).
@@ -22,10 +23,28 @@ AGENT_ID = "collect_agent_1"
 AGENT_VERSION = "1.0.0"
 
 
+_BUILT: dict[tuple[int, str], "Telemetry"] = {}
+
+
 class Telemetry:
+    """Telemetry tables over one scale-factor directory (lazy DataFrames)."""
+
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.fx = Fixtures(spark, sf_dir)
         self.spark = self.fx.spark
+        self._rollups: dict[tuple[str, str], DataFrame] = {}
+
+    @classmethod
+    def get(cls, spark: SparkSession, sf_dir: str) -> "Telemetry":
+        """Shared builder per (session, directory). DataFrames are immutable plans, so
+        reusing them only saves building the same plan objects again; nothing is cached
+        as data and every execution reads the tables."""
+        key = (id(spark._jsparkSession), sf_dir.rstrip("/"))
+        t = _BUILT.get(key)
+        if t is None:
+            t = _BUILT[key] = cls(spark, sf_dir)
+        configure(spark)
+        return t
 
     @cached_property
     def headers(self) -> DataFrame:
@@ -87,8 +106,19 @@ class Telemetry:
             F.lit(0.0).alias("power_limit_watts"), "memory_used_mib",
             F.lit(0).cast("bigint").alias("memory_total_mib"))
 
+    @cached_property
+    def validated_reports(self) -> DataFrame:
+        """Nested reports after the schema validator (the streaming-shaped path)."""
+        return stages.validate(self.fx.reports)
+
     def user_app_hourly(self, mode: str = "spread") -> DataFrame:
-        return rollup.user_app_hourly(self.process_points, mode)
+        k = ("app", mode)
+        if k not in self._rollups:
+            self._rollups[k] = rollup.user_app_hourly(self.process_points, mode)
+        return self._rollups[k]
 
     def node_status_hourly(self, mode: str = "spread") -> DataFrame:
-        return rollup.node_status_hourly(self.node_points, self.gpu_points, self.process_points, mode)
+        k = ("node", mode)
+        if k not in self._rollups:
+            self._rollups[k] = rollup.node_status_hourly(self.node_points, self.gpu_points, self.process_points, mode)
+        return self._rollups[k]

@@ -164,3 +164,25 @@ def test_rule_counters(spark):
     ar = alert_rules_df(spark)
     c = fleet.rule_counters(ar, F.col("operator").isin(">", ">=") & F.col("resource").isin("cpu", "mem", "gpu", "disk")).first()
     assert (c["total"], c["enabled"], c["syncable"]) == (7, 6, 3)
+
+
+def test_common_apps_division(spark):
+    from fleetlens.operators import usage
+    rows = [("a", "x", 5.0), ("b", "x", 1.0), ("a", "y", 9.0)]
+    apps = spark.createDataFrame(rows, "username string, comm string, cpu_seconds double")
+    assert [r["comm"] for r in usage.common_apps(apps).collect()] == ["x"]
+    one = apps.filter("username = 'a'")
+    assert [r["comm"] for r in usage.common_apps(one).collect()] == ["y", "x"]
+    bars = {r["comm"]: r["bar_pct"] for r in usage.app_bar_share(apps).collect()}
+    assert bars == {"x": 100.0}
+
+
+def test_cpu_percent_from_counters(spark):
+    from fleetlens.operators import host
+    rows = [("n", 0, 1, 10, 0, 100), ("n", 60, 2, 10, 0, 100),      # first sample -> 0; equal totals -> 0
+            ("n", 120, 3, 40, 10, 200),                               # 100 * (1 - 40 / 100) = 60
+            ("n", 4000, 4, 41, 10, 203)]                              # next hour: 100 * (1 - 1 / 3) = 66.67
+    df = spark.createDataFrame(rows, "node_id string, s long, seq long, idle long, iowait long, total long")
+    df = df.withColumn("ts", F.timestamp_seconds("s")).drop("s")
+    got = [r["cpu_usage_percent"] for r in host.cpu_percent_from_counters(df).orderBy("seq").collect()]
+    assert got == [0.0, 0.0, 60.0, 66.67]
