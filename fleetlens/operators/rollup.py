@@ -173,3 +173,23 @@ def window_aggregate(proc_points: DataFrame, width: str = "5 minutes") -> DataFr
                  F.sum(F.col("net_rx_bytes") + F.col("net_tx_bytes")).cast("bigint").alias("net_bytes"),
                  F.max("avg_rss_bytes").cast("bigint").alias("max_rss_bytes"),
                  F.sum("process_count").cast("bigint").alias("process_count"))
+
+
+def write_rollup(df: DataFrame, path: str, time_col: str = "bucket_time") -> None:
+    """Store a rollup as parquet partitioned by ``date``; dynamic partition overwrite
+    replaces exactly the days being recomputed (idempotent reruns and backfills)."""
+    (df.withColumn("date", F.to_date(time_col)).write.mode("overwrite")
+       .option("partitionOverwriteMode", "dynamic").partitionBy("date").parquet(path))
+
+
+def append_if_absent(new: DataFrame, path: str, keys: list[str], time_col: str = "bucket_time") -> None:
+    """SNK-4 against a stored table: append only keys not yet present (first write wins).
+    Only the days touched by ``new`` are read back (partition pruning on ``date``)."""
+    spark = new.sparkSession
+    days = new.select(F.to_date(time_col).alias("date")).distinct()
+    try:
+        existing = spark.read.parquet(path).join(F.broadcast(days), "date", "left_semi")
+    except Exception:  # noqa: BLE001 - first write: nothing stored yet
+        existing = None
+    out = new if existing is None else insert_if_absent(new, existing, keys)
+    out.withColumn("date", F.to_date(time_col)).write.mode("append").partitionBy("date").parquet(path)

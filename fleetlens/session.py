@@ -25,17 +25,36 @@ def configure(spark: SparkSession) -> SparkSession:
     return spark
 
 
+# Cluster sizing (no master given): many shuffle partitions that AQE coalesces towards
+# 256 MiB each, 256 MiB file splits, and skewed partitions (a node holding a large share
+# of the rows) split by AQE. Partitions then stay well inside executor memory at 100 TB.
+CLUSTER_CONF = {
+    "spark.sql.shuffle.partitions": "4000",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(256 << 20),
+    "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false",
+    "spark.sql.files.maxPartitionBytes": str(256 << 20),
+    "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "4",
+    "spark.sql.sources.partitionOverwriteMode": "dynamic",
+}
+
+
 def build_session(master: str | None = None, shuffle_partitions: int | None = None,
                   app_name: str = "fleetlens") -> SparkSession:
-    """Session for local runs, tests and the bench. On a cluster, pass no master."""
+    """Session for local runs, tests and the bench (``master="local[N]"``); on a cluster
+    pass no master and the cluster sizing in ``CLUSTER_CONF`` applies."""
     b = SparkSession.builder.appName(app_name)
     if master:
         b = b.master(master)
-    b = (b.config("spark.ui.enabled", "false")
-          .config("spark.ui.showConsoleProgress", "false")
-          .config("spark.sql.shuffle.partitions", str(shuffle_partitions or 8))
-          .config("spark.driver.memory", os.environ.get("FLEETLENS_DRIVER_MEMORY", "16g"))
-          .config("spark.sql.execution.arrow.pyspark.enabled", "true"))
+        b = (b.config("spark.ui.enabled", "false")
+              .config("spark.ui.showConsoleProgress", "false")
+              .config("spark.sql.shuffle.partitions", str(shuffle_partitions or 8))
+              .config("spark.driver.memory", os.environ.get("FLEETLENS_DRIVER_MEMORY", "16g")))
+    else:
+        for k, v in CLUSTER_CONF.items():
+            b = b.config(k, v)
+        if shuffle_partitions:
+            b = b.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
+    b = b.config("spark.sql.execution.arrow.pyspark.enabled", "true")
     for k, v in RUNTIME_CONF.items():
         b = b.config(k, v)
     spark = b.getOrCreate()

@@ -115,3 +115,45 @@ def rollup_hours(spark: SparkSession, root: str, hours: Sequence[str], mode: str
     n, g, p = (rng(read_points(spark, root, t)) for t in ("node_status", "gpu_status", "process_status"))
     return {"node_status_hourly": rollup.node_status_hourly(n, g, p, mode),
             "user_app_hourly": rollup.user_app_hourly(p, mode)}
+
+
+def latest_heartbeats_stream(heartbeats: DataFrame) -> DataFrame:
+    """STA-3 (stream): the newest heartbeat per node as streaming state (update mode). The
+    state is one row per node, and the aggregate is partial per micro-batch."""
+    return heartbeats.groupBy("node_id").agg(
+        F.max_by(F.struct(F.col("event_time").cast("double").alias("timestamp"), "status"), "event_time").alias("h")
+    ).select("node_id", "h.timestamp", "h.status")
+
+
+def liveness_stream(spark: SparkSession, heartbeats: DataFrame, node_config: DataFrame, sink_path: str,
+                    checkpoint: str | None = None, trigger: dict | None = None) -> StreamingQuery:
+    """STA-3 (stream): each micro-batch upserts the newest heartbeats into a state table
+    and rewrites node liveness against the batch's clock. ``node_config`` is the (static)
+    pivoted live config."""
+    ckpt = checkpoint or f"{checkpoint_dir(spark)}/liveness_stream"
+
+    def handle(latest: DataFrame, batch_id: int) -> None:
+        from ..operators import fleet
+        now = F.current_timestamp()
+        out = fleet.liveness(node_config, latest, now).withColumn("batch_id", F.lit(batch_id).cast("bigint"))
+        out.write.mode("overwrite").parquet(sink_path)
+
+    w = (latest_heartbeats_stream(heartbeats).writeStream.outputMode("complete").foreachBatch(handle)
+         .option("checkpointLocation", ckpt))
+    return w.trigger(**(trigger or {"availableNow": True})).start()
+
+
+def publish_kafka(reports: DataFrame, brokers: str, topic: str, checkpoint: str,
+                  process_fields: Sequence[str] | None = None) -> StreamingQuery:
+    """SNK-1 / PRJ-2: reports -> topic keyed by node id, gzip batches (needs the Kafka
+    connector on the classpath)."""
+    out = ingest.encode_reports(reports, process_fields=process_fields)
+    return (out.writeStream.format("kafka").option("kafka.bootstrap.servers", brokers).option("topic", topic)
+            .option("kafka.compression.type", "gzip").option("kafka.linger.ms", "10")
+            .option("kafka.batch.size", str(64 * 1024)).option("checkpointLocation", checkpoint).start())
+
+
+def publish_files(reports: DataFrame, path: str, process_fields: Sequence[str] | None = None) -> None:
+    """SNK-1 offline: the same JSON values as gzip-compressed text files (batch)."""
+    ingest.encode_reports(reports, process_fields=process_fields).select("value") \
+        .write.mode("overwrite").option("compression", "gzip").text(path)

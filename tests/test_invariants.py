@@ -49,3 +49,19 @@ def test_spread_non_negative_and_shares(spark):
     shares = usage.usage_share(usage.pie_by_app(apps, "cpu_seconds"), ["username"])
     for r in shares.groupBy("username").agg(F.sum("share_pct").alias("s")).collect():
         assert abs(r["s"] - 100.0) <= 0.05 * 20
+
+
+def test_append_if_absent_on_stored_table(spark, tmp_dir):
+    import os
+    from fleetlens.operators import rollup
+    t = Telemetry(spark, SF001)
+    path = os.path.join(tmp_dir, "user_app_hourly")
+    keys = ["bucket_time", "node_id", "uid", "comm"]
+    h = t.user_app_hourly()
+    rollup.append_if_absent(h, path, keys)
+    n1 = spark.read.parquet(path).count()
+    rollup.append_if_absent(h, path, keys)          # rerun: first write wins, nothing added
+    assert spark.read.parquet(path).count() == n1 == h.count()
+    rollup.write_rollup(h, os.path.join(tmp_dir, "w"))
+    rollup.write_rollup(h, os.path.join(tmp_dir, "w"))  # dynamic overwrite of the same days
+    assert spark.read.parquet(os.path.join(tmp_dir, "w")).count() == n1

@@ -78,3 +78,28 @@ def test_rollup_hours_backfill(spark, tmp_dir):
     want = t.user_app_hourly().filter(F.col("bucket_time").between(F.lit(hours[0]).cast("timestamp"),
                                                                    F.lit(hours[1]).cast("timestamp")))
     assert rows_key(got.collect()) == rows_key(want.select(*got.columns).collect())
+
+
+def test_liveness_stream_and_publish(spark, tmp_dir):
+    from fleetlens.operators import fleet
+    hb_dir = os.path.join(tmp_dir, "hb")
+    now = spark.sql("SELECT current_timestamp() AS t").first()["t"]
+    import datetime as dt
+    rows = [("a", now - dt.timedelta(seconds=5), "alive"), ("a", now - dt.timedelta(seconds=500), "alive"),
+            ("b", now - dt.timedelta(seconds=500), "alive"), ("c", now, "stopping")]
+    spark.createDataFrame(rows, "node_id string, event_time timestamp, status string").write.json(hb_dir)
+    stream = spark.readStream.schema("node_id string, event_time timestamp, status string").json(hb_dir)
+    cfg = spark.createDataFrame([("a", "20"), ("b", "20"), ("c", "20"), ("d", None)],
+                                "node_id string, heartbeat_interval string")
+    out = os.path.join(tmp_dir, "live")
+    jobs.liveness_stream(spark, stream, cfg, out, os.path.join(tmp_dir, "ck")).awaitTermination()
+    got = {r["node_id"]: r["status"] for r in spark.read.parquet(out).collect()}
+    assert got == {"a": "running", "b": "stopped", "c": "stopped", "d": "stopped"}
+    # publish: gzip JSON files decode back to the same reports
+    t = Telemetry(spark, SF001)
+    pub = os.path.join(tmp_dir, "pub")
+    jobs.publish_files(t.validated_reports, pub)
+    assert any(f.endswith(".gz") for f in os.listdir(pub))
+    back = ingest.decode_reports(spark.read.text(pub))
+    assert back.count() == t.validated_reports.count()
+    assert back.filter(F.col("_corrupt").isNotNull()).count() == 0
