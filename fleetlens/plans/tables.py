@@ -39,9 +39,9 @@ class Telemetry:
         """Shared builder per (session, directory). DataFrames are immutable plans, so
         reusing them only saves building the same plan objects again; nothing is cached
         as data and every execution reads the tables."""
-        key = (id(spark._jsparkSession), sf_dir.rstrip("/"))
+        key = (id(spark), sf_dir.rstrip("/"))
         t = _BUILT.get(key)
-        if t is None:
+        if t is None or t.spark is not spark:  # ids can be reused by a later session
             t = _BUILT[key] = cls(spark, sf_dir)
         configure(spark)
         return t

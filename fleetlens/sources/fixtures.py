@@ -28,7 +28,7 @@ def node_name(x: Column) -> Column:
     return F.concat(F.lit("node_"), x.cast("string"))
 
 
-_READS: dict[tuple[int, str], DataFrame] = {}
+_READS: dict[tuple[int, str], tuple[SparkSession, DataFrame]] = {}
 
 PROCESS_ARRAY = ("array<struct<pid:bigint,cpu_ontime_ns:bigint,uid:bigint,comm:string,read_bytes:bigint,"
                  "write_bytes:bigint,net_rx_bytes:bigint,net_tx_bytes:bigint,avg_rss_bytes:bigint,"
@@ -48,11 +48,11 @@ class Fixtures:
         """Parquet table; the DataFrame (file listing and footer schema) is reused per
         session, so building many queries does not re-list the same files."""
         path = f"{self.sf_dir}/{name}.parquet"
-        key = (id(self.spark._jsparkSession), path)
-        df = _READS.get(key)
-        if df is None:
-            df = _READS[key] = self.spark.read.parquet(path)
-        return df
+        key = (id(self.spark), path)
+        hit = _READS.get(key)
+        if hit is None or hit[0] is not self.spark:  # ids can be reused by a later session
+            hit = _READS[key] = (self.spark, self.spark.read.parquet(path))
+        return hit[1]
 
     # ---------------------------------------------------------------- reports ----------
     @cached_property
