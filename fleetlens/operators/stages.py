@@ -71,23 +71,24 @@ def annotate_validation(reports: DataFrame) -> DataFrame:
     n_in = F.coalesce(F.size("processes"), F.lit(0))
     kept = F.filter(F.coalesce("processes", F.array()), lambda p: process_ok(lambda n: p[n]))
     hdr = header_ok(F.col("node_id"), F.col("timestamp"))
+    # Each array check runs once per report: the kept list and the system-metrics verdict
+    # are materialised as columns and then only referenced.
     r = r.withColumns({
         "_hdr_ok": hdr,
         "_kept": kept,
+        "_sm_ok": F.col("system_metrics").isNotNull() & system_metrics_ok(F.col("system_metrics")),
     })
     n_kept = F.size("_kept")
     reason = (F.when(F.col("_reject_reason").isNotNull(), F.col("_reject_reason"))
                .when(~F.col("_hdr_ok"), F.lit("invalid_header"))
                .when(n_kept == 0, F.lit("no_valid_processes")))
-    sm = F.when(F.col("system_metrics").isNotNull() & system_metrics_ok(F.col("system_metrics")),
-                F.col("system_metrics"))
     return r.withColumns({
         "_invalid": F.col("_invalid") + F.when(F.col("_hdr_ok"), n_in - n_kept).otherwise(n_in),
         "_reject_reason": reason,
         "processes": F.when(F.col("_hdr_ok"), F.col("_kept")).otherwise(F.col("processes")),
-        "system_metrics": sm,
-        "_sm_invalid": F.col("system_metrics").isNotNull() & sm.isNull(),
-    }).drop("_hdr_ok", "_kept")
+        "system_metrics": F.when(F.col("_sm_ok"), F.col("system_metrics")),
+        "_sm_invalid": F.col("system_metrics").isNotNull() & ~F.col("_sm_ok"),
+    }).drop("_hdr_ok", "_kept", "_sm_ok")
 
 
 def validate(reports: DataFrame) -> DataFrame:
