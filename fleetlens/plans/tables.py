@@ -65,21 +65,19 @@ class Telemetry:
     @cached_property
     def valid_reports(self) -> DataFrame:
         """VAL-4 (at least one valid process) + VAL-2 flag ``sm_ok`` on flat report rows."""
-        g = self.fx.gpus_flat
-        gpu_ok = ((F.col("utilization_percent").between(0, 100))
-                  & (F.col("temperature_celsius").between(-50, 200))
-                  & (F.col("power_watts") >= 0))
-        gflag = g.groupBy("report_id").agg(F.bool_and(F.coalesce(gpu_ok, F.lit(False))).alias("gpus_ok"))
+        # The GPU list travels inside the report row: its range check is a forall, no join.
+        gpus_ok = F.forall("gpus", lambda g: F.coalesce(
+            g["utilization_percent"].between(0, 100) & g["temperature_celsius"].between(-50, 200)
+            & (g["power_watts"] >= 0), F.lit(False)))
         # VAL-4: a report survives when it produced at least one process point; reading
         # the ids from the process points lets this branch share their plan subtree.
         r = self.headers.join(self.process_points.select("report_id"), "report_id", "left_semi")
-        r = r.join(gflag, "report_id", "left")
         sm_ok = (F.col("has_system_metrics")
                  & F.col("cpu_usage_percent").between(0, 100)
                  & F.col("memory_usage_percent").between(0, 100)
                  & (F.col("memory_used_bytes") >= 0) & (F.col("memory_total_bytes") >= 0)
-                 & F.coalesce("gpus_ok", F.lit(True)))
-        return r.withColumn("sm_ok", F.coalesce(sm_ok, F.lit(False))).drop("gpus_ok")
+                 & gpus_ok)
+        return r.withColumn("sm_ok", F.coalesce(sm_ok, F.lit(False)))
 
     @cached_property
     def node_points(self) -> DataFrame:
@@ -97,8 +95,9 @@ class Telemetry:
 
     @cached_property
     def gpu_points(self) -> DataFrame:
-        ok = self.valid_reports.filter("sm_ok").select("report_id")
-        g = self.fx.gpus_flat.join(ok, "report_id", "left_semi")
+        ok = self.valid_reports.filter("sm_ok")
+        g = ok.select("report_id", "node_id", "event_time", F.explode("gpus").alias("g")).select(
+            "report_id", "node_id", "event_time", "g.*")
         return g.select(
             F.date_trunc("second", "event_time").alias("ts"), "node_id", "report_id",
             F.col("gpu_index").cast("string").alias("gpu_index"), F.lit("unknown").alias("gpu_name"),

@@ -73,7 +73,23 @@ class Fixtures:
             ((k % 64) * GIB).cast("bigint").alias("memory_used_bytes"),
             F.lit(64 * GIB).cast("bigint").alias("memory_total_bytes"),
             (c % 3).cast("int").alias("gpu_count"),
-        )
+        ).withColumn("gpus", self._gpu_array())
+
+    @staticmethod
+    def _gpu_array() -> Column:
+        """The report's GPUs (fx_gpus rows) generated inside the report row: a report
+        carries its GPU list, so nothing is exploded and joined back."""
+        rid = F.col("report_id")
+        idx = F.filter(F.array(F.lit(0), F.lit(1)), lambda g: g < F.col("gpu_count"))
+        gpus = F.transform(idx, lambda g: F.struct(
+            g.cast("int").alias("gpu_index"),
+            ((rid * 7 + g * 31) % 101).cast("double").alias("utilization_percent"),
+            (30 + (rid + g * 13) % 60).cast("double").alias("temperature_celsius"),
+            (50 + (rid * 3 + g) % 300).cast("double").alias("power_watts"),
+            ((rid + g) % 24576).cast("bigint").alias("memory_used_mib")))
+        return F.when(F.col("has_system_metrics"), gpus).otherwise(F.array().cast(
+            "array<struct<gpu_index:int,utilization_percent:double,temperature_celsius:double,"
+            "power_watts:double,memory_used_mib:bigint>>"))
 
     @cached_property
     def processes_flat(self) -> DataFrame:
@@ -112,16 +128,8 @@ class Fixtures:
         """One row per GPU of a report that carries system metrics (fx_gpus). No join:
         the GPU list is generated inside the row."""
         r = self.reports_flat.filter("has_system_metrics")
-        idx = F.explode(F.filter(F.array(F.lit(0), F.lit(1)), lambda g: g < F.col("gpu_count")))
-        g = r.select("report_id", "node_id", "event_time", idx.alias("gpu_index"))
-        rid, gi = F.col("report_id"), F.col("gpu_index")
-        return g.select(
-            "report_id", "node_id", "event_time", gi.cast("int").alias("gpu_index"),
-            ((rid * 7 + gi * 31) % 101).cast("double").alias("utilization_percent"),
-            (30 + (rid + gi * 13) % 60).cast("double").alias("temperature_celsius"),
-            (50 + (rid * 3 + gi) % 300).cast("double").alias("power_watts"),
-            ((rid + gi) % 24576).cast("bigint").alias("memory_used_mib"),
-        )
+        return r.select("report_id", "node_id", "event_time", F.explode("gpus").alias("g")).select(
+            "report_id", "node_id", "event_time", "g.*")
 
     @cached_property
     def reports(self) -> DataFrame:
@@ -139,12 +147,12 @@ class Fixtures:
         with_md = F.transform("_p", lambda x: x.dropFields("pos").withField(
             "metadata", F.create_map().cast("map<string,string>")).withField("status", F.lit("valid")))
         procs = procs.select("report_id", with_md.alias("processes"))
-        gpu = F.struct(
-            "gpu_index", F.lit(None).cast("string").alias("gpu_name"), "utilization_percent",
-            "temperature_celsius", "power_watts", F.lit(None).cast("double").alias("power_limit_watts"),
-            "memory_used_mib", F.lit(None).cast("bigint").alias("memory_total_mib"))
-        gpus = self.gpus_flat.groupBy("report_id").agg(F.sort_array(F.collect_list(gpu)).alias("gpus"))
-        r = self.reports_flat.join(procs, "report_id", "left").join(gpus, "report_id", "left")
+        gpus = F.transform("gpus", lambda g: F.struct(
+            g["gpu_index"].alias("gpu_index"), F.lit(None).cast("string").alias("gpu_name"),
+            g["utilization_percent"].alias("utilization_percent"), g["temperature_celsius"].alias("temperature_celsius"),
+            g["power_watts"].alias("power_watts"), F.lit(None).cast("double").alias("power_limit_watts"),
+            g["memory_used_mib"].alias("memory_used_mib"), F.lit(None).cast("bigint").alias("memory_total_mib")))
+        r = self.reports_flat.join(procs, "report_id", "left").withColumn("gpus", gpus)
         sm = F.when(F.col("has_system_metrics"), F.struct(
             "cpu_usage_percent", "memory_usage_percent", "memory_used_bytes", "memory_total_bytes",
             F.coalesce("gpus", F.array().cast(GPU_ARRAY)).alias("gpus")))
