@@ -27,7 +27,10 @@ POINT_TABLES = ("node_status", "gpu_status", "process_status", "alerts", "reject
 
 
 def collect_batch(reports: DataFrame, config: dict) -> dict[str, DataFrame]:
-    """One micro-batch of decoded reports -> the output tables (all lazy)."""
+    """One micro-batch of decoded reports -> the output tables (all lazy). Text that was
+    not JSON is rejected as ``malformed_json`` (D-22) before any stage runs."""
+    if "_corrupt" in reports.columns:
+        reports = reports.withColumn("_reject_reason", F.when(F.col("_corrupt").isNotNull(), F.lit("malformed_json")))
     annotated = stages.run_collect(
         reports, config.get("stages"), config.get("process_fields"), config.get("comm_prefixes"),
         config.get("collect_agent_id", "collect_agent"), config.get("threshold_rules", ()),

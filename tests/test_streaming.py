@@ -29,6 +29,8 @@ def test_stream_equals_batch_and_restart(spark, tmp_dir):
     sink = os.path.join(tmp_dir, "out")
     ckpt = os.path.join(tmp_dir, "ckpt")
     t = write_report_files(spark, src)
+    with open(os.path.join(src, "junk.txt"), "w") as f:  # one line that is not JSON
+        f.write("{not json\n")
     q = jobs.points_stream(spark, ingest.read_report_stream(spark, src, 1), sink, CONFIG, ckpt)
     q.awaitTermination()
     got = spark.read.parquet(f"{sink}/process_status").drop("batch_id", "date")
@@ -39,6 +41,8 @@ def test_stream_equals_batch_and_restart(spark, tmp_dir):
     q2 = jobs.points_stream(spark, ingest.read_report_stream(spark, src, 1), sink, CONFIG, ckpt)
     q2.awaitTermination()
     assert spark.read.parquet(f"{sink}/process_status").count() == got.count()
+    rej = spark.read.parquet(f"{sink}/rejects")
+    assert rej.filter("_reject_reason = 'malformed_json'").count() == 1
     alerts = spark.read.parquet(f"{sink}/alerts")
     v = stages.validate(t.fx.reports)
     expected = v.select(stages.count_violations(v, THRESHOLD_RULES).alias("n")).agg(F.sum("n")).first()[0]
