@@ -1,5 +1,5 @@
-"""Plan-shape checks: no cartesian products or nested-loop joins anywhere, and parquet
-scans read only the needed columns."""
+"""Plan-shape checks: no cartesian products, nested-loop joins or Python evaluation
+anywhere, and parquet scans read only the needed columns."""
 
 import pytest
 
@@ -19,6 +19,9 @@ def test_no_cartesian(spark, key):
     plan = physical(QUERIES[key](spark, SF001))
     assert "CartesianProduct" not in plan
     assert "BroadcastNestedLoopJoin" not in plan
+    # everything stays JVM-side: no Python UDF or pandas operators in any plan
+    for op in ("BatchEvalPython", "ArrowEvalPython", "FlatMapGroupsInPandas", "MapInPandas", "PythonUDF"):
+        assert op not in plan
 
 
 def test_column_pruning_on_scan(spark):
