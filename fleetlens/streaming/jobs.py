@@ -160,3 +160,20 @@ def publish_files(reports: DataFrame, path: str, process_fields: Sequence[str] |
     """SNK-1 offline: the same JSON values as gzip-compressed text files (batch)."""
     ingest.encode_reports(reports, process_fields=process_fields).select("value") \
         .write.mode("overwrite").option("compression", "gzip").text(path)
+
+
+def gpu_rollup_stream(gpu_points: DataFrame, watermark: str = "10 minutes") -> DataFrame:
+    """STR-6 (b): the two-level GPU rollup (AGG-6) over a point stream: per-GPU hourly
+    means, then per node, chained on ``window_time`` so both stateful aggregates close
+    under the same watermark (append mode)."""
+    from ..functions.scalars import stable
+    p = gpu_points.withWatermark("ts", watermark)
+    per_gpu = p.groupBy(F.window("ts", "1 hour").alias("w"), "node_id", "gpu_index").agg(
+        F.avg("utilization_percent").alias("u"), F.avg("power_watts").alias("p"), F.avg("temperature_celsius").alias("t"))
+    per_gpu = per_gpu.select(F.window_time("w").alias("wt"), "node_id", "u", "p", "t")
+    node = per_gpu.groupBy(F.window("wt", "1 hour").alias("bucket_time"), "node_id").agg(
+        stable(F.avg(F.coalesce("u", F.lit(0.0)))).alias("avg_gpu_utilization"),
+        stable(F.greatest(F.max(F.coalesce("t", F.lit(0.0))), F.lit(0.0))).alias("max_gpu_temperature"),
+        stable(F.avg(F.coalesce("p", F.lit(0.0)))).alias("total_gpu_power_watts"),
+        F.count(F.lit(1)).alias("gpu_count"))
+    return node.withColumn("bucket_time", F.col("bucket_time.start"))
