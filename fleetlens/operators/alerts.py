@@ -14,7 +14,7 @@ from ..functions.scalars import MIB, age_text
 from .joins import checked_broadcast
 from .stages import node_metrics
 
-# Alert-rule resource -> collect-agent threshold metric (upper bounds only).
+# Alert-rule resource -> collector threshold metric (upper bounds only).
 RESOURCE_TO_METRIC = {
     "cpu": "cpu_usage_percent",
     "mem": "memory_usage_percent",

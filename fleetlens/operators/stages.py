@@ -1,4 +1,4 @@
-"""Collect-agent stages on nested reports.
+"""Collector-side stages on nested reports.
 
 Each stage is ``DataFrame -> DataFrame`` over report rows (``node_id, timestamp,
 processes: array<struct>, system_metrics: struct, ...``). All per-report work runs inside

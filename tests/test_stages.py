@@ -1,4 +1,4 @@
-"""Tier 1: collect-agent stages, thresholds, liveness and rules on hand-made rows."""
+"""Tier 1: collector-side stages, thresholds, liveness and rules on hand-made rows."""
 
 import pytest
 from pyspark.sql import functions as F
