@@ -334,7 +334,8 @@ def q_node_overview(t: Telemetry) -> DataFrame:
 
 
 @query("status_counts", sql("""
-SELECT COUNT(*) AS total, count_if(status = 'active') AS active, count_if(status = 'down') AS down, count_if(status = 'idle') AS idle,
+SELECT COUNT(*) AS total, CAST(count_if(status = 'active') AS BIGINT) AS active, CAST(count_if(status = 'down') AS BIGINT) AS down,
+  CAST(count_if(status = 'idle') AS BIGINT) AS idle,
   CASE WHEN COUNT(*) = 0 THEN 'Critical' WHEN count_if(status = 'active') / COUNT(*) >= 0.9 THEN 'Healthy'
        WHEN count_if(status = 'active') / COUNT(*) >= 0.6 THEN 'Degraded' ELSE 'Critical' END AS health
 FROM node_overview""", "node_overview"))
@@ -344,8 +345,8 @@ def q_status_counts(t: Telemetry) -> DataFrame:
 
 
 @query("config_counters", sql("""
-SELECT count_if(etcd_status = 'running') AS running, count_if(etcd_status = 'stopped') AS stopped,
-  count_if(etcd_loaded AND NOT etcd_synced) AS out_of_sync FROM config_drift""", "config_drift"))
+SELECT CAST(count_if(etcd_status = 'running') AS BIGINT) AS running, CAST(count_if(etcd_status = 'stopped') AS BIGINT) AS stopped,
+  CAST(count_if(etcd_loaded AND NOT etcd_synced) AS BIGINT) AS out_of_sync FROM config_drift""", "config_drift"))
 def q_config_counters(t: Telemetry) -> DataFrame:
     """AGG-24: running / stopped / out-of-sync settings counters."""
     return fleet.config_counters(q_config_drift(t))
@@ -903,7 +904,7 @@ def q_node_chart_fields(t: Telemetry) -> DataFrame:
 
 
 @query("cluster_health", sql("""
-SELECT COUNT(*) AS total, count_if(status = 'active') AS active,
+SELECT COUNT(*) AS total, CAST(count_if(status = 'active') AS BIGINT) AS active,
   CASE WHEN COUNT(*) = 0 THEN 'Critical' WHEN count_if(status = 'active') / COUNT(*) >= 0.9 THEN 'Healthy'
        WHEN count_if(status = 'active') / COUNT(*) >= 0.6 THEN 'Degraded' ELSE 'Critical' END AS health
 FROM node_overview""", "node_overview"))

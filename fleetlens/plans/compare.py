@@ -56,3 +56,20 @@ def compare(spark_cols, spark_rows, duck_cols, duck_rows) -> list[str]:
         diff = [(x, y) for x, y in zip(sk, dk) if x != y][:2]
         msgs.append(f"values differ e.g. {diff}")
     return msgs
+
+
+# Spark simple type -> DuckDB type name of the same values.
+DUCK_TYPES = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR",
+              "timestamp_ntz": "TIMESTAMP", "boolean": "BOOLEAN", "map<string,string>": "MAP(VARCHAR, VARCHAR)",
+              "date": "DATE"}
+
+
+def type_problems(df, con, sql_text: str) -> list[str]:
+    """Column types of a Spark result against the DuckDB result types of the oracle."""
+    duck = {r[0]: r[1] for r in con.execute(f"DESCRIBE {sql_text}").fetchall()}
+    out = []
+    for f in df.schema.fields:
+        s = DUCK_TYPES.get(f.dataType.simpleString(), f.dataType.simpleString())
+        if duck.get(f.name) != s:
+            out.append(f"type {f.name}: spark={s} duck={duck.get(f.name)}")
+    return out

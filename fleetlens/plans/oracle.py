@@ -71,7 +71,8 @@ SELECT event_id AS id, CASE WHEN event_id % 3 = 0 THEN 'UPDATE' WHEN event_id %
   'user_' || CAST(user_id AS VARCHAR) AS actor, ts AS created_at FROM events WHERE event_type = 'signup'""")
 
 cte("fx_collection_settings", """
-SELECT 'node_' || CAST(s_suppkey AS VARCHAR) AS node_id, 5 + (s_suppkey % 3) * 5 AS interval_seconds, 30 + (s_suppkey % 4) * 30 AS window_seconds,
+SELECT 'node_' || CAST(s_suppkey AS VARCHAR) AS node_id, CAST(5 + (s_suppkey % 3) * 5 AS INTEGER) AS interval_seconds,
+  CAST(30 + (s_suppkey % 4) * 30 AS INTEGER) AS window_seconds,
   'agent_' || CAST(s_suppkey % 5 AS VARCHAR) AS collect_agent FROM supplier WHERE s_suppkey % 2 = 0""")
 
 cte("fx_config_kv", """
@@ -119,7 +120,7 @@ FROM v_reports""", "v_reports")
 
 cte("gpu_points", """
 SELECT date_trunc('second', event_time) AS ts, node_id, report_id, CAST(gpu_index AS VARCHAR) AS gpu_index, 'unknown' AS gpu_name,
-  utilization_percent, temperature_celsius, power_watts, 0.0 AS power_limit_watts, CAST(memory_used_mib AS BIGINT) AS memory_used_mib,
+  utilization_percent, temperature_celsius, power_watts, CAST(0.0 AS DOUBLE) AS power_limit_watts, CAST(memory_used_mib AS BIGINT) AS memory_used_mib,
   CAST(0 AS BIGINT) AS memory_total_mib
 FROM fx_gpus WHERE report_id IN (SELECT report_id FROM v_reports WHERE sm_ok)""", "fx_gpus", "v_reports")
 

@@ -4,7 +4,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as E
-from fleetlens.plans.compare import compare
+from fleetlens.plans.compare import compare, type_problems
 from fleetlens.sources.fixtures import TABLES
 
 from .conftest import SF001
@@ -33,7 +33,7 @@ def test_matches_oracle(spark, con, key):
     rows = df.collect()
     res = con.execute(ORACLE[key])
     dcols = [d[0] for d in res.description]
-    problems = compare(df.columns, rows, dcols, res.fetchall())
+    problems = compare(df.columns, rows, dcols, res.fetchall()) + type_problems(df, con, ORACLE[key])
     assert not problems, problems
 
 
