@@ -65,3 +65,16 @@ def test_append_if_absent_on_stored_table(spark, tmp_dir):
     rollup.write_rollup(h, os.path.join(tmp_dir, "w"))
     rollup.write_rollup(h, os.path.join(tmp_dir, "w"))  # dynamic overwrite of the same days
     assert spark.read.parquet(os.path.join(tmp_dir, "w")).count() == n1
+
+
+def test_first_write_wins_values(spark, tmp_dir):
+    import os
+    from fleetlens.operators import rollup
+    t = Telemetry(spark, SF001)
+    path = os.path.join(tmp_dir, "uah")
+    keys = ["bucket_time", "node_id", "uid", "comm"]
+    first, second = t.user_app_hourly("sum"), t.user_app_hourly("spread")
+    rollup.append_if_absent(first, path, keys)
+    rollup.append_if_absent(second, path, keys)      # same keys, other values: ignored
+    stored = spark.read.parquet(path).drop("date")
+    assert rows_key(stored.select(*first.columns).collect()) == rows_key(first.collect())
