@@ -102,6 +102,9 @@ class FMIndex:
         low, high = np.zeros(count, np.int64), np.full(count, self.n, np.int64)
         for j in range(length - 1, -1, -1):
             c = symbol_at(j, which)
+            known = c < len(self.shift)  # the text may lack the largest symbols
+            if not known.all():
+                which, low, high, c = which[known], low[known], high[known], c[known]
             low, high = self.step(c, low), self.step(c, high)
             alive = high - low >= least
             which, low, high = which[alive], low[alive], high[alive]
