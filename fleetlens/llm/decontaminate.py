@@ -176,6 +176,7 @@ def find_benchmark(docs: DataFrame, benchmark: DataFrame, text_col: str = "text"
                    item_text_col: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """``docs`` with n_words, spans (merged word spans [begin, end) of benchmark text) and items
     (ids, as strings, of the items with occurring windows)."""
+    K.ship(docs.sparkSession)
     names = {f.name for f in FOUND}
     out = docs.select(*[c for c in docs.columns if c not in names])
     for items in _blocks(benchmark, item_col, item_text_col, block_bytes):

@@ -8,7 +8,9 @@ Word identity is a 64-bit hash of the word's bytes.
 
 from __future__ import annotations
 
+import os
 import re
+import shutil
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -117,6 +119,18 @@ def row_of(bounds: np.ndarray) -> np.ndarray:
     return np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
 
 
+def ship(spark) -> None:
+    """Send this package to the Python workers once per application, for sessions whose executors
+    don't have it on their path (a no-op when it was itself installed from an archive)."""
+    context = spark.sparkContext
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    if getattr(context, "_fleetlens_shipped", False) or not os.path.isdir(os.path.join(root, "fleetlens")):
+        return
+    archive = os.path.join(tempfile.mkdtemp(prefix="fleetlens-ship-"), "fleetlens")
+    context.addPyFile(shutil.make_archive(archive, "zip", root, "fleetlens"))
+    context._fleetlens_shipped = True
+
+
 def keyed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, text) with one row per non-null id, for operators that join on the id.
 
