@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fleetlens.llm import decontaminate, quality_rules, substring
+from fleetlens.llm import decontaminate, ngram_join, quality_rules, substring
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,6 +19,10 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.digest(quality_rules.clean_lines(docs))
 
 
+def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.digest(ngram_join.near_classes(_table(spark, sf_dir, "documents")))
+
+
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.digest(substring.repeated_passages(_table(spark, sf_dir, "documents")))
 
@@ -30,12 +34,14 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_quality_rules": op3_quality_rules,
+    "op6_ngram_join": op6_ngram_join,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_decontaminate": op10_decontaminate,
 }
 
 ORACLE: dict[str, str] = {
     "op3_quality_rules": quality_rules.ORACLE,
+    "op6_ngram_join": ngram_join.ORACLE,
     "op9_substring_dedup": substring.ORACLE,
     "op10_decontaminate": decontaminate.ORACLE,
 }
