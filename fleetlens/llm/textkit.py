@@ -146,6 +146,17 @@ def keyed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return d
 
 
+def one_row_per_id(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with rows that share a non-null id reduced to the one with the largest text (as in
+    ``keyed_documents``); rows without id stay as they are."""
+    named = docs.where(F.col(id_col).isNotNull())
+    if not named.groupBy(id_col).count().where("count > 1").limit(1).count():
+        return docs
+    row = F.struct(F.coalesce(F.col(text_col), F.lit("")).alias("__text"), F.struct(*docs.columns).alias("__row"))
+    best = named.groupBy(F.col(id_col).alias("__id")).agg(F.max(row).alias("__best")).select("__best.__row.*")
+    return best.unionByName(docs.where(F.col(id_col).isNull()))
+
+
 def shared_folder(spark) -> str:
     """The folder named in ``spark.checkpoint.dir``, which driver and executors share. Where it is
     unset, a local session (one JVM, as in tests) gets a folder of its own and any other an error."""
