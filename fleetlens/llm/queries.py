@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fleetlens.llm import decontaminate, html_extract, line_align, ngram_join, quality_rules, substring
+from fleetlens.llm import decontaminate, html_extract, line_align, ngram_join, quality_model, quality_rules, substring
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +23,10 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.digest(quality_rules.clean_lines(docs))
 
 
+def op4_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_model.score(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     return line_align.dedup_lines(docs).select("doc_id", "n_lines", "n_removed_lines", "earlier", "text")
@@ -44,6 +48,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_html_extract": op1_html_extract,
     "op3_quality_rules": op3_quality_rules,
+    "op4_quality_model": op4_quality_model,
     "op5_line_dedup": op5_line_dedup,
     "op6_ngram_join": op6_ngram_join,
     "op9_substring_dedup": op9_substring_dedup,
