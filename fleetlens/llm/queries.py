@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fleetlens.llm import decontaminate, html_extract, line_align, ngram_join, quality_model, quality_rules, substring
+from fleetlens.llm import decontaminate, html_extract, line_align, mixing, ngram_join, quality_model, quality_rules, substring
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,6 +36,10 @@ def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.digest(ngram_join.near_classes(_table(spark, sf_dir, "documents")))
 
 
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.digest(mixing.mix(_table(spark, sf_dir, "documents")))
+
+
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.digest(substring.repeated_passages(_table(spark, sf_dir, "documents")))
 
@@ -51,6 +55,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_quality_model": op4_quality_model,
     "op5_line_dedup": op5_line_dedup,
     "op6_ngram_join": op6_ngram_join,
+    "op8_mixing": op8_mixing,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_decontaminate": op10_decontaminate,
 }
@@ -58,6 +63,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLE: dict[str, str] = {
     "op3_quality_rules": quality_rules.ORACLE,
     "op6_ngram_join": ngram_join.ORACLE,
+    "op8_mixing": mixing.ORACLE,
     "op9_substring_dedup": substring.ORACLE,
     "op10_decontaminate": decontaminate.ORACLE,
 }
