@@ -6,8 +6,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from fleetlens.llm import decontaminate, html_extract, line_align, mixing, ngram_join, quality_model, quality_rules, substring
+from fleetlens.llm import decontaminate, html_extract, language_id, line_align, mixing
+from fleetlens.llm import ngram_join, quality_model, quality_rules, substring
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,6 +38,12 @@ def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.digest(ngram_join.near_classes(_table(spark, sf_dir, "documents")))
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    found = language_id.identify(docs, F.col("text"), declared=F.col("lang"), host=F.col("source"))
+    return found.select("doc_id", "language", "posterior", "text_language", "n_trigrams", "accepted")
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.digest(mixing.mix(_table(spark, sf_dir, "documents")))
 
@@ -55,6 +63,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_quality_model": op4_quality_model,
     "op5_line_dedup": op5_line_dedup,
     "op6_ngram_join": op6_ngram_join,
+    "op7_language_id": op7_language_id,
     "op8_mixing": op8_mixing,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_decontaminate": op10_decontaminate,
