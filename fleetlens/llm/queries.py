@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetlens.llm import decontaminate, html_extract, language_id, line_align, mixing
+from fleetlens.llm import decontaminate, html_extract, language_id, license_scan, line_align, mixing
 from fleetlens.llm import ngram_join, quality_model, quality_rules, substring
 
 
@@ -20,6 +20,12 @@ def op1_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract(_table(spark, sf_dir, "pages"), keep=["page_id", "url"])
 
 
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents have no paths; theirs are source / thousand of the id / id."""
+    path = F.concat_ws("/", "source", F.floor(F.col("doc_id") / 1000).cast("string"), F.col("doc_id").cast("string"))
+    return license_scan.scan(_table(spark, sf_dir, "documents"), path, F.col("text"), keep=["doc_id"])
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     return quality_rules.digest(quality_rules.clean_lines(docs))
@@ -59,6 +65,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_html_extract": op1_html_extract,
+    "op2_license_scan": op2_license_scan,
     "op3_quality_rules": op3_quality_rules,
     "op4_quality_model": op4_quality_model,
     "op5_line_dedup": op5_line_dedup,
