@@ -12,9 +12,9 @@ and consecutive windows with one minimizer travel together as a segment.
    segments in corpus order and streams their windows through it: backward search gives each
    window its interval, and sampled suffix positions locate its first occurrence. A window stays
    only at its first occurrence.
-4. A minimizer with more than ``HOT`` different segments would be one long shard; its windows
-   become segments of their own and are combined by their whole content instead, which leaves
-   one row per window and map task whatever the size of the group.
+4. A minimizer that occurs more than ``HOT`` times could make one long shard; the windows of its
+   different segments become segments of their own and are combined by their whole content
+   instead, which leaves one row per window and map task whatever the size of the group.
 5. Per document, words covered by a removed window go.
 
 Defined results: null and empty texts have no words; documents of under 20 words lose nothing; a
@@ -107,15 +107,16 @@ def _content_task(batches):
         offs = np.asarray(segs.offsets)
         flat = segs.values
         start, n, key = (np.asarray(flat.field(f)) for f in ("start", "n", "key"))
+        hot = flat.field("hot")
         for lo, buf, starts, ends, bounds in _words(batch.column("text")):
             rows = len(bounds) - 1
             pick, owner = expand(offs[lo : lo + rows], offs[lo + 1 : lo + rows + 1])
             data, at = joined_words(buf, starts, ends)
             w = bounds[owner] + start[pick]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(key[pick]), slices(data, at[w], at[w + n[pick]] - 1),
+                [pa.array(key[pick]), hot.take(pa.array(pick)), slices(data, at[w], at[w + n[pick]] - 1),
                  batch.column("doc_id").take(pa.array(owner + lo)), pa.array(start[pick]), pa.array(n[pick])],
-                names=["key", "content", "doc_id", "start", "n"])
+                names=["key", "hot", "content", "doc_id", "start", "n"])
 
 
 def first_windows(contents: pa.Array) -> np.ndarray:
@@ -259,21 +260,24 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         return T.StructType([T.StructField(k, v) for k, v in fields.items()])
 
     cut = docs.mapInArrow(_segment_task, schema(doc_id=kind, start=int_, n=int_, key=long_, times=long_))
-    again = cut.groupBy("key").agg(F.sum("times").alias("times")).where("times > 1").select("key")
-    listed = cut.join(again, "key").groupBy("doc_id").agg(F.collect_list(F.struct("start", "n", "key")).alias("segs"))
+    again = cut.groupBy("key").agg(F.sum("times").alias("times")).where("times > 1")
+    again = again.select("key", (F.col("times") > HOT).alias("hot"))
+    listed = cut.select("doc_id", "start", "n", "key").join(again, "key")
+    listed = listed.groupBy("doc_id").agg(F.collect_list(F.struct("start", "n", "key", "hot")).alias("segs"))
     listed = K.written(listed)
 
+    flag = T.BooleanType()
     contents = docs.join(listed, "doc_id").mapInArrow(
-        _content_task, schema(key=long_, content=T.StringType(), doc_id=kind, start=int_, n=int_))
-    distinct = contents.groupBy("key", "content", "n").agg(F.min(F.struct("doc_id", "start")).alias("first"))
-    distinct = distinct.select("key", "content", "n", "first.doc_id", "first.start")
-    hot = distinct.groupBy("key").count().where(F.col("count") > HOT).select("key", F.lit(True).alias("hot"))
-    flagged = distinct.join(hot, "key", "left")
+        _content_task, schema(key=long_, hot=flag, content=T.StringType(), doc_id=kind, start=int_, n=int_))
+    # hot is one value per key; as an aggregate it lets both uses below share one shuffle
+    distinct = contents.groupBy("key", "content", "n").agg(
+        F.min(F.struct("doc_id", "start")).alias("first"), F.max("hot").alias("hot"))
+    distinct = distinct.select("key", "hot", "content", "n", "first.doc_id", "first.start")
 
-    shards = flagged.where("hot is null").select("key", "content", "n", "doc_id", "start")
+    shards = distinct.where("not hot").select("key", "content", "n", "doc_id", "start")
     found = shards.repartition("key").sortWithinPartitions("key").mapInArrow(
         _shard_task, schema(doc_id=kind, start=int_, keep=long_))
-    windows = flagged.where("hot").mapInArrow(_window_task, schema(content=T.StringType(), doc_id=kind, start=int_))
+    windows = distinct.where("hot").mapInArrow(_window_task, schema(content=T.StringType(), doc_id=kind, start=int_))
     single = windows.groupBy("content").agg(F.min(F.struct("doc_id", "start")).alias("first"))
     found = found.unionByName(single.select("first.doc_id", "first.start", F.lit(1).cast("long").alias("keep")))
 
