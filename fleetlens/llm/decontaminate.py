@@ -178,7 +178,7 @@ def find_benchmark(docs: DataFrame, benchmark: DataFrame, text_col: str = "text"
     (ids, as strings, of the items with occurring windows)."""
     K.ship(docs.sparkSession)
     names = {f.name for f in FOUND}
-    out = docs.select(*[c for c in docs.columns if c not in names])
+    out = docs.select(*K.named([c for c in docs.columns if c not in names]))
     for items in _blocks(benchmark, item_col, item_text_col, block_bytes):
         passing = [f for f in out.schema.fields if f.name not in names]
         schema = T.StructType(passing + FOUND)

@@ -255,4 +255,4 @@ def extract(pages: DataFrame, html_col: str = "html", keep: list[str] | None = N
                         pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.int64())]
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in own), *cols], names=[*own, *MADE])
 
-    return pages.select(*own, html_col).mapInArrow(task, schema)
+    return pages.select(*K.named([*own, html_col])).mapInArrow(task, schema)

@@ -187,14 +187,14 @@ def identify(docs: DataFrame, text: Column, declared: Column | None = None, host
     none = F.lit(None).cast("string")
     n = len(languages)
     parts = [c if c is not None else none for c in (declared, host, suffix)]
-    rows = docs.select(*own, F.coalesce(text, F.lit("")).alias("__text"), *(
+    rows = docs.select(*K.named(own), F.coalesce(text, F.lit("")).alias("__text"), *(
         c.cast("string").alias(f"__{name}") for c, name in zip(parts, ("declared", "host", "suffix"))))
     model = trigram_model(rows, languages)
 
     def scored(passing: list[str]) -> DataFrame:
         schema = T.StructType([*(rows.schema[c] for c in passing), T.StructField("__log", T.ArrayType(T.DoubleType())),
                                T.StructField("__n", T.LongType())])
-        return rows.select(*dict.fromkeys([*passing, "__text"])).mapInArrow(_text_task(model, passing), schema)
+        return rows.select(*K.named(dict.fromkeys([*passing, "__text"]))).mapInArrow(_text_task(model, passing), schema)
 
     keys = ["__declared", "__host", "__suffix"]
     said = scored(keys).where("__n > 0").select(
@@ -215,6 +215,6 @@ def identify(docs: DataFrame, text: Column, declared: Column | None = None, host
     some = F.col("__n") > 0
     posterior = F.when(some, 1 / odds)
     return out.select(
-        *own, F.when(some, F.get(names, F.col("__best"))).alias("language"), posterior.alias("posterior"),
+        *K.named(own), F.when(some, F.get(names, F.col("__best"))).alias("language"), posterior.alias("posterior"),
         F.when(some, F.get(names, _best(F.col("__log")))).alias("text_language"), F.col("__n").alias("n_trigrams"),
         F.coalesce(posterior >= LEAST_POSTERIOR, F.lit(False)).alias("accepted"))

@@ -163,7 +163,7 @@ def scan(files: DataFrame, path: Column, text: Column, keep: list[str] | None =
     made = ["path", "own_license", "score", "is_license_file", "license", "inherited_from"]
     own = [c for c in (keep if keep is not None else files.columns) if c not in made]
     clean = F.regexp_replace(F.regexp_replace(F.coalesce(path, F.lit("")), r"/+", "/"), r"^/|/$", "")
-    rows = files.select(*own, clean.alias("__path"), F.coalesce(text, F.lit("")).alias("__text"))
+    rows = files.select(*K.named(own), clean.alias("__path"), F.coalesce(text, F.lit("")).alias("__text"))
     scanner = Scanner()
     counted = rows.select("__text").mapInArrow(_frequency_task(scanner), "symbol long, n long")
     counts = dict(counted.groupBy("symbol").agg(F.sum("n")).collect())  # one row per template word
@@ -178,7 +178,7 @@ def scan(files: DataFrame, path: Column, text: Column, keep: list[str] | None =
                            T.StructField("score", T.DoubleType()), T.StructField("__whole", T.DoubleType())])
     found = rows.mapInArrow(_scan_task(scanner, passing), schema)
     is_file = F.col("own_license").isNotNull() & (F.col("__path").rlike(FILE_NAME) | (F.col("__whole") >= LEAST_FILE))
-    found = K.written(found.select(*passing, _directory(F.col("__path")).alias("__dir"), "own_license", "score",
+    found = K.written(found.select(*K.named(passing), _directory(F.col("__path")).alias("__dir"), "own_license", "score",
                                    is_file.alias("is_license_file")))
 
     best = F.min(F.struct((-F.col("score")).alias("s"), F.col("own_license").alias("name")))
@@ -189,6 +189,6 @@ def scan(files: DataFrame, path: Column, text: Column, keep: list[str] | None =
         F.max(F.struct("__depth", "__from", "__license")).alias("__near"))
     out = found.join(nearest, "__dir", "left")
     takes = F.col("own_license").isNull()
-    return out.select(*own, F.col("__path").alias("path"), "own_license", "score", "is_license_file",
+    return out.select(*K.named(own), F.col("__path").alias("path"), "own_license", "score", "is_license_file",
                       F.coalesce("own_license", "__near.__license").alias("license"),
                       F.when(takes, F.col("__near.__from")).alias("inherited_from"))

@@ -172,7 +172,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     earlier; ``n_chars``, where there is one, is counted anew for texts that changed."""
     made = {"n_lines": T.LongType(), "n_removed_lines": T.LongType(), "earlier": T.ArrayType(docs.schema[id_col].dataType)}
     own = [c for c in docs.columns if c not in made]
-    docs = K.one_row_per_id(docs.select(*own), id_col, text_col)
+    docs = K.one_row_per_id(docs.select(*K.named(own)), id_col, text_col)
     found = repeated_lines(docs, id_col, text_col).select(
         F.col("doc_id").alias("__id"), F.col("earlier").alias("__earlier"), F.col("blocks").alias("__blocks"))
     schema = T.StructType([*(docs.schema[c] for c in own), *(T.StructField(k, v) for k, v in made.items())])

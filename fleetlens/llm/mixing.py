@@ -79,7 +79,7 @@ def mix(docs: DataFrame, domain: Column | None = None, budget_share: float = BUD
         max_epochs: int = MAX_EPOCHS, seed: int = SEED, text_col: str = "text") -> DataFrame:
     """The selected rows of ``docs``, once per epoch, with domain, n_tokens (words) and epoch."""
     made = ["domain", "n_tokens", "epoch"]
-    own = [c for c in docs.columns if c not in made]
+    own = K.named([c for c in docs.columns if c not in made])
     domain = source_family(F.col("source")) if domain is None else domain
     words = F.size(F.regexp_extract_all(F.coalesce(text_col, F.lit("")), F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0)))
     leaf = [F.coalesce(c, F.lit("")).alias(f"__{n}") for n, c in zip(LEVELS, (domain, F.col("lang"), F.col("source")))]

@@ -19,6 +19,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fleetlens.llm import textkit as K
+
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 MAX_LOST_PERCENT = 30
@@ -88,7 +90,7 @@ def clean_lines(docs: DataFrame, text_col: str = "text") -> DataFrame:
     characters and lines lost, ``base_failed`` and ``kept``."""
     made = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_lost_lines",
             "lost_chars", "clean_text", "base_failed", "kept"]
-    own = [c for c in docs.columns if c not in made]
+    own = K.named([c for c in docs.columns if c not in made])
     text = F.col("__text")
     words, lines, good = F.col("__words"), F.col("__lines"), F.col("__good")
     d = docs.select(*own, F.coalesce(F.col(text_col), F.lit("")).alias("__text"))

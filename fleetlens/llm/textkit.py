@@ -17,7 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 U64 = np.uint64
@@ -119,6 +119,11 @@ def row_of(bounds: np.ndarray) -> np.ndarray:
     return np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
 
 
+def named(names: list[str]) -> list[Column]:
+    """Columns by their exact names, dots and backquotes in them included."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in names]
+
+
 def ship(spark) -> None:
     """Send this package to the Python workers once per application, for sessions whose executors
     don't have it on their path (a no-op when it was itself installed from an archive)."""
@@ -149,11 +154,11 @@ def keyed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def one_row_per_id(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with rows that share a non-null id reduced to the one with the largest text (as in
     ``keyed_documents``); rows without id stay as they are."""
-    named = docs.where(F.col(id_col).isNotNull())
-    if not named.groupBy(id_col).count().where("count > 1").limit(1).count():
+    known = docs.where(F.col(id_col).isNotNull())
+    if not known.groupBy(id_col).count().where("count > 1").limit(1).count():
         return docs
-    row = F.struct(F.coalesce(F.col(text_col), F.lit("")).alias("__text"), F.struct(*docs.columns).alias("__row"))
-    best = named.groupBy(F.col(id_col).alias("__id")).agg(F.max(row).alias("__best")).select("__best.__row.*")
+    row = F.struct(F.coalesce(F.col(text_col), F.lit("")).alias("__text"), F.struct(*named(docs.columns)).alias("__row"))
+    best = known.groupBy(F.col(id_col).alias("__id")).agg(F.max(row).alias("__best")).select("__best.__row.*")
     return best.unionByName(docs.where(F.col(id_col).isNull()))
 
 
