@@ -47,15 +47,20 @@ def oncpu_from_switches(switches: DataFrame, attribution: str = "lag", bucket_un
 
 
 def process_lifecycle(events: DataFrame) -> DataFrame:
-    """HST-2: per (node, pid): parent from the first fork, comm from the last exec,
-    exited if an exit was seen. Input ``(node_id, ts, seq, type, pid, ppid, comm)``."""
-    g = events.groupBy("node_id", "pid").agg(
-        F.min_by(F.when(F.col("type") == "fork", F.col("ppid")),
-                 F.when(F.col("type") == "fork", F.struct("ts", "seq"))).alias("ppid"),
-        F.max_by(F.when(F.col("type") == "exec", F.col("comm")),
-                 F.when(F.col("type") == "exec", F.struct("ts", "seq"))).alias("comm"),
-        F.bool_or(F.col("type") == "exit").alias("exited"))
-    return g
+    """HST-2: per (node, pid) the state after its last fork, which starts the pid anew:
+    parent and comm from that fork, comm replaced by each exec until the first exit after
+    it, exited if there is such an exit. Exec and exit without a live fork change nothing.
+    Input ``(node_id, ts, seq, type, pid, ppid, comm)``."""
+    k = ["node_id", "pid"]
+    at = F.struct("ts", "seq")
+    fork = events.filter(F.col("type") == "fork").groupBy(*k).agg(F.max(F.struct("ts", "seq", "ppid", "comm")).alias("f"))
+    later = events.filter(F.col("type").isin("exec", "exit")).join(fork, k)
+    later = later.filter(at > F.struct("f.ts", "f.seq")).select(*k, "type", "ts", "seq", "comm")
+    end = later.filter(F.col("type") == "exit").groupBy(*k).agg(F.min(at).alias("e"))
+    execs = later.filter(F.col("type") == "exec").join(end, k, "left").filter(F.col("e").isNull() | (at < F.col("e")))
+    comm = execs.groupBy(*k).agg(F.max(F.struct("ts", "seq", "comm")).alias("x"))
+    return fork.join(end, k, "left").join(comm, k, "left").select(
+        *k, F.col("f.ppid").alias("ppid"), F.coalesce("x.comm", "f.comm").alias("comm"), F.col("e").isNotNull().alias("exited"))
 
 
 def _syscall_bytes(syscalls: DataFrame, a: list[str], b: list[str], na: str, nb: str) -> DataFrame:
@@ -154,19 +159,23 @@ def gpu_proc_csv_parse(lines: DataFrame) -> DataFrame:
     return out.filter(F.col("pid").isNotNull() & F.col("used_memory_mib").isNotNull())
 
 
-def merge_process_samples(cpu: DataFrame, disk: DataFrame, net: DataFrame, ram: DataFrame, gpu: DataFrame) -> DataFrame:
+def merge_process_samples(cpu: DataFrame, disk: DataFrame, net: DataFrame, ram: DataFrame, gpu: DataFrame,
+                          lifecycle: DataFrame) -> DataFrame:
     """JON-9 / HST-8: per (node, pid) merge; the CPU table drives, missing values -> 0 /
-    ''. All inputs are aggregated by (node, pid), so the four left joins share one hash
-    partitioning."""
+    '' / not exited. ``gpu`` gives the process name next to its memory, ``lifecycle`` the
+    parent and the exit. All inputs are aggregated by (node, pid), so the left joins share
+    one hash partitioning."""
     k = ["node_id", "pid"]
     j = (cpu.join(disk, k, "left").join(net, k, "left").join(ram, k, "left")
-            .join(gpu.select(*k, F.col("used_memory_mib").alias("gpu_used_memory_mib")), k, "left"))
+            .join(gpu.select(*k, "process_name", F.col("used_memory_mib").alias("gpu_used_memory_mib")), k, "left")
+            .join(lifecycle.select(*k, "ppid", "exited"), k, "left"))
     z = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("bigint")
     return j.select(*k, z("cpu_ontime_ns").alias("cpu_ontime_ns"), F.coalesce("uid", F.lit(-1)).cast("bigint").alias("uid"),
                     F.coalesce("comm", F.lit("")).alias("comm"), z("read_bytes").alias("read_bytes"),
                     z("write_bytes").alias("write_bytes"), z("net_rx_bytes").alias("net_rx_bytes"),
                     z("net_tx_bytes").alias("net_tx_bytes"), z("avg_rss_bytes").alias("avg_rss_bytes"),
-                    z("gpu_used_memory_mib").alias("gpu_used_memory_mib"))
+                    z("gpu_used_memory_mib").alias("gpu_used_memory_mib"), z("ppid").alias("ppid"),
+                    F.coalesce("process_name", F.lit("")).alias("process_name"), F.coalesce("exited", F.lit(False)).alias("exited"))
 
 
 def active_exited_union(active: DataFrame, exited: DataFrame) -> DataFrame:

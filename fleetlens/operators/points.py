@@ -93,15 +93,15 @@ def process_points(procs: DataFrame, report_key: Sequence[str] = ("report_id",))
 def series_dedup(points: DataFrame, tags: Sequence[str], ts: str = "ts", order_by: str | None = None) -> DataFrame:
     """SNK-3: a later point with the same tags and second replaces the earlier one.
 
-    Keeps the row with the greatest ``order_by`` (ingest order) per (tags, second).
-    Expressed as a group-by with ``max_by`` rather than a window: partial aggregation keeps
-    a hot series from landing in one task as whole rows."""
+    Keeps the row with the greatest ``order_by`` (ingest order, distinct within a key) per
+    (tags, second). Each field is a ``max_by`` of its own, so a numeric table is a hash
+    aggregate (a struct would force sorting), and partial aggregation keeps a hot series
+    from landing in one task as whole rows."""
     key = [*tags, ts]
     fields = [c for c in points.columns if c not in key and c != order_by]
     if order_by is None:
         raise ValueError("series_dedup needs an ingest-order column")
-    agg = points.groupBy(*key).agg(F.max_by(F.struct(*fields), F.col(order_by)).alias("_last"))
-    return agg.select(*key, "_last.*")
+    return points.groupBy(*key).agg(*[F.max_by(c, order_by).alias(c) for c in fields], F.max(order_by).alias(order_by))
 
 
 # Node-page chart fields (key, divisor, decimals). Bytes are shown in MB.

@@ -5,13 +5,14 @@ fields (D-3): ``"spread"`` reproduces the reference (max - min of the per-window
 inside the hour) and ``"sum"`` gives true totals of per-window deltas.
 
 Plan shape: one hash aggregate per (hour, node, uid, comm) feeds both the app rollup and the
-node IO totals; node, GPU and IO aggregates are all keyed by (hour, node) so their joins
-reuse one hash partitioning. Partial aggregation runs before every shuffle, so a hot node
+node IO totals; node, GPU and IO aggregates are all keyed by (hour, node) and meet in one
+last group-by over stacked rows. Partial aggregation runs before every shuffle, so a hot node
 or app never moves its raw rows into one task.
 """
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -124,11 +125,17 @@ def node_hourly_core(node_points: DataFrame, bucket: Column | None = None) -> Da
 def node_status_hourly(node_points: DataFrame, gpu_points: DataFrame, proc_points: DataFrame,
                        mode: str = "spread") -> DataFrame:
     """JON-14 + JON-11: node keys are the union of the node and GPU aggregates (missing
-    parts -> 0); IO totals attach only to nodes already present (left join)."""
-    core = node_hourly_core(node_points)
-    gpu = gpu_hourly(gpu_points).drop("gpu_count")
-    io = node_io_hourly(proc_points, mode)
-    j = core.join(gpu, NODE_KEYS, "full").join(io, NODE_KEYS, "left")
+    parts -> 0); IO totals attach only to nodes already present.
+
+    The three aggregates hold at most one row per key, so they are stacked and grouped once
+    more instead of joined: filters on the hour or the node then reach every branch's scan,
+    and all branches share one hash partitioning."""
+    parts = [node_hourly_core(node_points).withColumn("present", F.lit(1)),
+             gpu_hourly(gpu_points).drop("gpu_count").withColumn("present", F.lit(1)),
+             node_io_hourly(proc_points, mode)]
+    both = parts[0].unionByName(parts[1], allowMissingColumns=True).unionByName(parts[2], allowMissingColumns=True)
+    values = [c for c in both.columns if c not in NODE_KEYS]
+    j = both.groupBy(*NODE_KEYS).agg(*[F.max(c).alias(c) for c in values]).filter("present = 1")
     z = lambda c, t: F.coalesce(F.col(c), F.lit(0).cast(t))
     return j.select(
         *NODE_KEYS,
@@ -175,21 +182,45 @@ def window_aggregate(proc_points: DataFrame, width: str = "5 minutes") -> DataFr
                  F.sum("process_count").cast("bigint").alias("process_count"))
 
 
+def _dated(df: DataFrame, time_col: str) -> DataFrame:
+    return df.withColumns({"date": F.to_date(time_col), "hour": F.hour(time_col)})
+
+
 def write_rollup(df: DataFrame, path: str, time_col: str = "bucket_time") -> None:
-    """Store a rollup as parquet partitioned by ``date``; dynamic partition overwrite
-    replaces exactly the days being recomputed (idempotent reruns and backfills)."""
-    (df.withColumn("date", F.to_date(time_col)).write.mode("overwrite")
-       .option("partitionOverwriteMode", "dynamic").partitionBy("date").parquet(path))
+    """Store a rollup as parquet partitioned by ``date`` and ``hour``; dynamic partition
+    overwrite replaces exactly the hours in ``df`` (idempotent reruns and backfills) and
+    leaves the day's other hours as they are."""
+    (_dated(df, time_col).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        .partitionBy("date", "hour").parquet(path))
 
 
-def append_if_absent(new: DataFrame, path: str, keys: list[str], time_col: str = "bucket_time") -> None:
-    """SNK-4 against a stored table: append only keys not yet present (first write wins).
-    Only the days touched by ``new`` are read back (partition pruning on ``date``)."""
-    spark = new.sparkSession
-    days = new.select(F.to_date(time_col).alias("date")).distinct()
+def _stored(spark, path: str) -> DataFrame | None:
+    """The table at ``path``, or None where nothing is stored yet. Any other failure
+    (permissions, a broken store) is an error: appending blindly would undo first-write-wins."""
     try:
-        existing = spark.read.parquet(path).join(F.broadcast(days), "date", "left_semi")
-    except Exception:  # noqa: BLE001 - first write: nothing stored yet
-        existing = None
-    out = new if existing is None else insert_if_absent(new, existing, keys)
-    out.withColumn("date", F.to_date(time_col)).write.mode("append").partitionBy("date").parquet(path)
+        return spark.read.parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() == "PATH_NOT_FOUND":
+            return None
+        raise
+
+
+def append_if_absent(new: DataFrame, path: str, keys: list[str], time_col: str = "bucket_time",
+                     overwrite: bool = False) -> None:
+    """SNK-4 against a stored table: append only keys not yet present (first write wins).
+    Rows of ``new`` that share a key count once (the smallest row). ``overwrite=True``
+    replaces the hours of ``new`` instead, which is how late data reaches a stored rollup.
+
+    Only the date range of ``new`` is read back (partition pruning on ``date``)."""
+    rest = [c for c in new.columns if c not in keys]
+    once = new.groupBy(*keys).agg(F.min(F.struct(*rest)).alias("_r")).select(*keys, "_r.*").select(*new.columns)
+    if overwrite:
+        write_rollup(once, path, time_col)
+        return
+    existing = _stored(new.sparkSession, path)
+    if existing is not None:
+        first, last = new.agg(F.min(F.to_date(time_col)), F.max(F.to_date(time_col))).first()
+        if first is None:
+            return
+        once = insert_if_absent(once, existing.filter(F.col("date").between(F.lit(first), F.lit(last))), keys)
+    _dated(once, time_col).write.mode("append").partitionBy("date", "hour").parquet(path)

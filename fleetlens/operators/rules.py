@@ -52,7 +52,8 @@ def derive_expression(text: str, resource: str, columns: Sequence[str]) -> Colum
     """Compile a derive expression over ``value`` and the listed columns."""
     if resource not in RESOURCE_SQL:
         raise RuleError(f"unknown resource {resource!r}")
-    out, pos, s = [], 0, text or ""
+    out: list[Column | str] = []  # operands as columns, operators and parentheses as text
+    pos, s = 0, text or ""
     while pos < len(s):
         m = _DERIVE_TOKEN.match(s, pos)
         if not m or m.end() == pos:
@@ -62,17 +63,55 @@ def derive_expression(text: str, resource: str, columns: Sequence[str]) -> Colum
         num, ident, op = m.groups()
         if ident is not None:
             if ident.lower() == "value":
-                out.append(RESOURCE_SQL[resource])
+                out.append(F.expr(RESOURCE_SQL[resource]))
             elif ident in columns:
-                out.append(f"`{ident}`")
+                out.append(F.col(f"`{ident}`"))
             else:
                 raise RuleError(f"unknown name {ident!r} in {text!r}")
+        elif num is not None and num.startswith("-") and out and (isinstance(out[-1], Column) or out[-1] == ")"):
+            out += ["-", F.expr(num[1:])]  # "a -5" subtracts
         else:
-            out.append(num if num is not None else op)
+            out.append(F.expr(num) if num is not None else op)
         pos = m.end()
     if not out:
         raise RuleError("empty derive expression")
-    return F.expr(" ".join(out))
+    rest = out[::-1]
+    result = _sum(rest, text)
+    if rest:
+        raise RuleError(f"unsupported derive expression {text!r}")
+    return result
+
+
+# Arithmetic that gives null where it has no result (zero divisor, overflow), so that a rule
+# typed by a user can't stop the job.
+_SAFE = {"+": F.try_add, "-": F.try_subtract, "*": F.try_multiply, "/": F.try_divide}
+
+
+def _sum(rest: list, text: str) -> Column:
+    left = _product(rest, text)
+    while rest and isinstance(rest[-1], str) and rest[-1] in "+-":
+        left = _SAFE[rest.pop()](left, _product(rest, text))
+    return left
+
+
+def _product(rest: list, text: str) -> Column:
+    left = _operand(rest, text)
+    while rest and isinstance(rest[-1], str) and rest[-1] in "*/":
+        left = _SAFE[rest.pop()](left, _operand(rest, text))
+    return left
+
+
+def _operand(rest: list, text: str) -> Column:
+    token = rest.pop() if rest else ""
+    if isinstance(token, Column):
+        return token
+    if token == "-":
+        return F.try_subtract(F.lit(0), _operand(rest, text))
+    if token == "(":
+        inner = _sum(rest, text)
+        if rest and rest.pop() == ")":
+            return inner
+    raise RuleError(f"unsupported derive expression {text!r}")
 
 
 def _enabled(rules: Sequence[Mapping], kind: str) -> list[Mapping]:
@@ -98,8 +137,9 @@ def rule_derive(points: DataFrame, rules: Sequence[Mapping]) -> DataFrame:
 
 def rule_aggregate(points: DataFrame, rules: Sequence[Mapping], window: str = "1 hour") -> DataFrame:
     """AGG-28: per enabled aggregate rule, the chosen aggregate of the resource per
-    (node, tumbling window). Rules are stacked into one long result."""
-    out = None
+    (node, tumbling window). One group-by computes all rules; its rows are then unfolded
+    into one per rule, so the cost of a scan doesn't grow with the number of rules."""
+    found: list[tuple[str, Column]] = []
     for r in _enabled(rules, "aggregate"):
         fn = AGGREGATES.get(str(r["condition"]).strip().lower().replace("(value)", ""))
         if fn is None or r["resource"] not in RESOURCE_SQL:
@@ -108,9 +148,10 @@ def rule_aggregate(points: DataFrame, rules: Sequence[Mapping], window: str = "1
         # Resources are integer counters: a mean is double(sum) / count, which every engine
         # evaluates with the same two IEEE operations (no order-dependent double sum).
         v = F.try_divide(F.sum(e).cast("double"), F.count(e)) if fn is F.avg else fn(e).cast("double")
-        g = points.groupBy("node_id", F.window("ts", window).start.alias("window_start")).agg(v.alias("value"))
-        g = g.select(F.lit(r["id"]).alias("rule_id"), "node_id", "window_start", "value")
-        out = g if out is None else out.unionByName(g)
-    if out is None:
+        found.append((r["id"], v))
+    if not found:
         raise RuleError("no enabled aggregate rule")
-    return out
+    g = points.groupBy("node_id", F.window("ts", window).start.alias("window_start")).agg(
+        *[v.alias(f"_v{n}") for n, (_, v) in enumerate(found)])
+    rows = F.array(*[F.struct(F.lit(i).alias("rule_id"), F.col(f"_v{n}").alias("value")) for n, (i, _) in enumerate(found)])
+    return g.select("node_id", "window_start", F.inline(rows)).select("rule_id", "node_id", "window_start", "value")

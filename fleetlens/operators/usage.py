@@ -150,8 +150,11 @@ def app_search(apps: DataFrame, text: str, col: str = "comm") -> DataFrame:
     return apps.filter(F.lower(F.col(col)).contains(text.lower()))
 
 
-def apps_selected(apps: DataFrame, selected: Sequence[str], empty_means_all: bool = True) -> DataFrame:
-    """FLT-4: keep selected apps; an empty selection keeps all (table) or none (chart)."""
+def apps_selected(apps: DataFrame, selected: Sequence[str] | DataFrame, empty_means_all: bool = True) -> DataFrame:
+    """FLT-4: keep selected apps, listed by name or as the ``comm`` column of a DataFrame;
+    an empty list keeps all (table) or none (chart)."""
+    if isinstance(selected, DataFrame):
+        return apps.join(selected.select("comm"), "comm", "left_semi")
     if not selected:
         return apps if empty_means_all else apps.limit(0)
     return apps.filter(F.col("comm").isin(list(selected)))

@@ -91,14 +91,14 @@ def q_node_status_hourly(t: Telemetry) -> DataFrame:
 @query("gpu_hourly", sql("SELECT * FROM gpu_hourly", "gpu_hourly"))
 def q_gpu_hourly(t: Telemetry) -> DataFrame:
     """AGG-6: two-level GPU aggregate."""
-    return rollup.gpu_hourly(t.gpu_points)
+    return rollup.gpu_hourly(t.gpu_series)
 
 
 @query("node_io_hourly", sql("""
 SELECT bucket_time, node_id, read_bytes, write_bytes, net_rx_bytes, net_tx_bytes FROM node_io_hourly""", "node_io_hourly"))
 def q_node_io_hourly(t: Telemetry) -> DataFrame:
     """AGG-8: node IO = sum over apps of per-app spreads."""
-    return rollup.node_io_hourly(t.process_points)
+    return rollup.node_io_hourly(t.process_series)
 
 
 @query("process_spread", sql("""
@@ -106,20 +106,14 @@ SELECT bucket_time, node_id, uid, comm, cpu_spread AS cpu_ontime_ns, read_bytes_
   write_bytes_spread AS write_bytes, net_rx_bytes_spread AS net_rx_bytes, net_tx_bytes_spread AS net_tx_bytes FROM app_agg""", "app_agg"))
 def q_process_spread(t: Telemetry) -> DataFrame:
     """AGG-7: max - min per (hour, node, uid, comm)."""
-    return rollup.process_spread(t.process_points)
+    return rollup.process_spread(t.process_series)
 
 
 # ------------------------------------------------------------------------- usage -------
 
-@query("usage_summary", sql(f"""
-SELECT u.uid, u.username, u.group_name,
-  SUM(h.total_cpu_time_seconds) AS total_cpu_seconds, MAX(h.max_rss_memory_bytes) AS peak_mem_bytes,
-  MAX(h.max_gpu_memory_mib) AS peak_gpu_mib, CAST(SUM(h.total_read_bytes + h.total_write_bytes) AS BIGINT) AS total_disk_bytes,
-  CAST(SUM(h.total_net_rx_bytes + h.total_net_tx_bytes) AS BIGINT) AS total_net_bytes
-FROM fx_users u LEFT JOIN user_app_hourly h ON h.uid = u.uid
-  AND h.bucket_time >= TIMESTAMP '{RANGE_START}' AND h.bucket_time <= TIMESTAMP '{RANGE_END}'
-GROUP BY u.uid, u.username, u.group_name
-ORDER BY total_cpu_seconds DESC NULLS LAST""", "fx_users", "user_app_hourly"))
+@query("usage_summary", sql("""
+SELECT uid, username, group_name, total_cpu_seconds, peak_mem_bytes, peak_gpu_mib, total_disk_bytes, total_net_bytes
+FROM fx_users LEFT JOIN uid_totals USING (uid)""", "fx_users", "uid_totals"))
 def q_usage_summary(t: Telemetry) -> DataFrame:
     """JON-1, AGG-14, TOP-3: per-user totals, idle users kept with nulls."""
     return usage.usage_summary(t.fx.users, t.user_app_hourly(), RANGE_START, RANGE_END)
@@ -132,7 +126,7 @@ def _register_timeseries(resource: str) -> None:
         return usage.usage_timeseries(t.user_app_hourly(), TS_UID, resource, RANGE_START, RANGE_END)
 
 
-for _r in [*RESOURCE_SQL, "unknown"]:
+for _r in RESOURCE_SQL:
     _register_timeseries(_r)
 
 
@@ -163,7 +157,7 @@ FROM node_status_hourly WHERE bucket_time >= (SELECT MAX(bucket_time) FROM node_
     "node_status_hourly"))
 def q_cluster_stats(t: Telemetry) -> DataFrame:
     """AGG-13, FLT-5: cluster averages over the last 6 hours as of the newest bucket."""
-    return usage.cluster_stats(t.node_status_hourly(), "6h")
+    return usage.cluster_stats(t.node_status_hourly(), "6h", t.newest_hour())
 
 
 @query("range_filter", sql("""
@@ -172,7 +166,7 @@ WHERE bucket_time >= (SELECT MAX(bucket_time) FROM node_status_hourly) - INTERVA
 def q_range_filter(t: Telemetry) -> DataFrame:
     """FLT-5: an unknown range key falls back to the default (1h) interval."""
     h = t.node_status_hourly()
-    return usage.range_filter(h, "bogus", usage.latest_time(h), usage.CLUSTER_RANGES, "1h")
+    return usage.range_filter(h, "bogus", t.newest_hour(), usage.CLUSTER_RANGES, "1h")
 
 
 @query("common_apps", sql("SELECT comm, n_users, cpu_seconds FROM common_apps", "common_apps"))
@@ -213,8 +207,7 @@ SELECT * FROM usage_apps WHERE comm IN (SELECT comm FROM common_apps ORDER BY cp
 def q_apps_selected(t: Telemetry) -> DataFrame:
     """FLT-4: table rows of the selected apps (the top-5 common apps, selected by key)."""
     a = _apps(t)
-    sel = usage.top_apps(a, 5).select("comm")
-    return a.join(sel, "comm", "left_semi")
+    return usage.apps_selected(a, usage.top_apps(a, 5))
 
 
 @query("pie_by_user", sql("""
@@ -368,7 +361,7 @@ FROM node_status_hourly WHERE node_id = 'node_3' AND bucket_time >= (SELECT MAX(
 ORDER BY bucket_time""", "node_status_hourly"))
 def q_node_hourly(t: Telemetry) -> DataFrame:
     """SRC-4 / FLT-5: one node's hourly rows for the last day, explicit columns, ordered."""
-    return fleet.node_hourly(t.node_status_hourly(), "node_3", "1d")
+    return fleet.node_hourly(t.node_status_hourly(), "node_3", "1d", t.newest_hour())
 
 
 @query("cluster_now", sql("""
@@ -676,13 +669,9 @@ def q_oncpu_from_switches(t: Telemetry) -> DataFrame:
 
 
 @query("process_lifecycle", sql("""
-SELECT node_id, pid, arg_min(CASE WHEN type = 'fork' THEN ppid END, CASE WHEN type = 'fork' THEN (ts, seq) END) AS ppid,
-  arg_max(CASE WHEN type = 'exec' THEN comm END, CASE WHEN type = 'exec' THEN (ts, seq) END) AS comm, bool_or(type = 'exit') AS exited
-FROM (SELECT node_id, ts, event_id AS seq, CASE event_type WHEN 'signup' THEN 'fork' WHEN 'purchase' THEN 'exec' WHEN 'error' THEN 'exit'
-        ELSE 'switch' END AS type, pid, user_id % 50 AS ppid, 'proc_' || CAST(user_id % 7 AS VARCHAR) AS comm FROM host_events) x
-GROUP BY 1, 2""", "host_events"))
+SELECT * FROM lifecycle""", "lifecycle"))
 def q_process_lifecycle(t: Telemetry) -> DataFrame:
-    """HST-2: parent from the first fork, comm from the last exec, exited flag."""
+    """HST-2: state of each pid after its last fork."""
     return host.process_lifecycle(t.fx.sched_events)
 
 
@@ -765,18 +754,21 @@ def q_gpu_proc_csv_parse(t: Telemetry) -> DataFrame:
 SELECT c.node_id, c.pid, CAST(coalesce(c.cpu_ontime_ns, 0) AS BIGINT) AS cpu_ontime_ns, CAST(coalesce(c.uid, -1) AS BIGINT) AS uid,
   coalesce(c.comm, '') AS comm, CAST(coalesce(d.read_bytes, 0) AS BIGINT) AS read_bytes, CAST(coalesce(d.write_bytes, 0) AS BIGINT) AS write_bytes,
   CAST(coalesce(n.net_rx_bytes, 0) AS BIGINT) AS net_rx_bytes, CAST(coalesce(n.net_tx_bytes, 0) AS BIGINT) AS net_tx_bytes,
-  CAST(coalesce(r.avg_rss_bytes, 0) AS BIGINT) AS avg_rss_bytes, CAST(coalesce(g.used_memory_mib, 0) AS BIGINT) AS gpu_used_memory_mib
-FROM oncpu c LEFT JOIN disk_bytes d ON d.node_id = c.node_id AND d.pid = c.pid LEFT JOIN net_bytes n ON n.node_id = c.node_id AND n.pid = c.pid
+  CAST(coalesce(r.avg_rss_bytes, 0) AS BIGINT) AS avg_rss_bytes, CAST(coalesce(g.used_memory_mib, 0) AS BIGINT) AS gpu_used_memory_mib,
+  CAST(coalesce(y.ppid, 0) AS BIGINT) AS ppid, coalesce(g.process_name, '') AS process_name, coalesce(y.exited, FALSE) AS exited
+FROM oncpu c LEFT JOIN lifecycle y ON y.node_id = c.node_id AND y.pid = c.pid LEFT JOIN disk_bytes d ON d.node_id = c.node_id AND d.pid = c.pid LEFT JOIN net_bytes n ON n.node_id = c.node_id AND n.pid = c.pid
 LEFT JOIN avg_rss r ON r.node_id = c.node_id AND r.pid = c.pid
-LEFT JOIN (SELECT node_id, pid, arg_max(used_memory_mib, line_no) AS used_memory_mib FROM gpu_proc GROUP BY 1, 2) g
-  ON g.node_id = c.node_id AND g.pid = c.pid""", "oncpu", "disk_bytes", "net_bytes", "avg_rss", "gpu_proc"))
+LEFT JOIN (SELECT node_id, pid, arg_max(used_memory_mib, line_no) AS used_memory_mib, arg_max(process_name, line_no) AS process_name
+           FROM gpu_proc GROUP BY 1, 2) g ON g.node_id = c.node_id AND g.pid = c.pid""", "lifecycle", "oncpu", "disk_bytes", "net_bytes", "avg_rss", "gpu_proc"))
 def q_merge_process_samples(t: Telemetry) -> DataFrame:
     """JON-9 / HST-8: per-pid merge of cpu, disk, net, RSS and GPU samples (cpu drives)."""
     fx = t.fx
     gpu = host.gpu_proc_csv_parse(fx.gpu_proc_lines)
-    gpu = gpu.groupBy("node_id", "pid").agg(F.max_by("used_memory_mib", "line_no").alias("used_memory_mib"))
+    gpu = gpu.groupBy("node_id", "pid").agg(F.max_by("used_memory_mib", "line_no").alias("used_memory_mib"),
+                                            F.max_by("process_name", "line_no").alias("process_name"))
     return host.merge_process_samples(host.oncpu_from_switches(fx.switches), host.disk_bytes(fx.syscalls),
-                                      host.net_bytes(fx.syscalls), host.avg_rss(fx.rss_samples), gpu)
+                                      host.net_bytes(fx.syscalls), host.avg_rss(fx.rss_samples), gpu,
+                                      host.process_lifecycle(fx.sched_events))
 
 
 @query("active_exited_union", sql("""
@@ -835,10 +827,9 @@ def q_safe_casts(t: Telemetry) -> DataFrame:
     """SCL-1 / SCL-2: loose text -> int / float with defaults (D-19)."""
     li = t.fx.table("lineitem")
     k = F.col("l_orderkey").alias("report_id")
-    x = (li.select(k, F.lit("quantity").alias("kind"), F.col("l_quantity").cast("string").alias("text"))
-         .unionByName(li.select(k, F.lit("linenumber").alias("kind"), F.col("l_linenumber").cast("string").alias("text")))
-         .unionByName(li.select(k, F.lit("flag").alias("kind"), F.col("l_returnflag").alias("text")))
-         .unionByName(li.select(k, F.lit("price").alias("kind"), F.col("l_extendedprice").cast("string").alias("text"))))
+    kinds = {"quantity": "l_quantity", "linenumber": "l_linenumber", "flag": "l_returnflag", "price": "l_extendedprice"}
+    texts = F.array(*[F.struct(F.lit(n).alias("kind"), F.col(c).cast("string").alias("text")) for n, c in kinds.items()])
+    x = li.select(k, F.inline(texts))
     return x.select("report_id", "kind", "text", scalars.safe_int("text", 0).alias("as_int"),
                     scalars.safe_float("text", 0.0).alias("as_float"))
 
@@ -884,7 +875,7 @@ def q_local_bucket(t: Telemetry) -> DataFrame:
 
 @query("chart_labels", sql(f"""
 SELECT t, strftime(t, '%H:%M') AS label, strftime(t, '%d/%m %H:00') AS label_week, strftime(t, '%d/%m') AS label_long,
-  strftime(t, '%m-%d %H:00') AS node_label
+  strftime(t, '%H:%M') AS node_label
 FROM (SELECT date_trunc('hour', h.bucket_time) AS t FROM user_app_hourly h WHERE h.uid = {TS_UID}
         AND h.bucket_time >= TIMESTAMP '{RANGE_START}' AND h.bucket_time <= TIMESTAMP '{RANGE_END}' GROUP BY 1) x""",
     "user_app_hourly"))
@@ -929,8 +920,7 @@ FROM (SELECT *, row_number() OVER (PARTITION BY node_id, collect_agent_id, colle
       FROM node_points) x WHERE rn = 1""", "node_points"))
 def q_series_dedup(t: Telemetry) -> DataFrame:
     """SNK-3: same series and second -> the later write (higher ingest order) wins."""
-    d = points.series_dedup(t.node_points, ["node_id", "collect_agent_id", "collect_agent_version"], "ts", "report_id")
-    return d.drop("report_id")
+    return t.node_series.drop("report_id")
 
 
 @query("insert_if_absent", sql("""

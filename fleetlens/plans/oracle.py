@@ -124,6 +124,15 @@ SELECT date_trunc('second', event_time) AS ts, node_id, report_id, CAST(gpu_inde
   CAST(0 AS BIGINT) AS memory_total_mib
 FROM fx_gpus WHERE report_id IN (SELECT report_id FROM v_reports WHERE sm_ok)""", "fx_gpus", "v_reports")
 
+def _series(name: str, points: str, tags: str) -> None:
+    """SNK-3: per series and second, the point of the latest report."""
+    cte(name, f"SELECT * FROM {points} QUALIFY row_number() OVER (PARTITION BY {tags}, ts ORDER BY report_id DESC) = 1", points)
+
+
+_series("node_series", "node_points", "node_id, collect_agent_id, collect_agent_version")
+_series("gpu_series", "gpu_points", "node_id, gpu_index, gpu_name")
+_series("proc_series", "proc_points", "node_id, uid, comm")
+
 cte("app_agg", """
 SELECT date_trunc('hour', ts) AS bucket_time, node_id, uid, comm,
   MAX(cpu_ontime_ns) - MIN(cpu_ontime_ns) AS cpu_spread, SUM(cpu_ontime_ns) AS cpu_sum,
@@ -133,7 +142,7 @@ SELECT date_trunc('hour', ts) AS bucket_time, node_id, uid, comm,
   MAX(net_tx_bytes) - MIN(net_tx_bytes) AS net_tx_bytes_spread, SUM(net_tx_bytes) AS net_tx_bytes_sum,
   MAX(avg_rss_bytes) AS max_rss, SUM(avg_rss_bytes) AS rss_sum, COUNT(avg_rss_bytes) AS rss_n,
   MAX(process_count) AS max_procs, MAX(gpu_used_memory_mib) AS max_gpu_mib
-FROM proc_points GROUP BY 1, 2, 3, 4""", "proc_points")
+FROM proc_series GROUP BY 1, 2, 3, 4""", "proc_series")
 
 cte("user_app_hourly", """
 SELECT bucket_time, node_id, uid, comm,
@@ -160,15 +169,15 @@ cte("node_core", """
 SELECT date_trunc('hour', ts) AS bucket_time, node_id, CAST(CAST(AVG(cpu_usage_percent) AS DECIMAL(38,9)) AS DOUBLE) AS avg_cpu_usage_percent,
   MAX(cpu_usage_percent) AS max_cpu_usage_percent, CAST(CAST(AVG(memory_usage_percent) AS DECIMAL(38,9)) AS DOUBLE) AS avg_mem_usage_percent,
   MAX(memory_used_bytes) AS max_mem_used_bytes
-FROM node_points GROUP BY 1, 2""", "node_points")
+FROM node_series GROUP BY 1, 2""", "node_series")
 
 cte("gpu_hourly", """
 SELECT bucket_time, node_id, CAST(CAST(AVG(coalesce(u, 0.0)) AS DECIMAL(38,9)) AS DOUBLE) AS avg_gpu_utilization,
   CAST(CAST(greatest(MAX(coalesce(t, 0.0)), 0.0) AS DECIMAL(38,9)) AS DOUBLE) AS max_gpu_temperature,
   CAST(CAST(AVG(coalesce(p, 0.0)) AS DECIMAL(38,9)) AS DOUBLE) AS total_gpu_power_watts, COUNT(*) AS gpu_count
 FROM (SELECT date_trunc('hour', ts) AS bucket_time, node_id, gpu_index, AVG(utilization_percent) AS u, AVG(power_watts) AS p,
-        AVG(temperature_celsius) AS t FROM gpu_points GROUP BY 1, 2, 3) x
-GROUP BY 1, 2""", "gpu_points")
+        AVG(temperature_celsius) AS t FROM gpu_series GROUP BY 1, 2, 3) x
+GROUP BY 1, 2""", "gpu_series")
 
 cte("node_io_hourly", """
 SELECT bucket_time, node_id, CAST(SUM(read_bytes_spread) AS BIGINT) AS read_bytes, CAST(SUM(write_bytes_spread) AS BIGINT) AS write_bytes,
@@ -221,29 +230,35 @@ APP_UIDS = (1001, 1002, 1003, 1005, 1008)
 _UIDS_SQL = ", ".join(str(u) for u in APP_UIDS)
 _RANGE_SQL = f"h.bucket_time >= TIMESTAMP '{RANGE_START}' AND h.bucket_time <= TIMESTAMP '{RANGE_END}'"
 
+# One row per usage bucket inside the range, with the five resources as plain numbers.
+cte("usage_rows", f"""
+SELECT bucket_time AS t, uid, comm, process_count AS procs, total_cpu_time_seconds AS cpu, max_rss_memory_bytes AS mem,
+  max_gpu_memory_mib AS gpu, total_read_bytes + total_write_bytes AS disk, total_net_rx_bytes + total_net_tx_bytes AS net
+FROM user_app_hourly h WHERE {_RANGE_SQL}""", "user_app_hourly")
+
 RESOURCE_SQL = {
-    "cpu": "SUM(h.total_cpu_time_seconds)",
-    "mem": "CAST(MAX(h.max_rss_memory_bytes) AS DOUBLE) / 1048576.0",
-    "gpu": "CAST(MAX(h.max_gpu_memory_mib) AS DOUBLE)",
-    "disk": "CAST(SUM(h.total_read_bytes + h.total_write_bytes) AS DOUBLE) / 1048576.0",
-    "net": "CAST(SUM(h.total_net_rx_bytes + h.total_net_tx_bytes) AS DOUBLE) / 1048576.0",
+    "cpu": "sum(cpu)",
+    "mem": "CAST(max(mem) AS DOUBLE) / 1048576.0",
+    "gpu": "CAST(max(gpu) AS DOUBLE)",
+    "disk": "CAST(sum(disk) AS DOUBLE) / 1048576.0",
+    "net": "CAST(sum(net) AS DOUBLE) / 1048576.0",
 }
 
+cte("uid_totals", """
+SELECT uid, sum(cpu) AS total_cpu_seconds, max(mem) AS peak_mem_bytes, max(gpu) AS peak_gpu_mib,
+  CAST(sum(disk) AS BIGINT) AS total_disk_bytes, CAST(sum(net) AS BIGINT) AS total_net_bytes
+FROM usage_rows GROUP BY uid""", "usage_rows")
+
+cte("picked_rows", f"""
+SELECT usage_rows.*, username FROM fx_users JOIN usage_rows USING (uid) WHERE uid IN ({_UIDS_SQL})""", "usage_rows", "fx_users")
+
 cte("usage_apps", f"""
-SELECT u.username, h.comm, SUM(h.total_cpu_time_seconds) AS cpu_seconds,
-  CAST(MAX(h.max_rss_memory_bytes) AS DOUBLE) / 1048576.0 AS peak_mem_mb, MAX(h.max_gpu_memory_mib) AS peak_gpu_mib,
-  CAST(SUM(h.total_read_bytes + h.total_write_bytes) AS DOUBLE) / 1048576.0 AS disk_io_mb,
-  CAST(SUM(h.total_net_rx_bytes + h.total_net_tx_bytes) AS DOUBLE) / 1048576.0 AS net_io_mb,
-  CAST(SUM(h.process_count) AS BIGINT) AS total_processes
-FROM user_app_hourly h JOIN fx_users u ON h.uid = u.uid
-WHERE h.uid IN ({_UIDS_SQL}) AND {_RANGE_SQL}
-GROUP BY u.username, h.comm""", "user_app_hourly", "fx_users")
+SELECT username, comm, {RESOURCE_SQL['cpu']} AS cpu_seconds, {RESOURCE_SQL['mem']} AS peak_mem_mb, max(gpu) AS peak_gpu_mib,
+  {RESOURCE_SQL['disk']} AS disk_io_mb, {RESOURCE_SQL['net']} AS net_io_mb, CAST(sum(procs) AS BIGINT) AS total_processes
+FROM picked_rows GROUP BY username, comm""", "picked_rows")
 
 cte("usage_app_ts", f"""
-SELECT date_trunc('hour', h.bucket_time) AS t, u.username, h.comm, {RESOURCE_SQL['cpu']} AS value
-FROM user_app_hourly h JOIN fx_users u ON h.uid = u.uid
-WHERE h.uid IN ({_UIDS_SQL}) AND {_RANGE_SQL}
-GROUP BY t, h.uid, u.username, h.comm""", "user_app_hourly", "fx_users")
+SELECT t, username, comm, {RESOURCE_SQL['cpu']} AS value FROM picked_rows GROUP BY t, uid, username, comm""", "picked_rows")
 
 cte("app_totals", """
 SELECT comm, COUNT(DISTINCT username) AS n_users, SUM(cpu_seconds) AS cpu_seconds
@@ -256,12 +271,7 @@ WHERE (SELECT COUNT(DISTINCT username) FROM usage_apps) <= 1 OR n_users = (SELEC
 
 
 def usage_timeseries_sql(resource: str) -> str:
-    expr = RESOURCE_SQL.get(resource)
-    if expr is None:
-        return sql("SELECT CAST(NULL AS TIMESTAMP) AS t, CAST(NULL AS DOUBLE) AS value WHERE FALSE")
-    return sql(f"""
-SELECT date_trunc('hour', h.bucket_time) AS t, {expr} AS value FROM user_app_hourly h
-WHERE h.uid = {TS_UID} AND {_RANGE_SQL} GROUP BY t ORDER BY t""", "user_app_hourly")
+    return sql(f"SELECT t, {RESOURCE_SQL[resource]} AS value FROM usage_rows WHERE uid = {TS_UID} GROUP BY t", "usage_rows")
 
 # ---- fleet state --------------------------------------------------------------------
 LEADING_NUMBER = "'^[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?'"
@@ -486,6 +496,20 @@ FROM fx_reports r LEFT JOIN fx_processes p ON p.report_id = r.report_id GROUP BY
 
 # ---- host samples -------------------------------------------------------------------
 cte("switches", "SELECT node_id, cpu, ts, event_id AS seq, pid, user_id AS uid, event_type AS comm FROM host_events", "host_events")
+# HST-2 from the event trace: a fork starts generation g of its pid; the last generation counts,
+# up to its first exit.
+cte("sched", """
+SELECT node_id, pid, ts, event_id AS seq, user_id % 50 AS ppid, 'proc_' || CAST(user_id % 7 AS VARCHAR) AS comm,
+  CASE event_type WHEN 'signup' THEN 'fork' WHEN 'purchase' THEN 'exec' WHEN 'error' THEN 'exit' ELSE 'switch' END AS type FROM host_events""",
+    "host_events")
+cte("lifecycle", """
+SELECT node_id, pid, max(ppid) FILTER (type = 'fork') AS ppid,
+  coalesce(arg_max(comm, (ts, seq)) FILTER (type = 'exec' AND ended = 0), max(comm) FILTER (type = 'fork')) AS comm, max(ended) > 0 AS exited
+FROM (SELECT *, count(*) FILTER (type = 'exit') OVER (PARTITION BY node_id, pid ORDER BY ts, seq) AS ended
+      FROM (SELECT * FROM (SELECT *, count(*) FILTER (type = 'fork') OVER (PARTITION BY node_id, pid ORDER BY ts, seq) AS g FROM sched) a
+            QUALIFY g > 0 AND g = max(g) OVER (PARTITION BY node_id, pid)) b) c
+GROUP BY node_id, pid""", "sched")
+
 cte("oncpu", """
 SELECT s.node_id, s.pid, s.cpu_ontime_ns, i.uid, i.comm FROM (
   SELECT node_id, prev_pid AS pid, CAST(SUM(d) AS BIGINT) AS cpu_ontime_ns FROM (

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import tempfile
 
 from pyspark.sql import SparkSession
 
@@ -63,14 +62,11 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """Shared folder for checkpoints and lineage cuts.
-
-    Uses ``spark.checkpoint.dir`` as the cluster names it. Only when it is unset (local
-    tests) a private temporary folder is created and registered.
-    """
+    """Shared folder for checkpoints, as the cluster names it in ``spark.checkpoint.dir``. A
+    machine-local fallback would lose a stream's progress with its driver, so an unset
+    folder is an error."""
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
-        d = tempfile.mkdtemp(prefix="fleetlens-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", d)
+        raise ValueError("set spark.checkpoint.dir to a shared folder, or pass a checkpoint folder")
     spark.sparkContext.setCheckpointDir(d)
     return d

@@ -28,8 +28,6 @@ def node_name(x: Column) -> Column:
     return F.concat(F.lit("node_"), x.cast("string"))
 
 
-_READS: dict[tuple[int, str], tuple[SparkSession, DataFrame]] = {}
-
 PROCESS_ARRAY = ("array<struct<pid:bigint,cpu_ontime_ns:bigint,uid:bigint,comm:string,read_bytes:bigint,"
                  "write_bytes:bigint,net_rx_bytes:bigint,net_tx_bytes:bigint,avg_rss_bytes:bigint,"
                  "process_name:string,gpu_used_memory_mib:bigint,metadata:map<string,string>,status:string>>")
@@ -43,16 +41,13 @@ class Fixtures:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark = configure(spark)
         self.sf_dir = sf_dir.rstrip("/")
+        self._tables: dict[str, DataFrame] = {}
 
     def table(self, name: str) -> DataFrame:
-        """Parquet table; the DataFrame (file listing and footer schema) is reused per
-        session, so building many queries does not re-list the same files."""
-        path = f"{self.sf_dir}/{name}.parquet"
-        key = (id(self.spark), path)
-        hit = _READS.get(key)
-        if hit is None or hit[0] is not self.spark:  # ids can be reused by a later session
-            hit = _READS[key] = (self.spark, self.spark.read.parquet(path))
-        return hit[1]
+        """Parquet table, listed once per ``Fixtures``."""
+        if name not in self._tables:
+            self._tables[name] = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        return self._tables[name]
 
     # ---------------------------------------------------------------- reports ----------
     @cached_property

@@ -12,6 +12,7 @@
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -51,18 +52,29 @@ def collect_batch(reports: DataFrame, config: dict) -> dict[str, DataFrame]:
 
 
 def _write_batch(tables: dict[str, DataFrame], root: str, batch_id: int) -> None:
-    """Point tables are partitioned by (date, batch_id): time-range reads prune by date,
-    and dynamic overwrite replaces exactly this batch's partitions on a replay."""
+    """Tables are partitioned by (date, batch_id): time-range reads prune by date, and
+    dynamic overwrite replaces exactly this batch's partitions on a replay. ``compact``
+    folds the batches of closed days together."""
     for name, df in tables.items():
         out = df.withColumn("batch_id", F.lit(batch_id).cast("bigint"))
         parts = ["batch_id"]
-        if "ts" in df.columns:
-            out = out.withColumn("date", F.to_date("ts"))
+        if "ts" in df.columns or "timestamp" in df.columns:
+            time = F.col("ts") if "ts" in df.columns else F.timestamp_seconds("timestamp")
+            out = out.withColumn("date", F.to_date(time))
             parts = ["date", "batch_id"]
         (out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
             .partitionBy(*parts).parquet(f"{root}/{name}"))
 
 
+def compact(spark: SparkSession, root: str, table: str, day: str, target: str) -> None:
+    """Rewrite one closed day of a stream table into ``target`` with few files, keeping
+    ``batch_id`` as a column (the order of writes). Idempotent: it replaces that day in
+    ``target`` and leaves the source alone."""
+    df = spark.read.parquet(f"{root}/{table}").filter(F.col("date") == F.lit(day).cast("date"))
+    (df.hint("rebalance", "date").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+       .partitionBy("date").parquet(f"{target}/{table}"))
+
+
 def points_stream(spark: SparkSession, source: DataFrame, sink_root: str, config: dict,
                   checkpoint: str | None = None, trigger: dict | None = None) -> StreamingQuery:
     """STR-5: continuous report -> points job. ``source`` has a JSON ``value`` column
@@ -105,17 +117,26 @@ def read_points(spark: SparkSession, root: str, table: str) -> DataFrame:
 
 
 def rollup_hours(spark: SparkSession, root: str, hours: Sequence[str], mode: str = "spread") -> dict[str, DataFrame]:
-    """STR-6 (a): batch rollup of explicit hours from the stored points (backfill, late
-    data). Filters on the hour range prune the scan; output overwrites those hours."""
-    lo = F.lit(min(hours)).cast("timestamp")
-    hi = F.lit(max(hours)).cast("timestamp") + F.expr("INTERVAL 1 HOUR")
-
-    def rng(df: DataFrame) -> DataFrame:
-        # The date predicate is derived from the time range so the scan prunes partitions.
-        return df.filter(F.col("date").between(F.to_date(lo), F.to_date(hi))
-                         & (F.col("ts") >= lo) & (F.col("ts") < hi)).drop("date", "batch_id")
-
-    n, g, p = (rng(read_points(spark, root, t)) for t in ("node_status", "gpu_status", "process_status"))
+    """STR-6 (a): batch rollup of exactly the listed hours from the stored points (backfill,
+    late data); ``rollup.write_rollup`` then overwrites those hours and no others. The dates
+    of the hours prune the scan. A later batch's point replaces an earlier one of the same
+    series and second (SNK-3); within a batch the larger report key wins."""
+    listed = sorted({dt.datetime.fromisoformat(str(h)).replace(minute=0, second=0, microsecond=0) for h in hours})
+    if not listed:
+        raise ValueError("no hours given")
+    hour_list = [F.lit(str(h)).cast("timestamp") for h in listed]
+    dates = [F.lit(str(d)).cast("date") for d in sorted({h.date() for h in listed})]
+
+    def stored(table: str, tags: list[str]) -> DataFrame:
+        df = read_points(spark, root, table)
+        df = df.filter(F.col("date").isin(dates) & F.date_trunc("hour", "ts").isin(hour_list)
+                       & (F.col("ts") >= hour_list[0]) & (F.col("ts") < hour_list[-1] + F.expr("INTERVAL 1 HOUR")))
+        df = df.withColumn("_order", F.struct("batch_id", "report_id")).drop("date", "batch_id", "report_id")
+        return points.series_dedup(df, tags, "ts", "_order").drop("_order")
+
+    n = stored("node_status", ["node_id", "collect_agent_id", "collect_agent_version"])
+    g = stored("gpu_status", ["node_id", "gpu_index", "gpu_name"])
+    p = stored("process_status", ["node_id", "uid", "comm"])
     return {"node_status_hourly": rollup.node_status_hourly(n, g, p, mode),
             "user_app_hourly": rollup.user_app_hourly(p, mode)}
 
@@ -128,18 +149,25 @@ def latest_heartbeats_stream(heartbeats: DataFrame) -> DataFrame:
     ).select("node_id", "h.timestamp", "h.status")
 
 
-def liveness_stream(spark: SparkSession, heartbeats: DataFrame, node_config: DataFrame, sink_path: str,
+def current_liveness(spark: SparkSession, sink_path: str, node_config: DataFrame, now=None) -> DataFrame:
+    """Node liveness at ``now`` (default: the clock) from the newest stored version of the
+    heartbeats and the pivoted live config."""
+    from ..operators import fleet
+    stored = spark.read.parquet(sink_path)
+    newest = stored.filter(F.col("version") == stored.select(F.max("version")).scalar()).drop("version")
+    return fleet.liveness(node_config, newest, F.current_timestamp() if now is None else now)
+
+
+def liveness_stream(spark: SparkSession, heartbeats: DataFrame, sink_path: str,
                     checkpoint: str | None = None, trigger: dict | None = None) -> StreamingQuery:
-    """STA-3 (stream): each micro-batch upserts the newest heartbeats into a state table
-    and rewrites node liveness against the batch's clock. ``node_config`` is the (static)
-    pivoted live config."""
+    """STA-3 (stream): each micro-batch stores the newest heartbeat per node as a version of
+    its own (readers never see a half-written one, a replay rewrites its version). Liveness
+    depends on the clock, so ``current_liveness`` derives it when read: a fleet that falls
+    silent expires although no further batch runs."""
     ckpt = checkpoint or f"{checkpoint_dir(spark)}/liveness_stream"
 
     def handle(latest: DataFrame, batch_id: int) -> None:
-        from ..operators import fleet
-        now = F.current_timestamp()
-        out = fleet.liveness(node_config, latest, now).withColumn("batch_id", F.lit(batch_id).cast("bigint"))
-        out.write.mode("overwrite").parquet(sink_path)
+        latest.write.mode("overwrite").parquet(f"{sink_path}/version={batch_id}")
 
     w = (latest_heartbeats_stream(heartbeats).writeStream.outputMode("complete").foreachBatch(handle)
          .option("checkpointLocation", ckpt))

@@ -76,5 +76,39 @@ def test_first_write_wins_values(spark, tmp_dir):
     first, second = t.user_app_hourly("sum"), t.user_app_hourly("spread")
     rollup.append_if_absent(first, path, keys)
     rollup.append_if_absent(second, path, keys)      # same keys, other values: ignored
-    stored = spark.read.parquet(path).drop("date")
+    stored = spark.read.parquet(path).drop("date", "hour")
     assert rows_key(stored.select(*first.columns).collect()) == rows_key(first.collect())
+
+
+def _day(spark, value):
+    return spark.sql(f"SELECT TIMESTAMP '2024-01-01 00:00:00' + make_interval(0, 0, 0, 0, CAST(id AS INT)) AS bucket_time, 'n' AS node_id, "
+                     f"{value} AS v FROM range(24)")
+
+
+def test_backfill_keeps_the_rest_of_the_day(spark, tmp_dir):
+    from fleetlens.operators import rollup
+    rollup.write_rollup(_day(spark, 1), tmp_dir)
+    rollup.write_rollup(_day(spark, 2).filter("hour(bucket_time) in (8, 9)"), tmp_dir)
+    got = {r["bucket_time"].hour: r["v"] for r in spark.read.parquet(tmp_dir).collect()}
+    assert got == {h: 2 if h in (8, 9) else 1 for h in range(24)}
+
+
+def test_stored_appends(spark, tmp_dir):
+    import os
+
+    import pytest
+    from pyspark.errors import AnalysisException
+    from fleetlens.operators import rollup
+    keys, path = ["bucket_time", "node_id"], os.path.join(tmp_dir, "t")
+    twice = _day(spark, 3).unionByName(_day(spark, 1))
+    rollup.append_if_absent(twice, path, keys)  # a key given twice counts once
+    assert {r["v"] for r in spark.read.parquet(path).collect()} == {1} and spark.read.parquet(path).count() == 24
+    late = _day(spark, 9).filter("hour(bucket_time) = 5")
+    rollup.append_if_absent(late, path, keys)
+    assert spark.read.parquet(path).filter("v = 9").count() == 0
+    rollup.append_if_absent(late, path, keys, overwrite=True)
+    assert spark.read.parquet(path).filter("v = 9").count() == 1 and spark.read.parquet(path).count() == 24
+    broken = os.path.join(tmp_dir, "broken")
+    os.makedirs(broken)  # a store without a readable schema isn't "nothing stored yet"
+    with pytest.raises(AnalysisException):
+        rollup.append_if_absent(late, broken, keys)

@@ -153,7 +153,7 @@ def test_rule_conditions_rejected(spark):
 def test_custom_stage_registry(reports):
     stages.register_stage("drop-n6", lambda df: df.withColumn(
         "_reject_reason", F.when(F.col("node_id") == "n6", F.lit("custom")).otherwise(F.col("_reject_reason"))))
-    assert stages.resolve_stages(["schema_validator", "Drop-N6"]) == ["schema_validator", "drop_n6"]
+    assert stages.resolve_stages(["schema_validator", "Drop-N6"]) == ["schema_validator", "dropn6"]
     out = stages.run_collect(reports, ["schema_validator", "drop_n6"])
     survivors = [r["node_id"] for r in out.filter("_reject_reason IS NULL").collect()]
     assert sorted(survivors) == ["n2", "n3", "n4"]

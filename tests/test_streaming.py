@@ -1,7 +1,9 @@
 """Tier 3: streaming = batch, restart without duplicates, late rows and the watermark."""
 
+import datetime as dt
 import os
 
+import pytest
 from pyspark.sql import functions as F
 
 from fleetlens.operators import points, stages
@@ -79,16 +81,43 @@ def test_rollup_hours_backfill(spark, tmp_dir):
     jobs.points_stream(spark, ingest.read_report_stream(spark, src), sink, CONFIG, os.path.join(tmp_dir, "ck")).awaitTermination()
     hours = ["2024-01-01 03:00:00", "2024-01-01 05:00:00"]
     got = jobs.rollup_hours(spark, sink, hours)["user_app_hourly"]
-    want = t.user_app_hourly().filter(F.col("bucket_time").between(F.lit(hours[0]).cast("timestamp"),
-                                                                   F.lit(hours[1]).cast("timestamp")))
+    want = t.user_app_hourly().filter(F.col("bucket_time").isin([F.lit(h).cast("timestamp") for h in hours]))
     assert rows_key(got.collect()) == rows_key(want.select(*got.columns).collect())
+    # exactly the listed hours, not the ones between them
+    assert {str(r[0]) for r in got.select("bucket_time").distinct().collect()} == set(hours)
+
+
+def test_later_batch_replaces_the_same_second(spark, tmp_dir):
+    def batch(n, report_id, cpu):
+        row = (dt.datetime(2024, 1, 1, 3, 0, 5), "n1", report_id, "a", "v", 5.0, 1, cpu, 1.0, 1, 2)
+        jobs._write_batch({"node_status": spark.createDataFrame([row], (
+            "ts timestamp, node_id string, report_id long, collect_agent_id string, collect_agent_version string, "
+            "collection_window_seconds double, received_timestamp long, cpu_usage_percent double, memory_usage_percent double, "
+            "memory_used_bytes long, memory_total_bytes long"))}, tmp_dir, n)
+    batch(0, 900, 10.0)
+    batch(1, 5, 30.0)  # later, although its report key is smaller
+    t = Telemetry(spark, SF001)
+    for table, df in (("gpu_status", t.gpu_points), ("process_status", t.process_points)):
+        spark.createDataFrame([], df.schema).withColumns({"date": F.lit("2024-01-01").cast("date"), "batch_id": F.lit(0)}).write.mode(
+            "overwrite").parquet(os.path.join(tmp_dir, table))
+    got = jobs.rollup_hours(spark, tmp_dir, ["2024-01-01 03:00:00"])["node_status_hourly"].collect()
+    assert [r["avg_cpu_usage_percent"] for r in got] == [30.0]
+
+
+def test_checkpoint_folder_must_be_named(spark):
+    from fleetlens import session
+
+    class Bare:
+        conf = type("Conf", (), {"get": staticmethod(lambda key, default=None: default)})
+
+    with pytest.raises(ValueError):
+        session.checkpoint_dir(Bare())
 
 
 def test_liveness_stream_and_publish(spark, tmp_dir):
     from fleetlens.operators import fleet
     hb_dir = os.path.join(tmp_dir, "hb")
     now = spark.sql("SELECT current_timestamp() AS t").first()["t"]
-    import datetime as dt
     rows = [("a", now - dt.timedelta(seconds=5), "alive"), ("a", now - dt.timedelta(seconds=500), "alive"),
             ("b", now - dt.timedelta(seconds=500), "alive"), ("c", now, "stopping")]
     spark.createDataFrame(rows, "node_id string, event_time timestamp, status string").write.json(hb_dir)
@@ -96,9 +125,12 @@ def test_liveness_stream_and_publish(spark, tmp_dir):
     cfg = spark.createDataFrame([("a", "20"), ("b", "20"), ("c", "20"), ("d", None)],
                                 "node_id string, heartbeat_interval string")
     out = os.path.join(tmp_dir, "live")
-    jobs.liveness_stream(spark, stream, cfg, out, os.path.join(tmp_dir, "ck")).awaitTermination()
-    got = {r["node_id"]: r["status"] for r in spark.read.parquet(out).collect()}
+    jobs.liveness_stream(spark, stream, out, os.path.join(tmp_dir, "ck")).awaitTermination()
+    got = {r["node_id"]: r["status"] for r in jobs.current_liveness(spark, out, cfg).collect()}
     assert got == {"a": "running", "b": "stopped", "c": "stopped", "d": "stopped"}
+    # a silent fleet expires with the clock alone
+    later = jobs.current_liveness(spark, out, cfg, F.lit(now + dt.timedelta(hours=1))).collect()
+    assert {r["status"] for r in later} == {"stopped"}
     # publish: gzip JSON files decode back to the same reports
     t = Telemetry(spark, SF001)
     pub = os.path.join(tmp_dir, "pub")
