@@ -6,7 +6,8 @@ into fragments of equal mass.
 
 1. Documents with equal sets form a class; its smallest doc_id stands for it.
 2. Two sets of at least 75 % Jaccard share a shingle among the rarest n - ceil(0.75 n) + 1 of each
-   (their rare end of the order), so only entries that meet there make candidates.
+   (their rare end of the order), so only entries that meet there make candidates; sizes and the
+   places where two sets first meet rule out pairs whose rest can't hold the overlap.
 3. A candidate pair's overlap is counted fragment by fragment, and the partial counts are summed
    per pair; the sum decides exactly.
 4. Where many classes meet in one entry, each is first compared with one leader, then with a
@@ -38,6 +39,7 @@ SHINGLE = 5
 NUMERATOR, DENOMINATOR = 75, 100
 ORDER_BITS = 18
 FRAGMENTS = 8
+ASKED_BITS = 24
 
 
 def shingle_sets(col: pa.Array, k: int = SHINGLE):
@@ -128,9 +130,12 @@ def _set_task(order: Order | None):
     return task
 
 
-def _slice_task(order: Order):
+def _slice_task(order: Order, asked: np.ndarray):
+    """Slices of the sets whose id hash is among the asked ones (see ``_asked``)."""
     def task(batches):
         for batch in batches:
+            at = np.asarray(batch.column("at"))
+            batch = batch.filter(pa.array((asked[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1))
             row, n, f, parts = [], [], [], []
             for i, s in enumerate(shingle_sets(batch.column("text"))):
                 for fragment, part in order.slices(s):
@@ -141,13 +146,28 @@ def _slice_task(order: Order):
     return task
 
 
+def _hashed(doc_id: str):
+    return F.pmod(F.xxhash64(doc_id), F.lit(1 << ASKED_BITS))
+
+
+def _asked(pairs: DataFrame) -> np.ndarray:
+    """Bit set of 2^ASKED_BITS id hashes that occur in the pairs. It has a fixed size and only
+    spares the other documents the way to the join; when it fills up it spares fewer."""
+    at = pairs.select(F.explode(F.array(_hashed("a"), _hashed("b"))).alias("at"))
+    word = at.groupBy(F.floor(F.col("at") / 64).alias("w")).agg(
+        F.bit_or(F.expr("shiftleft(1L, cast(at % 64 as int))")).alias("bits"))
+    table = word.toPandas()  # at most 2^ASKED_BITS / 64 rows
+    out = np.zeros((1 << ASKED_BITS) // 64, np.int64)
+    out[table["w"].to_numpy(np.int64)] = table["bits"].to_numpy(np.int64)
+    return out.view(np.uint8)
+
+
 def _verified(pairs: DataFrame, docs: DataFrame, order: Order) -> DataFrame:
     """The pairs (a, b) whose overlap, summed over the fragments, reaches the threshold."""
     kind = docs.schema["doc_id"].dataType
-    sides = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
     schema = T.StructType([T.StructField("doc_id", kind), T.StructField("n", T.LongType()),
                            T.StructField("f", T.IntegerType()), T.StructField("grams", T.ArrayType(T.LongType()))])
-    slices = docs.join(sides, "doc_id", "left_semi").mapInArrow(_slice_task(order), schema)
+    slices = docs.withColumn("at", _hashed("doc_id")).mapInArrow(_slice_task(order, _asked(pairs)), schema)
     left = slices.select(F.col("doc_id").alias("a"), F.col("n").alias("na"), "f", F.col("grams").alias("ga"))
     right = slices.select(F.col("doc_id").alias("b"), F.col("n").alias("nb"), "f", F.col("grams").alias("gb"))
     parts = pairs.select("a", "b", F.explode(F.sequence(F.lit(0), F.lit(FRAGMENTS - 1))).alias("f"))
@@ -157,15 +177,27 @@ def _verified(pairs: DataFrame, docs: DataFrame, order: Order) -> DataFrame:
     return total.where(F.col("both") * DENOMINATOR >= (F.col("na") + F.col("nb") - F.col("both")) * NUMERATOR).select("a", "b")
 
 
+def _can_link(n: str, i: str, m: str, j: str) -> str:
+    """Whether sets of n and m shingles that first meet at places i and j of the order can link:
+    what is left of both must hold the least overlap, 75 / 175 of n + m."""
+    least = f"{NUMERATOR} * ({n} + {m})"
+    return (f"{NUMERATOR} * greatest({n}, {m}) <= {DENOMINATOR} * least({n}, {m}) and "
+            f"{NUMERATOR + DENOMINATOR} * ({n} - {i}) >= {least} and {NUMERATOR + DENOMINATOR} * ({m} - {j}) >= {least}")
+
+
 def _split_entries(entries: DataFrame, links: DataFrame) -> DataFrame:
-    """Entries (h, doc, n) whose classes the links leave in different components, with comp."""
+    """Entries (h, doc, n, i) whose classes the links leave in different components, with comp."""
     labels = components(links)
     named = entries.join(labels, entries["doc"] == labels["node"], "left").select(
-        "h", "doc", "n", F.coalesce("component", "doc").alias("comp"))
+        "h", "doc", "n", "i", F.coalesce("component", "doc").alias("comp"))
     mixed = named.groupBy("h").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi").select("h")
     return K.written(named.join(mixed, "h"))
 
 
+def _pairs(met: DataFrame, x: str, y: str) -> DataFrame:
+    return met.select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b")).distinct()
+
+
 def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per document: n_shingles, class_id (smallest doc_id with an equal set) and component_id."""
     K.ship(docs.sparkSession)
@@ -176,38 +208,36 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     sets = docs.mapInArrow(_set_task(order), T.StructType([*fields, T.StructField("rare", T.ArrayType(long_))]))
     classes = sets.where("n > 0").groupBy("n", "s1", "s2").agg(F.min(F.struct("doc_id", "rare")).alias("least"))
-    classes = K.written(classes.select("n", "s1", "s2", F.col("least.doc_id").alias("doc"), F.col("least.rare").alias("rare")))
-
-    entries = classes.select(F.explode("rare").alias("h"), "doc", "n")
-    shared = entries.groupBy("h").agg(F.count("*").alias("c"), F.min("doc").alias("lead")).where("c > 1").drop("c")
-    entries = K.written(entries.join(shared, "h"))
+    entries = classes.select("n", F.col("least.doc_id").alias("doc"), F.posexplode("least.rare").alias("i", "h"))
+    shared = entries.groupBy("h").agg(F.count("*").alias("c")).where("c > 1").select("h")
+    entries = K.written(entries.join(shared, "h").select("h", "doc", "n", "i"))
 
-    pairs = entries.where("doc != lead").select(F.col("lead").alias("a"), F.col("doc").alias("b")).distinct()
+    lead = entries.groupBy("h").agg(F.min(F.struct("doc", "n", "i")).alias("lead"))
+    first = entries.join(lead, "h").where("doc != lead.doc and " + _can_link("n", "i", "lead.n", "lead.i"))
+    pairs = K.written(_pairs(first, "doc", "lead.doc"))
     links = K.written(_verified(pairs, docs, order))
-    split = _split_entries(entries.select("h", "doc", "n"), links)
+    split = _split_entries(entries, links)
     if not split.isEmpty():
-        lead = split.groupBy("h").agg(F.min(F.struct(F.xxhash64("doc", "h").alias("x"), "doc", "comp", "n")).alias("lead"))
-        second = split.join(lead, "h").where(
-            "comp != lead.comp and 75 * n <= 100 * lead.n and 75 * lead.n <= 100 * n")
-        second = second.select(F.least("doc", "lead.doc").alias("a"), F.greatest("doc", "lead.doc").alias("b")).distinct()
-        second = K.written(second.join(pairs, ["a", "b"], "left_anti"))
+        lead = split.groupBy("h").agg(F.min(F.struct(F.xxhash64("doc", "h").alias("x"), "doc", "comp", "n", "i")).alias("lead"))
+        second = split.join(lead, "h").where("comp != lead.comp and " + _can_link("n", "i", "lead.n", "lead.i"))
+        second = K.written(_pairs(second, "doc", "lead.doc").join(pairs, ["a", "b"], "left_anti"))
         links = K.written(links.unionByName(_verified(second, docs, order)))
-        split = _split_entries(split.select("h", "doc", "n"), links)
+        split = _split_entries(split.drop("comp"), links)
         if not split.isEmpty():
             size = split.groupBy("h", "comp").agg(F.count("*").alias("c"))
             major = size.groupBy("h").agg(F.max(F.struct("c", "comp")).alias("major")).select("h", F.col("major.comp").alias("major"))
             x = split.join(major, "h").where("comp != major")
-            y = split.select("h", F.col("doc").alias("doc2"), F.col("n").alias("n2"), F.col("comp").alias("comp2"))
+            y = split.select("h", *(F.col(c).alias(c + "2") for c in ("doc", "n", "i", "comp")))
             rest = x.join(y, "h").where(
-                "comp != comp2 and (comp2 = major or doc < doc2) and 75 * n <= 100 * n2 and 75 * n2 <= 100 * n")
-            rest = rest.select(F.least("doc", "doc2").alias("a"), F.greatest("doc", "doc2").alias("b")).distinct()
-            rest = K.written(rest.join(pairs.unionByName(second), ["a", "b"], "left_anti"))
+                "comp != comp2 and (comp2 = major or doc < doc2) and " + _can_link("n", "i", "n2", "i2"))
+            rest = K.written(_pairs(rest, "doc", "doc2").join(pairs.unionByName(second), ["a", "b"], "left_anti"))
             links = K.written(links.unionByName(_verified(rest, docs, order)))
     labels = components(links)
 
     members = docs.mapInArrow(_set_task(None), T.StructType(fields))
-    named = classes.select("n", "s1", "s2", "doc").join(
-        labels, F.col("doc") == F.col("node"), "left").select("n", "s1", "s2", "doc", F.coalesce("component", "doc").alias("comp"))
+    named = members.where("n > 0").groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("doc"))
+    named = named.join(labels, F.col("doc") == F.col("node"), "left").select(
+        "n", "s1", "s2", "doc", F.coalesce("component", "doc").alias("comp"))
     return members.join(named, ["n", "s1", "s2"], "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.coalesce("doc", "doc_id").alias("class_id"),
         F.coalesce("comp", "doc_id").alias("component_id"))
