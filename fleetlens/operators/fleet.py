@@ -19,6 +19,8 @@ from .joins import checked_broadcast
 # Key prefixes and the known per-node config fields.
 NODE_PREFIX = "/config/compute_node/"
 HEARTBEAT_PREFIX = "/nodes/"
+AGENT_PREFIX = "/config/collect_agent/"
+AGENT_FIELDS = ["kafka_topic", "window"]
 NODE_FIELDS = ["heartbeat_interval", "status", "target_collect_agent", "window"]
 DEFAULT_HEARTBEAT_INTERVAL = "20"
 FALLBACK_THRESHOLD_S = 60.0
@@ -50,6 +52,13 @@ def config_kv_pivot(kv: DataFrame, fields: Sequence[str] = NODE_FIELDS) -> DataF
     return s.groupBy("node_id").pivot("field", list(fields)).agg(F.max("value"))
 
 
+def agent_list(kv: DataFrame, fields: Sequence[str] = AGENT_FIELDS) -> DataFrame:
+    """SRC-5, collect agents: one row per agent id with a column per listed field. The ids
+    are also the targets of a push to every agent."""
+    s = split_key(kv, AGENT_PREFIX).withColumnRenamed("node_id", "agent_id")
+    return s.groupBy("agent_id").pivot("field", list(fields)).agg(F.max("value"))
+
+
 def heartbeat_kv(heartbeats: DataFrame) -> DataFrame:
     """The live store keeps one heartbeat value per node: the newest event, as JSON text."""
     last = heartbeats.groupBy("node_id").agg(F.max_by(F.struct("event_time", "status"), "event_time").alias("h"))

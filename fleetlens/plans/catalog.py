@@ -955,3 +955,43 @@ def q_upsert_settings(t: Telemetry) -> DataFrame:
     cur = t.fx.collection_settings.select("node_id", F.col("interval_seconds").cast("int"),
                                           F.col("window_seconds").cast("int"), "collect_agent")
     return rollup.upsert(upd, cur, ["node_id"])
+
+
+# ------------------------------------------------------------ admin rules and agents ---
+
+_METRICS = ", ".join(f"('{r}', '{m}')" for r, m in alerts.RESOURCE_TO_METRIC.items())
+_PUSHABLE = "enabled AND operator IN ('>', '>=')"
+
+
+@query("compile_thresholds", sql(f"""
+SELECT metric_name, min(threshold) AS max_value, CAST(NULL AS DOUBLE) AS min_value
+FROM fx_alert_rules JOIN (VALUES {_METRICS}) m(resource, metric_name) USING (resource) WHERE {_PUSHABLE} GROUP BY metric_name""",
+    "fx_alert_rules"))
+def q_compile_thresholds(t: Telemetry) -> DataFrame:
+    """AGG-25: the most restrictive threshold per agent metric."""
+    return alerts.compile_thresholds(t.fx.alert_rules)
+
+
+@query("skipped_rules", sql(f"""
+SELECT name FROM fx_alert_rules WHERE {_PUSHABLE} AND resource NOT IN (SELECT resource FROM (VALUES {_METRICS}) m(resource, metric_name))""",
+    "fx_alert_rules"))
+def q_skipped_rules(t: Telemetry) -> DataFrame:
+    """AGG-25: enabled upper-bound rules that no agent metric can carry."""
+    return alerts.skipped_rules(t.fx.alert_rules)
+
+
+@query("rule_counters", sql(f"""
+SELECT count(*) AS total, CAST(count_if(enabled) AS BIGINT) AS enabled, CAST(count_if({_PUSHABLE}) AS BIGINT) AS syncable FROM fx_alert_rules""",
+    "fx_alert_rules"))
+def q_rule_counters(t: Telemetry) -> DataFrame:
+    """AGG-24: total, enabled and pushable alert rules."""
+    return fleet.rule_counters(t.fx.alert_rules, F.col("operator").isin(">", ">="))
+
+
+@query("agent_list", sql("""
+SELECT split_part(key, '/', 4) AS agent_id, max(value) FILTER (split_part(key, '/', 5) = 'kafka_topic') AS kafka_topic,
+  max(value) FILTER (split_part(key, '/', 5) = 'window') AS "window"
+FROM fx_config_kv WHERE key LIKE '/config/collect_agent/%' GROUP BY 1""", "fx_config_kv"))
+def q_agent_list(t: Telemetry) -> DataFrame:
+    """SRC-5: collect agents with their configuration."""
+    return fleet.agent_list(t.fx.config_kv)

@@ -23,7 +23,7 @@ COMM_CASE = """CASE WHEN comm IS NULL OR comm = '' THEN 'unknown'
   WHEN starts_with(comm, 'swapper') THEN 'swapper' ELSE comm END"""
 
 cte("fx_reports", """
-SELECT o_orderkey AS report_id, 'node_' || CAST(o_orderkey % 6 AS VARCHAR) AS node_id,
+SELECT o_orderkey AS report_id, CASE WHEN o_orderkey % 97 = 0 THEN '' ELSE 'node_' || CAST(o_orderkey % 6 AS VARCHAR) END AS node_id,
   TIMESTAMP '2024-01-01 00:00:00' + (o_custkey % 24) * INTERVAL '1' HOUR + (o_orderkey % 60) * INTERVAL '1' MINUTE AS event_time,
   CAST(1704067200 + (o_custkey % 24) * 3600 + (o_orderkey % 60) * 60 AS BIGINT) AS "timestamp",
   CAST(5 AS DOUBLE) AS collection_window_seconds,
@@ -39,14 +39,14 @@ SELECT l.l_orderkey AS report_id, CAST(row_number() OVER (PARTITION BY l.l_order
   CASE WHEN l.l_quantity <= 1 THEN 0 ELSE (l.l_orderkey % 10000) * 100 + row_number() OVER (PARTITION BY l.l_orderkey ORDER BY l.l_linenumber, l.l_partkey, l.l_suppkey, l.l_extendedprice, l.l_quantity) END AS pid,
   CAST(l.l_quantity AS BIGINT) * 1000000000 AS cpu_ontime_ns,
   CASE WHEN l.l_suppkey % 10 = 0 THEN 0 WHEN l.l_suppkey % 10 = 1 THEN 100 + l.l_suppkey % 50 ELSE 1000 + l.l_partkey % 20 END AS uid,
-  CASE WHEN l.l_discount = 0 THEN '' ELSE p.p_type || '-' || CAST(p.p_size % 4 AS VARCHAR) END AS comm,
+  CASE WHEN l.l_discount = 0 THEN '' WHEN l.l_partkey % 11 = 0 THEN 'kworker/' || CAST(p.p_size % 4 AS VARCHAR) ELSE p.p_type || '-' || CAST(p.p_size % 4 AS VARCHAR) END AS comm,
   CAST(floor(l.l_extendedprice) AS BIGINT) * 4096 AS read_bytes, l.l_partkey * 1024 AS write_bytes,
   l.l_suppkey * 2048 AS net_rx_bytes, CAST(l.l_linenumber AS BIGINT) * 512 AS net_tx_bytes,
   CAST(floor(l.l_extendedprice) AS BIGINT) * 1024 AS avg_rss_bytes, (l.l_partkey % 8) * 256 AS gpu_used_memory_mib
 FROM lineitem l JOIN part p ON p.p_partkey = l.l_partkey""")
 
 cte("fx_gpus", """
-SELECT r.report_id, r.node_id, r.event_time, g.gpu_index, CAST((r.report_id * 7 + g.gpu_index * 31) % 101 AS DOUBLE) AS utilization_percent,
+SELECT r.report_id, r.node_id, r.event_time, g.gpu_index, CAST((r.report_id * 7 + g.gpu_index * 31) % 103 AS DOUBLE) AS utilization_percent,
   CAST(30 + (r.report_id + g.gpu_index * 13) % 60 AS DOUBLE) AS temperature_celsius, CAST(50 + (r.report_id * 3 + g.gpu_index) % 300 AS DOUBLE) AS power_watts,
   (r.report_id + g.gpu_index) % 24576 AS memory_used_mib
 FROM fx_reports r JOIN (SELECT 0 AS gpu_index UNION ALL SELECT 1 AS gpu_index) g ON g.gpu_index < r.gpu_count WHERE r.has_system_metrics""",
@@ -78,7 +78,16 @@ SELECT 'node_' || CAST(s_suppkey AS VARCHAR) AS node_id, CAST(5 + (s_suppkey % 3
 cte("fx_config_kv", """
 SELECT '/config/compute_node/node_' || CAST(s_suppkey AS VARCHAR) || '/window' AS key, CAST(30 + (s_suppkey % 5) * 30 AS VARCHAR) AS value FROM supplier WHERE s_suppkey % 3 <> 0
   UNION ALL SELECT '/config/compute_node/node_' || CAST(s_suppkey AS VARCHAR) || '/heartbeat_interval' AS key, CASE WHEN s_suppkey % 7 = 0 THEN 'bad' ELSE CAST(5 + (s_suppkey % 3) * 5 AS VARCHAR) END AS value FROM supplier WHERE s_suppkey % 4 <> 0
-  UNION ALL SELECT '/config/compute_node/node_' || CAST(s_suppkey AS VARCHAR) || '/status' AS key, CASE WHEN s_suppkey % 2 = 0 THEN 'running' ELSE 'stopped' END AS value FROM supplier WHERE s_suppkey % 3 <> 0""")
+  UNION ALL SELECT '/config/compute_node/node_' || CAST(s_suppkey AS VARCHAR) || '/status' AS key, CASE WHEN s_suppkey % 2 = 0 THEN 'running' ELSE 'stopped' END AS value FROM supplier WHERE s_suppkey % 3 <> 0
+  UNION ALL SELECT '/config/compute_node/node_' || CAST(s_suppkey AS VARCHAR) || '/target_collect_agent' AS key,
+    'agent_' || CAST(CASE WHEN s_suppkey % 2 = 0 THEN s_suppkey % 5 ELSE (s_suppkey + 1) % 5 END AS VARCHAR) AS value FROM supplier WHERE s_suppkey % 5 <> 1
+  UNION ALL SELECT '/config/collect_agent/agent_' || CAST(r_regionkey AS VARCHAR) || '/kafka_topic', 'topic_' || CAST(r_regionkey AS VARCHAR) FROM region
+  UNION ALL SELECT '/config/collect_agent/agent_' || CAST(r_regionkey AS VARCHAR) || '/window', CAST(r_regionkey * 30 AS VARCHAR) FROM region""")
+
+cte("fx_alert_rules", """
+SELECT 'rule_' || CAST(p_partkey AS VARCHAR) AS id, p_type AS name, (['cpu', 'mem', 'gpu', 'disk', 'net', 'fan'])[p_partkey % 6 + 1] AS resource,
+  (['>', '>=', '<', '<='])[p_size % 4 + 1] AS operator, CAST(p_size + p_partkey % 7 AS DOUBLE) AS threshold, p_partkey % 3 <> 0 AS enabled
+FROM part""")
 
 cte("host_events", """
 SELECT event_id, 'node_' || CAST(user_id % 6 AS VARCHAR) AS node_id, CAST(user_id % 4 AS INTEGER) AS cpu,
@@ -355,12 +364,12 @@ THRESHOLD_RULES = [
 ]
 ALERT_RULES = [
     ("r1", "cpu high", "all", "cpu", ">", 90.0, "critical", True),
-    ("r2", "cpu warn", "all", "cpu", ">=", 75.0, "warning", True),
-    ("r3", "cpu idle", "all", "cpu", "<", 10.0, "info", True),
+    ("r2", "cpu warn", "all", "cpu", ">=", 60.0, "warning", True),
+    ("r3", "cpu idle", "all", "cpu", "<", 40.0, "info", True),
     ("r4", "net burst", "all", "net", ">", 5.0, "warning", True),
     ("r5", "mem any", "all", "mem", ">", 1.0, "info", False),
-    ("r6", "gpu hot", "NATION_14", "gpu", ">=", 60.0, "warning", True),
-    ("r7", "mem low", "NATION_6", "mem", "<=", 20.0, "info", True),
+    ("r6", "gpu hot", "NATION_14", "gpu", ">=", 45.0, "warning", True),
+    ("r7", "mem low", "NATION_6", "mem", "<=", 45.0, "info", True),
 ]
 
 

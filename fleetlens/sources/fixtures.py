@@ -58,7 +58,7 @@ class Fixtures:
         ts = F.lit(EPOCH_2024) + (c % 24) * 3600 + (k % 60) * 60
         return o.select(
             k.alias("report_id"),
-            node_name(k % N_REPORT_NODES).alias("node_id"),
+            F.when(k % 97 == 0, F.lit("")).otherwise(node_name(k % N_REPORT_NODES)).alias("node_id"),
             ts.cast("bigint").alias("timestamp"),
             F.timestamp_seconds(ts).alias("event_time"),
             F.lit(5.0).alias("collection_window_seconds"),
@@ -78,7 +78,7 @@ class Fixtures:
         idx = F.filter(F.array(F.lit(0), F.lit(1)), lambda g: g < F.col("gpu_count"))
         gpus = F.transform(idx, lambda g: F.struct(
             g.cast("int").alias("gpu_index"),
-            ((rid * 7 + g * 31) % 101).cast("double").alias("utilization_percent"),
+            ((rid * 7 + g * 31) % 103).cast("double").alias("utilization_percent"),
             (30 + (rid + g * 13) % 60).cast("double").alias("temperature_celsius"),
             (50 + (rid * 3 + g) % 300).cast("double").alias("power_watts"),
             ((rid + g) % 24576).cast("bigint").alias("memory_used_mib")))
@@ -109,6 +109,7 @@ class Fixtures:
              .when(sk % 10 == 1, 100 + sk % 50)
              .otherwise(1000 + pk % 20).alias("uid"),
             F.when(F.col("l_discount") == 0, F.lit(""))
+             .when(pk % 11 == 0, F.concat(F.lit("kworker/"), (F.col("p_size") % 4).cast("string")))
              .otherwise(F.concat(F.col("p_type"), F.lit("-"), (F.col("p_size") % 4).cast("string"))).alias("comm"),
             (price * 4096).alias("read_bytes"),
             (pk * 1024).alias("write_bytes"),
@@ -240,7 +241,25 @@ class Fixtures:
         status = s.filter(k % 3 != 0).select(
             key("status").alias("key"),
             F.when(k % 2 == 0, F.lit("running")).otherwise(F.lit("stopped")).alias("value"))
-        return window.unionByName(hb).unionByName(status)
+        target = s.filter(k % 5 != 1).select(
+            key("target_collect_agent").alias("key"),
+            F.concat(F.lit("agent_"), F.when(k % 2 == 0, k % 5).otherwise((k + 1) % 5).cast("string")).alias("value"))
+        r = F.col("r_regionkey")
+        agent = F.concat(F.lit("/config/collect_agent/agent_"), r.cast("string"))
+        agents = self.table("region").select(F.inline(F.array(
+            F.struct(F.concat(agent, F.lit("/kafka_topic")).alias("key"), F.concat(F.lit("topic_"), r.cast("string")).alias("value")),
+            F.struct(F.concat(agent, F.lit("/window")).alias("key"), (r * 30).cast("string").alias("value")))))
+        return window.unionByName(hb).unionByName(status).unionByName(target).unionByName(agents)
+
+    @cached_property
+    def alert_rules(self) -> DataFrame:
+        """Alert rules of an administrator, one per part (fx_alert_rules)."""
+        k, size = F.col("p_partkey"), F.col("p_size")
+        pick = lambda names, n: F.element_at(F.array(*[F.lit(x) for x in names]), (n % len(names) + 1).cast("int"))
+        return self.table("part").select(
+            F.concat(F.lit("rule_"), k.cast("string")).alias("id"), F.col("p_type").alias("name"), F.lit("all").alias("node_group"),
+            pick(["cpu", "mem", "gpu", "disk", "net", "fan"], k).alias("resource"), pick([">", ">=", "<", "<="], size).alias("operator"),
+            (size + k % 7).cast("double").alias("threshold"), F.lit("warning").alias("severity"), (k % 3 != 0).alias("enabled"))
 
     # ------------------------------------------------------------ host samples ---------
     @cached_property
