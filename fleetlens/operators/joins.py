@@ -6,13 +6,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 # A side is broadcast only when Catalyst's size estimate for it is at most this many bytes.
-DEFAULT_BROADCAST_BYTES = 64 * 1024 * 1024
+DEFAULT_BROADCAST_BYTES = 32 * 1024 * 1024
 
 
 def estimated_bytes(df: DataFrame) -> int | None:
     """Catalyst's plan-time size estimate (no job runs). For scans it is derived from the
-    file sizes and only shrinks through projections, so below a filter or aggregate it
-    is an upper bound of the real size."""
+    (compressed) file sizes, and generators can grow a side beyond it, so it is an estimate
+    and no proven bound; the default limit leaves room for that."""
     try:
         size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
         return int(size if isinstance(size, int) else str(size))
@@ -21,7 +21,7 @@ def estimated_bytes(df: DataFrame) -> int | None:
 
 
 def checked_broadcast(side: DataFrame, max_bytes: int = DEFAULT_BROADCAST_BYTES) -> DataFrame:
-    """Broadcast ``side`` only when its estimated size is proven to be at most
+    """Broadcast ``side`` only when its estimated size is at most
     ``max_bytes``; otherwise return it unchanged, so the planner uses a shuffle join and
     AQE can still switch to a broadcast from sizes measured at runtime."""
     n = estimated_bytes(side)
