@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -618,17 +618,40 @@ def q_decode_reports(t: Telemetry) -> DataFrame:
                     F.col("system_metrics").isNotNull().alias("has_system_metrics"))
 
 
-@query("publish_json", None)
+def _wire_figures(wire: DataFrame) -> DataFrame:
+    """What the JSON values hold, read back from their text (number formats differ between
+    engines, so the texts themselves aren't compared)."""
+    def keys(text: Column) -> Column:
+        return F.array_join(F.array_sort(F.json_object_keys(text)), ",")
+    procs = F.from_json(F.get_json_object("value", "$.processes"), "array<struct<pid:bigint,cpu_ontime_ns:bigint>>")
+    return wire.select(
+        "key", F.get_json_object("value", "$.timestamp").cast("bigint").alias("timestamp"), keys(F.col("value")).alias("keys"),
+        keys(F.get_json_object("value", "$.processes[0]")).alias("process_keys"), F.size(procs).cast("bigint").alias("n_processes"),
+        F.get(procs, 0)["pid"].alias("first_pid"),
+        F.aggregate(procs, F.lit(0).cast("bigint"), lambda a, p: a + p["cpu_ontime_ns"]).alias("cpu_ontime_ns"))
+
+
+def _wire_sql(process_keys: list[str]) -> str:
+    keys = ["collection_window_seconds", "metadata", "node_id", "processes", "timestamp"]
+    return sql(f"""
+SELECT any_value(r.node_id) AS key, any_value(r."timestamp") AS "timestamp",
+  CASE WHEN any_value(r.sm_ok) THEN '{",".join(sorted([*keys, "system_metrics"]))}' ELSE '{",".join(keys)}' END AS keys,
+  '{",".join(sorted(process_keys))}' AS process_keys, count(*) AS n_processes, arg_min(p.pid, p.pos) AS first_pid,
+  CAST(sum(p.cpu_ontime_ns) AS BIGINT) AS cpu_ontime_ns
+FROM v_reports r JOIN v_procs p ON p.report_id = r.report_id GROUP BY r.report_id""", "v_reports", "v_procs")
+
+
+@query("publish_json", _wire_sql([*stages.PROCESS_FIELD_NAMES, "metadata"]))
 def q_publish_json(t: Telemetry) -> DataFrame:
     """SNK-1: Kafka-shaped (key, value) rows; null system metrics omitted from the JSON."""
-    return ingest.encode_reports(t.validated_reports)
+    return _wire_figures(ingest.encode_reports(t.validated_reports))
 
 
-@query("publish_projected", None)
+@query("publish_projected", _wire_sql(stages.normalize_fields(PROJECTED_FIELDS)))
 def q_publish_projected(t: Telemetry) -> DataFrame:
-    """PRJ-2: exported JSON holds only the projected process keys."""
+    """PRJ-2: exported JSON holds only the process keys that the report's metadata lists."""
     p = stages.project_fields(t.validated_reports, PROJECTED_FIELDS)
-    return ingest.encode_reports(p, process_fields=PROJECTED_FIELDS)
+    return _wire_figures(ingest.encode_reports(p))
 
 
 @query("sampler", sql(f"""

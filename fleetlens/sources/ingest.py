@@ -32,10 +32,12 @@ def _typed_struct(x: Column, st: T.StructType) -> Column:
     return F.struct(*[_typed(x[f.name], f.dataType).alias(f.name) for f in st.fields])
 
 
-def encode_reports(reports: DataFrame, extra: Sequence[str] = (), process_fields: Sequence[str] | None = None) -> DataFrame:
+def encode_reports(reports: DataFrame, extra: Sequence[str] = ()) -> DataFrame:
     """SNK-1 / PRJ-2: (key = node_id, value = JSON text). Null ``system_metrics`` is left
-    out of the object; with ``process_fields`` each process holds only those keys."""
-    procs = F.transform("processes", lambda p: exported_process_struct(p, process_fields))
+    out of the object. A report whose metadata lists exported process fields carries only
+    those keys per process; any other report all of them and the process metadata."""
+    listed = F.coalesce(F.regexp_extract_all(F.col("metadata")["exported_process_fields"], F.lit("'([^']*)'"), F.lit(1)), F.array())
+    procs = F.transform("processes", lambda p: exported_process_struct(p, listed))
     body = F.struct(*[F.col(c) for c in extra], "node_id", "timestamp", "collection_window_seconds",
                     procs.alias("processes"), "system_metrics", "collect_agent_id", "received_timestamp", "metadata")
     return reports.select(F.col("node_id").alias("key"), F.to_json(body).alias("value"))

@@ -174,19 +174,18 @@ def liveness_stream(spark: SparkSession, heartbeats: DataFrame, sink_path: str,
     return w.trigger(**(trigger or {"availableNow": True})).start()
 
 
-def publish_kafka(reports: DataFrame, brokers: str, topic: str, checkpoint: str,
-                  process_fields: Sequence[str] | None = None) -> StreamingQuery:
+def publish_kafka(reports: DataFrame, brokers: str, topic: str, checkpoint: str) -> StreamingQuery:
     """SNK-1 / PRJ-2: reports -> topic keyed by node id, gzip batches (needs the Kafka
     connector on the classpath)."""
-    out = ingest.encode_reports(reports, process_fields=process_fields)
+    out = ingest.encode_reports(reports)
     return (out.writeStream.format("kafka").option("kafka.bootstrap.servers", brokers).option("topic", topic)
             .option("kafka.compression.type", "gzip").option("kafka.linger.ms", "10")
             .option("kafka.batch.size", str(64 * 1024)).option("checkpointLocation", checkpoint).start())
 
 
-def publish_files(reports: DataFrame, path: str, process_fields: Sequence[str] | None = None) -> None:
+def publish_files(reports: DataFrame, path: str) -> None:
     """SNK-1 offline: the same JSON values as gzip-compressed text files (batch)."""
-    ingest.encode_reports(reports, process_fields=process_fields).select("value") \
+    ingest.encode_reports(reports).select("value") \
         .write.mode("overwrite").option("compression", "gzip").text(path)
 
 
