@@ -8,7 +8,8 @@ with budget b and T tokens gets floor(b / T) whole epochs and, of the next epoch
 of its documents in that epoch's seeded order that fits into what remains.
 
 Only (leaf, tokens) rows are grouped; the order's prefix sums run over ranges of the order first
-and then within the one range of each leaf that the budget ends in, so no leaf is sorted whole. A
+and then within the one range of each leaf that the budget ends in (as many ranges as a range
+holds documents, about), so no leaf is sorted whole. A
 leaf's decision is one row (epochs, last order key), which selects documents without shuffling
 their texts.
 
@@ -30,7 +31,6 @@ LEVELS = ["domain", "lang", "source"]
 BUDGET_SHARE = 0.6
 MAX_EPOCHS = 2
 SEED = 11
-RANGE_ROWS = 10_000
 # Target weights by language; every other node weighs 1 among its siblings.
 LANGUAGE_WEIGHTS = {"en": 4.0, "de": 2.0, "fr": 2.0, "es": 2.0}
 
@@ -93,7 +93,7 @@ def mix(docs: DataFrame, domain: Column | None = None, budget_share: float = BUD
     leaves = leaves.select(
         *LEVELS, F.when(F.col("tokens") > 0, F.floor(F.col("budget") / F.col("tokens"))).otherwise(0).cast("int").alias("epochs"),
         F.when(F.col("tokens") > 0, F.col("budget") % F.col("tokens")).otherwise(0).alias("rest"),
-        F.ceil(F.col("n_docs") / RANGE_ROWS).alias("ranges"))
+        F.ceil(F.sqrt("n_docs")).cast("double").alias("ranges"))
     leaves = K.written(leaves)
 
     at = thin.join(leaves, LEVELS).withColumn("key", _order_key(seed, F.col("epochs"), F.col("doc_id")))
