@@ -142,7 +142,8 @@ def aligned_pairs(docs: DataFrame) -> DataFrame:
     anchors = lined.select("doc_id", F.explode(F.arrays_zip("keys", "words")).alias("line"))
     anchors = anchors.where(F.col("line.words") >= ANCHOR_WORDS).select("doc_id", F.col("line.keys").alias("key"))
     first = anchors.groupBy("key").agg(F.min("doc_id").alias("earlier"), F.max("doc_id").alias("last"))
-    first = first.where("earlier < last").select("key", "earlier")
+    # written first, so that the join on a line has plain exchanges and a hot line can be split
+    first = K.written(first.where("earlier < last").select("key", "earlier"))
     pairs = anchors.join(first, "key").where("doc_id != earlier").select("doc_id", "earlier").distinct()
     held = lined.select(F.col("doc_id").alias("earlier"), F.col("keys").alias("earlier_keys"))
     pairs = pairs.join(held, "earlier").join(lined, "doc_id").select("doc_id", "earlier", "earlier_keys", "keys", "words")
