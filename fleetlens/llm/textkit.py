@@ -23,13 +23,16 @@ from pyspark.sql import functions as F
 U64 = np.uint64
 
 # Bytes of text that one vectorised step handles (a longer document is one step of its own).
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 18
 
 _ALL = np.arange(256)
 PLAIN_WORD = ~((_ALL == 0x20) | ((_ALL >= 0x09) & (_ALL <= 0x0D)))
 ALNUM_WORD = ((_ALL >= 0x30) & (_ALL <= 0x39)) | ((_ALL >= 0x61) & (_ALL <= 0x7A)) | (_ALL >= 0x80)
 LOWER = np.where((_ALL >= 0x41) & (_ALL <= 0x5A), _ALL + 32, _ALL).astype(np.uint8)
 
+# Rows of an Arrow batch at most (Spark's default is 10,000, which is too many whole texts).
+BATCH_ROWS = 1000
+
 _own_folder = ""
 
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -126,7 +129,10 @@ def named(names: list[str]) -> list[Column]:
 
 def ship(spark) -> None:
     """Send this package to the Python workers once per application, for sessions whose executors
-    don't have it on their path (a no-op when it was itself installed from an archive)."""
+    don't have it on their path (a no-op when it was itself installed from an archive), and keep
+    the batches that go to them small: their rows are whole texts."""
+    if not 0 < int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= BATCH_ROWS:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     context = spark.sparkContext
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     if getattr(context, "_fleetlens_shipped", False) or not os.path.isdir(os.path.join(root, "fleetlens")):
