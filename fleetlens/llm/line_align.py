@@ -1,13 +1,16 @@
 """Line dedup by pairwise alignment.
 
-1. Every line of eight words and more gets a hash of its words (white space aside). Such lines are
-   rare by content. Where one occurs in several documents, each later document is paired with the
-   line's first holder (the smallest doc_id): one pair per line and document however many share it,
-   so neither a cap on frequent lines nor all pairs of a group are needed.
+1. Runs of whole lines are hashed (words only; white space aside): from every line on, and back
+   from every line, the shortest run of ``BLOCK_WORDS`` words, be it one line or many short ones.
+   Each later document is paired with the first holder (the smallest doc_id) of each of its runs:
+   one pair per run and document however many share it. Every line of a block of that many words
+   that an earlier document holds lies in a run inside the block, and the run's first holder holds
+   the run, so no cap on frequent lines and no other pair of a group is needed.
 2. Each pair is aligned with patience diff over all its lines, short ones included: common ends,
    then lines unique in both, in longest increasing order, then the gaps between them again.
 3. Aligned blocks (runs of lines that follow one another in both documents) of at least
-   ``BLOCK_WORDS`` words are deleted from the later document. Documents are judged as they came in,
+   ``BLOCK_WORDS`` words are deleted from the later document, and so are shared runs that the
+   alignment misses because they moved or are not unique. Documents are judged as they came in,
    not as earlier deletions leave them.
 
 Defined results: a null or empty text has one empty line and loses nothing; in ``repeated_lines``
@@ -18,7 +21,7 @@ table gives an empty result; further columns pass through ``dedup_lines``.
 
 from __future__ import annotations
 
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 
 import numpy as np
 import pyarrow as pa
@@ -29,14 +32,38 @@ from pyspark.sql import types as T
 
 from fleetlens.llm import textkit as K
 
-ANCHOR_WORDS = 8
 BLOCK_WORDS = 12
 
 _STEP = 0xD1342543DE82EF95
 
 
+def run_keys(keys: np.ndarray, at: np.ndarray, bounds: np.ndarray):
+    """Hashes of the shortest runs of whole lines with ``BLOCK_WORDS`` words, and per-row bounds.
+
+    Each line with words starts one such run and ends one, as far as its row reaches. A line of a
+    block with that many words lies in a run that is inside the block too."""
+    n = len(keys)
+    row = K.row_of(bounds)
+    first, last = bounds[:-1][row], bounds[1:][row]
+    some = np.diff(at) > 0
+    stop = np.searchsorted(at, at[:-1] + BLOCK_WORDS)
+    ahead = np.flatnonzero(some & (stop <= last))
+    start = np.searchsorted(at, at[1:] - BLOCK_WORDS, side="right") - 1
+    back = np.flatnonzero(some & (start >= first))
+    back = back[stop[start[back]] != back + 1]  # not the runs that are met from their start
+    begin, end = np.concatenate([ahead, start[back]]), np.concatenate([stop[ahead], back + 1])
+    up = K._power_table("line_up", _STEP, n + 1)
+    down = K._power_table("line_down", pow(_STEP, -1, 1 << 64), n + 1)
+    sums = np.zeros(n + 1, K.U64)
+    np.cumsum(keys * up[:n], out=sums[1:])
+    runs = K.mix((sums[end] - sums[begin]) * down[begin] + (end - begin).astype(K.U64))
+    order = np.argsort(begin, kind="stable")
+    return runs[order], np.searchsorted(begin[order], bounds)
+
+
 def line_keys(col: pa.Array):
-    """Per chunk: first row, rows, line hashes, words per line, per-row line bounds."""
+    """Per chunk: first row, rows, line hashes, words per line, per-row line bounds, run hashes,
+    per-row run bounds."""
     for lo, hi, buf, offs in K.text_chunks(col):
         starts, ends, _ = K.word_spans(buf, offs, K.PLAIN_WORD)
         words = K.word_hashes(buf, starts, ends)
@@ -55,16 +82,19 @@ def line_keys(col: pa.Array):
         np.cumsum(words * up[:n], out=sums[1:])
         count = np.diff(at)
         keys = K.mix((sums[at[1:]] - sums[at[:-1]]) * down[at[:-1]] + count.astype(K.U64))
-        yield lo, rows, keys.view(np.int64), count, bounds
+        runs, run_bounds = run_keys(keys, at, bounds)
+        yield lo, rows, keys.view(np.int64), count, bounds, runs.view(np.int64), run_bounds
 
 
 def _lines_task(batches):
     for batch in batches:
-        for lo, rows, keys, count, bounds in line_keys(batch.column("text")):
+        for lo, rows, keys, count, bounds, runs, run_bounds in line_keys(batch.column("text")):
             offs = pa.array(bounds.astype(np.int32))
+            run_offs = pa.array(run_bounds.astype(np.int32))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id").slice(lo, rows), pa.ListArray.from_arrays(offs, pa.array(keys)),
-                 pa.ListArray.from_arrays(offs, pa.array(count.astype(np.int32)))], names=["doc_id", "keys", "words"])
+                 pa.ListArray.from_arrays(offs, pa.array(count.astype(np.int32))),
+                 pa.ListArray.from_arrays(run_offs, pa.array(runs))], names=["doc_id", "keys", "words", "runs"])
 
 
 def patience(a: list, b: list) -> list[tuple[int, int]]:
@@ -107,15 +137,36 @@ def patience(a: list, b: list) -> list[tuple[int, int]]:
     return sorted(out)
 
 
+def shortest_runs(words: list, least: int = BLOCK_WORDS) -> list[tuple[int, int]]:
+    """[begin, end) of the runs of ``run_keys``, from the words of each line."""
+    at = [0]
+    for w in words:
+        at.append(at[-1] + w)
+    n = len(words)
+    spans = {(i, b) for i in range(n) if words[i] and (b := bisect_left(at, at[i] + least)) <= n}
+    spans |= {(a, j + 1) for j in range(n) if words[j] and (a := bisect_right(at, at[j + 1] - least) - 1) >= 0}
+    return sorted(spans)
+
+
 def common_blocks(earlier: list, later: list, words: list, least: int = BLOCK_WORDS) -> list[tuple[int, int]]:
-    """[begin, end) line blocks of ``later`` that are aligned and hold at least ``least`` words."""
+    """[begin, end) line blocks of ``later`` that hold at least ``least`` words and are aligned, or
+    that ``earlier`` holds in another place than the alignment has them."""
     blocks: list[list[int]] = []
     for i, j in patience(earlier, later):
         if blocks and blocks[-1][1] == j and blocks[-1][2] == i:
             blocks[-1][1:] = [j + 1, i + 1]
         else:
             blocks.append([j, j + 1, i + 1])
-    return [(a, b) for a, b, _ in blocks if sum(words[a:b]) >= least]
+    found = [(a, b) for a, b, _ in blocks if sum(words[a:b]) >= least]
+    gone = {n for a, b in found for n in range(a, b)}
+    both = set(earlier)
+    moved = [(a, b) for a, b in shortest_runs(words, least)
+             if not gone.issuperset(range(a, b)) and both.issuperset(later[a:b])]
+    if moved:
+        size = dict(zip(later, words))
+        held = {tuple(earlier[a:b]) for a, b in shortest_runs([size.get(k, least) for k in earlier], least)}
+        found += [(a, b) for a, b in moved if tuple(later[a:b]) in held]
+    return found
 
 
 SPAN = T.ArrayType(T.StructType([T.StructField("begin", T.IntegerType()), T.StructField("end", T.IntegerType())]))
@@ -133,18 +184,21 @@ def _align_task(batches):
                                          names=["doc_id", "earlier", "blocks"])
 
 
-def aligned_pairs(docs: DataFrame) -> DataFrame:
-    """(doc_id, earlier, blocks) for every pair of keyed documents that shares an anchor line."""
-    kind = docs.schema["doc_id"].dataType
-    lines = T.StructType([T.StructField("doc_id", kind), T.StructField("keys", T.ArrayType(T.LongType())),
-                          T.StructField("words", T.ArrayType(T.IntegerType()))])
-    lined = K.written(docs.mapInArrow(_lines_task, lines))
-    anchors = lined.select("doc_id", F.explode(F.arrays_zip("keys", "words")).alias("line"))
-    anchors = anchors.where(F.col("line.words") >= ANCHOR_WORDS).select("doc_id", F.col("line.keys").alias("key"))
-    first = anchors.groupBy("key").agg(F.min("doc_id").alias("earlier"), F.max("doc_id").alias("last"))
-    # written first, so that the join on a line has plain exchanges and a hot line can be split
+def lined_documents(docs: DataFrame) -> DataFrame:
+    """(doc_id, keys, words, runs): line hashes, words per line and run hashes of keyed documents."""
+    return K.written(docs.mapInArrow(_lines_task, T.StructType([
+        T.StructField("doc_id", docs.schema["doc_id"].dataType), T.StructField("keys", T.ArrayType(T.LongType())),
+        T.StructField("words", T.ArrayType(T.IntegerType())), T.StructField("runs", T.ArrayType(T.LongType()))])))
+
+
+def aligned_pairs(lined: DataFrame) -> DataFrame:
+    """(doc_id, earlier, blocks) for every document and first holder of one of its runs."""
+    kind = lined.schema["doc_id"].dataType
+    runs = lined.select("doc_id", F.explode("runs").alias("key"))
+    first = runs.groupBy("key").agg(F.min("doc_id").alias("earlier"), F.max("doc_id").alias("last"))
+    # written first, so that the join on a run has plain exchanges and a hot run can be split
     first = K.written(first.where("earlier < last").select("key", "earlier"))
-    pairs = anchors.join(first, "key").where("doc_id != earlier").select("doc_id", "earlier").distinct()
+    pairs = runs.join(first, "key").where("doc_id != earlier").select("doc_id", "earlier").distinct()
     held = lined.select(F.col("doc_id").alias("earlier"), F.col("keys").alias("earlier_keys"))
     pairs = pairs.join(held, "earlier").join(lined, "doc_id").select("doc_id", "earlier", "earlier_keys", "keys", "words")
     return pairs.mapInArrow(_align_task, T.StructType(
@@ -152,10 +206,11 @@ def aligned_pairs(docs: DataFrame) -> DataFrame:
 
 
 def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per document with deleted lines: doc_id, earlier (sorted ids it was aligned with) and blocks
-    (sorted [begin, end) line spans, which may overlap)."""
+    """Per document with deleted lines: doc_id, earlier (sorted ids of the documents that hold them)
+    and blocks (sorted [begin, end) line spans, which may overlap)."""
     K.ship(docs.sparkSession)
-    found = aligned_pairs(K.keyed_documents(docs, id_col, text_col))
+    lined = lined_documents(K.keyed_documents(docs, id_col, text_col))
+    found = aligned_pairs(lined)
     return found.groupBy("doc_id").agg(
         F.sort_array(F.collect_set("earlier")).alias("earlier"),
         F.sort_array(F.flatten(F.collect_set("blocks"))).alias("blocks"))

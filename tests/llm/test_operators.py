@@ -5,6 +5,7 @@ import math
 import random
 import zlib
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -255,6 +256,53 @@ def test_line_dedup(spark, awkward, empty):
     assert line_align.dedup_lines(empty).count() == 0
 
 
+def lines_left(spark, rows, **how):
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    return {r["doc_id"]: r["text"].split("\n") for r in line_align.dedup_lines(docs, **how).collect()}
+
+
+def test_runs_of_short_lines_pair_documents(spark):
+    rng = random.Random(21)
+    passage = [sentence(rng, n) for n in (5, 7, 3, 6, 4, 7, 5, 6, 7, 5)]
+    own = {d: [sentence(rng, 6) for _ in range(3)] for d in (1, 2, 3)}
+    rows = [(d, "\n".join([own[d][0], *passage, *own[d][1:]])) for d in own]
+    got = lines_left(spark, rows)
+    assert got[1] == [own[1][0], *passage, *own[1][1:]] and got[2] == own[2] and got[3] == own[3]
+
+
+def test_blocks_of_lines_first_seen_apart(spark):
+    rng = random.Random(22)
+    hot, note, third = sentence(rng, 9), sentence(rng, 5), sentence(rng, 4)
+    own = {d: sentence(rng, 7) for d in range(6)}
+    rows = [(0, f"{own[0]}\n{hot}"), (1, f"{note}\n{own[1]}"), (2, f"{own[2]}\n{hot}\n{note}\n{third}"),
+            (3, f"{hot}\n{note}\n{own[3]}"), (4, f"{third}\n{hot}\n{note}\n{third}\n{own[4]}"), (5, f"{hot}\n{own[5]}\n{note}")]
+    got = lines_left(spark, rows)
+    assert got[3] == [own[3]] and got[4] == [third, own[4]]
+    assert all("\n".join(got[d]) == dict(rows)[d] for d in (0, 1, 2, 5))
+
+
+def test_blocks_that_moved(spark):
+    rng = random.Random(23)
+    a, b, c, x = ([sentence(rng, 5) for _ in range(4)] for _ in range(4))
+    rows = [(1, "\n".join(a + b + c)), (2, "\n".join(c + x + a)), (3, "\n".join(b + x[:1] + b))]
+    got = lines_left(spark, rows)
+    assert got[2] == x and got[3] == x[:1]
+
+
+def test_shortest_runs_are_those_hashed():
+    rng = random.Random(24)
+    texts = ["\n".join(sentence(rng, rng.choice([0, 1, 4, 7, 13])) for _ in range(rng.randrange(9))) for _ in range(60)]
+    for _, rows, keys, count, bounds, runs, run_bounds in line_align.line_keys(pa.array(texts)):
+        met = {}
+        for n in range(rows):
+            mine, words = keys[bounds[n] : bounds[n + 1]].tolist(), count[bounds[n] : bounds[n + 1]].tolist()
+            want = [tuple(mine[a:b]) for a, b in line_align.shortest_runs(words)]
+            got = runs[run_bounds[n] : run_bounds[n + 1]].tolist()
+            assert len(got) == len(want) and len(set(got)) == len(set(want))
+            met.update((k, None) for k in got)
+        assert met
+
+
 # --- op6 ----------------------------------------------------------------------------------------
 
 def near_rows(found):
