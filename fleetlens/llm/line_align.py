@@ -12,6 +12,9 @@
    ``BLOCK_WORDS`` words are deleted from the later document, and so are shared runs that the
    alignment misses because they moved or are not unique. Documents are judged as they came in,
    not as earlier deletions leave them.
+4. With ``most``, a shorter line that is held by more documents than that is a block of its own,
+   deleted from each but its first holder. A line without words never is. Shorter lines that fewer
+   documents hold stay unless they lie in a block.
 
 Defined results: a null or empty text has one empty line and loses nothing; in ``repeated_lines``
 a row without doc_id is left out and rows that share a doc_id are one document with the largest of
@@ -33,6 +36,7 @@ from pyspark.sql import types as T
 from fleetlens.llm import textkit as K
 
 BLOCK_WORDS = 12
+LINE_DOCS = 6  # the queries delete shorter lines that more documents hold than these
 
 _STEP = 0xD1342543DE82EF95
 
@@ -205,12 +209,28 @@ def aligned_pairs(lined: DataFrame) -> DataFrame:
         [T.StructField("doc_id", kind), T.StructField("earlier", kind), T.StructField("blocks", SPAN)])).where(F.size("blocks") > 0)
 
 
-def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def frequent_lines(lined: DataFrame, most: int) -> DataFrame:
+    """(doc_id, earlier, blocks) for every line of fewer than ``BLOCK_WORDS`` words, but at least
+    one, that over ``most`` documents hold: a block of its own in each after the first holder."""
+    short = (F.col("line.words") > 0) & (F.col("line.words") < BLOCK_WORDS)
+    every = F.arrays_zip("keys", "words")
+    lines = lined.select("doc_id", F.posexplode(every).alias("n", "line")).where(short).select(
+        "doc_id", "n", F.col("line.keys").alias("key"))
+    held = lined.select("doc_id", F.explode(F.array_distinct(every)).alias("line")).where(short)
+    held = held.groupBy(F.col("line.keys").alias("key")).agg(F.min("doc_id").alias("earlier"), F.count("*").alias("documents"))
+    held = K.written(held.where(F.col("documents") > most).select("key", "earlier"))
+    return lines.join(held, "key").where("doc_id != earlier").select(
+        "doc_id", "earlier", F.array(F.struct(F.col("n").alias("begin"), (F.col("n") + 1).alias("end"))).alias("blocks"))
+
+
+def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int | None = None) -> DataFrame:
     """Per document with deleted lines: doc_id, earlier (sorted ids of the documents that hold them)
     and blocks (sorted [begin, end) line spans, which may overlap)."""
     K.ship(docs.sparkSession)
     lined = lined_documents(K.keyed_documents(docs, id_col, text_col))
     found = aligned_pairs(lined)
+    if most is not None:
+        found = found.unionByName(frequent_lines(lined, most))
     return found.groupBy("doc_id").agg(
         F.sort_array(F.collect_set("earlier")).alias("earlier"),
         F.sort_array(F.flatten(F.collect_set("blocks"))).alias("blocks"))
@@ -223,13 +243,14 @@ def cut_lines(text: str, blocks: list[tuple[int, int]]) -> tuple[str, int]:
     return "\n".join(s for n, s in enumerate(lines) if n not in gone), len(gone)
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int | None = None) -> DataFrame:
     """``docs`` with repeated blocks deleted from ``text_col``, n_lines, n_removed_lines and
-    earlier; ``n_chars``, where there is one, is counted anew for texts that changed."""
+    earlier; ``n_chars``, where there is one, is counted anew for texts that changed. With ``most``,
+    lines that more documents hold go too (``frequent_lines``)."""
     made = {"n_lines": T.LongType(), "n_removed_lines": T.LongType(), "earlier": T.ArrayType(docs.schema[id_col].dataType)}
     own = [c for c in docs.columns if c not in made]
     docs = K.one_row_per_id(docs.select(*K.named(own)), id_col, text_col)
-    found = repeated_lines(docs, id_col, text_col).select(
+    found = repeated_lines(docs, id_col, text_col, most).select(
         F.col("doc_id").alias("__id"), F.col("earlier").alias("__earlier"), F.col("blocks").alias("__blocks"))
     schema = T.StructType([*(docs.schema[c] for c in own), *(T.StructField(k, v) for k, v in made.items())])
 

@@ -37,7 +37,7 @@ def op4_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    return line_align.dedup_lines(docs).select("doc_id", "n_lines", "n_removed_lines", "earlier", "text")
+    return line_align.dedup_lines(docs, most=line_align.LINE_DOCS).select("doc_id", "n_lines", "n_removed_lines", "earlier", "text")
 
 
 def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -303,6 +303,32 @@ def test_shortest_runs_are_those_hashed():
         assert met
 
 
+def test_short_lines_that_many_documents_hold(spark):
+    rng = random.Random(25)
+    hot, word, some = sentence(rng, 9), "And.", sentence(rng, 6)
+    rows = [(d, "\n".join([sentence(rng, 8), hot, sentence(rng, 8), "", *([some] if d < 6 else []), sentence(rng, 8), word, word]))
+            for d in range(7)]
+    got = lines_left(spark, rows, most=6)
+    for d, text in rows:
+        lines = text.split("\n")
+        assert got[d] == (lines if d == 0 else [s for s in lines if s not in (hot, word)])
+    assert lines_left(spark, rows[:6], most=6) == {d: t.split("\n") for d, t in rows[:6]}
+
+
+def test_line_dedup_query_leaves_no_frequent_line(spark):
+    texts = brute.one_per_id(sf_docs(spark))
+    keys = {d: {" ".join(brute.words(s)) for s in t.split("\n")} for d, t in texts.items()}
+    held = {}
+    for d in sorted(keys):
+        for k in keys[d]:
+            held.setdefault(k, []).append(d)
+    often = {k: x[0] for k, x in held.items() if k and len(x) > line_align.LINE_DOCS}
+    assert often
+    for r in queries.op5_line_dedup(spark, SF).collect():
+        left = {" ".join(brute.words(s)) for s in r["text"].split("\n")}
+        assert all(d == r["doc_id"] for k, d in often.items() if k in left)
+
+
 # --- op6 ----------------------------------------------------------------------------------------
 
 def near_rows(found):
