@@ -1,6 +1,7 @@
 """Language identification by Bayesian evidence fusion.
 
-Four kinds of evidence are added as log odds over a fixed list of languages:
+Four kinds of evidence are added as log odds over the languages that at least ``LEAST_DOCUMENTS``
+documents declare (the ``MOST_LANGUAGES`` most frequent ones):
 
 * text: a byte-trigram model per language, trained by grouped counts over all documents with a
   declared language (trigrams hashed to 2^14 buckets; evidence scaled down for dependent trigrams);
@@ -13,8 +14,9 @@ Counts are grouped aggregations, combined before the shuffle; what reaches the d
 (2^14 trigram rows). Host, suffix and declaration tables are written out and joined to the documents, and Spark
 broadcasts them only while their files are small.
 
-A document is rejected when its text has no trigram of letters or when no language reaches
-``LEAST_POSTERIOR``.
+A document is rejected when its text has no trigram of letters (digits are none), when no language
+reaches ``LEAST_POSTERIOR``, or when the text is in none of the languages: a background in which
+every trigram bucket is alike explains it better than the model of the language found.
 
 Defined results: a null or empty text is rejected with a null language; null or unknown declared
 languages, hosts and addresses give no evidence; rows are judged one by one, so null or repeated
@@ -24,6 +26,7 @@ named like result columns are replaced.
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 import numpy as np
@@ -34,19 +37,25 @@ from pyspark.sql import types as T
 
 from fleetlens.llm import textkit as K
 
-LANGUAGES = ["en", "de", "fr", "es"]
+LANGUAGES = ["en", "de", "fr", "es"]  # where no language is declared often enough
+LEAST_DOCUMENTS = 10
+MOST_LANGUAGES = 256
 BUCKET_BITS = 14
 TEXT_SCALE = 0.4  # trigrams overlap, so their evidence counts less than that of independent ones
 HOST_PULL = 20.0  # documents that the level above counts for
 LEAST_POSTERIOR = 0.5
 DEPTH = 4  # labels of a host's name that make levels of their own
 
-_FOLD = np.where(K.ALNUM_WORD[K.LOWER], K.LOWER, 0x20).astype(np.uint8)
+# text evidence of one trigram where every bucket is alike
+BACKGROUND = -TEXT_SCALE * math.log(1 << BUCKET_BITS)
+
+_LETTER = K.ALNUM_WORD & (np.arange(256) > 0x39)
+_FOLD = np.where(_LETTER[K.LOWER], K.LOWER, 0x20).astype(np.uint8)
 
 
 def trigrams(col: pa.Array):
-    """Per chunk: trigram buckets of the folded text (letters and digits, else one space), and
-    per-row bounds. Trigrams of which the middle byte is a space say little and are left out."""
+    """Per chunk: trigram buckets of the folded text (letters, else one space), and per-row
+    bounds. Trigrams of which the middle byte is a space say little and are left out."""
     for _, _, buf, offs in K.text_chunks(col):
         b = _FOLD[buf].astype(np.uint32)
         if len(b) < 3:
@@ -82,6 +91,13 @@ def _count_task(languages: list[str]):
     return task
 
 
+def declared_languages(rows: DataFrame) -> list[str]:
+    """The languages that enough documents declare, the most frequent ones, by name."""
+    met = rows.where(F.col("__declared").isNotNull()).groupBy("__declared").count().where(F.col("count") >= LEAST_DOCUMENTS)
+    met = met.orderBy(F.desc("count"), "__declared").limit(MOST_LANGUAGES).collect()
+    return sorted(r["__declared"] for r in met) or LANGUAGES
+
+
 def trigram_model(rows: DataFrame, languages: list[str]) -> np.ndarray:
     """log P(bucket | language), smoothed, as a (buckets, languages) table."""
     names = [f"c{i}" for i in range(len(languages))]
@@ -178,17 +194,18 @@ def markup_language(html: Column) -> Column:
 
 
 def identify(docs: DataFrame, text: Column, declared: Column | None = None, host: Column | None = None,
-             suffix: Column | None = None, languages: list[str] = LANGUAGES) -> DataFrame:
+             suffix: Column | None = None, languages: list[str] | None = None) -> DataFrame:
     """``docs`` with language, posterior (of that language), text_language (by the text alone),
-    n_trigrams and accepted."""
+    n_trigrams and accepted; ``languages`` are the declared ones unless given."""
     K.ship(docs.sparkSession)
     made = ["language", "posterior", "text_language", "n_trigrams", "accepted"]
     own = [c for c in docs.columns if c not in made]
     none = F.lit(None).cast("string")
-    n = len(languages)
     parts = [c if c is not None else none for c in (declared, host, suffix)]
     rows = docs.select(*K.named(own), F.coalesce(text, F.lit("")).alias("__text"), *(
         c.cast("string").alias(f"__{name}") for c, name in zip(parts, ("declared", "host", "suffix"))))
+    languages = languages or declared_languages(rows)
+    n = len(languages)
     model = trigram_model(rows, languages)
 
     def scored(passing: list[str]) -> DataFrame:
@@ -217,4 +234,4 @@ def identify(docs: DataFrame, text: Column, declared: Column | None = None, host
     return out.select(
         *K.named(own), F.when(some, F.get(names, F.col("__best"))).alias("language"), posterior.alias("posterior"),
         F.when(some, F.get(names, _best(F.col("__log")))).alias("text_language"), F.col("__n").alias("n_trigrams"),
-        F.coalesce(posterior >= LEAST_POSTERIOR, F.lit(False)).alias("accepted"))
+        F.coalesce((posterior >= LEAST_POSTERIOR) & (F.get("__log", F.col("__best")) > BACKGROUND * F.col("__n")), F.lit(False)).alias("accepted"))

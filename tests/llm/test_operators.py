@@ -373,6 +373,33 @@ def test_language_of_documents(spark):
     assert sum(r["accepted"] for r in rows) >= 0.99 * len(rows)
 
 
+FOREIGN = {
+    "it": "La nostra famiglia viveva in una piccola casa vicino alla montagna e ogni mattina andavamo a scuola a piedi.",
+    "ru": "Наша семья жила в маленьком доме у подножия горы, и каждое утро мы ходили в школу пешком.",
+    "zh": "我们一家人住在山脚下的一座小房子里，每天早上我们都走路去上学。",
+    "fi": "Perheemme asui pienessä talossa vuoren juurella ja joka aamu kävelimme kouluun yhdessä.",
+    "nl": "Onze familie woonde in een klein huis aan de voet van de berg en elke ochtend liepen we naar school.",
+}
+
+
+def test_foreign_and_wordless_texts_are_rejected(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang", "source")
+    texts = [*FOREIGN.items(), ("en", "2024 15 88121 777 3.14159 2718 281828 4590 4523 5360"),
+             ("en", "xqzjv kwpfg zzxqy vbnmk qwjxz plkjq zxcvq wqjkx fghzq"), (None, FOREIGN["it"]), ("es", FOREIGN["it"])]
+    planted = spark.createDataFrame([(-1 - n, t, lang, "src1") for n, (lang, t) in enumerate(texts)], docs.schema)
+    rows = language_id.identify(docs.unionByName(planted), F.col("text"), F.col("lang"), F.col("source")).collect()
+    assert [r["doc_id"] for r in rows if r["doc_id"] < 0 and r["accepted"]] == []
+    own = [r for r in rows if r["doc_id"] >= 0]
+    assert sum(r["accepted"] and r["language"] == r["lang"] for r in own) >= 0.999 * len(own)
+    assert {r["n_trigrams"] for r in rows if r["doc_id"] == -1 - len(FOREIGN)} == {0}
+
+
+def test_languages_come_from_the_declared_column(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", F.regexp_replace("lang", "^es$", "it").alias("lang"))
+    rows = language_id.identify(docs, F.col("text"), F.col("lang")).collect()
+    assert {r["language"] for r in rows} == {"en", "de", "fr", "it"} and all(r["language"] == r["lang"] for r in rows)
+
+
 def test_language_on_awkward_rows(spark, awkward, empty):
     rows = language_id.identify(awkward, F.col("text"), F.col("lang"), F.col("source"), F.col("source")).collect()
     assert len(rows) == len(awkward_rows())
