@@ -8,8 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetlens.llm import decontaminate, html_extract, language_id, license_scan, line_align, mixing
-from fleetlens.llm import ngram_join, quality_model, quality_rules, substring
+from fleetlens.llm import decontaminate, html_extract, language_id, lexical_search, license_scan, line_align
+from fleetlens.llm import mixing, ngram_join, quality_model, quality_rules, substring, token_count
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -63,6 +63,14 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digest(decontaminate.find_benchmark(docs, _table(spark, sf_dir, "benchmark")))
 
 
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op13_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_count.digest(token_count.count_tokens(_table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_html_extract": op1_html_extract,
     "op2_license_scan": op2_license_scan,
@@ -74,6 +82,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_mixing": op8_mixing,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_decontaminate": op10_decontaminate,
+    "op12_lexical_search": op12_lexical_search,
+    "op13_token_count": op13_token_count,
 }
 
 ORACLE: dict[str, str] = {
@@ -82,4 +92,5 @@ ORACLE: dict[str, str] = {
     "op8_mixing": mixing.ORACLE,
     "op9_substring_dedup": substring.ORACLE,
     "op10_decontaminate": decontaminate.ORACLE,
+    "op12_lexical_search": lexical_search.ORACLE,
 }
