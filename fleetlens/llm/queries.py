@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fleetlens.llm import decontaminate, html_extract, language_id, lexical_search, license_scan, line_align
-from fleetlens.llm import mixing, ngram_join, quality_model, quality_rules, substring, token_count
+from fleetlens.llm import mixing, ngram_join, quality_model, quality_rules, substring, token_align, token_count
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -63,6 +63,10 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digest(decontaminate.find_benchmark(docs, _table(spark, sf_dir, "benchmark")))
 
 
+def op11_token_align(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_align.digest(token_align.align(_table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
 def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical_search.search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
@@ -82,6 +86,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_mixing": op8_mixing,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_decontaminate": op10_decontaminate,
+    "op11_token_align": op11_token_align,
     "op12_lexical_search": op12_lexical_search,
     "op13_token_count": op13_token_count,
 }
