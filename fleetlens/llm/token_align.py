@@ -242,12 +242,12 @@ def align(docs: DataFrame, text_col: str = "text", a_path: str = MODEL_A, b_path
 
     source = docs.select(*[c.alias(f"c{i}") for i, c in enumerate(K.named([f.name for f in passing]))], F.col(text_col).alias("text"))
     table = K.written(source.mapInArrow(first, row))
-    asked = table.where("a IS NOT NULL").select("shard", F.posexplode(F.arrays_zip("a", "b", "docs")).alias("pair", "p"))
-    asked = asked.select("shard", "pair", "p.a", "p.b", "p.docs")
+    asked = table.where("a IS NOT NULL").select(F.col("shard").alias("of"), F.posexplode(F.arrays_zip("a", "b", "docs")).alias("pair", "p"))
+    asked = asked.select("of", "pair", "p.a", "p.b", "p.docs")
     count = asked.groupBy("a", "b").agg(F.sum("docs").alias("count"))
     highest = count.groupBy("a").agg(F.max("count").alias("highest"))
     count = K.written(count.join(highest, "a").select("a", "b", "count", (F.col("count") == F.col("highest")).alias("best")))
-    answers = asked.drop("docs").join(count, ["a", "b"]).select("shard", "pair", "count", "best")
+    answers = asked.drop("docs").join(count, ["a", "b"]).select("of", "pair", "count", "best")
     mine = table.where("a IS NULL").drop("a", "b", "docs")
     out = T.StructType([*keep.fields, *(T.StructField(c, T.LongType()) for c in RESULT[:-1]), T.StructField("groups_sha256", T.StringType())])
 
@@ -269,7 +269,7 @@ def align(docs: DataFrame, text_col: str = "text", a_path: str = MODEL_A, b_path
         cols = [left[c] if c in left.column_names else pa.array(more[c]) for c in out.names]
         return pa.Table.from_arrays(cols, names=out.names)
 
-    found = mine.groupBy("shard").cogroup(answers.groupBy("shard")).applyInArrow(second, out)
+    found = mine.groupBy("shard").cogroup(answers.groupBy("of")).applyInArrow(second, out)
     return found.select(*[F.col(f"c{i}").alias(f.name) for i, f in enumerate(passing)], *RESULT)
 
 
