@@ -7,6 +7,8 @@ Per-pid results are grouped aggregates keyed by (node, pid); ordered computation
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -27,6 +29,18 @@ def _micros(c: Column) -> Column:
     return F.unix_micros(c)
 
 
+def cpu_runs(switches: DataFrame, attribution: str = "lag", bucket_unit: str = "hour") -> DataFrame:
+    """Runs on a CPU: ``(node_id, cpu, pid, uid, comm, seq, start_us, end_us)`` between consecutive
+    switches of one CPU, credited as in ``oncpu_from_switches``; pid 0 is dropped. seq is that of the
+    credited switch."""
+    s = bucketed_lag(switches, ["node_id", "cpu"], ["ts", "seq"], ["ts", "pid", "uid", "comm", "seq"], F.date_trunc(bucket_unit, "ts"))
+    who = "prev_" if attribution == "lag" else ""
+    runs = s.filter(F.col("prev_ts").isNotNull()).select(
+        "node_id", "cpu", *[F.col(who + c).alias(c) for c in ("pid", "uid", "comm", "seq")],
+        _micros(F.col("prev_ts")).alias("start_us"), _micros(F.col("ts")).alias("end_us"))
+    return runs.filter(F.col("pid") != 0)
+
+
 def oncpu_from_switches(switches: DataFrame, attribution: str = "lag", bucket_unit: str = "hour") -> DataFrame:
     """WIN-4 / HST-1: on-CPU time per (node, pid) from context-switch events
     ``(node_id, cpu, ts, seq, pid, uid, comm)``.
@@ -131,30 +145,33 @@ def gpu_csv_parse(lines: DataFrame, col: str = "line") -> DataFrame:
                     _pint(F.col("_p")[6]).alias("memory_used_mib"), _pint(F.col("_p")[7]).alias("memory_total_mib"))
 
 
-def gpu_proc_csv_parse(lines: DataFrame) -> DataFrame:
-    """SCL-20: per-file GPU compute-app CSV ``(node_id, line_no, line)`` with a header on
-    line 0. Column positions come from the header (aliases for the memory column; fall
-    back to 0/1/2 when a name is missing); 'MiB' is stripped; bad pid or memory -> dropped.
-    Headers are reduced to one row per file and joined back on the file key."""
-    hdr = lines.filter(F.col("line_no") == 0).select(
-        "node_id", F.transform(F.split("line", ","), lambda h: F.trim(h)).alias("_h"))
+def gpu_proc_csv_parse(lines: DataFrame, file_keys: Sequence[str] = ("node_id", "window_start")) -> DataFrame:
+    """SCL-20: GPU compute-app CSV files, ``(*file_keys, line_no, line)`` with a header on line 0 of
+    every file (one file per node and collection window). Column positions come from the file's
+    own header (aliases for the memory column; fall back to 0/1/2 when a name is missing); 'MiB'
+    is stripped; bad pid or memory -> dropped. Headers are reduced to one row per file (the first
+    in text order, should a file repeat it) and joined back on the file key; lines of a file
+    without header are dropped."""
+    k = list(file_keys)
+    hdr = lines.filter(F.col("line_no") == 0).groupBy(*k).agg(F.min("line").alias("line"))
+    hdr = hdr.select(*k, F.transform(F.split("line", ","), lambda h: F.trim(h)).alias("_h"))
 
     def pos(names: list[str]) -> Column:
         return F.coalesce(*[F.when(F.array_position("_h", n) > 0, F.array_position("_h", n) - 1) for n in names],
                           F.lit(-1))
 
-    idx = hdr.select("node_id", pos(["pid"]).alias("pi"), pos(["process_name"]).alias("ni"), pos(GPU_MEM_HEADERS).alias("mi"))
+    idx = hdr.select(*k, pos(["pid"]).alias("pi"), pos(["process_name"]).alias("ni"), pos(GPU_MEM_HEADERS).alias("mi"))
     bad = (F.col("pi") < 0) | (F.col("ni") < 0) | (F.col("mi") < 0)
-    idx = idx.select("node_id", F.when(bad, 0).otherwise(F.col("pi")).cast("int").alias("pi"),
+    idx = idx.select(*k, F.when(bad, 0).otherwise(F.col("pi")).cast("int").alias("pi"),
                      F.when(bad, 1).otherwise(F.col("ni")).cast("int").alias("ni"),
                      F.when(bad, 2).otherwise(F.col("mi")).cast("int").alias("mi"))
-    body = lines.filter(F.col("line_no") > 0).select("node_id", "line_no", F.transform(F.split("line", ","), lambda x: F.trim(x)).alias("_p"))
-    j = body.join(idx, "node_id")
+    body = lines.filter(F.col("line_no") > 0).select(*k, "line_no", F.transform(F.split("line", ","), lambda x: F.trim(x)).alias("_p"))
+    j = body.join(idx, k)
     j = j.filter(F.size("_p") > F.greatest("pi", "ni", "mi"))
     pid = F.element_at("_p", F.col("pi") + 1).try_cast("bigint")
     mem_txt = F.trim(F.regexp_replace(F.regexp_replace(F.element_at("_p", F.col("mi") + 1), "MiB", ""), "Mib", ""))
     mem = mem_txt.try_cast("double").try_cast("bigint")
-    out = j.select("node_id", "line_no", pid.alias("pid"), F.element_at("_p", F.col("ni") + 1).alias("process_name"),
+    out = j.select(*k, "line_no", pid.alias("pid"), F.element_at("_p", F.col("ni") + 1).alias("process_name"),
                    mem.alias("used_memory_mib"))
     return out.filter(F.col("pid").isNotNull() & F.col("used_memory_mib").isNotNull())
 

@@ -35,3 +35,22 @@ def bucketed_lag(df: DataFrame, keys: Sequence[str], order: Sequence[str], cols:
     return j.withColumns({
         f"{prefix}{c}": F.when(F.col("_first"), F.col(f"_fill.{c}")).otherwise(F.col(f"{prefix}{c}")) for c in cols
     }).drop("_bkt", "_first", "_fill")
+
+
+def bucketed_last(df: DataFrame, keys: Sequence[str], order: Sequence[str], cols: dict[str, Column], bucket: Column) -> DataFrame:
+    """Add, for each name in ``cols``, the last non-null value of its expression on *earlier* rows of
+    the same key in ``order`` (an as-of carry).
+
+    ``bucket`` must be monotone in ``order``. Within a (key, bucket) a window carries values on; what
+    a bucket starts with comes from a summary of one row per (key, bucket)."""
+    keys, order = list(keys), list(order)
+    d = df.withColumn("_bkt", bucket).withColumns({f"_v_{n}": c for n, c in cols.items()})
+    w = Window.partitionBy(*keys, "_bkt").orderBy(*order)
+    seen = d.withColumns({n: F.last(f"_v_{n}", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1)) for n in cols})
+    at = F.struct(*order)
+    ends = d.groupBy(*keys, "_bkt").agg(*[F.max_by(f"_v_{n}", F.when(F.col(f"_v_{n}").isNotNull(), at)).alias(f"_e_{n}") for n in cols])
+    wb = Window.partitionBy(*keys).orderBy("_bkt").rowsBetween(Window.unboundedPreceding, -1)
+    start = ends.select(*keys, "_bkt", *[F.last(f"_e_{n}", ignorenulls=True).over(wb).alias(f"_s_{n}") for n in cols])
+    j = seen.join(start, [*keys, "_bkt"], "left")
+    return j.withColumns({n: F.coalesce(F.col(n), F.col(f"_s_{n}")) for n in cols}).drop(
+        "_bkt", *[f"{p}{n}" for n in cols for p in ("_v_", "_s_")])

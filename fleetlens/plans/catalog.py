@@ -14,10 +14,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import scalars
-from ..operators import alerts, charts, fleet, host, points, rollup, rules, stages, usage
+from ..operators import alerts, charts, fleet, host, host_windows, points, rollup, rules, stages, usage
 from ..operators.joins import literal_table
 from ..sources import ingest
-from .oracle import (ALERT_RULES, APP_UIDS, COLLECT_PREFIXES, COMM_CASE, PIPELINE_RULES, PROJECTED_FIELDS, SAMPLE_RATE,
+from ..sources.fixtures import HOST_WINDOW
+from .oracle import (ALERT_RULES, APP_UIDS, COLLECT_PREFIXES, COMM_CASE, HOST_WINDOW_US, PIPELINE_RULES, PROJECTED_FIELDS, SAMPLE_RATE,
                      SYSTEM_PREFIXES, THRESHOLD_RULES, parse_float_sql)
 from .oracle import RANGE_END, RANGE_START, RESOURCE_SQL, TS_UID, sql, usage_timeseries_sql
 from .tables import Telemetry
@@ -754,20 +755,7 @@ def q_gpu_csv_parse(t: Telemetry) -> DataFrame:
     return host.gpu_csv_parse(t.fx.gpu_csv_lines)
 
 
-@query("gpu_proc_csv_parse", sql("""
-SELECT l.node_id, l.line_no, TRY_CAST(p[h.pi + 1] AS BIGINT) AS pid, p[h.ni + 1] AS process_name,
-  TRY_CAST(TRY_CAST(trim(replace(replace(p[h.mi + 1], 'MiB', ''), 'Mib', '')) AS DOUBLE) AS BIGINT) AS used_memory_mib
-FROM (SELECT node_id, line_no, list_transform(string_split(line, ','), lambda x: trim(x)) AS p FROM gpu_proc_lines WHERE line_no > 0) l
-JOIN (SELECT node_id, CASE WHEN pi < 0 OR ni < 0 OR mi < 0 THEN 0 ELSE pi END AS pi, CASE WHEN pi < 0 OR ni < 0 OR mi < 0 THEN 1 ELSE ni END AS ni,
-        CASE WHEN pi < 0 OR ni < 0 OR mi < 0 THEN 2 ELSE mi END AS mi
-      FROM (SELECT node_id, coalesce(list_position(h, 'pid') - 1, -1) AS pi, coalesce(list_position(h, 'process_name') - 1, -1) AS ni,
-              coalesce(list_position(h, 'used_memory') - 1, list_position(h, 'used_gpu_memory [MiB]') - 1,
-                       list_position(h, 'used_gpu_memory') - 1, list_position(h, 'used_memory [MiB]') - 1, -1) AS mi
-            FROM (SELECT node_id, list_transform(string_split(line, ','), lambda x: trim(x)) AS h FROM gpu_proc_lines WHERE line_no = 0) a) b) h
-  ON h.node_id = l.node_id
-WHERE len(p) > greatest(h.pi, h.ni, h.mi) AND TRY_CAST(p[h.pi + 1] AS BIGINT) IS NOT NULL
-  AND TRY_CAST(TRY_CAST(trim(replace(replace(p[h.mi + 1], 'MiB', ''), 'Mib', '')) AS DOUBLE) AS BIGINT) IS NOT NULL""",
-    "gpu_proc_lines"))
+@query("gpu_proc_csv_parse", sql("SELECT * FROM gpu_proc", "gpu_proc"))
 def q_gpu_proc_csv_parse(t: Telemetry) -> DataFrame:
     """SCL-20 / HST-7: GPU compute-app CSV with header aliases and 'MiB' stripped."""
     return host.gpu_proc_csv_parse(t.fx.gpu_proc_lines)
@@ -807,6 +795,79 @@ def q_active_exited_union(t: Telemetry) -> DataFrame:
     return host.active_exited_union(host.oncpu_from_switches(t.fx.switches), t.fx.exited_processes)
 
 
+@query("oncpu_by_window", sql("SELECT * FROM oncpu_window", "oncpu_window"))
+def q_oncpu_by_window(t: Telemetry) -> DataFrame:
+    """HST-1 / WIN-4 per collection window: runs on a CPU split at window borders."""
+    return host_windows.oncpu_by_window(t.fx.switches, HOST_WINDOW)
+
+
+@query("process_lives", sql("SELECT * FROM lives", "lives"))
+def q_process_lives(t: Telemetry) -> DataFrame:
+    """HST-2: every life of a pid, from fork to exit."""
+    return host_windows.process_lives(t.fx.sched_events)
+
+
+@query("usage_by_life", sql("""
+SELECT coalesce(u.node_id, l.node_id) AS node_id, coalesce(u.pid, l.pid) AS pid, coalesce(u.life_start, l.life_start) AS life_start,
+  coalesce(u.life_seq, l.life_seq) AS life_seq, l.ppid, l.comm, l.life_end, coalesce(l.exited, FALSE) AS exited,
+  CAST(coalesce(u.cpu, 0) AS BIGINT) AS cpu_ontime_ns, CAST(coalesce(u.rb, 0) AS BIGINT) AS read_bytes, CAST(coalesce(u.wb, 0) AS BIGINT) AS write_bytes,
+  CAST(coalesce(u.rx, 0) AS BIGINT) AS net_rx_bytes, CAST(coalesce(u.tx, 0) AS BIGINT) AS net_tx_bytes, CAST(coalesce(u.rss, 0) AS BIGINT) AS avg_rss_bytes
+FROM (
+  SELECT node_id, pid, life_start, life_seq, SUM(cpu) AS cpu, SUM(CASE WHEN name IN ('read', 'pread64') THEN ret END) AS rb,
+    SUM(CASE WHEN name IN ('write', 'pwrite64') THEN ret END) AS wb, SUM(CASE WHEN name IN ('recvfrom', 'recvmsg') THEN ret END) AS rx,
+    SUM(CASE WHEN name IN ('sendto', 'sendmsg') THEN ret END) AS tx, SUM(rss) // COUNT(rss) AS rss
+  FROM (
+    SELECT x.*, CASE WHEN l.life_end IS NULL OR x.ts <= l.life_end THEN l.life_start END AS life_start,
+      CASE WHEN l.life_end IS NULL OR x.ts <= l.life_end THEN l.life_seq END AS life_seq
+    FROM (SELECT node_id, pid, make_timestamp(s) AS ts, (e - s) * 1000 AS cpu, NULL AS name, NULL AS ret, NULL AS rss FROM cpu_runs
+          UNION ALL SELECT node_id, pid, ts, NULL, name, ret, NULL FROM syscalls WHERE ret > 0 AND pid <> 0
+          UNION ALL SELECT node_id, pid, ts, NULL, NULL, NULL, CAST(floor(value) AS BIGINT) * 1024 FROM host_events WHERE pid <> 0) x
+    ASOF LEFT JOIN lives l ON l.node_id = x.node_id AND l.pid = x.pid AND x.ts >= l.life_start) y
+  GROUP BY ALL) u
+FULL JOIN (SELECT * FROM lives WHERE pid <> 0) l ON u.node_id = l.node_id AND u.pid = l.pid AND u.life_start = l.life_start AND u.life_seq = l.life_seq""",
+    "cpu_runs", "syscalls", "host_events", "lives"))
+def q_usage_by_life(t: Telemetry) -> DataFrame:
+    """HST-1..5 per life: CPU time, syscall bytes and RSS credited to the life they fall in."""
+    return host_windows.usage_by_life(t.fx.switches, t.fx.syscalls, t.fx.rss_samples, t.fx.sched_events)
+
+
+def window_samples(t: Telemetry) -> DataFrame:
+    fx, w = t.fx, HOST_WINDOW
+    gpu = host_windows.gpu_by_window(host.gpu_proc_csv_parse(fx.gpu_proc_lines))
+    return host_windows.merge_window_samples(
+        host_windows.oncpu_by_window(fx.switches, w), host_windows.io_by_window(fx.syscalls, w), host_windows.rss_by_window(fx.rss_samples, w),
+        gpu, host_windows.process_lives(fx.sched_events), w)
+
+
+@query("merge_window_samples", sql("SELECT * FROM window_merge", "window_merge"))
+def q_merge_window_samples(t: Telemetry) -> DataFrame:
+    """JON-9 / HST-8 per collection window: the processes of each node's report."""
+    return window_samples(t)
+
+
+@query("window_reports", sql(f"""
+SELECT t.*, c.cpu_usage_percent, m.memory_used_bytes
+FROM (SELECT node_id, window_start, COUNT(*) AS n_processes, CAST(SUM(cpu_ontime_ns) AS BIGINT) AS cpu_ontime_ns,
+        CAST(SUM(read_bytes) AS BIGINT) AS read_bytes, CAST(SUM(write_bytes) AS BIGINT) AS write_bytes,
+        CAST(SUM(net_rx_bytes) AS BIGINT) AS net_rx_bytes, CAST(SUM(net_tx_bytes) AS BIGINT) AS net_tx_bytes,
+        COUNT(*) FILTER (exited) AS n_exited FROM window_merge GROUP BY ALL) t
+LEFT JOIN (SELECT node_id, make_timestamp(epoch_us(ts) // {HOST_WINDOW_US} * {HOST_WINDOW_US}) AS window_start,
+             CAST(SUM(CAST(pct AS DECIMAL(18,2))) AS DOUBLE) / COUNT(pct) AS cpu_usage_percent
+           FROM (SELECT node_id, ts, CASE WHEN pt IS NULL THEN 0.0 WHEN total - pt = 0 THEN 0.0
+                   ELSE CAST(ROUND(CAST(100.0 * (1.0 - (idle2 - pi) / (total - pt)) AS DECIMAL(38,12)), 2) AS DOUBLE) END AS pct
+                 FROM (SELECT node_id, ts, idle2, total, LAG(idle2) OVER w AS pi, LAG(total) OVER w AS pt
+                       FROM (SELECT *, event_id * 37 + CAST(floor(value) AS BIGINT) + event_id * 3 AS idle2, event_id * 100 + 1000 AS total FROM host_events) c
+                       WINDOW w AS (PARTITION BY node_id ORDER BY ts, event_id)) x) y GROUP BY ALL) c
+  ON c.node_id = t.node_id AND c.window_start = t.window_start
+LEFT JOIN (SELECT node_id, make_timestamp(epoch_us(ts) // {HOST_WINDOW_US} * {HOST_WINDOW_US}) AS window_start,
+             MAX((user_id % 7) * 1048576 - CAST(floor(value) AS BIGINT) * 4096) AS memory_used_bytes FROM host_events GROUP BY ALL) m
+  ON m.node_id = t.node_id AND m.window_start = t.window_start""", "window_merge", "host_events"))
+def q_window_reports(t: Telemetry) -> DataFrame:
+    """HST-8: one report per node and collection window, made from traces."""
+    fx = t.fx
+    return host_windows.window_reports(window_samples(t), host.cpu_percent_from_counters(fx.cpu_counters), host.memory_usage(fx.mem_counters), HOST_WINDOW)
+
+
 # ------------------------------------------------------------------ pipeline rules -----
 
 @query("rule_filter", sql("""

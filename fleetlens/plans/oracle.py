@@ -542,17 +542,73 @@ cte("avg_rss", """
 SELECT node_id, pid, CAST(SUM(rss) // COUNT(rss) AS BIGINT) AS avg_rss_bytes FROM (
   SELECT node_id, pid, CAST(floor(value) AS BIGINT) * 1024 AS rss FROM host_events) x
 GROUP BY 1, 2 HAVING SUM(rss) > 0""", "host_events")
+HOST_WINDOW_US = 600_000_000
+cte("gpu_files", f"""
+SELECT *, make_timestamp(epoch_us(ts) // {HOST_WINDOW_US} * {HOST_WINDOW_US}) AS window_start,
+  (CAST(substr(node_id, 6) AS BIGINT) + epoch_us(ts) // {HOST_WINDOW_US}) % 4 AS v FROM host_events""", "host_events")
 cte("gpu_proc_lines", """
-SELECT node_id, CAST(0 AS BIGINT) AS line_no, CASE WHEN CAST(substr(node_id, 6) AS INTEGER) = 5 THEN 'pid, name, memory'
-  WHEN CAST(substr(node_id, 6) AS INTEGER) % 2 = 0 THEN 'pid, process_name, used_gpu_memory [MiB]' ELSE 'pid, process_name, used_memory' END AS line
-FROM (SELECT DISTINCT node_id FROM host_events) n
+SELECT DISTINCT node_id, window_start, CAST(0 AS BIGINT) AS line_no, CASE v WHEN 0 THEN 'pid, process_name, used_gpu_memory [MiB]'
+  WHEN 1 THEN 'pid, process_name, used_memory' WHEN 2 THEN 'used_memory [MiB], pid, process_name' ELSE 'pid, name, memory' END AS line FROM gpu_files
 UNION ALL
-SELECT node_id, event_id + 1, CAST(pid AS VARCHAR) || ', ' || event_type || ', ' || CAST(CAST(floor(value) AS BIGINT) AS VARCHAR) || ' MiB' FROM host_events""",
-    "host_events")
+SELECT node_id, window_start, event_id + 1, CASE WHEN v = 2 THEN mem || ', ' || CAST(pid AS VARCHAR) || ', ' || event_type
+  ELSE CAST(pid AS VARCHAR) || ', ' || event_type || ', ' || mem END
+FROM (SELECT *, CAST(CAST(floor(value) AS BIGINT) AS VARCHAR) || ' MiB' AS mem FROM gpu_files) f""", "gpu_files")
 cte("gpu_proc", """
-SELECT node_id, line_no, TRY_CAST(trim(split_part(line, ',', 1)) AS BIGINT) AS pid, trim(split_part(line, ',', 2)) AS process_name,
-  TRY_CAST(TRY_CAST(trim(replace(replace(trim(split_part(line, ',', 3)), 'MiB', ''), 'Mib', '')) AS DOUBLE) AS BIGINT) AS used_memory_mib
-FROM gpu_proc_lines WHERE line_no > 0 AND len(string_split(line, ',')) > 2""", "gpu_proc_lines")
+SELECT l.node_id, l.window_start, l.line_no, TRY_CAST(p[h.pi + 1] AS BIGINT) AS pid, p[h.ni + 1] AS process_name,
+  TRY_CAST(TRY_CAST(trim(replace(replace(p[h.mi + 1], 'MiB', ''), 'Mib', '')) AS DOUBLE) AS BIGINT) AS used_memory_mib
+FROM (SELECT node_id, window_start, line_no, list_transform(string_split(line, ','), lambda x: trim(x)) AS p FROM gpu_proc_lines WHERE line_no > 0) l
+JOIN (SELECT node_id, window_start, CASE WHEN pi < 0 OR ni < 0 OR mi < 0 THEN 0 ELSE pi END AS pi, CASE WHEN pi < 0 OR ni < 0 OR mi < 0 THEN 1 ELSE ni END AS ni,
+        CASE WHEN pi < 0 OR ni < 0 OR mi < 0 THEN 2 ELSE mi END AS mi
+      FROM (SELECT node_id, window_start, coalesce(list_position(h, 'pid') - 1, -1) AS pi, coalesce(list_position(h, 'process_name') - 1, -1) AS ni,
+              coalesce(list_position(h, 'used_memory') - 1, list_position(h, 'used_gpu_memory [MiB]') - 1,
+                       list_position(h, 'used_gpu_memory') - 1, list_position(h, 'used_memory [MiB]') - 1, -1) AS mi
+            FROM (SELECT node_id, window_start, list_transform(string_split(line, ','), lambda x: trim(x)) AS h FROM gpu_proc_lines WHERE line_no = 0) a) b) h
+  ON h.node_id = l.node_id AND h.window_start = l.window_start
+WHERE len(p) > greatest(h.pi, h.ni, h.mi) AND TRY_CAST(p[h.pi + 1] AS BIGINT) IS NOT NULL
+  AND TRY_CAST(TRY_CAST(trim(replace(replace(p[h.mi + 1], 'MiB', ''), 'Mib', '')) AS DOUBLE) AS BIGINT) IS NOT NULL""", "gpu_proc_lines")
+
+# Runs on a CPU, split at window borders, and the lives of a pid.
+cte("cpu_runs", """
+SELECT node_id, cpu, pid, uid, comm, seq, s, e FROM (
+  SELECT node_id, cpu, LAG(pid) OVER w AS pid, LAG(uid) OVER w AS uid, LAG(comm) OVER w AS comm, LAG(seq) OVER w AS seq,
+    LAG(epoch_us(ts)) OVER w AS s, epoch_us(ts) AS e
+  FROM switches WINDOW w AS (PARTITION BY node_id, cpu ORDER BY ts, seq)) x
+WHERE s IS NOT NULL AND pid <> 0""", "switches")
+cte("oncpu_window", f"""
+SELECT node_id, make_timestamp(w * {HOST_WINDOW_US}) AS window_start, pid,
+  CAST(SUM(least(e, (w + 1) * {HOST_WINDOW_US}) - greatest(s, w * {HOST_WINDOW_US})) * 1000 AS BIGINT) AS cpu_ontime_ns,
+  arg_max(uid, (s, seq)) AS uid, arg_max(comm, (s, seq)) AS comm
+FROM (SELECT *, unnest(range(s // {HOST_WINDOW_US}, (e - 1) // {HOST_WINDOW_US} + 1)) AS w FROM cpu_runs WHERE e > s) x
+GROUP BY node_id, w, pid""", "cpu_runs")
+cte("lives", """
+SELECT node_id, pid, life_start, life_seq, ppid, comm,
+  coalesce(exit_ts, LEAD(life_start) OVER (PARTITION BY node_id, pid ORDER BY life_start, life_seq)) AS life_end, exit_ts IS NOT NULL AS exited
+FROM (
+  SELECT node_id, pid, g, max(ts) FILTER (type = 'fork') AS life_start, max(seq) FILTER (type = 'fork') AS life_seq, max(ppid) FILTER (type = 'fork') AS ppid,
+    coalesce(arg_max(comm, (ts, seq)) FILTER (type = 'exec' AND ended = 0), max(comm) FILTER (type = 'fork')) AS comm, min(ts) FILTER (type = 'exit') AS exit_ts
+  FROM (SELECT *, count(*) FILTER (type = 'exit') OVER (PARTITION BY node_id, pid, g ORDER BY ts, seq) AS ended
+        FROM (SELECT *, count(*) FILTER (type = 'fork') OVER (PARTITION BY node_id, pid ORDER BY ts, seq) AS g FROM sched) a WHERE g > 0) b
+  GROUP BY node_id, pid, g) c""", "sched")
+cte("window_merge", f"""
+SELECT c.node_id, c.window_start, c.pid, c.cpu_ontime_ns, CAST(coalesce(c.uid, -1) AS BIGINT) AS uid, coalesce(c.comm, '') AS comm,
+  coalesce(i.read_bytes, 0) AS read_bytes, coalesce(i.write_bytes, 0) AS write_bytes, coalesce(i.net_rx_bytes, 0) AS net_rx_bytes,
+  coalesce(i.net_tx_bytes, 0) AS net_tx_bytes, coalesce(r.avg_rss_bytes, 0) AS avg_rss_bytes, coalesce(g.used_memory_mib, 0) AS gpu_used_memory_mib,
+  CAST(coalesce(l.ppid, 0) AS BIGINT) AS ppid, coalesce(g.process_name, '') AS process_name,
+  coalesce(l.exited AND l.life_end >= c.window_start AND l.life_end <= c.last, FALSE) AS exited
+FROM (SELECT *, window_start + to_microseconds({HOST_WINDOW_US - 1}) AS last FROM oncpu_window) c
+LEFT JOIN (SELECT node_id, make_timestamp(epoch_us(ts) // {HOST_WINDOW_US} * {HOST_WINDOW_US}) AS window_start, pid,
+    CAST(SUM(CASE WHEN name IN ('read', 'pread64') THEN ret ELSE 0 END) AS BIGINT) AS read_bytes,
+    CAST(SUM(CASE WHEN name IN ('write', 'pwrite64') THEN ret ELSE 0 END) AS BIGINT) AS write_bytes,
+    CAST(SUM(CASE WHEN name IN ('recvfrom', 'recvmsg') THEN ret ELSE 0 END) AS BIGINT) AS net_rx_bytes,
+    CAST(SUM(CASE WHEN name IN ('sendto', 'sendmsg') THEN ret ELSE 0 END) AS BIGINT) AS net_tx_bytes
+  FROM syscalls WHERE ret > 0 GROUP BY ALL) i ON i.node_id = c.node_id AND i.window_start = c.window_start AND i.pid = c.pid
+LEFT JOIN (SELECT node_id, make_timestamp(epoch_us(ts) // {HOST_WINDOW_US} * {HOST_WINDOW_US}) AS window_start, pid,
+    CAST(SUM(CAST(floor(value) AS BIGINT) * 1024) // COUNT(*) AS BIGINT) AS avg_rss_bytes
+  FROM host_events GROUP BY ALL HAVING SUM(CAST(floor(value) AS BIGINT)) > 0) r ON r.node_id = c.node_id AND r.window_start = c.window_start AND r.pid = c.pid
+LEFT JOIN (SELECT node_id, window_start, pid, arg_max(used_memory_mib, line_no) AS used_memory_mib, arg_max(process_name, line_no) AS process_name
+  FROM gpu_proc GROUP BY ALL) g ON g.node_id = c.node_id AND g.window_start = c.window_start AND g.pid = c.pid
+ASOF LEFT JOIN lives l ON l.node_id = c.node_id AND l.pid = c.pid AND c.last >= l.life_start""",
+    "oncpu_window", "syscalls", "host_events", "gpu_proc", "lives")
 
 # ---- pipeline rules -----------------------------------------------------------------
 # Admin pipeline rules (id, name, type, resource, condition, enabled).

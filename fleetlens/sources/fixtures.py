@@ -13,6 +13,7 @@ from functools import cached_property
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators.host_windows import window_start
 from ..session import configure
 
 # Fixed values of the fixture mapping.
@@ -20,6 +21,10 @@ EPOCH_2024 = 1704067200  # 2024-01-01 00:00:00 UTC
 GIB = 1073741824
 N_REPORT_NODES = 6
 
+# Collection window of the host samples in seconds. Events are half a minute apart at the largest
+# scale, so windows of the collectors' five seconds would nearly all be empty.
+HOST_WINDOW = 600
+
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
           "documents", "embeddings", "pages", "benchmark", "labels", "conversations"]
 
@@ -340,18 +345,18 @@ class Fixtures:
 
     @cached_property
     def gpu_proc_lines(self) -> DataFrame:
-        """Per-node GPU compute-app CSV files: (node_id, line_no, line); line 0 is the header
-        (three header variants across nodes)."""
-        h = self.host_events
-        nodes = h.select("node_id").distinct()
-        n = F.substring("node_id", 6, 10).cast("int")
-        header = (F.when(n == 5, F.lit("pid, name, memory"))
-                   .when(n % 2 == 0, F.lit("pid, process_name, used_gpu_memory [MiB]"))
-                   .otherwise(F.lit("pid, process_name, used_memory")))
-        hdr = nodes.select("node_id", F.lit(0).cast("bigint").alias("line_no"), header.alias("line"))
-        body = h.select("node_id", (F.col("event_id") + 1).alias("line_no"),
-                        F.concat_ws(", ", F.col("pid").cast("string"), F.col("event_type"),
-                                    F.concat(F.floor("value").cast("bigint").cast("string"), F.lit(" MiB"))).alias("line"))
+        """GPU compute-app CSV files, one per node and window: (node_id, window_start, line_no, line).
+        Line 0 is the header, in four variants by node and window; their columns differ in name
+        and order, and body lines follow their file's order."""
+        h = self.host_events.withColumn("window_start", window_start(F.col("ts"), HOST_WINDOW))
+        files = h.select("node_id", "window_start").distinct()
+        v = ((F.substring("node_id", 6, 10).cast("int") + F.expr("unix_micros(window_start)") / (HOST_WINDOW * 1_000_000)).cast("bigint") % 4).cast("int")
+        header = (F.when(v == 0, F.lit("pid, process_name, used_gpu_memory [MiB]")).when(v == 1, F.lit("pid, process_name, used_memory"))
+                   .when(v == 2, F.lit("used_memory [MiB], pid, process_name")).otherwise(F.lit("pid, name, memory")))
+        hdr = files.select("node_id", "window_start", F.lit(0).cast("bigint").alias("line_no"), header.alias("line"))
+        pid, mem = F.col("pid").cast("string"), F.concat(F.floor("value").cast("bigint").cast("string"), F.lit(" MiB"))
+        line = F.when(v == 2, F.concat_ws(", ", mem, pid, "event_type")).otherwise(F.concat_ws(", ", pid, "event_type", mem))
+        body = h.select("node_id", "window_start", (F.col("event_id") + 1).alias("line_no"), line.alias("line"))
         return hdr.unionByName(body)
 
     @cached_property
