@@ -23,6 +23,7 @@ from ..operators import alerts, points, rollup, stages
 from ..operators.joins import literal_table
 from ..session import checkpoint_dir
 from ..sources import ingest
+from . import ledger
 
 POINT_TABLES = ("node_status", "gpu_status", "process_status", "alerts", "rejects")
 
@@ -69,7 +70,8 @@ def _write_batch(tables: dict[str, DataFrame], root: str, batch_id: int) -> None
 def compact(spark: SparkSession, root: str, table: str, day: str, target: str) -> None:
     """Rewrite one closed day of a stream table into ``target`` with few files, keeping
     ``batch_id`` as a column (the order of writes). Idempotent: it replaces that day in
-    ``target`` and leaves the source alone."""
+    ``target`` and leaves the source alone. A reader takes a day from one of the two roots: closed
+    days from ``target``, the others from ``root``."""
     df = spark.read.parquet(f"{root}/{table}").filter(F.col("date") == F.lit(day).cast("date"))
     (df.hint("rebalance", "date").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
        .partitionBy("date").parquet(f"{target}/{table}"))
@@ -91,7 +93,10 @@ def points_stream(spark: SparkSession, source: DataFrame, sink_root: str, config
         # decoding the source five times.
         b = batch.persist()
         try:
-            _write_batch(collect_batch(b, config), sink_root, batch_id)
+            tables = collect_batch(b, config)
+            _write_batch(tables, sink_root, batch_id)
+            # every point of a report carries its time, and each report has a node point
+            ledger.note_hours(tables["node_status"], sink_root, batch_id)
         finally:
             b.unpersist()
 
@@ -131,7 +136,9 @@ def rollup_hours(spark: SparkSession, root: str, hours: Sequence[str], mode: str
         df = read_points(spark, root, table)
         df = df.filter(F.col("date").isin(dates) & F.date_trunc("hour", "ts").isin(hour_list)
                        & (F.col("ts") >= hour_list[0]) & (F.col("ts") < hour_list[-1] + F.expr("INTERVAL 1 HOUR")))
-        df = df.withColumn("_order", F.struct("batch_id", "report_id")).drop("date", "batch_id", "report_id")
+        # one number that orders by batch, then by report key, keeps the overwrite a hash aggregate
+        order = F.col("batch_id").cast("decimal(18,0)") * F.lit(str(2**64)).cast("decimal(20,0)") + F.col("report_id")
+        df = df.withColumn("_order", order.cast("decimal(38,0)")).drop("date", "batch_id", "report_id")
         return points.series_dedup(df, tags, "ts", "_order").drop("_order")
 
     n = stored("node_status", ["node_id", "collect_agent_id", "collect_agent_version"])
