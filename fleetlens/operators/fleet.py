@@ -211,12 +211,10 @@ def cluster_now(node_points: DataFrame, gpu_points: DataFrame, proc_points: Data
                stable(F.avg("temperature_celsius")).alias("avg_gpu_temp_c"),
                stable(F.avg("power_watts")).alias("avg_gpu_power_w"))
     pp = p.filter(F.col("uid") >= 1000).agg(F.countDistinct("uid").alias("active_users"))
-    return n.select("active_nodes", pp.select("active_users").scalar().alias("active_users"),
-                    "avg_cpu_pct", "avg_mem_pct",
-                    gg.select("avg_gpu_util_pct").scalar().alias("avg_gpu_util_pct"),
-                    gg.select("avg_gpu_mem_mib").scalar().alias("avg_gpu_mem_mib"),
-                    gg.select("avg_gpu_temp_c").scalar().alias("avg_gpu_temp_c"),
-                    gg.select("avg_gpu_power_w").scalar().alias("avg_gpu_power_w"))
+    # one row each: stacked and folded into one, no scalar subqueries over the same rows
+    rows = n.unionByName(gg, allowMissingColumns=True).unionByName(pp, allowMissingColumns=True)
+    return rows.agg(*[F.max(c).alias(c) for c in ("active_nodes", "active_users", "avg_cpu_pct", "avg_mem_pct", "avg_gpu_util_pct",
+                                                  "avg_gpu_mem_mib", "avg_gpu_temp_c", "avg_gpu_power_w")])
 
 
 # Metric choices for the max-metric panels (panel -> source, column).

@@ -12,6 +12,8 @@ or app never moves its raw rows into one task.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -122,18 +124,28 @@ def node_hourly_core(node_points: DataFrame, bucket: Column | None = None) -> Da
         F.max("memory_used_bytes").alias("max_mem_used_bytes")))
 
 
-def node_status_hourly(node_points: DataFrame, gpu_points: DataFrame, proc_points: DataFrame,
-                       mode: str = "spread") -> DataFrame:
+NODE_PARTS = ("node", "gpu", "io")
+
+
+def node_status_hourly(node_points: DataFrame, gpu_points: DataFrame, proc_points: DataFrame | None,
+                       mode: str = "spread", parts: Sequence[str] = NODE_PARTS) -> DataFrame:
     """JON-14 + JON-11: node keys are the union of the node and GPU aggregates (missing
     parts -> 0); IO totals attach only to nodes already present.
 
     The three aggregates hold at most one row per key, so they are stacked and grouped once
     more instead of joined: filters on the hour or the node then reach every branch's scan,
-    and all branches share one hash partitioning."""
-    parts = [node_hourly_core(node_points).withColumn("present", F.lit(1)),
-             gpu_hourly(gpu_points).drop("gpu_count").withColumn("present", F.lit(1)),
-             node_io_hourly(proc_points, mode)]
-    both = parts[0].unionByName(parts[1], allowMissingColumns=True).unionByName(parts[2], allowMissingColumns=True)
+    and all branches share one hash partitioning. A caller that reads no IO totals names the
+    other ``parts``: a branch of a union can't be pruned by the optimizer, and the process points
+    are by far the largest input. Columns of parts left out are zero; rows are the same as long as
+    "node" and "gpu" are in."""
+    if not set(parts) <= set(NODE_PARTS) or not {"node", "gpu"} <= set(parts):
+        raise ValueError(f"parts are node, gpu and optionally io, not {parts!r}")
+    both = node_hourly_core(node_points).unionByName(gpu_hourly(gpu_points).drop("gpu_count"), allowMissingColumns=True)
+    both = both.withColumn("present", F.lit(1))
+    if "io" in parts:
+        both = both.unionByName(node_io_hourly(proc_points, mode), allowMissingColumns=True)
+    else:
+        both = both.withColumns({f: F.lit(None).cast("bigint") for f in IO_FIELDS})
     values = [c for c in both.columns if c not in NODE_KEYS]
     j = both.groupBy(*NODE_KEYS).agg(*[F.max(c).alias(c) for c in values]).filter("present = 1")
     z = lambda c, t: F.coalesce(F.col(c), F.lit(0).cast(t))
@@ -164,11 +176,13 @@ def upsert(updates: DataFrame, existing: DataFrame, keys: list[str]) -> DataFram
     return updates.unionByName(existing.join(updates.select(*keys), keys, "left_anti"))
 
 
-def field_pivot(long: DataFrame, row_keys: list[str], fields: list[str],
-                field_col: str = "_field", value_col: str = "_value") -> DataFrame:
-    """AGG-12: (row key, field, value) -> one column per listed field (last value wins).
-    The field list is explicit, so no distinct-values job runs first."""
-    return long.groupBy(*row_keys).pivot(field_col, fields).agg(F.last(value_col))
+def field_pivot(long: DataFrame, row_keys: list[str], fields: list[str], field_col: str = "_field",
+                value_col: str = "_value", order_col: str | None = None) -> DataFrame:
+    """AGG-12: (row key, field, value) -> one column per listed field. Of several values of one
+    cell the one with the greatest ``order_col`` wins, without one the greatest value. The field
+    list is explicit, so no distinct-values job runs first."""
+    best = F.max(value_col) if order_col is None else F.max_by(value_col, order_col)
+    return long.groupBy(*row_keys).pivot(field_col, fields).agg(best)
 
 
 def window_aggregate(proc_points: DataFrame, width: str = "5 minutes") -> DataFrame:
@@ -189,11 +203,38 @@ def _dated(df: DataFrame, time_col: str) -> DataFrame:
 def write_rollup(df: DataFrame, path: str, time_col: str = "bucket_time") -> None:
     """Store a rollup as parquet partitioned by ``date`` and ``hour``; dynamic partition
     overwrite replaces exactly the hours in ``df`` (idempotent reruns and backfills) and
-    leaves the day's other hours as they are."""
-    (_dated(df, time_col).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    leaves the day's other hours as they are. An hour is written by as many tasks as its size asks
+    for (rebalance), not by all of them."""
+    (_dated(df, time_col).hint("rebalance", "date", "hour").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
         .partitionBy("date", "hour").parquet(path))
 
 
+# Buckets of node ids of a folded day (see ``fold_days``).
+NODE_BUCKETS = 64
+
+
+def node_bucket(node: Column, buckets: int = NODE_BUCKETS) -> Column:
+    return F.pmod(F.xxhash64(node), F.lit(buckets)).cast("int")
+
+
+def fold_days(df: DataFrame, path: str, time_col: str = "bucket_time", buckets: int = NODE_BUCKETS) -> None:
+    """Layout for reads by node: the days of ``df`` partitioned by date and node bucket, sorted by
+    node and time, with bloom filters on the node. Dynamic overwrite replaces whole buckets of the
+    days in ``df``, so ``df`` has to hold whole days."""
+    d = df.withColumns({"date": F.to_date(time_col), "node_bucket": node_bucket(F.col("node_id"), buckets)})
+    (d.hint("rebalance", "date", "node_bucket").sortWithinPartitions("date", "node_bucket", "node_id", time_col)
+        .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("parquet.bloom.filter.enabled#node_id", "true")
+        .partitionBy("date", "node_bucket").parquet(path))
+
+
+def read_node(spark, path: str, node_id: str, first: str, last: str, buckets: int = NODE_BUCKETS) -> DataFrame:
+    """One node's rows of the days ``first`` to ``last`` of a folded table: partitions of other days
+    and buckets are pruned, row groups without the node are skipped."""
+    day = F.col("date").between(F.lit(first).cast("date"), F.lit(last).cast("date"))
+    mine = F.col("node_bucket") == node_bucket(F.lit(node_id), buckets)
+    return spark.read.parquet(path).where(day & mine & (F.col("node_id") == node_id)).drop("date", "node_bucket")
+
+
 def _stored(spark, path: str) -> DataFrame | None:
     """The table at ``path``, or None where nothing is stored yet. Any other failure
     (permissions, a broken store) is an error: appending blindly would undo first-write-wins."""

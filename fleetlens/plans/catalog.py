@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import scalars
-from ..operators import alerts, charts, fleet, host, host_windows, points, rollup, rules, stages, usage
+from ..operators import alerts, charts, fleet, host, host_windows, points, rollup, rules, stages, states, usage
 from ..operators.joins import literal_table
 from ..sources import ingest
 from ..sources.fixtures import HOST_WINDOW
@@ -62,13 +62,13 @@ def q_process_points(t: Telemetry) -> DataFrame:
 @query("node_points", sql("SELECT * FROM node_points", "node_points"))
 def q_node_points(t: Telemetry) -> DataFrame:
     """PRJ-4: one node point per valid report, null system metrics -> 0."""
-    return t.node_points
+    return t.without_processes.node_points
 
 
 @query("gpu_points", sql("SELECT * FROM gpu_points", "gpu_points"))
 def q_gpu_points(t: Telemetry) -> DataFrame:
     """PRJ-5: one point per GPU of a report with valid system metrics."""
-    return t.gpu_points
+    return t.without_processes.gpu_points
 
 
 @query("user_app_hourly", sql("SELECT * FROM user_app_hourly", "user_app_hourly"))
@@ -92,7 +92,7 @@ def q_node_status_hourly(t: Telemetry) -> DataFrame:
 @query("gpu_hourly", sql("SELECT * FROM gpu_hourly", "gpu_hourly"))
 def q_gpu_hourly(t: Telemetry) -> DataFrame:
     """AGG-6: two-level GPU aggregate."""
-    return rollup.gpu_hourly(t.gpu_series)
+    return rollup.gpu_hourly(t.without_processes.gpu_series)
 
 
 @query("node_io_hourly", sql("""
@@ -318,13 +318,13 @@ def q_config_drift(t: Telemetry) -> DataFrame:
 @query("latest_node_metrics", sql("SELECT * FROM latest_node_metrics", "latest_node_metrics"))
 def q_latest_node_metrics(t: Telemetry) -> DataFrame:
     """WIN-1: newest hourly row per node."""
-    return fleet.latest_node_metrics(t.node_status_hourly())
+    return fleet.latest_node_metrics(t.node_usage_hourly())
 
 
 @query("node_overview", sql("SELECT * FROM node_overview", "node_overview"))
 def q_node_overview(t: Telemetry) -> DataFrame:
     """JON-6 / SCL-13: registry + live config + newest metrics."""
-    return fleet.node_overview(t.fx.nodes, _live(t), fleet.latest_node_metrics(t.node_status_hourly()))
+    return fleet.node_overview(t.fx.nodes, _live(t), fleet.latest_node_metrics(t.node_usage_hourly()))
 
 
 @query("status_counts", sql("""
@@ -391,6 +391,7 @@ SELECT metric, arg_min(node_id, (-value, node_id)) AS node_id, MAX(value) AS val
 WHERE value IS NOT NULL GROUP BY metric""", "latest_samples", "latest_gpu"))
 def q_max_metric_node(t: Telemetry) -> DataFrame:
     """TOP-6: node with the max newest value of each panel metric."""
+    t = t.without_processes
     ls = fleet.latest_samples(t.node_points)
     return fleet.max_metric_node(ls, fleet.samples_at_latest(t.gpu_points, ls))
 
@@ -400,7 +401,7 @@ SELECT node_id, ts, cpu_usage_percent, memory_usage_percent FROM latest_samples
 WHERE cpu_usage_percent < 50.0 AND memory_usage_percent < 80.0 ORDER BY cpu_usage_percent, node_id""", "latest_samples"))
 def q_free_nodes(t: Telemetry) -> DataFrame:
     """TOP-7: nodes whose newest sample is under the usage bounds (cpu < 50 %, mem < 80 %)."""
-    return fleet.free_nodes(fleet.latest_samples(t.node_points), 50.0, 80.0)
+    return fleet.free_nodes(fleet.latest_samples(t.without_processes.node_points), 50.0, 80.0)
 
 
 @query("gate_running", sql("""
@@ -868,6 +869,60 @@ def q_window_reports(t: Telemetry) -> DataFrame:
     return host_windows.window_reports(window_samples(t), host.cpu_percent_from_counters(fx.cpu_counters), host.memory_usage(fx.mem_counters), HOST_WINDOW)
 
 
+# ------------------------------------------------- stored states and stored rollups -----
+
+@query("app_daily_from_states", sql("""
+SELECT date_trunc('day', ts) AS bucket_time, node_id, uid, comm,
+  CASE WHEN max(cpu_ontime_ns) > min(cpu_ontime_ns) THEN (max(cpu_ontime_ns) - min(cpu_ontime_ns)) / 1e9 ELSE 0.0 END AS total_cpu_time_seconds,
+  CAST(max(avg_rss_bytes) AS BIGINT) AS avg_rss_memory_bytes, CAST(max(avg_rss_bytes) AS BIGINT) AS max_rss_memory_bytes,
+  CAST(max(gpu_used_memory_mib) AS BIGINT) AS max_gpu_memory_mib,
+  CAST(CASE WHEN max(cpu_ontime_ns) > min(cpu_ontime_ns) THEN max(read_bytes) - min(read_bytes) ELSE 0 END AS BIGINT) AS total_read_bytes,
+  CAST(CASE WHEN max(cpu_ontime_ns) > min(cpu_ontime_ns) THEN max(write_bytes) - min(write_bytes) ELSE 0 END AS BIGINT) AS total_write_bytes,
+  CAST(CASE WHEN max(cpu_ontime_ns) > min(cpu_ontime_ns) THEN max(net_rx_bytes) - min(net_rx_bytes) ELSE 0 END AS BIGINT) AS total_net_rx_bytes,
+  CAST(CASE WHEN max(cpu_ontime_ns) > min(cpu_ontime_ns) THEN max(net_tx_bytes) - min(net_tx_bytes) ELSE 0 END AS BIGINT) AS total_net_tx_bytes,
+  CAST(max(process_count) AS BIGINT) AS process_count
+FROM proc_series GROUP BY ALL""", "proc_series"))
+def q_app_daily_from_states(t: Telemetry) -> DataFrame:
+    """AGG-9/10/11 by day, merged from hourly partial states."""
+    return states.app_values(states.merge(states.states(t.process_series, "app"), "app", "day"))
+
+
+@query("node_daily_from_states", sql("""
+SELECT date_trunc('day', ts) AS bucket_time, node_id, CAST(CAST(AVG(cpu_usage_percent) AS DECIMAL(38,9)) AS DOUBLE) AS avg_cpu_usage_percent,
+  MAX(cpu_usage_percent) AS max_cpu_usage_percent, CAST(CAST(AVG(memory_usage_percent) AS DECIMAL(38,9)) AS DOUBLE) AS avg_mem_usage_percent,
+  MAX(memory_used_bytes) AS max_mem_used_bytes FROM node_series GROUP BY ALL""", "node_series"))
+def q_node_daily_from_states(t: Telemetry) -> DataFrame:
+    """AGG-4/5 by day, merged from hourly partial states."""
+    return states.node_values(states.merge(states.states(t.without_processes.node_series, "node"), "node", "day"))
+
+
+@query("active_users_by_range", sql(f"""
+SELECT COUNT(DISTINCT uid) AS active_users FROM proc_series
+WHERE uid >= 0 AND date_trunc('hour', ts) BETWEEN TIMESTAMP '{RANGE_START}' AND TIMESTAMP '{RANGE_END}'""", "proc_series"))
+def q_active_users_by_range(t: Telemetry) -> DataFrame:
+    """AGG-18 / AGG-29: exact distinct users of a range of hours, from hourly bitmaps."""
+    bitmaps = states.user_bitmaps(t.process_series)
+    return states.active_users(bitmaps, F.lit(RANGE_START).cast("timestamp"), F.lit(RANGE_END).cast("timestamp"))
+
+
+@query("stored_cluster_stats", REGISTRY["cluster_stats"][1])
+def q_stored_cluster_stats(t: Telemetry) -> DataFrame:
+    """AGG-13 on the stored node rollup."""
+    return usage.cluster_stats(t.stored("node_status_hourly"), "6h")
+
+
+@query("stored_usage_summary", REGISTRY["usage_summary"][1])
+def q_stored_usage_summary(t: Telemetry) -> DataFrame:
+    """JON-1, AGG-14 on the stored app rollup."""
+    return usage.usage_summary(t.fx.users, t.stored("user_app_hourly"), RANGE_START, RANGE_END)
+
+
+@query("stored_latest_node_metrics", REGISTRY["latest_node_metrics"][1])
+def q_stored_latest_node_metrics(t: Telemetry) -> DataFrame:
+    """WIN-1 on the stored node rollup."""
+    return fleet.latest_node_metrics(t.stored("node_status_hourly"))
+
+
 # ------------------------------------------------------------------ pipeline rules -----
 
 @query("rule_filter", sql("""

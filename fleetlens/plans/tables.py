@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ..operators import points, rollup, stages
 from ..operators.stages import header_ok, process_ok
-from ..session import configure
+from ..session import configure, shared_folder
 from ..sources.fixtures import Fixtures
 
 # Fixed values for the fixture's collect agent (the enrich stage stamps these).
@@ -41,10 +41,14 @@ def shared_plans():
 class Telemetry:
     """Telemetry tables over one scale-factor directory (lazy DataFrames)."""
 
+    # Whether VAL-4 reads the reports that have processes from the process points.
+    reads_process_points = True
+
     def __init__(self, spark: SparkSession, sf_dir: str):
-        self.fx = Fixtures(spark, sf_dir)
+        self.fx, self.sf_dir = Fixtures(spark, sf_dir), sf_dir
         self.spark = self.fx.spark
         self._rollups: dict[tuple[str, str], DataFrame] = {}
+        self._stored: dict[str, DataFrame] = {}
 
     @classmethod
     def get(cls, spark: SparkSession, sf_dir: str) -> "Telemetry":
@@ -74,6 +78,21 @@ class Telemetry:
     def process_points(self) -> DataFrame:
         return points.process_points(self.valid_processes)
 
+    @cached_property
+    def without_processes(self) -> "Telemetry":
+        """The same tables for queries that read no process points: VAL-4 then asks the valid
+        process rows which reports have any, and doesn't wait for their aggregate."""
+        t = Telemetry(self.spark, self.sf_dir)
+        t.reads_process_points = False
+        return t
+
+    @cached_property
+    def reports_with_processes(self) -> DataFrame:
+        if self.reads_process_points:
+            # this branch then shares the plan subtree of the process points
+            return self.process_points.select("report_id")
+        return self.fx.processes_flat.filter(process_ok(F.col)).select("report_id")
+
     @cached_property
     def valid_reports(self) -> DataFrame:
         """VAL-4 (at least one valid process) + VAL-2 flag ``sm_ok`` on flat report rows."""
@@ -81,9 +100,8 @@ class Telemetry:
         gpus_ok = F.forall("gpus", lambda g: F.coalesce(
             g["utilization_percent"].between(0, 100) & g["temperature_celsius"].between(-50, 200)
             & (g["power_watts"] >= 0), F.lit(False)))
-        # VAL-4: a report survives when it produced at least one process point; reading
-        # the ids from the process points lets this branch share their plan subtree.
-        r = self.headers.join(self.process_points.select("report_id"), "report_id", "left_semi")
+        # VAL-4: a report survives when it has at least one valid process.
+        r = self.headers.join(self.reports_with_processes, "report_id", "left_semi")
         sm_ok = (F.col("has_system_metrics")
                  & F.col("cpu_usage_percent").between(0, 100)
                  & F.col("memory_usage_percent").between(0, 100)
@@ -147,6 +165,21 @@ class Telemetry:
             self._rollups[k] = rollup.user_app_hourly(self.process_series, mode)
         return self._rollups[k]
 
+    def stored(self, table: str) -> DataFrame:
+        """A rollup as the dashboards read it: from the table that the hourly job writes
+        (``rollup.write_rollup``, partitioned by date and hour). A builder writes each rollup once
+        into a folder of its own; the bench shares builders, so it times the reads."""
+        if table not in self._stored:
+            path = f"{shared_folder(self.spark)}/{table}"
+            rollup.write_rollup(getattr(self, table)(), path)
+            self._stored[table] = self.spark.read.parquet(path).drop("date", "hour")
+        return self._stored[table]
+
+    def node_usage_hourly(self) -> DataFrame:
+        """The node rollup without its IO totals, from tables without process points."""
+        t = self.without_processes
+        return rollup.node_status_hourly(t.node_series, t.gpu_series, None, parts=("node", "gpu"))
+
     def node_status_hourly(self, mode: str = "spread") -> DataFrame:
         k = ("node", mode)
         if k not in self._rollups:

@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import os
+import re
+import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -61,6 +64,22 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
     return configure(spark)
 
 
+_own_folder = ""
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder under ``spark.checkpoint.dir`` for tables that a job writes and reads again.
+    Where that is unset, a local session (one JVM, as in tests) gets one of its own and any other
+    an error."""
+    global _own_folder
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = _own_folder = _own_folder or tempfile.mkdtemp(prefix="fleetlens-shared-")
+    return f"{root.rstrip('/')}/fleetlens-{uuid.uuid4().hex}"
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """Shared folder for checkpoints, as the cluster names it in ``spark.checkpoint.dir``. A
     machine-local fallback would lose a stream's progress with its driver, so an unset

@@ -122,3 +122,38 @@ def test_a_run_that_died_before_its_note_is_repeated(spark, t, tmp_dir, monkeypa
     assert ledger.run_hourly(spark, sink, store, LATER)
     same(spark.read.parquet(f"{store}/user_app_hourly").drop("date", "hour"), t.user_app_hourly())
     assert ledger.run_hourly(spark, sink, store, LATER) == []
+
+
+def scan_metrics(df):
+    """Files and row groups' rows that the scans of a finished plan have read."""
+    df.collect()
+    stack, files, rows = [df._jdf.queryExecution().executedPlan()], 0, 0
+    while stack:
+        node = stack.pop()
+        if node.nodeName().startswith("AdaptiveSparkPlan"):
+            stack.append(node.executedPlan())
+        metrics = node.metrics()
+        if node.nodeName().startswith("Scan parquet"):
+            files += metrics.apply("numFiles").value()
+            rows += metrics.apply("numOutputRows").value()
+        children = node.children()
+        stack += [children.apply(i) for i in range(children.size())]
+    return files, rows
+
+
+def test_a_folded_day_is_read_by_node(spark, tmp_dir):
+    hours = spark.range(24 * 20).select(F.expr("timestamp'2024-01-01 00:00:00' + make_interval(0,0,0,0,cast(id as int))").alias("bucket_time"))
+    df = hours.join(spark.range(100).select(F.concat(F.lit("node_"), F.col("id").cast("string")).alias("node_id")), F.lit(True)).withColumn("x", F.hour("bucket_time"))
+    path = os.path.join(tmp_dir, "folded")
+    rollup.fold_days(df, path, buckets=16)
+    total = len(glob.glob(f"{path}/**/*.parquet", recursive=True))
+    got = rollup.read_node(spark, path, "node_42", "2024-01-05", "2024-01-05", buckets=16)
+    files, rows = scan_metrics(got)
+    assert got.count() == 24 and sorted(r["x"] for r in got.collect()) == list(range(24))
+    assert total >= 300 and files <= 0.05 * total and rows <= 0.05 * df.count()
+    # folding a day again replaces that day and leaves the others' files
+    before = folder(path)
+    rollup.fold_days(df.where("to_date(bucket_time) = date'2024-01-07'"), path, buckets=16)
+    after = folder(path)
+    assert {f for f in before.keys() ^ after.keys()} and all("date=2024-01-07" in f for f in before.keys() ^ after.keys())
+    assert spark.read.parquet(path).count() == df.count()
