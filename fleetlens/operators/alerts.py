@@ -7,7 +7,7 @@ Rule tables are small configuration tables; they join to metrics on an equality
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import MIB, age_text
@@ -134,6 +134,48 @@ def group_alerts(node_hourly: DataFrame, nodes: DataFrame, alert_rules: DataFram
         F.col("bucket_time").alias("created_at"))
 
 
+def alert_episodes(breaches: DataFrame, alert_rules: DataFrame) -> DataFrame:
+    """STR-4: consecutive breached hours of a rule and node (``group_alerts`` rows) as one episode:
+    ``(id, rule_id, node_id, severity, message, started_at, ended_at, n_hours, worst_value)``.
+
+    The worst value is the greatest for rules that bound from above, else the least. ended_at is the
+    end of the last hour. Gaps and islands: an hour's number minus its rank is the same within an
+    unbroken run; a partition has one row per hour of one rule and node."""
+    rules = checked_broadcast(alert_rules.select(F.col("id").alias("rule_id"), F.col("operator").alias("_op")))
+    b = breaches.join(rules, "rule_id")
+    hour_no = F.unix_seconds("created_at") / 3600
+    rank = F.dense_rank().over(Window.partitionBy("rule_id", "node_id").orderBy("created_at"))
+    b = b.withColumn("_run", hour_no.cast("bigint") - rank)
+    worst = F.when(F.first("_op").isin(">", ">="), F.max("value")).otherwise(F.min("value"))
+    g = b.groupBy("rule_id", "node_id", "_run").agg(
+        F.max("severity").alias("severity"), F.max("message").alias("message"), F.min("created_at").alias("started_at"),
+        (F.max("created_at") + F.expr("INTERVAL 1 HOUR")).alias("ended_at"), F.count_distinct("created_at").alias("n_hours"), worst.alias("worst_value"))
+    return g.select(F.concat_ws(":", "rule_id", "node_id", F.date_format("started_at", "yyyyMMddHH")).alias("id"), "rule_id", "node_id", "severity",
+                    "message", "started_at", "ended_at", "n_hours", "worst_value")
+
+
+NOTIFICATION_KEYS, NOTIFICATION_BUCKETS = ["id"], ["rule_id", "node_id"]
+
+
+def notify(table, episodes: DataFrame, now: Column) -> int:
+    """STR-4: write episodes as notifications into a ``sources.keyed.KeyedTable`` (keys
+    NOTIFICATION_KEYS, bucketed by NOTIFICATION_BUCKETS); returns its version.
+
+    A notification that is already there keeps ``acknowledged`` and ``created_at`` and takes the
+    episode's new end and worst value, so a rerun adds nothing and clears no flag. When late data
+    joins two episodes, the later one's notification goes. ``episodes`` has to reach back to
+    the start of runs that may still go on."""
+    def combine(old: DataFrame, new: DataFrame) -> DataFrame:
+        seen = old.select("id", F.col("acknowledged").alias("_ack"), F.col("created_at").alias("_made"))
+        kept = new.join(seen, "id", "left").withColumns({
+            "acknowledged": F.coalesce("_ack", "acknowledged"), "created_at": F.coalesce("_made", "created_at")}).drop("_ack", "_made")
+        span = new.select("rule_id", "node_id", F.col("started_at").alias("_from"), F.col("ended_at").alias("_to"))
+        inside = [old.rule_id == span.rule_id, old.node_id == span.node_id, old.started_at >= span["_from"], old.started_at < span["_to"]]
+        return kept.unionByName(old.join(span, inside, "left_anti").select(*kept.columns))
+
+    return table.merge(episodes.withColumns({"acknowledged": F.lit(False), "created_at": now}), combine=combine)
+
+
 def notifications_feed(notifications: DataFrame, nodes: DataFrame, as_of: Column) -> DataFrame:
     """JON-5 + SCL-11 + TOP-8: notifications with the node name (left join) and an age
     label relative to ``as_of``, newest first."""

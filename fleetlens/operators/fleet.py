@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import cluster_health, stable, status_map
 from .joins import checked_broadcast
+from .windows import asof
 
 # Key prefixes and the known per-node config fields.
 NODE_PREFIX = "/config/compute_node/"
@@ -260,6 +261,41 @@ def gate_running(reports: DataFrame, live: DataFrame) -> DataFrame:
     return reports.join(checked_broadcast(running), "node_id", "left_semi")
 
 
+def gate_at_report_time(reports: DataFrame, changes: DataFrame, max_age_seconds: int, time: str = "event_time") -> DataFrame:
+    """STA-4 by the status at the report's time: a report passes when the last status change of its
+    node ``(node_id, change_time, seq, status)`` at or before it says running and is at most
+    ``max_age_seconds`` old (agents repeat their status); without one the node counts as stopped.
+    ``streaming.jobs.gate_stream`` is the same on streams."""
+    j = asof(reports, changes, ["node_id"], F.col(time), F.col("change_time"), "seq", ["change_time", "status"], "_last")
+    young = F.unix_micros(F.col(time)) - F.unix_micros("_last.change_time") <= max_age_seconds * 1_000_000
+    return j.where((F.col("_last.status") == "running") & young).select(*reports.columns)
+
+
+def heartbeat_gap(node_config: DataFrame) -> DataFrame:
+    """(node_id, gap_seconds): how long a node may be silent, as in ``liveness``: 3 x interval."""
+    interval = parse_float(F.coalesce(F.col("heartbeat_interval"), F.lit(DEFAULT_HEARTBEAT_INTERVAL)))
+    return node_config.select("node_id", F.coalesce(interval * 3, F.lit(FALLBACK_THRESHOLD_S)).cast("bigint").alias("gap_seconds"))
+
+
+def liveness_sessions(heartbeats: DataFrame, gaps: DataFrame, default_gap_seconds: int = 60) -> DataFrame:
+    """STA-3 as sessions: each stretch in which a node's "alive" heartbeats follow one another within
+    its gap: ``(node_id, alive_from, last_heartbeat, lapsed_at, n_heartbeats)``; it lapses one gap
+    after its last heartbeat. A heartbeat exactly one gap after the last one still belongs to the
+    stretch. ``gaps`` has (node_id, gap_seconds), one row per registered node; other nodes
+    have the default gap.
+
+    The same function runs on a stream with a watermark on ``event_time`` (append mode): a stretch
+    is a row once the watermark has passed its lapse, and the state holds open stretches only."""
+    alive = heartbeats.where("status = 'alive'").select("node_id", "event_time")
+    h = alive.join(checked_broadcast(gaps), "node_id", "left")
+    # one microsecond more, as a session is open at its end
+    gap = F.coalesce("gap_seconds", F.lit(default_gap_seconds)) * 1_000_000 + 1
+    width = F.concat(gap.cast("string"), F.lit(" microseconds"))
+    g = h.groupBy("node_id", F.session_window("event_time", width).alias("w")).agg(F.max("event_time").alias("last_heartbeat"), F.count("*").alias("n_heartbeats"))
+    lapse = F.timestamp_micros(F.unix_micros("w.end") - 1)
+    return g.select("node_id", F.col("w.start").alias("alive_from"), "last_heartbeat", lapse.alias("lapsed_at"), "n_heartbeats")
+
+
 def node_hourly(node_hourly_df: DataFrame, node_id: str, range_key: str | None = "1d", as_of=None,
                 start=None, end=None) -> DataFrame:
     """SRC-4 + FLT-5: one node's hourly rows with the explicit column list, ascending.

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .host import DISK_READ, DISK_WRITE, NET_RX, NET_TX, cpu_runs
-from .windows import bucketed_last
+from .windows import asof, bucketed_last
 
 # Reporting interval of the collectors, in seconds.
 WINDOW_SECONDS = 5
@@ -111,19 +111,9 @@ def process_lives(events: DataFrame, bucket_unit: str = "day") -> DataFrame:
 def last_life(rows: DataFrame, lives: DataFrame, ts: Column, bucket_unit: str = "day") -> DataFrame:
     """As-of join: ``rows`` (with node_id and pid) and the ``life`` (life_start, life_seq, life_end,
     ppid, exited) of the pid that was born last at or before ``ts``; null before its first fork.
-
-    The lives are stacked with the rows and the last one is carried on in time order, so each side
-    is read once and nothing is joined by a range. At one instant forks come before rows."""
-    k = ["node_id", "pid"]
-    life = F.struct("life_start", "life_seq", "life_end", "ppid", "exited")
-    kind = lives.select(life.alias("l")).schema["l"].dataType
-    r = rows.select(*k, ts.alias("_t"), F.lit(None).cast(kind).alias("_born"), F.lit(None).cast("bigint").alias("_seq"),
-                    F.struct(*[c for c in rows.columns if c not in k]).alias("_row"))
-    born = lives.select(*k, F.col("life_start").alias("_t"), life.alias("_born"), F.col("life_seq").alias("_seq"),
-                        F.lit(None).cast(r.schema["_row"].dataType).alias("_row"))
-    u = r.unionByName(born).withColumn("_is_row", F.col("_row").isNotNull())
-    u = bucketed_last(u, k, ["_t", "_is_row", "_seq"], {"life": F.col("_born")}, F.date_trunc(bucket_unit, "_t"))
-    return u.where("_is_row").select(*k, "_row.*", "life")
+    At one instant forks come before rows."""
+    return asof(rows, lives, ["node_id", "pid"], ts, F.col("life_start"), "life_seq",
+                ["life_start", "life_seq", "life_end", "ppid", "exited"], "life", bucket_unit)
 
 
 def in_lives(samples: DataFrame, lives: DataFrame, bucket_unit: str = "day") -> DataFrame:

@@ -54,3 +54,23 @@ def bucketed_last(df: DataFrame, keys: Sequence[str], order: Sequence[str], cols
     j = seen.join(start, [*keys, "_bkt"], "left")
     return j.withColumns({n: F.coalesce(F.col(n), F.col(f"_s_{n}")) for n in cols}).drop(
         "_bkt", *[f"{p}{n}" for n in cols for p in ("_v_", "_s_")])
+
+
+def asof(rows: DataFrame, events: DataFrame, keys: Sequence[str], at: Column, event_at: Column, seq: str, cols: Sequence[str],
+         name: str, bucket_unit: str = "day") -> DataFrame:
+    """``rows`` with ``name``: a struct of ``cols`` of the last event of the same key at or before
+    ``at`` (null without one). Of several events at one instant the one with the greatest ``seq``
+    counts, and an event counts for rows of its own instant.
+
+    Events and rows are stacked and the last event is carried on in time order, so each side is read
+    once and nothing is joined by a range."""
+    keys = list(keys)
+    event = F.struct(*cols)
+    kind = events.select(event.alias("e")).schema["e"].dataType
+    r = rows.select(*keys, at.alias("_t"), F.lit(None).cast(kind).alias("_event"), F.lit(None).cast(events.schema[seq].dataType).alias("_seq"),
+                    F.struct(*[c for c in rows.columns if c not in keys]).alias("_row"))
+    e = events.select(*keys, event_at.alias("_t"), event.alias("_event"), F.col(seq).alias("_seq"),
+                      F.lit(None).cast(r.schema["_row"].dataType).alias("_row"))
+    u = r.unionByName(e).withColumn("_is_row", F.col("_row").isNotNull())
+    u = bucketed_last(u, keys, ["_t", "_is_row", "_seq"], {name: F.col("_event")}, F.date_trunc(bucket_unit, "_t"))
+    return u.where("_is_row").select(*keys, "_row.*", name)

@@ -200,6 +200,12 @@ class Fixtures:
             F.col("ts").alias("event_time"),
             F.when(F.col("event_type") == "click", F.lit("stopping")).otherwise(F.lit("alive")).alias("status"))
 
+    @cached_property
+    def status_changes(self) -> DataFrame:
+        """Status messages of the nodes: (node_id, change_time, seq, status)."""
+        return self.heartbeats.select("node_id", F.col("event_time").alias("change_time"), F.col("event_id").alias("seq"),
+                                      F.when(F.col("status") == "alive", F.lit("running")).otherwise(F.lit("stopped")).alias("status"))
+
     @cached_property
     def notifications(self) -> DataFrame:
         e = self._events.filter(F.col("event_type") == "error")

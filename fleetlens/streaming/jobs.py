@@ -23,6 +23,7 @@ from ..operators import alerts, points, rollup, stages
 from ..operators.joins import literal_table
 from ..session import checkpoint_dir
 from ..sources import ingest
+from ..sources.keyed import KeyedTable
 from . import ledger
 
 POINT_TABLES = ("node_status", "gpu_status", "process_status", "alerts", "rejects")
@@ -105,18 +106,62 @@ def points_stream(spark: SparkSession, source: DataFrame, sink_root: str, config
     return w.start()
 
 
-def app_rollup_stream(process_points: DataFrame, watermark: str = "10 minutes", mode: str = "spread") -> DataFrame:
-    """STR-6 (b): hourly app rollup over a point stream, append mode under a watermark."""
-    p = process_points.withWatermark("ts", watermark)
+# Series tags and rolled-up fields of the point tables.
+NODE_TAGS = ["node_id", "collect_agent_id", "collect_agent_version"]
+GPU_TAGS = ["node_id", "gpu_index", "gpu_name"]
+APP_TAGS = ["node_id", "uid", "comm"]
+NODE_FIELDS = ["cpu_usage_percent", "memory_usage_percent", "memory_used_bytes"]
+GPU_FIELDS = ["utilization_percent", "power_watts", "temperature_celsius"]
+APP_FIELDS = ["cpu_ontime_ns", *rollup.IO_FIELDS, "avg_rss_bytes", "process_count", "gpu_used_memory_mib"]
+
+
+def overwrite_stream(points: DataFrame, tags: Sequence[str], fields: Sequence[str], watermark: str, order_by: str) -> DataFrame:
+    """SNK-3 on a stream: per series and second the point with the greatest ``order_by`` (ingest
+    order), emitted when the watermark passes the second. The time that goes on is the end of the
+    second's window, which further windows are chained on under the same watermark.
+
+    A stream without the order column has nothing to choose by; its points go on as they are."""
+    p = points.withWatermark("ts", watermark)
+    if order_by not in points.columns:
+        return p
+    tags = [c for c in tags if c in points.columns]
+    g = p.groupBy(F.window("ts", "1 second").alias("_w"), *tags).agg(*[F.max_by(c, order_by).alias(c) for c in fields])
+    return g.select(F.window_time("_w").alias("ts"), *tags, *fields)
+
+
+def app_rollup_stream(process_points: DataFrame, watermark: str = "10 minutes", mode: str = "spread", order_by: str = "report_id") -> DataFrame:
+    """STR-6 (b): hourly app rollup over a point stream, append mode under a watermark. Points that
+    a later one of the same series and second overwrites don't count (SNK-3), as in the batch."""
+    p = overwrite_stream(process_points, APP_TAGS, APP_FIELDS, watermark, order_by)
     return rollup.user_app_hourly(p, mode, bucket=F.window("ts", "1 hour"))
 
 
-def node_rollup_stream(node_points: DataFrame, watermark: str = "10 minutes") -> DataFrame:
-    """STR-6 (b): hourly node mean / max over a point stream, append mode."""
-    p = node_points.withWatermark("ts", watermark)
+def node_rollup_stream(node_points: DataFrame, watermark: str = "10 minutes", order_by: str = "report_id") -> DataFrame:
+    """STR-6 (b): hourly node mean / max over a point stream, append mode, after SNK-3."""
+    p = overwrite_stream(node_points, NODE_TAGS, NODE_FIELDS, watermark, order_by)
     return rollup.node_hourly_core(p, bucket=F.window("ts", "1 hour"))
 
 
+def gate_stream(reports: DataFrame, changes: DataFrame, max_age_seconds: int, watermark: str = "10 minutes") -> DataFrame:
+    """STA-4 on streams: ``fleet.gate_at_report_time`` of a report stream (node_id, event_time,
+    report_id, ...) and a stream of status changes (node_id, change_time, seq, status), append mode.
+
+    Both sides are joined over the interval in which a change can count, and the last change per
+    report is chosen when the watermark has passed the report, so late changes within the watermark
+    still count. State is bounded by the watermark and ``max_age_seconds``. Reports are told apart by
+    ``report_id``."""
+    r = reports.withWatermark("event_time", watermark)
+    c = changes.withWatermark("change_time", watermark).select(F.col("node_id").alias("_node"), "change_time", "seq", "status")
+    j = r.join(c, (F.col("node_id") == F.col("_node")) & (F.col("change_time") <= F.col("event_time"))
+               & (F.col("change_time") >= F.col("event_time") - F.expr(f"INTERVAL {int(max_age_seconds)} SECONDS")))
+    rest = [x for x in reports.columns if x not in ("event_time", "node_id", "report_id")]
+    j = j.select("node_id", "report_id", "event_time", F.struct(F.unix_micros("change_time").alias("us"), "seq").alias("_at"), "status",
+                 F.struct(F.col("event_time").cast("timestamp_ntz").alias("event_time"), *rest).alias("_row"))
+    g = j.groupBy(F.window("event_time", "1 second").alias("_w"), "node_id", "report_id").agg(F.max_by("status", "_at").alias("_status"), F.first("_row").alias("_row"))
+    out = g.where("_status = 'running'").select("node_id", "report_id", "_row.*")
+    return out.withColumn("event_time", F.col("event_time").cast("timestamp")).select(*reports.columns)
+
+
 def read_points(spark: SparkSession, root: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{root}/{table}")
 
@@ -141,9 +186,9 @@ def rollup_hours(spark: SparkSession, root: str, hours: Sequence[str], mode: str
         df = df.withColumn("_order", order.cast("decimal(38,0)")).drop("date", "batch_id", "report_id")
         return points.series_dedup(df, tags, "ts", "_order").drop("_order")
 
-    n = stored("node_status", ["node_id", "collect_agent_id", "collect_agent_version"])
-    g = stored("gpu_status", ["node_id", "gpu_index", "gpu_name"])
-    p = stored("process_status", ["node_id", "uid", "comm"])
+    n = stored("node_status", NODE_TAGS)
+    g = stored("gpu_status", GPU_TAGS)
+    p = stored("process_status", APP_TAGS)
     return {"node_status_hourly": rollup.node_status_hourly(n, g, p, mode),
             "user_app_hourly": rollup.user_app_hourly(p, mode)}
 
@@ -156,31 +201,44 @@ def latest_heartbeats_stream(heartbeats: DataFrame) -> DataFrame:
     ).select("node_id", "h.timestamp", "h.status")
 
 
+def liveness_table(spark: SparkSession, sink_path: str) -> KeyedTable:
+    return KeyedTable(spark, sink_path, ["node_id"])
+
+
 def current_liveness(spark: SparkSession, sink_path: str, node_config: DataFrame, now=None) -> DataFrame:
-    """Node liveness at ``now`` (default: the clock) from the newest stored version of the
-    heartbeats and the pivoted live config."""
+    """Node liveness at ``now`` (default: the clock) from the stored newest heartbeats and the
+    pivoted live config."""
     from ..operators import fleet
-    stored = spark.read.parquet(sink_path)
-    newest = stored.filter(F.col("version") == stored.select(F.max("version")).scalar()).drop("version")
+    newest = liveness_table(spark, sink_path).read()
     return fleet.liveness(node_config, newest, F.current_timestamp() if now is None else now)
 
 
 def liveness_stream(spark: SparkSession, heartbeats: DataFrame, sink_path: str,
                     checkpoint: str | None = None, trigger: dict | None = None) -> StreamingQuery:
-    """STA-3 (stream): each micro-batch stores the newest heartbeat per node as a version of
-    its own (readers never see a half-written one, a replay rewrites its version). Liveness
-    depends on the clock, so ``current_liveness`` derives it when read: a fleet that falls
-    silent expires although no further batch runs."""
+    """STA-3 (stream): each micro-batch merges the nodes it heard of into a keyed table of newest
+    heartbeats (update mode; buckets without news stay as they are, readers never see half a batch,
+    a replay merges the same rows again, older versions are pruned). Liveness depends on
+    the clock, so ``current_liveness`` derives it when read: a fleet that falls silent expires
+    although no further batch runs."""
     ckpt = checkpoint or f"{checkpoint_dir(spark)}/liveness_stream"
 
     def handle(latest: DataFrame, batch_id: int) -> None:
-        latest.write.mode("overwrite").parquet(f"{sink_path}/version={batch_id}")
+        table = liveness_table(latest.sparkSession, sink_path)
+        table.merge(latest, order_by="timestamp")
+        table.prune()
 
-    w = (latest_heartbeats_stream(heartbeats).writeStream.outputMode("complete").foreachBatch(handle)
+    w = (latest_heartbeats_stream(heartbeats).writeStream.outputMode("update").foreachBatch(handle)
          .option("checkpointLocation", ckpt))
     return w.trigger(**(trigger or {"availableNow": True})).start()
 
 
+def liveness_session_stream(heartbeats: DataFrame, gaps: DataFrame, watermark: str = "1 minute", default_gap_seconds: int = 60) -> DataFrame:
+    """STA-3 (stream): ``fleet.liveness_sessions`` in append mode; a silent node's stretch is a row
+    once the watermark has passed its lapse."""
+    from ..operators import fleet
+    return fleet.liveness_sessions(heartbeats.withWatermark("event_time", watermark), gaps, default_gap_seconds)
+
+
 def publish_kafka(reports: DataFrame, brokers: str, topic: str, checkpoint: str) -> StreamingQuery:
     """SNK-1 / PRJ-2: reports -> topic keyed by node id, gzip batches (needs the Kafka
     connector on the classpath)."""
@@ -196,12 +254,12 @@ def publish_files(reports: DataFrame, path: str) -> None:
         .write.mode("overwrite").option("compression", "gzip").text(path)
 
 
-def gpu_rollup_stream(gpu_points: DataFrame, watermark: str = "10 minutes") -> DataFrame:
+def gpu_rollup_stream(gpu_points: DataFrame, watermark: str = "10 minutes", order_by: str = "report_id") -> DataFrame:
     """STR-6 (b): the two-level GPU rollup (AGG-6) over a point stream: per-GPU hourly
     means, then per node, chained on ``window_time`` so both stateful aggregates close
     under the same watermark (append mode)."""
     from ..functions.scalars import stable
-    p = gpu_points.withWatermark("ts", watermark)
+    p = overwrite_stream(gpu_points, GPU_TAGS, GPU_FIELDS, watermark, order_by)
     per_gpu = p.groupBy(F.window("ts", "1 hour").alias("w"), "node_id", "gpu_index").agg(
         F.avg("utilization_percent").alias("u"), F.avg("power_watts").alias("p"), F.avg("temperature_celsius").alias("t"))
     per_gpu = per_gpu.select(F.window_time("w").alias("wt"), "node_id", "u", "p", "t")
