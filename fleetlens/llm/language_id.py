@@ -103,9 +103,10 @@ def trigram_model(rows: DataFrame, languages: list[str]) -> np.ndarray:
     names = [f"c{i}" for i in range(len(languages))]
     counts = rows.select("__text", "__declared").mapInArrow(
         _count_task(languages), "bucket long, " + ", ".join(f"{c} long" for c in names))
-    table = counts.groupBy("bucket").agg(*(F.sum(c).alias(c) for c in names)).toPandas()  # at most 2^BUCKET_BITS rows
+    table = counts.groupBy("bucket").agg(*(F.sum(c).alias(c) for c in names)).toArrow()  # at most 2^BUCKET_BITS rows
     out = np.full((1 << BUCKET_BITS, len(languages)), 0.5)
-    out[table["bucket"].to_numpy(np.int64)] += table[names].to_numpy(float)
+    for i, name in enumerate(names):
+        out[table["bucket"].to_numpy(), i] += table[name].to_numpy()
     return np.log(out / out.sum(axis=0)).astype(np.float32)
 
 

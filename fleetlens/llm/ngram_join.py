@@ -149,9 +149,10 @@ def _signature(s: np.ndarray) -> tuple[int, int]:
     return int(one.view(np.int64)), int(two.view(np.int64))
 
 
-def _set_task(order: Order | None):
-    """doc_id, n, s1, s2 (the set's signature) and, with an order, the set's rare end."""
+def _set_task(shared=None):
+    """doc_id, n, s1, s2 (the set's signature) and, with a broadcast order, the set's rare end."""
     def task(batches):
+        order = shared.value if shared else None
         for batch in batches:
             n, one, two, rare = [], [], [], []
             for s in shingle_sets(batch.column("text")):
@@ -167,9 +168,10 @@ def _set_task(order: Order | None):
     return task
 
 
-def _slice_task(order: Order, asked: np.ndarray):
+def _slice_task(shared, shared_asked):
     """Slices of the sets whose id hash is among the asked ones (see ``_asked``)."""
     def task(batches):
+        order, asked = shared.value, shared_asked.value
         for batch in batches:
             at = np.asarray(batch.column("at"))
             batch = batch.filter(pa.array((asked[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1))
@@ -193,26 +195,29 @@ def _asked(pairs: DataFrame) -> np.ndarray:
     at = pairs.select(F.explode(F.array(_hashed("a"), _hashed("b"))).alias("at"))
     word = at.groupBy(F.floor(F.col("at") / 64).alias("w")).agg(
         F.bit_or(F.expr("shiftleft(1L, cast(at % 64 as int))")).alias("bits"))
-    table = word.toPandas()  # at most 2^ASKED_BITS / 64 rows
+    table = word.toArrow()  # at most 2^ASKED_BITS / 64 rows
     out = np.zeros((1 << ASKED_BITS) // 64, np.int64)
-    out[table["w"].to_numpy(np.int64)] = table["bits"].to_numpy(np.int64)
+    out[table["w"].to_numpy()] = table["bits"].to_numpy()
     return out.view(np.uint8)
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, order: Order) -> DataFrame:
-    """The pairs (a, b) whose overlap, summed over the fragments, reaches the threshold."""
+def _verified(pairs: DataFrame, docs: DataFrame, order) -> DataFrame:
+    """The pairs (a, b) whose overlap, summed over the fragments, reaches the threshold (written)."""
+    asked = docs.sparkSession.sparkContext.broadcast(_asked(pairs))
     kind = docs.schema["doc_id"].dataType
     schema = T.StructType([T.StructField("doc_id", kind), T.StructField("n", T.LongType()),
                            T.StructField("f", T.IntegerType()), T.StructField("grams", T.BinaryType())])
-    slices = docs.withColumn("at", _hashed("doc_id")).mapInArrow(_slice_task(order, _asked(pairs)), schema)
+    slices = docs.withColumn("at", _hashed("doc_id")).mapInArrow(_slice_task(order, asked), schema)
     left = slices.select(F.col("doc_id").alias("a"), F.col("n").alias("na"), "f", F.col("grams").alias("ga"))
     right = slices.select(F.col("doc_id").alias("b"), F.col("n").alias("nb"), "f", F.col("grams").alias("gb"))
     parts = pairs.select("a", "b", F.explode(F.sequence(F.lit(0), F.lit(FRAGMENTS - 1))).alias("f"))
-    parts = parts.join(left, ["a", "f"]).join(right, ["b", "f"])
+    parts = parts.hint("merge").join(left, ["a", "f"]).hint("merge").join(right, ["b", "f"])
     counted = T.StructType([T.StructField("a", kind), T.StructField("b", kind), *(T.StructField(c, T.LongType()) for c in ("na", "nb", "part"))])
     parts = parts.select("a", "b", "na", "nb", "ga", "gb").mapInArrow(_overlap_task, counted)
     total = parts.groupBy("a", "b", "na", "nb").agg(F.sum("part").alias("both"))
-    return total.where(F.col("both") * DENOMINATOR >= (F.col("na") + F.col("nb") - F.col("both")) * NUMERATOR).select("a", "b")
+    links = K.written(total.where(F.col("both") * DENOMINATOR >= (F.col("na") + F.col("nb") - F.col("both")) * NUMERATOR).select("a", "b"))
+    asked.unpersist()
+    return links
 
 
 def _can_link(n: str, i: str, m: str, j: str) -> str:
@@ -223,13 +228,17 @@ def _can_link(n: str, i: str, m: str, j: str) -> str:
             f"{NUMERATOR + DENOMINATOR} * ({n} - {i}) >= {least} and {NUMERATOR + DENOMINATOR} * ({m} - {j}) >= {least}")
 
 
-def _split_entries(entries: DataFrame, links: DataFrame) -> DataFrame:
-    """Entries (h, doc, n, i) whose classes the links leave in different components, with comp."""
-    labels = components(links)
-    named = entries.join(labels, entries["doc"] == labels["node"], "left").select(
+def _split_entries(entries: DataFrame, labels: DataFrame) -> DataFrame:
+    """Entries (h, doc, n, i) whose classes the labels leave in different components, with comp."""
+    named = entries.join(labels.hint("merge"), entries["doc"] == labels["node"], "left").select(
         "h", "doc", "n", "i", F.coalesce("component", "doc").alias("comp"))
     mixed = named.groupBy("h").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi").select("h")
-    return K.written(named.join(mixed, "h"))
+    return K.written(named.join(mixed.hint("merge"), "h"))
+
+
+def _more(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """Components after further links; those so far enter as stars, which nearly are the result."""
+    return components(links.unionByName(labels.select(F.col("component").alias("a"), F.col("node").alias("b"))))
 
 
 def _pairs(met: DataFrame, x: str, y: str) -> DataFrame:
@@ -241,43 +250,45 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     K.ship(docs.sparkSession)
     docs = K.keyed_documents(docs, id_col, text_col)
     kind, long_ = docs.schema["doc_id"].dataType, T.LongType()
-    order = Order(docs)
+    # sent once for all steps (5 MB whatever the corpus), not with every task's closure
+    order = docs.sparkSession.sparkContext.broadcast(Order(docs))
     fields = [T.StructField("doc_id", kind), *(T.StructField(c, long_) for c in ("n", "s1", "s2"))]
 
     sets = docs.mapInArrow(_set_task(order), T.StructType([*fields, T.StructField("rare", T.ArrayType(long_))]))
     classes = K.written(sets.where("n > 0").groupBy("n", "s1", "s2").agg(F.min(F.struct("doc_id", "rare")).alias("least")))
     entries = classes.select("n", F.col("least.doc_id").alias("doc"), F.posexplode("least.rare").alias("i", "h"))
     shared = K.written(entries.groupBy("h").agg(F.count("*").alias("c")).where("c > 1").select("h"))
-    entries = K.written(entries.join(shared, "h").select("h", "doc", "n", "i"))
+    entries = K.written(entries.join(shared.hint("merge"), "h").select("h", "doc", "n", "i"))
 
-    # leaders are written first, so that a join on a hot entry has plain exchanges that can be split
+    # Leaders are written first, so that a join on a hot entry has plain exchanges that can be split.
+    # All these tables grow with the documents: none is broadcast, however small it is now.
     lead = K.written(entries.groupBy("h").agg(F.min(F.struct("doc", "n", "i")).alias("lead")))
-    first = entries.join(lead, "h").where("doc != lead.doc and " + _can_link("n", "i", "lead.n", "lead.i"))
+    first = entries.join(lead.hint("merge"), "h").where("doc != lead.doc and " + _can_link("n", "i", "lead.n", "lead.i"))
     pairs = K.written(_pairs(first, "doc", "lead.doc"))
-    links = K.written(_verified(pairs, docs, order))
-    split = _split_entries(entries, links)
+    labels = components(_verified(pairs, docs, order))
+    split = _split_entries(entries, labels)
     if not split.isEmpty():
         lead = split.groupBy("h").agg(F.min(F.struct(F.xxhash64("doc", "h").alias("x"), "doc", "comp", "n", "i")).alias("lead"))
-        second = split.join(lead, "h").where("comp != lead.comp and " + _can_link("n", "i", "lead.n", "lead.i"))
-        second = K.written(_pairs(second, "doc", "lead.doc").join(pairs, ["a", "b"], "left_anti"))
-        links = K.written(links.unionByName(_verified(second, docs, order)))
-        split = _split_entries(split.drop("comp"), links)
+        second = split.join(lead.hint("merge"), "h").where("comp != lead.comp and " + _can_link("n", "i", "lead.n", "lead.i"))
+        second = K.written(_pairs(second, "doc", "lead.doc").join(pairs.hint("merge"), ["a", "b"], "left_anti"))
+        labels = _more(labels, _verified(second, docs, order))
+        split = _split_entries(split.drop("comp"), labels)
         if not split.isEmpty():
             size = split.groupBy("h", "comp").agg(F.count("*").alias("c"))
             major = size.groupBy("h").agg(F.max(F.struct("c", "comp")).alias("major")).select("h", F.col("major.comp").alias("major"))
-            x = split.join(major, "h").where("comp != major")
+            x = split.join(major.hint("merge"), "h").where("comp != major")
             y = split.select("h", *(F.col(c).alias(c + "2") for c in ("doc", "n", "i", "comp")))
-            rest = x.join(y, "h").where(
+            rest = x.hint("merge").join(y, "h").where(
                 "comp != comp2 and (comp2 = major or doc < doc2) and " + _can_link("n", "i", "n2", "i2"))
-            rest = K.written(_pairs(rest, "doc", "doc2").join(pairs.unionByName(second), ["a", "b"], "left_anti"))
-            links = K.written(links.unionByName(_verified(rest, docs, order)))
-    labels = components(links)
+            rest = K.written(_pairs(rest, "doc", "doc2").join(pairs.unionByName(second).hint("merge"), ["a", "b"], "left_anti"))
+            labels = _more(labels, _verified(rest, docs, order))
+    order.unpersist()
 
     members = docs.mapInArrow(_set_task(None), T.StructType(fields))
     named = members.where("n > 0").groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("doc"))
-    named = named.join(labels, F.col("doc") == F.col("node"), "left").select(
+    named = named.join(labels.hint("merge"), F.col("doc") == F.col("node"), "left").select(
         "n", "s1", "s2", "doc", F.coalesce("component", "doc").alias("comp"))
-    return members.join(named, ["n", "s1", "s2"], "left").select(
+    return members.join(named.hint("merge"), ["n", "s1", "s2"], "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.coalesce("doc", "doc_id").alias("class_id"),
         F.coalesce("comp", "doc_id").alias("component_id"))
 

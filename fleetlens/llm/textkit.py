@@ -14,6 +14,7 @@ import shutil
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -180,9 +181,30 @@ def shared_folder(spark) -> str:
     return folder.rstrip("/")
 
 
-def written(df: DataFrame) -> DataFrame:
+_scratch: list[str] | None = None
+
+
+@contextmanager
+def scratch(spark) -> Iterator[None]:
+    """Delete what ``written`` makes inside, tables written with ``keep`` excepted. For jobs whose
+    result is written at the end; a lazy result may still read its working tables."""
+    global _scratch
+    before, _scratch = _scratch, []
+    try:
+        yield
+    finally:
+        mine, _scratch = _scratch, before
+        for path in mine:
+            p = spark._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def written(df: DataFrame, keep: bool = False) -> DataFrame:
     """Cut the lineage: write ``df`` as Parquet into the shared folder and read it back, so a
-    lost executor costs no recomputation of what stands before."""
+    lost executor costs no recomputation of what stands before. Inside ``scratch`` the table is
+    deleted at the end unless it is to ``keep``."""
     path = f"{shared_folder(df.sparkSession)}/llm-{uuid.uuid4().hex}"
+    if _scratch is not None and not keep:
+        _scratch.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -131,8 +131,9 @@ def patience(a, b):
     return out
 
 
-def line_dedup(docs, anchor=8, block=12):
-    """{doc_id: (text without repeated blocks, removed lines)}"""
+def line_dedup(docs, anchor=8, block=12, most=None):
+    """{doc_id: (text without repeated blocks, removed lines)}; with ``most``, lines of fewer than
+    ``block`` words that more documents hold stay in their first holder only."""
     texts = one_per_id(docs)
     lines = {d: t.split("\n") for d, t in texts.items()}
     keys = {d: [" ".join(words(s)) for s in x] for d, x in lines.items()}
@@ -141,9 +142,14 @@ def line_dedup(docs, anchor=8, block=12):
         for k in keys[d]:
             if len(words(k)) >= anchor:
                 holder.setdefault(k, d)
+    holders = defaultdict(set)
+    for d in keys:
+        for k in keys[d]:
+            if 0 < len(words(k)) < block:
+                holders[k].add(d)
     out = {}
     for d in keys:
-        gone = set()
+        gone = {n for n, k in enumerate(keys[d]) if most is not None and len(holders.get(k, ())) > most and min(holders[k]) != d}
         for e in {holder[k] for k in keys[d] if holder.get(k, d) != d}:
             runs = []
             for i, j in patience(keys[e], keys[d]):

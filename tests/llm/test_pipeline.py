@@ -2,7 +2,7 @@
 
 import __spark_entry__ as entry
 import corpus_pipeline
-from fleetlens.llm import mixing, queries
+from fleetlens.llm import line_align, mixing, queries, textkit
 from tests.llm import brute
 from tests.llm.test_operators import awkward_rows
 
@@ -12,7 +12,7 @@ SF = "/root/testdata/sf0.001"
 def later_stages(rows, items):
     """Rows (doc_id, epoch) after stages 2 to 5 for rows (doc_id, text, lang, source) with ids."""
     known = {d: (lang, source) for d, _, lang, source in rows}
-    deduped = brute.line_dedup([r[:2] for r in rows])
+    deduped = brute.line_dedup([r[:2] for r in rows], most=line_align.LINE_DOCS)
     texts = {d: t for d, (t, gone) in deduped.items() if not gone or brute.words(t)}
     texts = {d: texts[d] for d, (_, component) in brute.near(list(texts.items())).items() if component == d}
     for d, _, hit, _ in brute.benchmark_hits(list(texts.items()), items):
@@ -47,10 +47,24 @@ def test_every_stage_takes_awkward_rows(spark):
         assert stage(spark, empty, SF).count() == 0
 
 
+def test_a_run_leaves_only_the_stages_results(spark):
+    import os
+    folder = textkit.shared_folder(spark)
+    before = set(os.listdir(folder))
+    with textkit.scratch(spark):
+        kept = textkit.written(spark.range(3), keep=True)
+        gone = textkit.written(spark.range(5))
+        assert gone.count() == 5
+    assert kept.count() == 3 and len(set(os.listdir(folder)) - before) == 1
+    got = corpus_pipeline.run(spark, SF)
+    made = set(os.listdir(folder)) - before
+    assert got.count() and len(made) <= 1 + 4 + 12  # four stages' tables and the lazy last stage's own
+
+
 def test_registered_queries():
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language_id", "line_dedup", "ngram_join", "decontaminate", "mixing"]
     found = entry.queries()
-    assert {int(k[2:].split("_")[0]) for k in queries.QUERIES} == set(range(1, 11)) and "pipeline" in found
+    assert {int(k[2:].split("_")[0]) for k in queries.QUERIES} == set(range(1, 14)) and "pipeline" in found
     assert set(queries.ORACLE) <= set(queries.QUERIES) and set(queries.QUERIES) <= set(found)
     assert set(queries.ORACLE) <= set(entry.oracle_sql())
 
