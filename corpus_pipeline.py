@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fleetlens.llm import decontaminate, language_id, line_align, mixing, ngram_join
-from fleetlens.llm.textkit import written
+from fleetlens.llm.textkit import scratch, written
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -23,8 +23,9 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without blocks aligned with earlier documents; those left without a word go."""
-    found = line_align.dedup_lines(docs.select(*COLUMNS))
+    """Documents without blocks aligned with earlier documents and without short lines that many
+    documents hold, as ``op5_line_dedup``; those left without a word go."""
+    found = line_align.dedup_lines(docs.select(*COLUMNS), most=line_align.LINE_DOCS)
     return found.where((F.col("n_removed_lines") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]")).select(*COLUMNS)
 
 
@@ -60,8 +61,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``, each written and read again."""
+    """All stages over ``documents``, each written and read again; a stage's working tables are
+    deleted once its result is written."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for _, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir))
+        with scratch(spark):
+            docs = written(stage(spark, docs, sf_dir), keep=True)
     return STAGES[-1][1](spark, docs, sf_dir)
