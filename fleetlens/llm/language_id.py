@@ -1,10 +1,12 @@
 """Language identification by Bayesian evidence fusion.
 
-Four kinds of evidence are added as log odds over the languages that at least ``LEAST_DOCUMENTS``
-documents declare (the ``MOST_LANGUAGES`` most frequent ones):
+Four kinds of evidence are added as log odds over the languages that documents declare, however few
+do (where more than ``MOST_LANGUAGES`` codes occur, the most frequent ones):
 
 * text: a byte-trigram model per language, trained by grouped counts over all documents with a
-  declared language (trigrams hashed to 2^14 buckets; evidence scaled down for dependent trigrams);
+  declared language (trigrams hashed to 2^14 buckets; evidence scaled down for dependent trigrams).
+  Each model is drawn towards even buckets as strongly as it has kinds of trigrams for its number of
+  them, so a model of few documents is blunt in what it hasn't met, not in what it has;
 * the declared (markup) language: P(declared | language), from counts of what the text alone says;
 * the address suffix: P(suffix | language), counted the same way;
 * the host: a prior from hierarchically smoothed counts, host under parent domain under ... under
@@ -20,7 +22,8 @@ every trigram bucket is alike explains it better than the model of the language
 
 Defined results: a null or empty text is rejected with a null language; null or unknown declared
 languages, hosts and addresses give no evidence; rows are judged one by one, so null or repeated
-ids change nothing; an empty table gives an empty result; further columns pass through, and ones
+ids change nothing; where no document declares a language all are rejected with a null language;
+an empty table gives an empty result; further columns pass through, and ones
 named like result columns are replaced.
 """
 
@@ -37,9 +40,7 @@ from pyspark.sql import types as T
 
 from fleetlens.llm import textkit as K
 
-LANGUAGES = ["en", "de", "fr", "es"]  # where no language is declared often enough
-LEAST_DOCUMENTS = 10
-MOST_LANGUAGES = 256
+MOST_LANGUAGES = 256  # bounds the count table: 2^BUCKET_BITS rows of so many counts
 BUCKET_BITS = 14
 TEXT_SCALE = 0.4  # trigrams overlap, so their evidence counts less than that of independent ones
 HOST_PULL = 20.0  # documents that the level above counts for
@@ -72,12 +73,12 @@ def trigrams(col: pa.Array):
         yield bucket.astype(np.int64), np.searchsorted(at, offs)
 
 
-def _count_task(languages: list[str]):
+def _count_task(languages: list[str | None]):
     def task(batches):
         size = 1 << BUCKET_BITS
         counts = np.zeros((len(languages), size), np.int64)
         for batch in batches:
-            known = np.array([languages.index(x) if x in languages else -1 for x in batch.column("__declared").to_pylist()], np.int64)
+            known = np.array([languages.index(x) if x is not None and x in languages else -1 for x in batch.column("__declared").to_pylist()], np.int64)
             lo = 0
             for bucket, bounds in trigrams(batch.column("__text")):
                 rows = len(bounds) - 1
@@ -91,22 +92,23 @@ def _count_task(languages: list[str]):
     return task
 
 
-def declared_languages(rows: DataFrame) -> list[str]:
-    """The languages that enough documents declare, the most frequent ones, by name."""
-    met = rows.where(F.col("__declared").isNotNull()).groupBy("__declared").count().where(F.col("count") >= LEAST_DOCUMENTS)
+def declared_languages(rows: DataFrame) -> list[str | None]:
+    """The declared languages by name; one without a name where there are none."""
+    met = rows.where(F.trim("__declared") != "").groupBy("__declared").count()
     met = met.orderBy(F.desc("count"), "__declared").limit(MOST_LANGUAGES).collect()
-    return sorted(r["__declared"] for r in met) or LANGUAGES
+    return sorted(r["__declared"] for r in met) or [None]
 
 
-def trigram_model(rows: DataFrame, languages: list[str]) -> np.ndarray:
-    """log P(bucket | language), smoothed, as a (buckets, languages) table."""
+def trigram_model(rows: DataFrame, languages: list[str | None]) -> np.ndarray:
+    """log P(bucket | language), smoothed by its number of kinds (Witten and Bell), as a (buckets, languages) table."""
     names = [f"c{i}" for i in range(len(languages))]
     counts = rows.select("__text", "__declared").mapInArrow(
         _count_task(languages), "bucket long, " + ", ".join(f"{c} long" for c in names))
     table = counts.groupBy("bucket").agg(*(F.sum(c).alias(c) for c in names)).toArrow()  # at most 2^BUCKET_BITS rows
-    out = np.full((1 << BUCKET_BITS, len(languages)), 0.5)
+    out = np.zeros((1 << BUCKET_BITS, len(languages)))
     for i, name in enumerate(names):
-        out[table["bucket"].to_numpy(), i] += table[name].to_numpy()
+        out[table["bucket"].to_numpy(), i] = table[name].to_numpy()
+    out += np.maximum(1, (out > 0).sum(axis=0)) / len(out)
     return np.log(out / out.sum(axis=0)).astype(np.float32)
 
 
@@ -229,7 +231,7 @@ def identify(docs: DataFrame, text: Column, declared: Column | None = None, host
         total = _plus(total, F.coalesce(F.col(name), flat))
     out = out.withColumn("__total", total).withColumn("__best", _best(F.col("__total")))
     odds = F.aggregate("__total", F.lit(0.0), lambda s, x: s + F.exp(x - F.array_max("__total")))
-    names = F.array(*(F.lit(x) for x in languages))
+    names = F.array(*(F.lit(x).cast("string") for x in languages))
     some = F.col("__n") > 0
     posterior = F.when(some, 1 / odds)
     return out.select(

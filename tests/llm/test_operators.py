@@ -384,8 +384,8 @@ FOREIGN = {
 
 def test_foreign_and_wordless_texts_are_rejected(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang", "source")
-    texts = [*FOREIGN.items(), ("en", "2024 15 88121 777 3.14159 2718 281828 4590 4523 5360"),
-             ("en", "xqzjv kwpfg zzxqy vbnmk qwjxz plkjq zxcvq wqjkx fghzq"), (None, FOREIGN["it"]), ("es", FOREIGN["it"])]
+    texts = [*((None, t) for t in FOREIGN.values()), ("en", "2024 15 88121 777 3.14159 2718 281828 4590 4523 5360"),
+             ("en", "xqzjv kwpfg zzxqy vbnmk qwjxz plkjq zxcvq wqjkx fghzq"), ("", FOREIGN["it"]), ("es", FOREIGN["it"])]
     planted = spark.createDataFrame([(-1 - n, t, lang, "src1") for n, (lang, t) in enumerate(texts)], docs.schema)
     rows = language_id.identify(docs.unionByName(planted), F.col("text"), F.col("lang"), F.col("source")).collect()
     assert [r["doc_id"] for r in rows if r["doc_id"] < 0 and r["accepted"]] == []
@@ -394,6 +394,39 @@ def test_foreign_and_wordless_texts_are_rejected(spark):
     assert {r["n_trigrams"] for r in rows if r["doc_id"] == -1 - len(FOREIGN)} == {0}
 
 
+ITALIAN = [
+    "La mattina il mercato della piazza si riempie di gente che compra frutta, pane e formaggio.",
+    "Mio fratello lavora in una fabbrica di scarpe e torna a casa soltanto la domenica sera.",
+    "Quando piove i bambini giocano nella stanza grande e la nonna racconta le vecchie storie.",
+    "Il treno per la montagna parte alle otto e arriva quando il sole è già alto sopra la valle.",
+    "Abbiamo trovato una casa piccola vicino al mare, con una finestra che guarda verso il porto.",
+    "Gli amici di mia sorella cantano ogni sera nella chiesa del paese e poi mangiano insieme.",
+    "Nella scuola del villaggio ci sono soltanto due maestre e una quarantina di ragazzi.",
+    "Il vecchio pescatore ha venduto la barca e adesso cammina lungo la spiaggia con il suo cane.",
+    "Dopo la guerra molte famiglie sono partite per cercare lavoro nelle città del nord.",
+]
+
+
+def test_a_rare_language_is_kept_by_its_name(spark):
+    """However few documents declare a language, it has a model; nine give one that knows others of it."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang", "source")
+    for some in (ITALIAN[:1], ITALIAN[:3], ITALIAN):
+        planted = spark.createDataFrame([(-1 - n, t, "it", "src1") for n, t in enumerate(some)], docs.schema)
+        rows = language_id.identify(docs.unionByName(planted), F.col("text"), F.col("lang"), F.col("source")).collect()
+        assert all(r["accepted"] and r["language"] == "it" for r in rows if r["doc_id"] < 0)
+        own = [r for r in rows if r["doc_id"] >= 0]
+        assert sum(r["accepted"] and r["language"] == r["lang"] for r in own) >= 0.998 * len(own)
+    unnamed = spark.createDataFrame([(-99, FOREIGN["it"], None, None)], docs.schema).unionByName(planted).unionByName(docs)
+    rows = language_id.identify(unnamed, F.col("text"), F.col("lang"), F.col("source")).where("doc_id = -99").collect()
+    assert [r["language"] for r in rows] == ["it"]
+
+
+def test_without_declared_languages_all_are_rejected(spark):
+    docs = spark.createDataFrame([(1, ITALIAN[0], None), (2, "plain words here", " ")], "doc_id long, text string, lang string")
+    rows = language_id.identify(docs, F.col("text"), F.col("lang")).collect()
+    assert len(rows) == 2 and all(r["language"] is None and not r["accepted"] for r in rows)
+
+
 def test_languages_come_from_the_declared_column(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", F.regexp_replace("lang", "^es$", "it").alias("lang"))
     rows = language_id.identify(docs, F.col("text"), F.col("lang")).collect()
