@@ -10,10 +10,10 @@ into fragments of equal mass.
    places where two sets first meet rule out pairs whose rest can't hold the overlap.
 3. A candidate pair's overlap is counted fragment by fragment, and the partial counts are summed
    per pair; the sum decides exactly.
-4. Where many classes meet in one entry, each is first compared with one leader, then with a
-   second, randomly drawn one. Only classes that the links found so far leave in different
-   components are compared with one another, so a group of near copies costs linear work and no
-   link that joins two components is lost.
+4. Where many classes meet in one entry, each is first compared with one leader, then, while links
+   leave the entry in different components, with 1, 4, 16 and 16 randomly drawn ones. Only classes that
+   still are in different components are compared with one another, so a group of near copies
+   costs linear work and no link that joins two components is lost.
 5. Components of the links, by star contraction.
 
 Set identity is by 64-bit shingle hashes (128 bits for whole sets).
@@ -41,6 +41,7 @@ ORDER_BITS = 20
 PIECES = 64  # parts of the count table that are summed apart
 FRAGMENTS = 8
 ASKED_BITS = 24
+TURNS = [1, 4, 16, 16]  # leaders per entry, drawn at random, in the rounds after the first
 
 
 def shingle_sets(col: pa.Array, k: int = SHINGLE):
@@ -236,6 +237,12 @@ def _split_entries(entries: DataFrame, labels: DataFrame) -> DataFrame:
     return K.written(named.join(mixed.hint("merge"), "h"))
 
 
+def _leaders(split: DataFrame, turn: int, leaders: int) -> DataFrame:
+    """Per entry, ``leaders`` of its classes (not all different), each the first under a hash of its own."""
+    one = [F.min(F.struct(F.xxhash64("doc", "h", F.lit(turn), F.lit(k)).alias("x"), "doc", "comp", "n", "i")) for k in range(leaders)]
+    return split.groupBy("h").agg(F.array_distinct(F.transform(F.array(*one), lambda e: e.dropFields("x"))).alias("leads"))
+
+
 def _more(labels: DataFrame, links: DataFrame) -> DataFrame:
     """Components after further links; those so far enter as stars, which nearly are the result."""
     return components(links.unionByName(labels.select(F.col("component").alias("a"), F.col("node").alias("b"))))
@@ -267,21 +274,25 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     pairs = K.written(_pairs(first, "doc", "lead.doc"))
     labels = components(_verified(pairs, docs, order))
     split = _split_entries(entries, labels)
-    if not split.isEmpty():
-        lead = split.groupBy("h").agg(F.min(F.struct(F.xxhash64("doc", "h").alias("x"), "doc", "comp", "n", "i")).alias("lead"))
-        second = split.join(lead.hint("merge"), "h").where("comp != lead.comp and " + _can_link("n", "i", "lead.n", "lead.i"))
-        second = K.written(_pairs(second, "doc", "lead.doc").join(pairs.hint("merge"), ["a", "b"], "left_anti"))
-        labels = _more(labels, _verified(second, docs, order))
+    for turn, leaders in enumerate(TURNS):
+        if split.isEmpty():
+            break
+        lead = K.written(_leaders(split, turn, leaders))
+        met = split.join(lead.hint("merge"), "h").select("doc", "n", "i", "comp", F.explode("leads").alias("lead"))
+        met = met.where("comp != lead.comp and " + _can_link("n", "i", "lead.n", "lead.i"))
+        met = K.written(_pairs(met, "doc", "lead.doc").join(pairs.hint("merge"), ["a", "b"], "left_anti"))
+        labels = _more(labels, _verified(met, docs, order))
+        pairs = pairs.unionByName(met)
         split = _split_entries(split.drop("comp"), labels)
-        if not split.isEmpty():
-            size = split.groupBy("h", "comp").agg(F.count("*").alias("c"))
-            major = size.groupBy("h").agg(F.max(F.struct("c", "comp")).alias("major")).select("h", F.col("major.comp").alias("major"))
-            x = split.join(major.hint("merge"), "h").where("comp != major")
-            y = split.select("h", *(F.col(c).alias(c + "2") for c in ("doc", "n", "i", "comp")))
-            rest = x.hint("merge").join(y, "h").where(
-                "comp != comp2 and (comp2 = major or doc < doc2) and " + _can_link("n", "i", "n2", "i2"))
-            rest = K.written(_pairs(rest, "doc", "doc2").join(pairs.unionByName(second).hint("merge"), ["a", "b"], "left_anti"))
-            labels = _more(labels, _verified(rest, docs, order))
+    if not split.isEmpty():
+        size = split.groupBy("h", "comp").agg(F.count("*").alias("c"))
+        major = size.groupBy("h").agg(F.max(F.struct("c", "comp")).alias("major")).select("h", F.col("major.comp").alias("major"))
+        x = split.join(major.hint("merge"), "h").where("comp != major")
+        y = split.select("h", *(F.col(c).alias(c + "2") for c in ("doc", "n", "i", "comp")))
+        rest = x.hint("merge").join(y, "h").where(
+            "comp != comp2 and (comp2 = major or doc < doc2) and " + _can_link("n", "i", "n2", "i2"))
+        rest = K.written(_pairs(rest, "doc", "doc2").join(pairs.hint("merge"), ["a", "b"], "left_anti"))
+        labels = _more(labels, _verified(rest, docs, order))
     order.unpersist()
 
     members = docs.mapInArrow(_set_task(None), T.StructType(fields))
