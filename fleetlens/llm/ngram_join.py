@@ -255,6 +255,11 @@ def _pairs(met: DataFrame, x: str, y: str) -> DataFrame:
 def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per document: n_shingles, class_id (smallest doc_id with an equal set) and component_id."""
     K.ship(docs.sparkSession)
+    with K.small_partitions(docs.sparkSession):
+        return _near_classes(docs, id_col, text_col)
+
+
+def _near_classes(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     docs = K.keyed_documents(docs, id_col, text_col)
     kind, long_ = docs.schema["doc_id"].dataType, T.LongType()
     # sent once for all steps (5 MB whatever the corpus), not with every task's closure

@@ -199,6 +199,20 @@ def scratch(spark) -> Iterator[None]:
             p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+@contextmanager
+def small_partitions(spark, size: int = 16 << 20) -> Iterator[None]:
+    """Jobs run inside put at most about ``size`` bytes of a shuffle into one task where adaptive
+    execution joins small partitions (its own target is total / cores, up to 64 MB compressed),
+    so that fetched blocks and sorts of concurrent tasks stay small."""
+    name = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, size)
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
 def written(df: DataFrame, keep: bool = False) -> DataFrame:
     """Cut the lineage: write ``df`` as Parquet into the shared folder and read it back, so a
     lost executor costs no recomputation of what stands before. Inside ``scratch`` the table is
