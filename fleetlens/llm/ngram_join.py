@@ -10,8 +10,9 @@ into fragments of equal mass.
    places where two sets first meet rule out pairs whose rest can't hold the overlap.
 3. A candidate pair's overlap is counted fragment by fragment, and the partial counts are summed
    per pair; the sum decides exactly.
-4. Where many classes meet in one entry, each is first compared with one leader, then, while links
-   leave the entry in different components, with 1, 4, 16 and 16 randomly drawn ones. Only classes that
+4. The classes that meet in one entry are first compared with one leader. Where links leave the
+   entry in different components, a small entry's classes are then compared with one another; those of
+   a larger one, while this lasts, with 1, 4, 16 and 16 randomly drawn leaders. Only classes that
    still are in different components are compared with one another, so a group of near copies
    costs linear work and no link that joins two components is lost.
 5. Components of the links, by star contraction.
@@ -41,7 +42,8 @@ ORDER_BITS = 20
 PIECES = 64  # parts of the count table that are summed apart
 FRAGMENTS = 8
 ASKED_BITS = 24
-TURNS = [1, 4, 16, 16]  # leaders per entry, drawn at random, in the rounds after the first
+TURNS = [1, 4, 16, 16]  # leaders per larger entry, drawn at random, in the rounds after the first
+FEW = 32  # classes of an entry that needs no such rounds
 
 
 def shingle_sets(col: pa.Array, k: int = SHINGLE):
@@ -150,22 +152,18 @@ def _signature(s: np.ndarray) -> tuple[int, int]:
     return int(one.view(np.int64)), int(two.view(np.int64))
 
 
-def _set_task(shared=None):
-    """doc_id, n, s1, s2 (the set's signature) and, with a broadcast order, the set's rare end."""
+def _set_task(shared):
+    """doc_id, n, s1, s2 (the set's signature) and the set's rare end in the broadcast order."""
     def task(batches):
-        order = shared.value if shared else None
+        order = shared.value
         for batch in batches:
             n, one, two, rare = [], [], [], []
             for s in shingle_sets(batch.column("text")):
                 a, b = _signature(s)
-                n.append(len(s)), one.append(a), two.append(b)
-                if order:
-                    rare.append(order.rare_end(s))
-            cols = [batch.column("doc_id"), *(pa.array(x, pa.int64()) for x in (n, one, two))]
-            names = ["doc_id", "n", "s1", "s2"]
-            if order:
-                cols, names = [*cols, _lists(rare)], [*names, "rare"]
-            yield pa.RecordBatch.from_arrays(cols, names=names)
+                n.append(len(s)), one.append(a), two.append(b), rare.append(order.rare_end(s))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), *(pa.array(x, pa.int64()) for x in (n, one, two)), _lists(rare)],
+                names=["doc_id", "n", "s1", "s2", "rare"])
     return task
 
 
@@ -230,9 +228,9 @@ def _can_link(n: str, i: str, m: str, j: str) -> str:
 
 
 def _split_entries(entries: DataFrame, labels: DataFrame) -> DataFrame:
-    """Entries (h, doc, n, i) whose classes the labels leave in different components, with comp."""
+    """Entries (h, doc, n, i, c) whose classes the labels leave in different components, with comp."""
     named = entries.join(labels.hint("merge"), entries["doc"] == labels["node"], "left").select(
-        "h", "doc", "n", "i", F.coalesce("component", "doc").alias("comp"))
+        "h", "doc", "n", "i", "c", F.coalesce("component", "doc").alias("comp"))
     mixed = named.groupBy("h").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi").select("h")
     return K.written(named.join(mixed.hint("merge"), "h"))
 
@@ -248,6 +246,17 @@ def _more(labels: DataFrame, links: DataFrame) -> DataFrame:
     return components(links.unionByName(labels.select(F.col("component").alias("a"), F.col("node").alias("b"))))
 
 
+def _rest(split: DataFrame) -> DataFrame:
+    """Two classes each of the split entries that can link, in different components."""
+    size = split.groupBy("h", "comp").agg(F.count("*").alias("c"))
+    major = size.groupBy("h").agg(F.max(F.struct("c", "comp")).alias("major")).select("h", F.col("major.comp").alias("major"))
+    x = split.join(major.hint("merge"), "h").where("comp != major")
+    y = split.select("h", *(F.col(c).alias(c + "2") for c in ("doc", "n", "i", "comp")))
+    rest = x.hint("merge").join(y, "h").where(
+        "comp != comp2 and (comp2 = major or doc < doc2) and " + _can_link("n", "i", "n2", "i2"))
+    return _pairs(rest, "doc", "doc2")
+
+
 def _pairs(met: DataFrame, x: str, y: str) -> DataFrame:
     return met.select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b")).distinct()
 
@@ -266,11 +275,14 @@ def _near_classes(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     order = docs.sparkSession.sparkContext.broadcast(Order(docs))
     fields = [T.StructField("doc_id", kind), *(T.StructField(c, long_) for c in ("n", "s1", "s2"))]
 
-    sets = docs.mapInArrow(_set_task(order), T.StructType([*fields, T.StructField("rare", T.ArrayType(long_))]))
-    classes = K.written(sets.where("n > 0").groupBy("n", "s1", "s2").agg(F.min(F.struct("doc_id", "rare")).alias("least")))
-    entries = classes.select("n", F.col("least.doc_id").alias("doc"), F.posexplode("least.rare").alias("i", "h"))
-    shared = K.written(entries.groupBy("h").agg(F.count("*").alias("c")).where("c > 1").select("h"))
-    entries = K.written(entries.join(shared.hint("merge"), "h").select("h", "doc", "n", "i"))
+    # Written with the rare ends (their bytes are about half the input's), so that the texts are read
+    # for the sets once; signatures and classes are also what the result is made of.
+    sets = K.written(docs.mapInArrow(_set_task(order), T.StructType([*fields, T.StructField("rare", T.ArrayType(long_))])))
+    classes = K.written(sets.where("n > 0").groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("doc")))
+    entries = sets.join(classes.select(F.col("doc").alias("doc_id")).hint("merge"), "doc_id", "left_semi").select(
+        "n", F.col("doc_id").alias("doc"), F.posexplode("rare").alias("i", "h"))
+    shared = K.written(entries.groupBy("h").agg(F.count("*").alias("c")).where("c > 1"))
+    entries = K.written(entries.join(shared.hint("merge"), "h").select("h", "doc", "n", "i", "c"))
 
     # Leaders are written first, so that a join on a hot entry has plain exchanges that can be split.
     # All these tables grow with the documents: none is broadcast, however small it is now.
@@ -279,32 +291,39 @@ def _near_classes(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     pairs = K.written(_pairs(first, "doc", "lead.doc"))
     labels = components(_verified(pairs, docs, order))
     split = _split_entries(entries, labels)
+
+    def compared(met: DataFrame) -> bool:
+        """Compare the pairs that have not been; whether that changes the components."""
+        nonlocal pairs, labels
+        met = K.written(met.join(pairs.hint("merge"), ["a", "b"], "left_anti"))
+        if met.isEmpty():
+            return False
+        pairs, links = pairs.unionByName(met), _verified(met, docs, order)
+        if links.isEmpty():
+            return False
+        labels = _more(labels, links)
+        return True
+
+    changed = compared(_rest(split.where(F.col("c") <= FEW)))
+    split = split.where(F.col("c") > FEW)
     for turn, leaders in enumerate(TURNS):
+        if changed:
+            split = _split_entries(split.drop("comp"), labels)
         if split.isEmpty():
             break
         lead = K.written(_leaders(split, turn, leaders))
-        met = split.join(lead.hint("merge"), "h").select("doc", "n", "i", "comp", F.explode("leads").alias("lead"))
-        met = met.where("comp != lead.comp and " + _can_link("n", "i", "lead.n", "lead.i"))
-        met = K.written(_pairs(met, "doc", "lead.doc").join(pairs.hint("merge"), ["a", "b"], "left_anti"))
-        labels = _more(labels, _verified(met, docs, order))
-        pairs = pairs.unionByName(met)
+        fit = f"filter(leads, lead -> comp != lead.comp and {_can_link('n', 'i', 'lead.n', 'lead.i')})"
+        met = split.join(lead.hint("merge"), "h").select("doc", F.explode(F.expr(fit)).alias("lead"))
+        changed = compared(_pairs(met, "doc", "lead.doc"))
+    if changed:
         split = _split_entries(split.drop("comp"), labels)
     if not split.isEmpty():
-        size = split.groupBy("h", "comp").agg(F.count("*").alias("c"))
-        major = size.groupBy("h").agg(F.max(F.struct("c", "comp")).alias("major")).select("h", F.col("major.comp").alias("major"))
-        x = split.join(major.hint("merge"), "h").where("comp != major")
-        y = split.select("h", *(F.col(c).alias(c + "2") for c in ("doc", "n", "i", "comp")))
-        rest = x.hint("merge").join(y, "h").where(
-            "comp != comp2 and (comp2 = major or doc < doc2) and " + _can_link("n", "i", "n2", "i2"))
-        rest = K.written(_pairs(rest, "doc", "doc2").join(pairs.hint("merge"), ["a", "b"], "left_anti"))
-        labels = _more(labels, _verified(rest, docs, order))
+        compared(_rest(split))
     order.unpersist()
 
-    members = docs.mapInArrow(_set_task(None), T.StructType(fields))
-    named = members.where("n > 0").groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("doc"))
-    named = named.join(labels.hint("merge"), F.col("doc") == F.col("node"), "left").select(
+    named = classes.join(labels.hint("merge"), F.col("doc") == F.col("node"), "left").select(
         "n", "s1", "s2", "doc", F.coalesce("component", "doc").alias("comp"))
-    return members.join(named.hint("merge"), ["n", "s1", "s2"], "left").select(
+    return sets.drop("rare").join(named.hint("merge"), ["n", "s1", "s2"], "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.coalesce("doc", "doc_id").alias("class_id"),
         F.coalesce("comp", "doc_id").alias("component_id"))
 

@@ -419,6 +419,40 @@ def test_near_classes_of_chains_and_groups(spark):
     assert near_rows(ngram_join.near_classes(docs)) == brute.near(rows)
 
 
+def test_near_classes_read_texts_once_for_sets(spark, monkeypatch):
+    """Entries whose classes can't link take no further rounds, and the result needs no text pass of its own."""
+    rng = random.Random(11)
+    rows = []
+    for k in range(20):  # a short text and a long one that holds it, ten times
+        short = sentence(rng, 30)
+        rows += [(3 * k, short), (3 * k + 1, " ".join(sentence(rng, 30) if j != 4 else short for j in range(10)))]
+    rows += [(3 * k + 2, rows[2 * k][1]) for k in range(5)]
+    passes = []
+    for name in ("_set_task", "_slice_task"):
+        task = getattr(ngram_join, name)
+        monkeypatch.setattr(ngram_join, name, lambda *a, name=name, task=task: passes.append(name) or task(*a))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert near_rows(ngram_join.near_classes(docs)) == brute.near(rows)
+    assert sorted(passes) == ["_set_task", "_slice_task"]
+
+
+def test_near_classes_of_small_and_large_entries(spark, monkeypatch):
+    """The same components whether entries are compared at once or by rounds of drawn leaders."""
+    rng = random.Random(12)
+    rows = []
+    for g in range(6):
+        base = sentence(rng, 90).split()
+        for k in range(12):
+            w = list(base)
+            for at in rng.sample(range(90), 2):
+                w[at] = f"q{g}{k}{at}"
+            rows.append((100 * g + k, " ".join(w)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for few in (1, 4, 64):
+        monkeypatch.setattr(ngram_join, "FEW", few)
+        assert near_rows(ngram_join.near_classes(docs)) == brute.near(rows)
+
+
 # --- op7 ----------------------------------------------------------------------------------------
 
 def test_language_of_documents(spark):
