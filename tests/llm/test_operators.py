@@ -93,6 +93,16 @@ def test_components_of_a_path_and_a_star(spark):
     assert graph.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_components_take_no_round_without_need(spark, monkeypatch):
+    """Stars are not written again, and no round is made to see that the last one changed nothing."""
+    made, write = [], graph.K.written
+    monkeypatch.setattr(graph.K, "written", lambda df, keep=False: made.append(1) or write(df, keep))
+    for links, rounds in (([(3, 1), (1, 2), (8, 9), (5, 5)], 0), ([(1, 2), (2, 3), (1, 2), (2, 1)], 1)):
+        made.clear()
+        found = {tuple(r) for r in graph.components(spark.createDataFrame(links, "a long, b long")).collect()}
+        assert found == ({(3, 1), (2, 1), (9, 8)} if not rounds else {(2, 1), (3, 1)}) and len(made) == rounds
+
+
 # --- op1 ----------------------------------------------------------------------------------------
 
 PAGES = [
@@ -453,6 +463,31 @@ def test_near_classes_of_small_and_large_entries(spark, monkeypatch):
         assert near_rows(ngram_join.near_classes(docs)) == brute.near(rows)
 
 
+def test_near_classes_of_a_large_entry_take_few_passes(spark, monkeypatch):
+    """Small entries and the first draw share a pass; the draws end when the rest is small; the same
+    components if it never is."""
+    rng = random.Random(14)
+    common, rows = sentence(rng, 30), []
+    for k in range(50):  # one passage in all, near copies of each in some
+        own = sentence(rng, 60).split()
+        for j in range(1 + k % 3):
+            rows.append((10 * k + j, " ".join([common, *own[: 60 - j]])))
+    centre = sentence(rng, 100).split()
+    for k in range(60):
+        w = list(centre)
+        for at in rng.sample(range(100), 3):
+            w[at] = f"q{k}{at}"
+        rows.append((1000 + k, " ".join(w)))
+    rows += [(2000 + k, sentence(rng, 60)) for k in range(200)]
+    docs, want, passes = spark.createDataFrame(rows, "doc_id long, text string"), brute.near(rows), []
+    task = ngram_join._slice_task
+    monkeypatch.setattr(ngram_join, "_slice_task", lambda *a: passes.append(1) or task(*a))
+    assert near_rows(ngram_join.near_classes(docs)) == want
+    assert len(passes) <= 3
+    monkeypatch.setattr(ngram_join, "MEETINGS", 0)
+    assert near_rows(ngram_join.near_classes(docs)) == want
+
+
 # --- op7 ----------------------------------------------------------------------------------------
 
 def test_language_of_documents(spark):
