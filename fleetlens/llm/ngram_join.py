@@ -13,10 +13,8 @@ into fragments of equal mass.
 4. The classes that meet in one entry are first compared with one leader. Where links leave the
    entry in different components, a small entry's classes are then compared with one another and, in
    the same pass, those of a larger one with a randomly drawn leader; while this lasts, the latter
-   with 4, 16 and 16 more. These rounds end as soon as all pairs left move no more shingles than the
-   corpus holds: comparing them at once then costs less. Only classes that still are in different
-   components are compared with one another, so a group of near copies costs linear work and no link
-   that joins two components is lost.
+   with 4, 16 and 16 more. Only classes that still are in different components are compared with one
+   another, so a group of near copies costs linear work and no link that joins two components is lost.
 5. Components of the links, by star contraction.
 
 Set identity is by 64-bit shingle hashes (128 bits for whole sets).
@@ -46,7 +44,6 @@ FRAGMENTS = 8
 ASKED_BITS = 24
 TURNS = [1, 4, 16, 16]  # leaders per larger entry, drawn at random, in the rounds after the first
 FEW = 32  # classes of an entry that needs no such rounds
-MEETINGS = 64  # meetings of two classes per entry up to which the pairs left are counted
 
 
 def shingle_sets(col: pa.Array, k: int = SHINGLE):
@@ -258,22 +255,14 @@ def _more(labels: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def _rest(split: DataFrame) -> DataFrame:
-    """Two classes each (doc, other) of the split entries that can link, in different components, and
-    n, the smaller one's size."""
+    """Two classes each (doc, other) of the split entries that can link, in different components."""
     size = split.groupBy("h", "comp").agg(F.count("*").alias("c"))
     major = size.groupBy("h").agg(F.max(F.struct("c", "comp")).alias("major")).select("h", F.col("major.comp").alias("major"))
     x = split.join(major.hint("merge"), "h").where("comp != major")
     y = split.select("h", *(F.col(c).alias(c + "2") for c in ("doc", "n", "i", "comp")))
     rest = x.hint("merge").join(y, "h").where(
         "comp != comp2 and (comp2 = major or doc < doc2) and " + _can_link("n", "i", "n2", "i2"))
-    return rest.select("doc", F.col("doc2").alias("other"), F.least("n", "n2").alias("n"))
-
-
-def _meetings(split: DataFrame) -> float:
-    """How often two classes in different components meet in a split entry."""
-    size = split.groupBy("h", "comp").agg(F.count("*").cast("double").alias("c"))
-    size = size.groupBy("h").agg(F.sum("c").alias("c"), F.sum(F.col("c") * F.col("c")).alias("same"))
-    return size.agg(F.sum((F.col("c") * F.col("c") - F.col("same")) / 2)).first()[0] or 0.0
+    return rest.select("doc", F.col("doc2").alias("other"))
 
 
 def _pairs(met: DataFrame, x: str, y: str) -> DataFrame:
@@ -323,20 +312,13 @@ def _near_classes(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         labels = _more(labels, links)
         return True
 
-    def at_once(split: DataFrame) -> bool:
-        """Whether the pairs left in the split entries move no more shingles than the corpus holds."""
-        if _meetings(split) > MEETINGS * entries.count():
-            return False
-        left = _rest(split).select(F.least("doc", "other").alias("a"), F.greatest("doc", "other").alias("b"), "n").distinct()
-        return (left.agg(F.sum("n")).first()[0] or 0) <= sets.agg(F.sum("n")).first()[0]
-
     small, split = split.where(F.col("c") <= FEW), split.where(F.col("c") > FEW)
     for turn, leaders in enumerate(TURNS):
-        if split.isEmpty() or at_once(split):
+        if split.isEmpty():
             break
         met = _drawn(split, turn, leaders)
         if small is not None:
-            met, small = met.unionByName(_rest(small).select("doc", "other")), None
+            met, small = met.unionByName(_rest(small)), None
         if compared(met):
             split = _split_entries(split.drop("comp"), labels)
     split = split if small is None else split.unionByName(small)

@@ -463,29 +463,23 @@ def test_near_classes_of_small_and_large_entries(spark, monkeypatch):
         assert near_rows(ngram_join.near_classes(docs)) == brute.near(rows)
 
 
-def test_near_classes_of_a_large_entry_take_few_passes(spark, monkeypatch):
-    """Small entries and the first draw share a pass; the draws end when the rest is small; the same
-    components if it never is."""
-    rng = random.Random(14)
-    common, rows = sentence(rng, 30), []
-    for k in range(50):  # one passage in all, near copies of each in some
-        own = sentence(rng, 60).split()
-        for j in range(1 + k % 3):
-            rows.append((10 * k + j, " ".join([common, *own[: 60 - j]])))
-    centre = sentence(rng, 100).split()
-    for k in range(60):
-        w = list(centre)
-        for at in rng.sample(range(100), 3):
-            w[at] = f"q{k}{at}"
-        rows.append((1000 + k, " ".join(w)))
-    rows += [(2000 + k, sentence(rng, 60)) for k in range(200)]
-    docs, want, passes = spark.createDataFrame(rows, "doc_id long, text string"), brute.near(rows), []
-    task = ngram_join._slice_task
+def test_near_classes_compare_small_entries_with_the_first_draw(spark, monkeypatch):
+    """Small entries and the first draw of large ones share a pass over the texts."""
+    rng = random.Random(12)
+    rows = []
+    for g in range(3):
+        base = sentence(rng, 90).split()
+        for k in range(12):
+            w = list(base)
+            for at in rng.sample(range(90), 2):
+                w[at] = f"q{g}{k}{at}"
+            rows.append((100 * g + k, " ".join(w)))
+    docs, passes, task = spark.createDataFrame(rows, "doc_id long, text string"), [], ngram_join._slice_task
     monkeypatch.setattr(ngram_join, "_slice_task", lambda *a: passes.append(1) or task(*a))
-    assert near_rows(ngram_join.near_classes(docs)) == want
-    assert len(passes) <= 3
-    monkeypatch.setattr(ngram_join, "MEETINGS", 0)
-    assert near_rows(ngram_join.near_classes(docs)) == want
+    monkeypatch.setattr(ngram_join, "FEW", 7)
+    monkeypatch.setattr(ngram_join, "TURNS", [1])
+    assert near_rows(ngram_join.near_classes(docs)) == brute.near(rows)
+    assert len(passes) <= 3  # the first leader; small entries and the draw; the rest
 
 
 # --- op7 ----------------------------------------------------------------------------------------
